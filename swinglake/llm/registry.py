@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from swinglake.llm import chat, exact, mixing
+from swinglake.llm import chat, exact, mixing, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_simhash": simhash.op2_simhash,
+    "op3_packing": packing.op3_packing,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op8_exact_dedup": exact.op8_exact_dedup,
 }
