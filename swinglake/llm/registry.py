@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from swinglake.llm import chat, exact, mixing, packing, sharding, simhash, toxicity
+from swinglake.llm import chat, exact, mixing, packing, quality, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": packing.op3_packing,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_quality": quality.op6_quality,
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
