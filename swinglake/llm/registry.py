@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from swinglake.llm import chat, exact, lm, mixing, packing, quality, sharding, simhash, toxicity
+from swinglake.llm import chat, exact, langid, lm, mixing, packing, quality, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
+    "op7_langid": langid.op7_langid,
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_lm_scoring": lm.op9_lm_scoring,
     "op10_sharding": sharding.op10_sharding,
