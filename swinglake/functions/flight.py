@@ -35,7 +35,7 @@ def table_carry(speed: Column) -> Column:
 def launch_penalised_carry(carry: Column, launch: Column, optimal: Column, confidence: Column) -> Column:
     off = launch - optimal
     raw = F.when(off < 0, F.abs(off) * 2.0).otherwise(off * 1.5)
-    return carry - F.least(raw * confidence, carry * 0.10)
+    return F.when(launch.isNotNull(), carry - F.least(raw * confidence, carry * 0.10))
 
 
 def optimal_spin(speed: Column, factor: Column) -> Column:
@@ -58,7 +58,7 @@ def spin_carry(carry: Column, speed: Column, spin: Column, best: Column, club_sp
     by_spin = F.when(F.abs(off) < 200, F.least(F.lit(1.02), by_spin + 0.01)).otherwise(by_spin)
     short = target - smash(speed, club_speed)
     contact = F.when(short > 0, F.greatest(F.lit(0.94), 1.0 - short / 0.05 * 0.03)).when(short < -0.05, 0.98).otherwise(1.0)
-    return carry * by_spin * contact
+    return F.when(spin.isNotNull(), carry * by_spin * contact)
 
 
 def launch_estimate(speed: Column, club_speed: Column, spin: Column, best_spin: Column) -> tuple[Column, Column]:
@@ -70,7 +70,7 @@ def launch_estimate(speed: Column, club_speed: Column, spin: Column, best_spin:
     angle = F.col("optimal_launch") - (speed - F.col("launch_mph")) * F.col("launch_deg_per_mph") + by_smash + by_spin
     known = F.coalesce(club_speed > 0, F.lit(False)).cast("int") + has_spin.cast("int")
     confidence = F.when(known == 2, 0.5).when(known == 1, 0.35).otherwise(0.2)
-    return F.greatest(F.lit(5.0), F.round(angle, 1)), confidence
+    return F.greatest(F.lit(5.0), F.floor(angle * 10 + 0.5) / 10), confidence
 
 
 def kinematic_spin(speed: Column, launch: Column) -> Column:
