@@ -54,6 +54,7 @@ def running_stats(shots: DataFrame, key: str) -> DataFrame:
 
 def debounced(events: DataFrame, key: str, at: str = "ts", seconds: float = 0.5) -> DataFrame:
     """Events at least ``seconds`` after the last one that was let through, per key; the state is one time."""
+    columns = events.columns
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -65,7 +66,7 @@ def debounced(events: DataFrame, key: str, at: str = "ts", seconds: float = 0.5)
                 last = t
         state.update((last,))
         if kept:
-            yield pd.DataFrame(kept, columns=events.columns)
+            yield pd.DataFrame(kept, columns=columns)
 
     return events.groupBy(key).applyInPandasWithState(run, events.schema, "last double", "append", GroupStateTimeout.NoTimeout)
 
