@@ -129,3 +129,29 @@ def test_truth_csv(spark, tmp_path):
     assert len(got) == 2
     assert got[0]["ball_speed"] == pytest.approx(100.0) and got[0]["carry"] == pytest.approx(109.3613) and got[0]["spin"] == 6500.0
     assert got[1]["ball_speed"] is None and got[1]["club"] == "PW"
+
+
+def test_objects_are_split_at_balanced_braces():
+    from swinglake.functions.tracks import split_objects
+
+    text = '{"a": "}{\\"", "b": {"c": 1}}\n {"d": 2} {"e": '
+    got, rest = split_objects(text)
+    assert got == ['{"a": "}{\\"", "b": {"c": 1}}', '{"d": 2}'] and rest == ' {"e": '
+    assert split_objects('{"x": "' + "y" * 70_000)[1] == ""
+
+
+def test_best_path_is_the_best_of_all():
+    from itertools import combinations
+
+    from swinglake.functions.tracks import Hit, best_path, opening, step
+
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        hits = [Hit(i, float(m), float(d), float(a), float(g)) for i, (m, d, a, g) in enumerate(zip(np.sort(rng.uniform(0, 260, 8)), rng.uniform(0.6, 5, 8), rng.uniform(-20, 20, 8), rng.uniform(1500, 4000, 8)))]
+        best = -math.inf
+        for n in range(1, 9):
+            for chosen in combinations(hits, n):
+                steps = [step(a, b) for a, b in zip(chosen, chosen[1:])]
+                if None not in steps:
+                    best = max(best, opening(chosen[0], ()) + sum(steps))
+        assert best_path(hits)[0] == pytest.approx(best)
