@@ -117,7 +117,7 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     tries = np.unique(np.concatenate((zp, zu)))
     below_p, below_u = np.searchsorted(zp, tries) / n_pos, np.searchsorted(zu, tries) / n_unl
     risk = prior * below_p + 2 * np.maximum(0, (1 - below_u) - prior * (1 - below_p))
-    best = int(np.argmin(risk))
+    best = int(np.flatnonzero(risk <= risk.min() + 1e-12)[-1])  # of equal risks, the one that rejects least
     threshold = (tries[best] + tries[best - 1]) / 2 if best else tries[0]
     return Model(dict(zip(keep.tolist(), w.tolist(), strict=True)), float(b - threshold) if len(keep) else -np.inf)
 
