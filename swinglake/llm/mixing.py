@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from swinglake.llm.common import WORD, table, written
 
 BUCKETS = 4096
+#: Tables with a row for each source go to all tasks where there are at most so many sources, and by shuffle beyond.
+BROADCAST_SOURCES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -100,9 +102,11 @@ def mix_plan(
     else:
         weighed = targets.select("key", F.col("source_size").cast("double").alias("mass"))
     targets = written(targets.join(weighed, "key"), "mix-targets")
+    few = targets.count() <= BROADCAST_SOURCES
+    small = F.broadcast if few else lambda df: df
     rate = F.when(F.col("mass") > 0, F.col("target") * F.col("weight") / F.col("mass")).otherwise(0.0)
     ranked = (
-        sizes.join(targets, "key")
+        sizes.join(small(targets), "key")
         .withColumn("rate", F.least(rate, F.lit(float(max_copies))))
         .withColumn("certain", F.floor("rate"))
         .withColumn("p", F.col("rate") - F.col("certain"))
@@ -114,7 +118,7 @@ def mix_plan(
     sums = ranked.where("v IS NOT NULL").groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     running = Window.partitionBy("key").orderBy("bucket")
     edges = written(
-        sums.join(quota, "key")
+        sums.join(small(quota), "key")
         .withColumn("upto", F.sum("words").over(running))
         .groupBy("key", "quota")
         .agg(
@@ -124,7 +128,7 @@ def mix_plan(
         ),
         "mix-edges",
     )
-    at_edge = ranked.join(edges, "key").where(F.col("bucket") == F.col("edge"))
+    at_edge = ranked.join(small(edges), "key").where(F.col("bucket") == F.col("edge"))
     ties = at_edge.groupBy("key", "v").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"), F.first("filled").alias("filled"))
     cut = (
         ties.withColumn("upto", F.col("filled") + F.sum("words").over(Window.partitionBy("key").orderBy("v")))
@@ -136,7 +140,7 @@ def mix_plan(
         "key", "quota", "full", F.coalesce("last_v", F.lit(-1.0)).alias("last_v"), (F.col("quota") - F.coalesce("words", "filled")).alias("gap")
     )
     inside = F.coalesce((F.col("bucket") <= F.col("full")) | (F.col("v") <= F.col("last_v")), F.lit(False))
-    drawn = ranked.join(cuts, "key", "left").withColumn("inside", inside)
+    drawn = ranked.join(small(cuts), "key", "left").withColumn("inside", inside)
     miss = F.abs(F.col("size") - F.col("gap"))
     closing = (
         drawn.where(~F.col("inside") & F.col("v").isNotNull() & (miss < F.col("gap")))
@@ -145,7 +149,7 @@ def mix_plan(
         .select("key", F.col("best.v").alias("best_v"), F.col("best.id").alias("best_id"))
     )
     closes = F.coalesce((F.col("v") == F.col("best_v")) & F.col("id").eqNullSafe(F.col("best_id")), F.lit(False))
-    return drawn.join(closing, "key", "left").select(
+    return drawn.join(small(closing), "key", "left").select(
         "id", "key", "size", "source_size", "target", (F.col("certain") + (F.col("inside") | closes).cast("long")).cast("long").alias("copies")
     )
 

@@ -21,6 +21,7 @@ repeat an id are packed each for itself; a null id stays null; texts of any leng
 
 from __future__ import annotations
 
+import os
 import re
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -47,45 +48,55 @@ class ChunkTokenizer:
     #: A Latin word with ASCII marks behind it: the tokenizer splits it there and lower-cases it letter by letter.
     SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, remember: int = 400_000):
+    #: The byte-level alphabet's letters for bytes above ASCII that are no printable Latin-1 letter, by its rule.
+    LETTERS = dict(zip([*range(0x80, 0xA1), 0xAD], range(290, 324), strict=True))
+
+    def __init__(self, path: str, words: int = 900_000, chunks: int = 400_000):
+        """At most about ``words`` pieces that the tokenizer has split, and ``chunks`` put together from them, are remembered."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.remember = remember
-        self.known: dict[str, bytes] = {}
+        self.limits = words, chunks
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {}
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
         parts: dict[str, tuple[str, str]] = {}
-        ask = set()
-        for c in chunks:
+        simple: set[str] = set()
+        ask: set[str] = set()
+        for c in new:
             m = self.SIMPLE.fullmatch(c)
             if m:
-                parts[c] = own = (m[1].lower(), m[2])
-                ask.update(own)
+                parts[c] = (m[1].lower(), m[2])
+                simple.add(m[1].lower())
+                ask.add(m[2])
             else:
+                parts[c] = (c, "")
                 ask.add(c)
-        ask -= self.known.keys()
-        ask.discard("")
-        self.known[""] = b""
-        asked = list(ask)
+        if len(self.words) > self.limits[0]:
+            self.words = {"": b""}
+        for w in simple - self.words.keys():  # one word of letters: what the whole tokenizer hands to its model
+            letters = w if w.isascii() else w.encode().decode("latin-1").translate(self.LETTERS)
+            self.words[w] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        asked = list(ask - self.words.keys())
         for i in range(0, len(asked), 20_000):
             some = asked[i : i + 20_000]
             for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+                self.words[c] = np.array(e.ids, "<u4").tobytes()
         for c, (a, b) in parts.items():
-            if c not in self.known:
-                self.known[c] = self.known[a] + self.known[b]
+            self.chunks[c] = self.words[a] + self.words[b]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         used: set[str] = set().union(*split) if split else set()
-        self._learn(used - self.known.keys())
-        get = self.known.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        if len(self.known) > self.remember:
-            self.known = {c: self.known[c] for c in used}
-        return out
+        if len(self.chunks) > self.limits[1]:
+            self.chunks = {c: self.chunks[c] for c in used if c in self.chunks}
+        self._learn(used - self.chunks.keys())
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, s)) for s in split]
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}

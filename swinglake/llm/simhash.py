@@ -209,18 +209,23 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema("a long, b long").parquet(path), path
 
+    def least_of(pairs: DataFrame) -> tuple[DataFrame, str]:
+        """(a, m): each node's least neighbour or itself, as a table, so that the join after it can split a hub's rows."""
+        least, path = keep(pairs.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("b")))
+        return least.withColumnRenamed("b", "m"), path
+
     edges, path = keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = state(edges)
     while before[0]:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(least, "a")
-        small = hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).distinct()
-        new, new_path = keep(small)
+        least, least_path = least_of(both)
+        large, large_path = keep(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        small, small_path = least_of(large)
+        hung = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new, new_path = keep(hung.union(small).distinct())
         after = state(new)
-        drop_path(spark, path)
+        for old in (path, least_path, large_path, small_path):
+            drop_path(spark, old)
         edges, path = new, new_path
         if after == before:
             break
@@ -232,9 +237,11 @@ def near_components(fps: DataFrame, id_col: str, radius: int = 4) -> DataFrame:
     """(fp, component_id) for every fingerprint of ``fps`` (id_col, fp)."""
     distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("first")), "simhash-distinct")
     labels = written(components(fingerprint_links(distinct.select("fp"), radius)), "simhash-labels")
-    linked = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-    least = linked.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("least"))
-    return linked.join(least, "label", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    named = labels.withColumnRenamed("node", "fp")
+    linked = distinct.join(named, "fp")
+    least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
+    alone = distinct.join(named, "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
+    return linked.join(least, "label").select("fp", "component_id").unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
