@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -42,6 +43,26 @@ STRIDE = 16
 BLOCK = 1 << 18
 
 
+class Memory(dict):
+    """What ``ask`` gives for a key, kept: at most twice ``most`` entries, of which the older half may go."""
+
+    def __init__(self, ask: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.ask, self.most, self.old = ask, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.ask(key)
+        self[key] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class ChunkTokenizer:
     """Ids of texts as little-endian bytes, with a bounded memory of chunks."""
 
@@ -51,52 +72,38 @@ class ChunkTokenizer:
     #: The byte-level alphabet's letters for bytes above ASCII that are no printable Latin-1 letter, by its rule.
     LETTERS = dict(zip([*range(0x80, 0xA1), 0xAD], range(290, 324), strict=True))
 
-    def __init__(self, path: str, words: int = 900_000, chunks: int = 400_000):
-        """At most about ``words`` pieces that the tokenizer has split, and ``chunks`` put together from them, are remembered."""
+    def __init__(self, path: str, words: int = 400_000, chunks: int = 500_000):
+        """At most about twice so many words and chunks are remembered."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limits = words, chunks
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {"": b""}
-        self.chunks: dict[str, bytes] = {}
-
-    def _learn(self, new: set[str]) -> None:
-        parts: dict[str, tuple[str, str]] = {}
-        simple: set[str] = set()
-        ask: set[str] = set()
-        for c in new:
-            m = self.SIMPLE.fullmatch(c)
-            if m:
-                parts[c] = (m[1].lower(), m[2])
-                simple.add(m[1].lower())
-                ask.add(m[2])
-            else:
-                parts[c] = (c, "")
-                ask.add(c)
-        if len(self.words) > self.limits[0]:
-            self.words = {"": b""}
-        for w in simple - self.words.keys():  # one word of letters: what the whole tokenizer hands to its model
-            letters = w if w.isascii() else w.encode().decode("latin-1").translate(self.LETTERS)
-            self.words[w] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-        asked = list(ask - self.words.keys())
-        for i in range(0, len(asked), 20_000):
-            some = asked[i : i + 20_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.words[c] = np.array(e.ids, "<u4").tobytes()
-        for c, (a, b) in parts.items():
-            self.chunks[c] = self.words[a] + self.words[b]
+        self.words, self.marks, self.chunks = Memory(self._word, words), Memory(self._whole, words), Memory(self._chunk, chunks)
+
+    def _word(self, word: str) -> bytes:
+        """One word of lower-case letters: what the whole tokenizer hands to its model."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.LETTERS)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        m = self.SIMPLE.fullmatch(chunk)
+        if m is None:
+            return self._whole(chunk)
+        word, marks = m.groups()
+        return self.words[word.lower()] + self.marks[marks] if marks else self.words[word.lower()]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        used: set[str] = set().union(*split) if split else set()
-        if len(self.chunks) > self.limits[1]:
-            self.chunks = {c: self.chunks[c] for c in used if c in self.chunks}
-        self._learn(used - self.chunks.keys())
+        for memory in (self.words, self.marks, self.chunks):
+            memory.trim()
         get = self.chunks.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        return [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
@@ -142,17 +149,17 @@ def best_cuts(pos: np.ndarray, cost: np.ndarray, window: int, rest_cost: Callabl
 
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, cut_sentence: float = CUT_SENTENCE, cut_inside: float = CUT_INSIDE) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which windows may be cut, and their penalties."""
-    sentence = np.flatnonzero(ends_sentence[ids]) + 1
-    known = np.union1d(doc_ends, sentence)
-    gaps = np.diff(np.concatenate(([0], known)))
+    kind = np.zeros(len(ids) + 1, np.int8)  # of each position: 1 sentence end, 2 document end, 3 inside
+    kind[1:][ends_sentence[ids]] = 1
+    kind[doc_ends] = 2
+    known = np.flatnonzero(kind)
+    gaps = np.diff(known, prepend=0)
     wide = gaps > STRIDE
     n = (gaps[wide] - 1) // STRIDE
     first = (known - gaps)[wide]
-    inside = np.repeat(first, n) + STRIDE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1)
-    pos = np.union1d(known, inside)
-    cost = np.full(len(pos), cut_inside)
-    cost[np.searchsorted(pos, sentence)] = cut_sentence
-    cost[np.searchsorted(pos, doc_ends)] = 0.0
+    kind[np.repeat(first, n) + STRIDE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1)] = 3
+    pos = np.flatnonzero(kind)
+    cost = np.array([0.0, cut_sentence, 0.0, cut_inside])[kind[pos]]
     return pos, cost
 
 
