@@ -72,7 +72,7 @@ class ChunkTokenizer:
     #: The byte-level alphabet's letters for bytes above ASCII that are no printable Latin-1 letter, by its rule.
     LETTERS = dict(zip([*range(0x80, 0xA1), 0xAD], range(290, 324), strict=True))
 
-    def __init__(self, path: str, words: int = 400_000, chunks: int = 500_000):
+    def __init__(self, path: str, words: int = 200_000, chunks: int = 250_000):
         """At most about twice so many words and chunks are remembered."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
