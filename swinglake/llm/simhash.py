@@ -27,27 +27,40 @@ from pyspark.sql import functions as F
 from swinglake.llm.common import drop_path, shared_path, table, written
 
 BITS = 64
+#: Bands of least hashes in :func:`drop_similar`, and orders of the shingles a band: two texts of Jaccard similarity s
+#: share a band with probability 1 - (1 - s^5)^16, 0.998 at 0.8.
+BANDS, ROWS = 16, 5
+ORDERS = np.random.default_rng(2024).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """The unsigned 64-bit fingerprint of a text."""
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """The XXH64 values of a text's shingles, in their order and with repeats."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(tokens) - words + 1)
     lasts = ends[words - 1 :] if len(tokens) >= words else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), lasts.tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), lasts.tolist(), strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 15):  # little-endian bytes with little bit order: bit i of the value is column i
+    for at in range(0, len(hashes), 1 << 15):  # little-endian bytes with little bit order: bit i of the value is column i
         part = np.unpackbits(hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += part.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """The unsigned 64-bit fingerprint of a text."""
+    return majority(shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, columns: list[str], text_col: str = "text", words: int = 4) -> DataFrame:
@@ -181,6 +194,11 @@ def _walk(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
 def fingerprint_links(distinct: DataFrame, radius: int = 4, tree_nodes: int = 1024) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp): enough to join all that reach each other in steps of at most the radius."""
     shards = distinct.select("fp", F.explode(shard_keys(F.col("fp"), radius)).alias("s")).select("fp", "s.pair", "s.key")
+    return shard_links(shards, radius, tree_nodes)
+
+
+def shard_links(shards: DataFrame, radius: int, tree_nodes: int = 1024) -> DataFrame:
+    """Links (a, b) within the radius inside the shards (fp, pair, key), each fingerprint once in a shard."""
     sizes = shards.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     mates = shards.join(sizes, ["pair", "key"]).withColumn("tiles", F.ceil(F.col("n") / tree_nodes))
     own = F.pmod(F.xxhash64("fp"), F.col("tiles"))
@@ -266,6 +284,153 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return keyed.join(stay, same, "left_semi").dropDuplicates(["__row", id_col]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit value for each band: a hash of the least values of its ``ROWS`` orders of the shingles."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        np.minimum(low, (hashes[at : at + 2048, None] * ORDERS[None, :]).min(axis=0), out=low)
+    return (low.reshape(BANDS, ROWS) * ORDERS[:ROWS]).sum(axis=1, dtype=np.uint64)
+
+
+def signatures(docs: DataFrame, columns: list[str], text_col: str, words: int) -> DataFrame:
+    """``columns`` of every row with ``fp`` (of the set, repeats left out), ``set`` (MD5 of its set of shingles), ``n`` (their number) and ``bands``."""
+    import hashlib
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, sets, sizes, bands = [], [], [], []
+            for x in b.column(b.schema.get_field_index("__text")):
+                hashes = np.unique(shingle_hashes(x.as_py(), words))
+                fps.append(majority(hashes))
+                sets.append(hashlib.md5(hashes.tobytes()).digest())
+                sizes.append(len(hashes))
+                bands.append(min_hashes(hashes).view(np.int64))
+            offsets = pa.array(np.arange(0, BANDS * (len(fps) + 1), BANDS), pa.int32())
+            found = [
+                pa.array(np.array(fps, np.uint64).view(np.int64)),
+                pa.array(sets, pa.binary()),
+                pa.array(sizes, pa.int64()),
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))),
+            ]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), *found], [*columns, "fp", "set", "n", "bands"])
+
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).alias("__text"))
+    found = {"fp": "long", "set": "binary", "n": "long", "bands": "array<long>"}
+    schema = rows.select(*[F.col(f"`{c}`") for c in columns], *[F.lit(None).cast(t).alias(c) for c, t in found.items()]).schema
+    return rows.mapInArrow(run, schema)
+
+
+def similar_links(sets: list[np.ndarray], similarity: tuple[int, int]) -> tuple[list[int], list[int]]:
+    """A spanning forest (place, place) of the sets whose Jaccard similarity is at least the fraction; repeated values are not allowed in a set."""
+    m = len(sets)
+    part, whole = similarity
+    sizes = np.fromiter(map(len, sets), np.int64, m)
+    owner = np.repeat(np.arange(m), sizes)
+    values, name = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    owners = owner[np.argsort(name, kind="stable")]
+    often = np.bincount(name, minlength=len(values))
+    begins = np.cumsum(often) - often
+    first = np.cumsum(sizes) - sizes
+    left = np.ones(m, bool)
+    a, b = [], []
+    for seed in range(m):
+        if not left[seed]:
+            continue
+        left[seed] = False
+        queue = [seed]
+        while queue and left.any():
+            u = queue.pop()
+            mine = name[first[u] : first[u] + sizes[u]]
+            mine = mine[often[mine] > 1]
+            count = often[mine]
+            at = np.repeat(begins[mine] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            common = np.bincount(owners[at], minlength=m)
+            new = np.flatnonzero(left & (whole * common >= part * (sizes + sizes[u] - common))).tolist()
+            left[new] = False
+            queue.extend(new)
+            a.extend([u] * len(new))
+            b.extend(new)
+    return a, b
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], similarity: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Tiles one after another (tile, node, hashes): links between nodes of a tile."""
+    held, nodes, sets = None, [], []
+
+    def links() -> pa.RecordBatch:
+        a, b = similar_links(sets, similarity)
+        names = np.array(nodes, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"]) if a else empty
+
+    empty = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+    for batch in batches:
+        for tile, node, hashes in zip(*(batch.column(i) for i in range(3)), strict=True):
+            if tile.as_py() != held:
+                yield links()
+                held, nodes, sets = tile.as_py(), [], []
+            nodes.append(node.as_py())
+            sets.append(np.frombuffer(hashes.as_py(), np.uint64))
+    yield links()
+
+
+def drop_similar(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    similarity: tuple[int, int] = (4, 5),
+    radius: int = 20,
+    tile_texts: int = 1024,
+    tile_shingles: int = 1 << 20,
+) -> DataFrame:
+    """One row stays of each component of texts linked by Jaccard similarity of their sets of shingles, that with the smallest id.
+
+    Shards are bands of least hashes, each with its BK-trees of fingerprints; what they join is only proposed. All texts of
+    a proposed group then meet in tasks of two tiles each, a tile of bounded texts and shingles, and a link is one whose
+    similarity, computed on the sets themselves (of 64-bit values), reaches the fraction. Texts without words are one set.
+    """
+    row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], row.alias("__row"))
+    found = signatures(keyed.select(F.col(id_col).alias("__id"), "__row", F.col(text_col).alias("__t")), ["__id", "__row"], "__t", words)
+    order = F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("__row").alias("r"))
+    grouped = written(found, "similar-rows").groupBy("set").agg(
+        F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")
+    )
+    distinct = written(grouped.drop("set").withColumn("node", F.monotonically_increasing_id()), "similar-distinct")
+    shards = distinct.select("fp", F.posexplode("bands").alias("pair", "key")).distinct()
+    proposed = written(components(shard_links(shards, radius), "similar-proposed"), "similar-groups").distinct()
+    members = distinct.drop("bands").join(proposed.withColumnRenamed("node", "fp"), "fp", "left").withColumn("g", F.coalesce("label", "fp"))
+    members = written(members.select("g", "node", "first", "n"), "similar-members")
+    tiles = F.greatest(F.ceil(F.count(F.lit(1)) / tile_texts), F.ceil(F.sum("n") / tile_shingles)).cast("int")
+    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("all"), tiles.alias("tiles")).where("all > 1").drop("all")
+    asked = members.join(sizes, "g").select("g", "node", "tiles", F.col("first.i").alias("__of"), F.col("first.r").alias("__as"))
+    same = (F.col("__row") == F.col("__as")) & F.col(id_col).eqNullSafe(F.col("__of"))
+    texts = keyed.join(asked, same).select("g", "node", "tiles", F.col(text_col).alias("__text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), words)).tobytes() for x in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sets, pa.binary())], ["g", "node", "tiles", "hashes"])
+
+    own = F.pmod(F.xxhash64("node"), F.col("tiles"))
+    meets = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    placed = texts.mapInArrow(hashed, "g long, node long, tiles int, hashes binary").select("g", "node", "hashes", own.alias("own"), "tiles", meets)
+    # a tile alone is a pair only where there is no other
+    placed = placed.where("own <> other OR tiles = 1")
+    tile = F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other"))
+    links = (
+        placed.select(tile.alias("tile"), "node", "hashes")
+        .repartition("tile")
+        .sortWithinPartitions("tile")
+        .mapInArrow(lambda batches: _confirm(batches, similarity), "a long, b long")
+    )
+    labels = written(components(links, "similar-links"), "similar-labels")
+    stay = members.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("g")).agg(F.min("first").alias("first"))
+    stay = stay.select(F.col("first.i").alias("__of"), F.col("first.r").alias("__as"))
+    # rows alike in every column have one key: one of them is enough
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["__row", id_col]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

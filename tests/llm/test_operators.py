@@ -139,6 +139,49 @@ def test_tiles_lose_no_link(spark):
     assert groups({v: label.get(signed[v], signed[v]) for v in values}) == groups(expected)
 
 
+def test_similar_texts_against_brute_force(spark):
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(500)]
+    rows, n = [(None, "x y", 0), (0, None, 1), (1, "", 2), (2, " ", 3)], 10
+    for k in range(80):
+        words = [rng.choice(vocab) for _ in range(rng.randint(3, 200))]
+        for _ in range(rng.randint(1, 5)):  # edits by one place or a few: similarities on both sides of 0.8, chains too
+            rows.append((n, rng.choice([" ", "  "]).join(words).replace("w", rng.choice("wW")), k))
+            n += 1
+            for _ in range(rng.randint(0, max(1, len(words) // 60))):
+                words[rng.randrange(len(words))] = rng.choice(vocab)
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for _, t, _ in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+                links += 1
+    groups = defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[find(i)].append((r[0] is None, r[0] or 0))
+    expected = sorted(min(g) for g in groups.values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string, further long").repartition(3)
+    for tile in (1024, 2):  # tiles of two texts lose no link
+        got = simhash.drop_similar(docs, tile_texts=tile).collect()
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == expected
+    assert links > 40 and len(simhash.drop_near_duplicates(docs).collect()) != len(expected)
+    assert simhash.drop_similar(docs.limit(0)).collect() == []
+
+
 def test_repeated_rows_of_one_component(spark):
     d = spark.createDataFrame([(4, "same text here now", "x", "s", 1)] * 3 + [(2, "same text here now", "x", "s", 1)], SCHEMA)
     assert [r["doc_id"] for r in simhash.drop_near_duplicates(d).collect()] == [2]
