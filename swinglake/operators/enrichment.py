@@ -93,9 +93,12 @@ SELECT shot_number, round(f, 6) AS factor, round(ball_speed / f, 3) AS corrected
 
 
 def launch_grid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The launch angle, of a grid of 0.5 degrees up to 45, whose bearing is nearest to a measured one; null beyond 1 degree."""
-    s = lens(spark, sf_dir, "shots").where("launch_v IS NOT NULL AND shot_number % 10 <> 9")
-    grid = F.transform(F.sequence(F.lit(0), F.lit(90)), lambda i: i.cast("double") * 0.5)
+    """The launch angle, of a grid of 0.1 degrees up to 45, whose bearing is nearest to a measured one; null beyond 1 degree.
+
+    Of angles equally near to nine decimals the smallest is taken.
+    """
+    s = lens(spark, sf_dir, "shots").where("launch_v IS NOT NULL")
+    grid = F.transform(F.sequence(F.lit(0), F.lit(450)), lambda i: i.cast("double") / 10.0)
     t = F.lit(0.02) + F.col("num_frames") / 1000.0
     off = lambda a: F.abs(F.col("launch_v") * 0.7 + 2.0 - flight.bearing(a, t, F.col("ball_speed"), F.col("distance_ft"), 0.5, 0.0))
     best = F.array_min(F.transform(grid, lambda a: F.struct(F.round(off(a), 9).alias("off"), a.alias("alpha"))))

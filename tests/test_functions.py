@@ -155,3 +155,27 @@ def test_best_path_is_the_best_of_all():
                 if None not in steps:
                     best = max(best, opening(chosen[0], ()) + sum(steps))
         assert best_path(hits)[0] == pytest.approx(best)
+
+
+def test_grid_fit_takes_every_shot(spark, sf):
+    """Against direct computation on the reference's grid: all shots, 451 angles."""
+    from swinglake.functions.lens import lens
+    from swinglake.operators.enrichment import launch_grid_fit
+
+    shots = lens(spark, sf, "shots").where("launch_v IS NOT NULL").collect()
+    got = {r["shot_number"]: r for r in launch_grid_fit(spark, sf).collect()}
+    assert sorted(got) == sorted(r["shot_number"] for r in shots)
+    assert any(n % 10 == 9 for n in got)
+    alpha = np.arange(451) / 10
+    for r in shots:
+        run = r["ball_speed"] * 1.4666667 * (0.02 + r["num_frames"] / 1000)
+        seen = np.degrees(np.arctan2(0.5 + run * np.sin(np.radians(alpha)), r["distance_ft"] + run * np.cos(np.radians(alpha))))
+        off = np.abs(r["launch_v"] * 0.7 + 2.0 - seen)
+        found = got[r["shot_number"]]
+        assert found["residual"] == pytest.approx(off.min(), abs=1.1e-5)
+        if abs(off.min() - 1.0) > 1e-6:
+            assert (found["alpha"] is None) == (off.min() > 1.0)
+        if found["alpha"] is not None:
+            assert off[round(found["alpha"] * 10)] == pytest.approx(off.min(), abs=1e-8)
+            near = np.flatnonzero(off <= off.min() + 1e-10)
+            assert found["alpha"] <= alpha[near[0]] + 1e-9
