@@ -151,30 +151,73 @@ def write_shards(docs: DataFrame, shard: str, path: str) -> None:
     docs.withColumn("shard", F.expr(shard).cast("int")).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
-def rewrite_affected(spark: SparkSession, path: str, placed: DataFrame, id_col: str = "doc_id") -> list[int]:
+def _numbered(rows: DataFrame, id_col: str, shard: str) -> DataFrame:
+    """``rows`` (id, size, text_crc32, shard) with ``nth``: rows alike in all of these are numbered, so that each has a key."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(shard, id_col, "size", "text_crc32").orderBy(F.lit(0))))
+
+
+def _measured(rows: DataFrame, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return rows.withColumns({"size": F.octet_length(text).cast("long") + OVERHEAD, "text_crc32": F.crc32(text.cast("binary"))})
+
+
+def rewrite_affected(spark: SparkSession, path: str, placed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """Bring the table at ``path`` from its old to its new shards, and return the shards whose files were rewritten.
 
-    ``placed``: id (unique), old_shard, shard. Only shards that give or take a document are read and written: through
-    a staged copy in the shared folder, since a folder can't be read while it is overwritten.
+    ``placed``: what :func:`reshard` returned. Only shards that give or take a document are read and written: into a
+    staged table in the shared folder, whose folders then take the place of the old ones. Repeated rows move once each.
     """
     changed = placed.where("old_shard <> shard").select("old_shard", "shard").distinct().collect()  # at most a row for each pair
     affected = sorted({x for r in changed for x in r})
     if not affected:
         return []
+    names = {"__id": F.col(id_col), "__from": F.col("old_shard"), "__size": F.col("size"), "__crc": F.col("text_crc32"), "__nth": F.col("nth"), "__to": F.col("shard")}
+    to = _numbered(placed.where(F.col("old_shard").isin(affected)), id_col, "old_shard").select(*[c.alias(n) for n, c in names.items()])
     whole = spark.read.parquet(path)
-    to = placed.select(F.col(id_col).alias("__id"), F.col("shard").alias("__to"), F.col("old_shard").alias("__from"))
-    moved = whole.where(F.col("shard").isin(affected)).join(to, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("shard") == F.col("__from")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = whole.where(F.col("shard").isin(affected)).withColumns(
+        {"__s": F.octet_length(text).cast("long") + OVERHEAD, "__c": F.crc32(text.cast("binary"))}
+    )
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("shard", id_col, "__s", "__c").orderBy(F.lit(0))))
+    same = (F.col("shard") == F.col("__from")) & F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__size"))
+    moved = rows.join(to, same & (F.col("__c") == F.col("__crc")) & (F.col("__n") == F.col("__nth")))
     staged = shared_path(spark, "reshard-staged")
-    moved.withColumn("shard", F.col("__to")).drop("__id", "__to", "__from").write.parquet(staged)
-    emptied = {r["old_shard"] for r in changed} - {r["shard"] for r in placed.select("shard").distinct().collect()}
-    spark.read.parquet(staged).repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    for shard in emptied:
+    moved.withColumn("shard", F.col("__to")).select(*whole.columns).repartition("shard").write.partitionBy("shard").parquet(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for shard in affected:
         drop_path(spark, f"{path}/shard={shard}")
+        new = hadoop(f"{staged}/shard={shard}")
+        if files.exists(new) and not files.rename(new, hadoop(f"{path}/shard={shard}")):
+            raise OSError(f"shard {shard} could not be put in place; its rows are in {staged}")
     drop_path(spark, staged)
     return affected
 
 
+def resharded(
+    docs: DataFrame, old_shard: str, shards: int, old_shards: int, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Lay ``docs`` out in their old shards, rewrite the affected ones, and return the rows of :func:`reshard` as they then lie there.
+
+    Size, text_crc32 and shard are those of the written table, the slot is that of the plan.
+    """
+    spark = docs.sparkSession
+    path = shared_path(spark, "reshard-table")
+    write_shards(docs, old_shard, path)
+    if spark.read.parquet(path).isEmpty():
+        return reshard(docs, old_shard, shards, old_shards, id_col, text_col)
+    placed = written(reshard(spark.read.parquet(path), "shard", shards, old_shards, id_col, text_col), "reshard-plan")
+    rewrite_affected(spark, path, placed, id_col, text_col)
+    lying = _measured(spark.read.parquet(path), text_col).select(F.col(id_col), "size", "text_crc32", "shard")
+    lying = _numbered(lying, id_col, "shard")
+    plan = _numbered(placed, id_col, "shard").withColumnsRenamed({id_col: "__id", "size": "__size", "text_crc32": "__crc", "shard": "__shard", "nth": "__nth"})
+    same = (F.col("shard") == F.col("__shard")) & F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("size") == F.col("__size"))
+    return lying.join(plan, same & (F.col("text_crc32") == F.col("__crc")) & (F.col("nth") == F.col("__nth"))).select(
+        id_col, "size", "text_crc32", "old_shard", "shard", "slot"
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str, old_shards: int = 32, shards: int = 40) -> DataFrame:
     """The table lies in 32 shards by a hash of the id and goes to 40 of near equal bytes."""
-    placed = reshard(table(spark, sf_dir, "documents"), f"pmod(xxhash64(doc_id), {old_shards})", shards, old_shards)
+    placed = resharded(table(spark, sf_dir, "documents"), f"pmod(xxhash64(doc_id), {old_shards})", shards, old_shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

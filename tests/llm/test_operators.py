@@ -557,6 +557,24 @@ def test_sharding(spark, data, docs, tmp_path):
 # queries and pipeline
 
 
+def test_repeated_rows_move_once(spark, data):
+    twice = data + data[:40] + data[:10] + [(None, "x", None, None, None)] * 3
+    docs = spark.createDataFrame(twice, SCHEMA).repartition(3)
+    path = sharding.shared_path(spark, "test-layout")
+    sharding.write_shards(docs, "pmod(xxhash64(doc_id), 4)", path)
+    placed = sharding.written(sharding.reshard(spark.read.parquet(path), "shard", 5, 4), "test-plan")
+    assert sharding.rewrite_affected(spark, path, placed)
+    rows = [tuple(r) for r in spark.read.parquet(path).select("doc_id", "text", "shard").collect()]
+    assert Counter(r[:2] for r in rows) == Counter(r[:2] for r in twice)
+    assert Counter((r["doc_id"], r["shard"]) for r in placed.collect()) == Counter((r[0], r[2]) for r in rows)
+    got = sharding.resharded(docs, "pmod(xxhash64(doc_id), 4)", 5, 4).collect()
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in got) == Counter((r[0], zlib.crc32((r[1] or "").encode())) for r in twice)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, sf, name):
     c = duckdb.connect()
