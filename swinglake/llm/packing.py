@@ -13,7 +13,7 @@ What is left at a task's end is split into lengths that are powers of two, which
 A task's stream is its input partition: nothing is shuffled, and a task that runs again packs the same rows again.
 
 Tokenising goes by chunks between spaces and newlines, which the tokenizer's own split never crosses; each task process
-remembers the ids of chunks it has met, up to a bound.
+remembers the ids of chunks it has met, up to a bound. The strings of added tokens in a text are those tokens.
 
 Defined results: a null text counts as empty and is the end id alone; an empty table gives an empty result; rows that
 repeat an id are packed each for itself; a null id stays null; texts of any length are cut; further columns are not read.
@@ -22,10 +22,8 @@ repeat an id are packed each for itself; a null id stays null; texts of any leng
 from __future__ import annotations
 
 import os
-import re
-import struct
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,67 +41,60 @@ STRIDE = 16
 BLOCK = 1 << 18
 
 
-class Memory(dict):
-    """What ``ask`` gives for a key, kept: at most twice ``most`` entries, of which the older half may go."""
+class Memory:
+    """Values by key, at most about twice ``most`` of them, of which the older half may go."""
 
-    def __init__(self, ask: Callable[[str], bytes], most: int):
-        super().__init__()
-        self.ask, self.most, self.old = ask, most, {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.old.get(key)
-        if found is None:
-            found = self.ask(key)
-        self[key] = found
-        return found
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
 
     def trim(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """Those of the keys that have no value; the others are counted as new."""
+        new, old = self.new, self.old
+        fresh = [k for k in keys if k not in new]
+        new.update((k, old[k]) for k in fresh if k in old)
+        return [k for k in fresh if k not in new]
 
 
 class ChunkTokenizer:
-    """Ids of texts as little-endian bytes, with a bounded memory of chunks."""
+    """Ids of texts as little-endian bytes: those of ``encode(text, add_special_tokens=False)``, with a bounded memory of chunks.
 
-    #: A Latin word with ASCII marks behind it: the tokenizer splits it there and lower-cases it letter by letter.
-    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    A chunk stands between spaces or newlines, which neither a token nor an added token crosses. Letters and the marks
+    behind them are tokens apart, so a chunk of both is put together from two.
+    """
 
-    #: The byte-level alphabet's letters for bytes above ASCII that are no printable Latin-1 letter, by its rule.
-    LETTERS = dict(zip([*range(0x80, 0xA1), 0xAD], range(290, 324), strict=True))
+    MARKS = ".,;:!?"
 
-    def __init__(self, path: str, words: int = 200_000, chunks: int = 250_000):
-        """At most about twice so many words and chunks are remembered."""
+    def __init__(self, path: str, parts: int = 200_000, chunks: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.words, self.marks, self.chunks = Memory(self._word, words), Memory(self._whole, words), Memory(self._chunk, chunks)
-
-    def _word(self, word: str) -> bytes:
-        """One word of lower-case letters: what the whole tokenizer hands to its model."""
-        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.LETTERS)
-        ids = [t.id for t in self.model.tokenize(letters)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _chunk(self, chunk: str) -> bytes:
-        m = self.SIMPLE.fullmatch(chunk)
-        if m is None:
-            return self._whole(chunk)
-        word, marks = m.groups()
-        return self.words[word.lower()] + self.marks[marks] if marks else self.words[word.lower()]
+        self.parts, self.chunks = Memory(parts), Memory(chunks)
+
+    def _learn(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 2000):
+            some = parts[at : at + 2000]
+            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            data = np.array(found.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some)), "right")).tolist()
+            self.parts.new.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        for memory in (self.words, self.marks, self.chunks):
-            memory.trim()
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) for t in texts]
+        self.parts.trim()
+        self.chunks.trim()
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        chunks = self.chunks.missing(set().union(*split))
+        letters = [c.rstrip(self.MARKS) for c in chunks]
+        heads = [x if x.isalpha() else c for c, x in zip(chunks, letters, strict=True)]
+        tails = [c[len(x) :] for c, x in zip(chunks, heads, strict=True)]
+        self._learn(self.parts.missing({*heads, *tails}))
+        part = self.parts.new
+        self.chunks.new.update((c, part[a] + part[b]) for c, a, b in zip(chunks, heads, tails, strict=True))
+        return [b"".join(map(self.chunks.new.__getitem__, x)) for x in split]
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}

@@ -15,6 +15,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from swinglake.llm import chat, exact, langid, lm, mixing, packing, quality, registry, sharding, simhash, toxicity
 
@@ -245,18 +246,27 @@ def test_unequal_probabilities(spark):
 # packing
 
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
-    return packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    """A fresh one, with nothing set on it."""
+    return Tokenizer.from_file(TOKENIZER)
 
 
 def test_token_ids(tokenizer):
-    texts = ["It's O'Neill's, l'été Σίσυφος ΣΑΣ naïve x²y ½ <|endoftext|> a<|startoftext|>", "A B\tC\x1fD\x85E é ÀÉÎ ßÿ don't!!! İ", "!?!? (x)[y]{z}~`^ 12 a1b", None, "", "\n\n  "]
+    texts = ["It's O'Neill's, l'été Σίσυφος ΣΑΣ. naïve x²y ½ <|endoftext|> a<|startoftext|>", "A B\tC\x1fD\x85E é ÀÉÎ ßÿ don't!!! İ", "!?!? (x)[y]{z}~`^ 12 a1b", None, "", "\n\n  "]
+    texts += ["hello <|endoftext|> world", "a<|endoftext|><|startoftext|>b, <|ENDOFTEXT|> <|endoftext|>. <|end oftext|>"]
     rng = random.Random(3)
-    texts += ["".join(rng.choice("aZ é.ßÀ'1\n\t,!ÿ\xad\xa0Ǆ日") for _ in range(60)) for _ in range(300)]
-    got = tokenizer(texts)
-    for t, g in zip(texts, got, strict=True):
-        assert np.frombuffer(g, "<u4").tolist() == tokenizer.tokenizer.encode(t or "", add_special_tokens=False).ids
+    bits = list("aZ é.ßÀ'1\n\t,!ÿ\xad\xa0Ǆ日;?Σ\u0301<|>") + ["<|endoftext|>", "<|startoftext|>", "endoftext", "<|", "|>"]
+    texts += ["".join(rng.choice(bits) for _ in range(60)) for _ in range(500)]
+    chunked = packing.ChunkTokenizer(TOKENIZER, parts=50, chunks=60)
+    for at in range(0, len(texts), 20):  # with a memory that forgets
+        part = texts[at : at + 20]
+        for t, g in zip(part, chunked(part), strict=True):
+            assert np.frombuffer(g, "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
+    assert len(tokenizer.encode("hello <|endoftext|> world", add_special_tokens=False).ids) == 3
 
 
 def test_cuts_are_the_best():
@@ -281,8 +291,11 @@ def test_cuts_are_the_best():
 
 
 def test_packing(spark, data, docs, tokenizer):
+    special = [(400, "x <|endoftext|> y<|startoftext|>", None, None, None), (401, "<|endoftext|>" * 300, None, None, None)]
+    rows = data + special
+    docs = docs.unionByName(spark.createDataFrame(special, SCHEMA))
     got = packing.pack(clashing(docs), public_tokenizers.path("word_bpe_49k.json"), window=256).collect()
-    text = {r[0]: r[1] for r in data}
+    text = {r[0]: r[1] for r in rows}
     ids, sequences = defaultdict(list), defaultdict(list)
     for r in got:
         ids[r["doc_id"]].append(r)
@@ -291,7 +304,7 @@ def test_packing(spark, data, docs, tokenizer):
     assert set(ids) == set(text)
     for i, pieces in ids.items():
         pieces.sort(key=lambda r: r["start"])
-        whole = tokenizer.tokenizer.encode(text[i] or "", add_special_tokens=False).ids + [2]
+        whole = tokenizer.encode(text[i] or "", add_special_tokens=False).ids + [2]
         assert np.frombuffer(b"".join(p["ids"] for p in pieces), "<u4").tolist() == whole
         assert all(p["doc_tokens"] == len(whole) for p in pieces)
         assert [p["start"] for p in pieces] == np.cumsum([0, *[p["length"] for p in pieces]])[:-1].tolist()
