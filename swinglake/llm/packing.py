@@ -78,9 +78,11 @@ class ChunkTokenizer:
     def _learn(self, parts: list[str]) -> None:
         for at in range(0, len(parts), 2000):
             some = parts[at : at + 2000]
-            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             data = np.array(found.ids, "<u4").tobytes()
-            ends = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some)), "right")).tolist()
+            starts = np.fromiter((x[0] for x in found.offsets), np.int64, len(found.ids))
+            ends = np.cumsum([len(p) + 1 for p in some])  # of the parts, a space behind each
+            ends = (4 * np.searchsorted(starts, ends)).tolist()
             self.parts.new.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
