@@ -2,32 +2,41 @@
 
 The shards are nodes: an old shard holds bytes to give away, a new one has a capacity to fill, and a byte that stays
 costs nothing while one that moves costs 1 (or what ``cost`` says). Successive shortest paths solve that graph, whose
-size is that of the shard counts alone. The flow from an old to a new shard is then a block of the old shard's
-documents: they are laid end to end, the largest first, what stays before what moves, so that a block ends among small
-documents and sizes come out near equal. Running totals go by (size class, hash block) and inside a block, never through
-a whole shard in one task. :func:`rewrite_affected` rewrites the files of shards that give or take and leaves the others.
+size is that of the shard counts alone. The flow from an old to a new shard is then a block of the old shard's files,
+laid end to end, what stays before what moves. A file inside one block stays untouched or moves whole; a file that
+lies on the edge of blocks is cut: its documents, the largest first, each go to the block that still lacks most, so
+that blocks come out near equal. Only files that move or are cut are read and written.
+
+A table (:func:`lay_out`) is a folder of Parquet files with numbered manifests, of which the highest counts: one line a
+file with its shard, rows and bytes. :func:`reshard` writes new files beside the old ones, then the next manifest by one
+rename, then deletes files that it doesn't list. A run that stops anywhere leaves the old or the new table whole, and
+running it again brings it to its end: a table that already has its shards is only tidied. A document's slot is the
+number of rows of its shard's files before its own, and its place in the file.
 
 Law: ``bytes``. Equal texts are separate documents here, and may come into different shards.
 
-Defined results: a null text has 0 bytes and still its fixed overhead; null ids are hashed as such; rows that repeat an
-id and a text are placed each for itself (which of them gets which slot is arbitrary, as they are alike); a document
-larger than a capacity goes whole to the block in which its middle lies; an empty table gives an empty result; further
-columns are not read.
+Defined results: a null text has 0 bytes and still its fixed overhead; null ids, and rows that repeat an id or are alike
+throughout, are rows like any others, as a row is known by its file and place; a document larger than a capacity goes
+whole; an empty table gives an empty result; further columns are carried, whatever their names but ``__shard``.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections import defaultdict
 from collections.abc import Sequence
+from dataclasses import asdict, dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from swinglake.llm.common import drop_path, shared_path, table, written
+from swinglake.llm.common import shared_path, table
 
 OVERHEAD = 16
-#: Rows of a hash block, at the most on average; blocks are ordered inside tasks.
-BLOCK_ROWS = 50_000
 
 
 def min_cost_flow(supply: Sequence[int], demand: Sequence[int], cost: np.ndarray) -> np.ndarray:
@@ -93,131 +102,211 @@ def even_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def reshard(
-    docs: DataFrame, old_shard: str, shards: int, old_shards: int, id_col: str = "doc_id", text_col: str = "text", cost: np.ndarray | None = None
-) -> DataFrame:
-    """One row per document: id, size, text_crc32, old_shard, shard, slot. ``old_shard``: SQL for its present shard, from 0."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    size = F.octet_length(text).cast("long") + OVERHEAD
-    rows = written(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.expr(old_shard).cast("int").alias("old"),
-            size.alias("size"),
-            F.crc32(text.cast("binary")).alias("crc"),
-            (-F.floor(F.log2(size.cast("double")))).cast("int").alias("cls"),
-            F.xxhash64(F.col(id_col), F.lit("block")).alias("h"),
-        ),
-        "reshard-sizes",
-    )
-    by_shard = {r["old"]: (r["bytes"], r["n"]) for r in rows.groupBy("old").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
-    sizes = [by_shard.get(i, (0, 0))[0] for i in range(old_shards)]
-    blocks = max(16, sum(n for _, n in by_shard.values()) // (old_shards * BLOCK_ROWS) + 1)
-    plan = transfer_plan(sizes, even_capacities(sum(sizes), shards), cost)
-    spark = docs.sparkSession
-    moves = F.broadcast(  # at most one row for each pair of shards
-        spark.createDataFrame([(i, j, a, 1 << 62 if b == sizes[i] else b) for i, j, a, b in plan], "old int, shard int, low long, high long")
-    )
-    rows = rows.withColumn("block", F.pmod("h", F.lit(blocks))).drop("h")
-    key = ["old", "cls", "block"]
-    before = Window.partitionBy("old").orderBy("cls", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        rows.groupBy(*key)
-        .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-        .select(*key, F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("byte0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("row0"))
-    )
-    inside = Window.partitionBy(*key).orderBy("id", "crc")
-    placed = (
-        rows.withColumn("rank", F.row_number().over(inside))
-        .withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(starts, key)
-        .withColumn("middle", F.col("byte0") + F.col("upto") - F.expr("size div 2") - 1)
-        .join(moves, "old")
-        .where("middle >= low AND middle < high")
-        .select("id", "size", "crc", "old", "shard", (F.col("row0") + F.col("rank") - 1).alias("place"))
-    )
-    placed = written(placed, "reshard-placed")
-    cuts = placed.groupBy("old", "shard").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-    in_shard = Window.partitionBy("shard").orderBy("old").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cuts.select("old", "shard", (F.coalesce(F.sum("n").over(in_shard), F.lit(0)) - F.col("first")).alias("shift"))
-    # at most a row for each pair of shards
-    return placed.join(F.broadcast(offsets), ["old", "shard"]).select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("old").alias("old_shard"), "shard", (F.col("place") + F.col("shift")).cast("long").alias("slot")
-    )
+@dataclass(frozen=True)
+class File:
+    name: str  # below the table's folder
+    shard: int
+    rows: int
+    bytes: int
 
 
-def write_shards(docs: DataFrame, shard: str, path: str) -> None:
-    """``docs`` as a Parquet table with a folder for each shard; ``shard``: SQL for a row's shard, in its old layout."""
-    docs.withColumn("shard", F.expr(shard).cast("int")).repartition("shard").write.partitionBy("shard").parquet(path)
+@dataclass(frozen=True)
+class Manifest:
+    number: int
+    shards: int
+    schema: StructType
+    files: list[File]
 
 
-def _numbered(rows: DataFrame, id_col: str, shard: str) -> DataFrame:
-    """``rows`` (id, size, text_crc32, shard) with ``nth``: rows alike in all of these are numbered, so that each has a key."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(shard, id_col, "size", "text_crc32").orderBy(F.lit(0))))
+def document_size(text_col: str) -> Column:
+    return F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + OVERHEAD
 
 
-def _measured(rows: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return rows.withColumns({"size": F.octet_length(text).cast("long") + OVERHEAD, "text_crc32": F.crc32(text.cast("binary"))})
+def _folder(spark: SparkSession, path: str):
+    """(Hadoop's class of paths, file system) of a folder."""
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    return kind, kind(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def rewrite_affected(spark: SparkSession, path: str, placed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
-    """Bring the table at ``path`` from its old to its new shards, and return the shards whose files were rewritten.
+def manifest(spark: SparkSession, path: str) -> Manifest | None:
+    """The table's highest manifest. It has a line for each file, as Spark's own index of a table has."""
+    kind, system = _folder(spark, path)
+    at = kind(f"{path}/_manifest")
+    names = [f.getPath().getName() for f in system.listStatus(at)] if system.exists(at) else []
+    numbers = [int(n) for n in names if n.isdigit()]
+    if not numbers:
+        return None
+    stream = system.open(kind(f"{path}/_manifest/{max(numbers):08d}"))
+    try:
+        head, *lines = bytes(stream.readAllBytes()).decode().splitlines()
+    finally:
+        stream.close()
+    head = json.loads(head)
+    return Manifest(max(numbers), head["shards"], StructType.fromJson(head["schema"]), [File(**json.loads(x)) for x in lines])
 
-    ``placed``: what :func:`reshard` returned. Only shards that give or take a document are read and written: into a
-    staged table in the shared folder, whose folders then take the place of the old ones. Repeated rows move once each.
-    """
-    changed = placed.where("old_shard <> shard").select("old_shard", "shard").distinct().collect()  # at most a row for each pair
-    affected = sorted({x for r in changed for x in r})
-    if not affected:
+
+def _commit(spark: SparkSession, path: str, new: Manifest) -> None:
+    """Write a manifest under its number, which no other may have: by a rename, so that none is ever half there."""
+    kind, system = _folder(spark, path)
+    lines = [json.dumps({"shards": new.shards, "schema": json.loads(new.schema.json())}), *(json.dumps(asdict(f)) for f in new.files)]
+    part = kind(f"{path}/_manifest/_{uuid.uuid4().hex}")
+    stream = system.create(part, False)
+    stream.write(bytearray("\n".join(lines).encode()))
+    stream.close()
+    final = kind(f"{path}/_manifest/{new.number:08d}")
+    if system.exists(final) or not system.rename(part, final):
+        raise OSError(f"manifest {new.number} of {path} was written by another run")
+
+
+def _tidy(spark: SparkSession, path: str) -> None:
+    """Delete files that the highest manifest doesn't list, and older manifests."""
+    kept = manifest(spark, path)
+    names = {f.name for f in kept.files}
+    kind, system = _folder(spark, path)
+    for generation in system.listStatus(kind(path)):
+        name = generation.getPath().getName()
+        if name == "_manifest":
+            for old in system.listStatus(generation.getPath()):
+                if old.getPath().getName() != f"{kept.number:08d}":
+                    system.delete(old.getPath(), False)
+        else:
+            found = system.listFiles(generation.getPath(), True)
+            while found.hasNext():
+                at = found.next().getPath()
+                if f"{name}/{at.getParent().getName()}/{at.getName()}" not in names:
+                    system.delete(at, False)
+
+
+def _write(rows: DataFrame, path: str, text_col: str, schema: StructType, **options) -> list[File]:
+    """Write ``rows`` (with ``__shard``) as new files of the table, and return them."""
+    spark = rows.sparkSession
+    name = f"files-{uuid.uuid4().hex}"
+    rows.write.options(**options).partitionBy("__shard").parquet(f"{path}/{name}")
+    kind, system = _folder(spark, path)
+    found = [f"{name}/{d.getPath().getName()}" for d in system.listStatus(kind(f"{path}/{name}")) if d.isDirectory()]
+    if not found:
         return []
-    names = {"__id": F.col(id_col), "__from": F.col("old_shard"), "__size": F.col("size"), "__crc": F.col("text_crc32"), "__nth": F.col("nth"), "__to": F.col("shard")}
-    to = _numbered(placed.where(F.col("old_shard").isin(affected)), id_col, "old_shard").select(*[c.alias(n) for n, c in names.items()])
-    whole = spark.read.parquet(path)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = whole.where(F.col("shard").isin(affected)).withColumns(
-        {"__s": F.octet_length(text).cast("long") + OVERHEAD, "__c": F.crc32(text.cast("binary"))}
-    )
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("shard", id_col, "__s", "__c").orderBy(F.lit(0))))
-    same = (F.col("shard") == F.col("__from")) & F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__size"))
-    moved = rows.join(to, same & (F.col("__c") == F.col("__crc")) & (F.col("__n") == F.col("__nth")))
-    staged = shared_path(spark, "reshard-staged")
-    moved.withColumn("shard", F.col("__to")).select(*whole.columns).repartition("shard").write.partitionBy("shard").parquet(staged)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for shard in affected:
-        drop_path(spark, f"{path}/shard={shard}")
-        new = hadoop(f"{staged}/shard={shard}")
-        if files.exists(new) and not files.rename(new, hadoop(f"{path}/shard={shard}")):
-            raise OSError(f"shard {shard} could not be put in place; its rows are in {staged}")
-    drop_path(spark, staged)
-    return affected
-
-
-def resharded(
-    docs: DataFrame, old_shard: str, shards: int, old_shards: int, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Lay ``docs`` out in their old shards, rewrite the affected ones, and return the rows of :func:`reshard` as they then lie there.
-
-    Size, text_crc32 and shard are those of the written table, the slot is that of the plan.
+    at = _located(spark.read.schema(schema).parquet(*[f"{path}/{d}" for d in found]))
+    counts = at.groupBy("__file").agg(F.count(F.lit(1)).alias("rows"), F.sum(document_size(text_col)).alias("bytes")).collect()  # a row for each file
+    return sorted((File(r["__file"], int(r["__file"].split("=")[1].split("/")[0]), r["rows"], r["bytes"]) for r in counts), key=lambda f: (f.shard, f.name))
+
+
+def _located(rows: DataFrame) -> DataFrame:
+    """``rows`` of Parquet files with ``__file``, the file's name below the table's folder, and ``__row``, the place in it."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/__shard=\d+/[^/]+)$", 1)
+    return rows.select("*", name.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+
+
+def lay_out(docs: DataFrame, shard: str, shards: int, path: str, file_rows: int = 100_000, text_col: str = "text") -> Manifest:
+    """Write ``docs`` as a table at ``path`` with shards 0 to ``shards`` - 1, ``shard`` being SQL for a row's, in files of at most so many rows.
+
+    A shard's rows may be many: they are dealt out by Spark's rebalancing, which splits what is large.
     """
     spark = docs.sparkSession
-    path = shared_path(spark, "reshard-table")
-    write_shards(docs, old_shard, path)
-    if spark.read.parquet(path).isEmpty():
-        return reshard(docs, old_shard, shards, old_shards, id_col, text_col)
-    placed = written(reshard(spark.read.parquet(path), "shard", shards, old_shards, id_col, text_col), "reshard-plan")
-    rewrite_affected(spark, path, placed, id_col, text_col)
-    lying = _measured(spark.read.parquet(path), text_col).select(F.col(id_col), "size", "text_crc32", "shard")
-    lying = _numbered(lying, id_col, "shard")
-    plan = _numbered(placed, id_col, "shard").withColumnsRenamed({id_col: "__id", "size": "__size", "text_crc32": "__crc", "shard": "__shard", "nth": "__nth"})
-    same = (F.col("shard") == F.col("__shard")) & F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("size") == F.col("__size"))
-    return lying.join(plan, same & (F.col("text_crc32") == F.col("__crc")) & (F.col("nth") == F.col("__nth"))).select(
-        id_col, "size", "text_crc32", "old_shard", "shard", "slot"
-    )
+    rows = docs.withColumn("__shard", F.expr(shard).cast("int")).hint("rebalance", "__shard")
+    new = Manifest(1, shards, docs.schema, _write(rows, path, text_col, docs.schema, maxRecordsPerFile=file_rows))
+    _commit(spark, path, new)
+    return new
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table as they lie, with ``__shard`` and ``__slot``."""
+    now = manifest(spark, path)
+    if not now.files:
+        return spark.createDataFrame([], now.schema).select("*", F.lit(0).alias("__shard"), F.lit(0).cast("long").alias("__slot"))
+    filled: dict[int, int] = defaultdict(int)
+    places = []
+    for f in now.files:
+        places.append((f.name, f.shard, filled[f.shard]))
+        filled[f.shard] += f.rows
+    at = spark.createDataFrame(places, "__file string, __shard int, __first long")
+    rows = _located(spark.read.schema(now.schema).parquet(*[f"{path}/{f.name}" for f in now.files]))
+    return rows.join(at, "__file").select(*[F.col(f"`{c}`") for c in now.schema.names], "__shard", (F.col("__first") + F.col("__row")).alias("__slot"))
+
+
+def file_transfers(files: Sequence[File], shards: int, cost: np.ndarray | None = None) -> tuple[dict[str, int], dict[str, dict[int, int]]]:
+    """(new shard of each file that moves whole, bytes for each new shard of each file that is cut)."""
+    of: dict[int, list[File]] = defaultdict(list)
+    for f in files:
+        of[f.shard].append(f)
+    sizes = [sum(f.bytes for f in of[i]) for i in range(max(of, default=-1) + 1)]
+    whole: dict[str, int] = {}
+    cut: dict[str, dict[int, int]] = {}
+    blocks: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for i, j, a, b in transfer_plan(sizes, even_capacities(sum(sizes), shards), cost):
+        blocks[i].append((j, a, b))
+    for i, mine in blocks.items():
+        at = 0
+        for f in of[i]:
+            shares = {j: n for j, a, b in mine if (n := min(b, at + f.bytes) - max(a, at)) > 0}
+            at += f.bytes
+            if len(shares) > 1:
+                cut[f.name] = shares
+            elif shares and i not in shares:
+                whole[f.name] = next(iter(shares))
+    return whole, cut
+
+
+def deal(sizes: np.ndarray, shares: dict[int, int]) -> np.ndarray:
+    """The new shard of each document of a file that is cut: the largest first, each to the shard that still lacks most."""
+    lacks = dict(sorted(shares.items()))
+    out = np.empty(len(sizes), np.int32)
+    for k in np.argsort(-sizes, kind="stable").tolist():
+        out[k] = j = max(lacks, key=lacks.__getitem__)
+        lacks[j] -= int(sizes[k])
+    return out
 
 
-def op10_sharding(spark: SparkSession, sf_dir: str, old_shards: int = 32, shards: int = 40) -> DataFrame:
-    """The table lies in 32 shards by a hash of the id and goes to 40 of near equal bytes."""
-    placed = resharded(table(spark, sf_dir, "documents"), f"pmod(xxhash64(doc_id), {old_shards})", shards, old_shards)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+def reshard(spark: SparkSession, path: str, shards: int, text_col: str = "text", cost: np.ndarray | None = None) -> list[str]:
+    """Bring the table at ``path`` to so many shards of near equal bytes, and return the files that were rewritten.
+
+    Safe to stop and to run again; readers of the table before must have ended, as files that were rewritten are deleted.
+    """
+    old = manifest(spark, path)
+    if old.shards == shards:
+        _tidy(spark, path)
+        return []
+    whole, cut = file_transfers(old.files, shards, cost)
+    columns = [F.col(f"`{c}`") for c in old.schema.names]
+
+    def rows(names: Sequence[str]) -> DataFrame:
+        return _located(spark.read.schema(old.schema).parquet(*[f"{path}/{n}" for n in names]))
+
+    new: list[File] = []
+    if whole:
+        to = spark.createDataFrame(sorted(whole.items()), "__file string, __shard int")
+        new += _write(rows(sorted(whole)).join(to, "__file").select(*columns, "__shard"), path, text_col, old.schema)
+    if cut:
+
+        def dealt(group: pd.DataFrame) -> pd.DataFrame:  # one file, whose rows are bounded
+            group = group.sort_values("__row")
+            return pd.DataFrame({"__file": group["__file"], "__row": group["__row"], "__shard": deal(group["__size"].to_numpy(), cut[group["__file"].iloc[0]])})
+
+        measured = rows(sorted(cut)).select("__file", "__row", document_size(text_col).alias("__size"))
+        to = measured.groupBy("__file").applyInPandas(dealt, "__file string, __row long, __shard int")
+        moved = rows(sorted(cut)).join(to, ["__file", "__row"]).select(*columns, "__shard").hint("rebalance", "__shard")
+        new += _write(moved, path, text_col, old.schema)
+    rewritten = set(whole) | set(cut)
+    files = sorted([f for f in old.files if f.name not in rewritten] + new, key=lambda f: (f.shard, f.name))
+    _commit(spark, path, Manifest(old.number + 1, shards, old.schema, files))
+    _tidy(spark, path)
+    return sorted(rewritten)
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str, old_shards: int = 32, shards: int = 40, files: int = 8) -> DataFrame:
+    """The table is laid out in 32 shards by a hash of the id, about 8 files each, and goes to 40 of near equal bytes; the result is read back."""
+    docs = table(spark, sf_dir, "documents")
+    path = shared_path(spark, "reshard-table")
+    file_rows = min(100_000, docs.count() // (old_shards * files) + 1)
+    lay_out(docs, f"pmod(xxhash64(doc_id), {old_shards})", old_shards, path, file_rows)
+    reshard(spark, path, shards)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return read_shards(spark, path).select(
+        "doc_id",
+        document_size("text").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        F.col("__shard").alias("shard"),
+        F.col("__slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
