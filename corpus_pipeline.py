@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from swinglake.llm import exact, mixing, packing, simhash, toxicity
-from swinglake.llm.common import shared_path, table
+from swinglake.llm.common import scratch, shared_path, table
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
         path = shared_path(spark, f"pipeline-{name}")
-        out.write.parquet(path)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs

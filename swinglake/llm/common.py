@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where a session has none (tests on one machine), a temporary folder is set as the checkpoint folder.
+    Where a session on one machine has none, as in tests, a temporary folder is set as the checkpoint folder. On a cluster
+    the setting must be there, since executors don't see each other's local folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="swinglake-"))
     return context.getCheckpointDir().get()
 
@@ -38,13 +44,33 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and safe when executors are lost."""
+    """``df`` as a Parquet table in the shared folder: computed once, and safe when executors are lost.
+
+    Results read such tables when they are computed, so a caller deletes them after that: see :func:`scratch`.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    _SCRATCH.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of the tables that ``written`` made and nothing has deleted yet.
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """On leaving, delete the tables that ``written`` made inside: when what reads them has been written in turn."""
+    outer, _SCRATCH[:] = list(_SCRATCH), []
+    try:
+        yield
+    finally:
+        for path in _SCRATCH:
+            drop_path(spark, path)
+        _SCRATCH[:] = outer
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder through Hadoop's file system API."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

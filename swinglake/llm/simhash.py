@@ -3,8 +3,10 @@
 A fingerprint has the bits set in over half of the XXH64 values of a text's shingles. Distinct fingerprints are sharded
 so that any two within the radius meet: the 64 bits are cut into radius + 2 blocks, of which two at least are untouched,
 and each pair of blocks with its value is a shard. A shard above ``tree_nodes`` is split into tiles of that size, so no
-tree and no task grows with a group of near copies; every query of the shard goes to each tile from its own on. In a
-tile's task a BK-tree is built (children keyed by their Hamming distance to the parent) and all its queries walk down
+tree grows with a group of near copies; every fingerprint of the shard is a query to each tile after its own, and the
+queries of a tile come in blocks of ``QUERY_TILES`` tiles, each with its copy of the tree: a task holds a bounded number of
+rows at a time, while a shard of n fingerprints costs n * n / (2 * tree_nodes) rows in all, spread over its blocks. In a
+block a BK-tree is built (children keyed by their Hamming distance to the parent) and all its queries walk down
 it together, following only edges whose key lies within the radius of the query's distance to the node. A task reports
 a spanning star of what it linked, never all pairs, and the stars are joined into components by rounds of star
 contraction, each round a table in the shared folder.
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from swinglake.llm.common import drop_path, shared_path, table, written
 
 BITS = 64
+#: The queries of so many tiles are asked of a tree together.
+QUERY_TILES = 16
 #: Bands of least hashes in :func:`drop_similar`, and orders of the shingles a band: two texts of Jaccard similarity s
 #: share a band with probability 1 - (1 - s^5)^16, 0.998 at 0.8.
 BANDS, ROWS = 16, 5
@@ -150,7 +154,7 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _walk(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Shards one after another (tile, role, fp), nodes before queries; a shard is a bounded number of rows at a time."""
+    """Tiles one after another (tile, role, fp), nodes before queries; each is a bounded number of rows."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(tile: np.ndarray, query: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -158,9 +162,10 @@ def _walk(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
         if not node.any():
             return
         forest = Forest(fp[node].view(np.uint64), tile[node])
-        # nodes ask as well; those of the tile's own queries are among them
-        ask_tile, ask = tile, fp
-        sizes = np.bincount(np.unique(tile, return_inverse=True)[1][node])
+        # nodes ask as well; a tile may have queries and, by the chance of hashing, no node
+        some = np.isin(tile, tile[node])
+        ask_tile, ask = tile[some], fp[some]
+        sizes = np.unique(tile[node], return_counts=True)[1]
         step = max(256, 4_000_000 // max(1, int(sizes.max())))
         for at in range(0, len(ask), step):
             roots = np.fromiter((forest.root_of[t] for t in ask_tile[at : at + step].tolist()), np.int64)
@@ -200,11 +205,13 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, tree_nodes: int = 10
 def shard_links(shards: DataFrame, radius: int, tree_nodes: int = 1024) -> DataFrame:
     """Links (a, b) within the radius inside the shards (fp, pair, key), each fingerprint once in a shard."""
     sizes = shards.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    mates = shards.join(sizes, ["pair", "key"]).withColumn("tiles", F.ceil(F.col("n") / tree_nodes))
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles"))
-    # a query meets the trees of all tiles from its own on: its own as a node, later ones as a query
-    asked = mates.withColumn("own", own).select("pair", "key", "own", "fp", F.explode(F.sequence(F.col("own"), F.col("tiles") - 1)).alias("at"))
-    rows = asked.select(F.xxhash64("pair", "key", "at").alias("tile"), (F.col("at") != F.col("own")).alias("query"), "fp")
+    mates = shards.join(sizes, ["pair", "key"]).withColumn("tiles", F.ceil(F.col("n") / tree_nodes).cast("int"))
+    mates = mates.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")).withColumn("block", F.expr(f"own div {QUERY_TILES}"))
+    # a fingerprint is a node of its own tile, wherever that is asked, and a query to all later tiles
+    nodes = "transform(sequence(0, block), b -> named_struct('at', own, 'block', b, 'query', false))"
+    queries = "transform(sequence(own + 1, tiles - 1), t -> named_struct('at', t, 'block', block, 'query', true))"
+    asked = mates.select("pair", "key", "fp", F.explode(F.expr(f"IF(own < tiles - 1, concat({nodes}, {queries}), {nodes})")).alias("x"))
+    rows = asked.select(F.xxhash64("pair", "key", "x.at", "x.block").alias("tile"), F.col("x.query").alias("query"), "fp")
     return (
         rows.repartition("tile")
         .sortWithinPartitions("tile", "query")

@@ -140,6 +140,29 @@ def test_tiles_lose_no_link(spark):
     assert groups({v: label.get(signed[v], signed[v]) for v in values}) == groups(expected)
 
 
+def test_tiles_without_a_node(spark):
+    rng = random.Random(21)
+    for _ in range(6):
+        values = sorted({(5 << 40) ^ (1 << rng.randrange(20)) ^ (1 << rng.randrange(20)) for _ in range(12)})
+        links = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in values], "fp long"), 4, tree_nodes=3)
+        label = {r["node"]: r["label"] for r in simhash.components(links).collect()}
+        assert {v: label.get(v, v) for v in values} == classes(values, lambda x, y: (x ^ y).bit_count() <= 4)
+
+
+def test_hot_shard_in_bounded_blocks(spark, monkeypatch):
+    """Near copies of one text fill single shards: no piece of work holds more than a tile and its block of queries."""
+    rng = np.random.default_rng(2)
+    bits = np.uint64(1) << rng.integers(0, 64, (30_000, 4)).astype(np.uint64)
+    values = np.unique(np.bitwise_xor.reduce(bits, axis=1)).view(np.int64)
+    shards = spark.createDataFrame([(v,) for v in values.tolist()], "fp long").select("fp", F.lit(0).alias("pair"), F.lit(0).alias("key"))
+    links = simhash.shard_links(shards, 2, tree_nodes=256).collect()
+    per_tile = 256 * (1 + simhash.QUERY_TILES)
+    assert len(links) < len(values) * (len(values) / per_tile + 2) * 2
+    whole = {r["node"]: r["label"] for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    # one bit and two bits away from a common value: all within the radius of another
+    assert len({whole.get(v, v) for v in values.tolist() if int(v).bit_count() <= 2}) == 1
+
+
 def test_similar_texts_against_brute_force(spark):
     rng = random.Random(11)
     vocab = [f"w{i}" for i in range(500)]
@@ -545,47 +568,84 @@ def test_flow_is_the_cheapest():
         sharding.min_cost_flow([1], [2], np.zeros((1, 1)))
 
 
-def test_sharding(spark, data, docs, tmp_path):
-    old = "pmod(xxhash64(doc_id), 3)"
-    placed = sharding.reshard(clashing(docs), old, 4, 3).cache()
-    got = placed.collect()
-    assert len(got) == len(data)
-    text = {r[0]: (r[1] or "").encode() for r in data}
+def layout(spark, path):
+    """What lies in a table, read without its own reader."""
+    now = sharding.manifest(spark, path)
+    return Counter((r["doc_id"], r["text"], f.shard) for f in now.files for r in spark.read.schema(now.schema).parquet(f"{path}/{f.name}").collect())
+
+
+def check_shards(got, rows, shards):
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(r[:2] for r in rows)
     sizes, slots = Counter(), defaultdict(list)
     for r in got:
-        assert r["size"] == len(text[r["doc_id"]]) + 16 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]])
-        sizes[r["shard"]] += r["size"]
-        slots[r["shard"]].append(r["slot"])
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(4))
-    assert sharding.reshard(empty(spark), old, 4, 3).count() == 0
-    path = str(tmp_path / "t")
-    sharding.write_shards(docs, old, path)
-    changed = sharding.rewrite_affected(spark, path, placed)
-    assert changed
-    table = spark.read.parquet(path)
-    assert {(r["doc_id"], r["shard"]) for r in table.collect()} == {(r["doc_id"], r["shard"]) for r in got}
-    assert table.count() == len(data)
+        sizes[r["__shard"]] += len((r["text"] or "").encode()) + 16
+        slots[r["__shard"]].append(r["__slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(shards))
+    return sizes
 
 
-# queries and pipeline
+def test_sharding(spark, data, docs, tmp_path):
+    repeated = data + data[:40] + data[:10] + [(None, "x", None, None, None)] * 30
+    for n, (rows, df) in enumerate([(data, clashing(docs)), (repeated, spark.createDataFrame(repeated, SCHEMA).repartition(3))]):
+        path = str(tmp_path / str(n))
+        first = sharding.lay_out(df, "pmod(xxhash64(doc_id), 3)", 3, path, file_rows=9)
+        assert len(first.files) > 6 and check_shards(sharding.read_shards(spark, path).collect(), rows, 3)
+        rewritten = sharding.reshard(spark, path, 4)
+        assert rewritten and set(rewritten) < {f.name for f in first.files}
+        got = sharding.read_shards(spark, path)
+        assert got.columns == [*df.columns, "__shard", "__slot"]
+        sizes = check_shards(got.collect(), rows, 4)
+        assert max(sizes.values()) - min(sizes.values()) < 200 + max(len((r[1] or "").encode()) for r in rows) * (max(sizes.values()) > sum(sizes.values()) / 3)
+        assert layout(spark, path) == Counter((r["doc_id"], r["text"], r["__shard"]) for r in got.collect())
+        stays = sum(f.bytes for f in sharding.manifest(spark, path).files if f.name in {x.name for x in first.files})
+        assert stays > 0
+    path = str(tmp_path / "none")
+    sharding.lay_out(empty(spark), "pmod(xxhash64(doc_id), 3)", 3, path)
+    assert sharding.reshard(spark, path, 4) == [] and sharding.read_shards(spark, path).count() == 0
+
+
+def test_cut_files_are_near_equal():
+    rng = np.random.default_rng(4)
+    sizes = np.append(rng.integers(16, 400, 500), [9000, 4000])
+    shares = {0: int(sizes.sum() * 0.3), 5: int(sizes.sum() * 0.6), 2: int(sizes.sum()) - int(sizes.sum() * 0.3) - int(sizes.sum() * 0.6)}
+    to = sharding.deal(sizes, shares)
+    assert all(abs(int(sizes[to == j].sum()) - n) < 50 for j, n in shares.items())
+
+
+@pytest.mark.parametrize("step", ["_write", "_commit", "_tidy", "second write"])
+def test_reshard_survives(spark, data, docs, tmp_path, monkeypatch, step):
+    """Stopped before or after each of its steps, and run again, once or twice: no row is lost or there twice."""
+    path = str(tmp_path / "t")
+    sharding.lay_out(docs, "pmod(xxhash64(doc_id), 3)", 3, path, file_rows=9)
+    name = "_write" if step == "second write" else step
+    for when, shards in (("before", 4),) if step == "second write" else (("before", 4), ("after", 5)):
+        calls = []
+        real = getattr(sharding, name)
+
+        def stop(*a, **k):
+            calls.append(1)
+            last = step != "second write" or len(calls) == 2
+            if when == "before" and last:
+                raise RuntimeError("lost")
+            out = real(*a, **k)
+            if last:
+                raise RuntimeError("lost")
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(sharding, name, stop)
+            with pytest.raises(RuntimeError):
+                sharding.reshard(spark, path, shards)
+        check_shards(sharding.read_shards(spark, path).collect(), data, 6)
+        sharding.reshard(spark, path, shards)
+        assert sharding.reshard(spark, path, shards) == []
+        check_shards(sharding.read_shards(spark, path).collect(), data, shards)
+        now = sharding.manifest(spark, path)
+        assert now.shards == shards
+        assert {str(x.relative_to(path)) for x in (tmp_path / "t").glob("files-*/*/*.parquet")} == {f.name for f in now.files}
 
 
-def test_repeated_rows_move_once(spark, data):
-    twice = data + data[:40] + data[:10] + [(None, "x", None, None, None)] * 3
-    docs = spark.createDataFrame(twice, SCHEMA).repartition(3)
-    path = sharding.shared_path(spark, "test-layout")
-    sharding.write_shards(docs, "pmod(xxhash64(doc_id), 4)", path)
-    placed = sharding.written(sharding.reshard(spark.read.parquet(path), "shard", 5, 4), "test-plan")
-    assert sharding.rewrite_affected(spark, path, placed)
-    rows = [tuple(r) for r in spark.read.parquet(path).select("doc_id", "text", "shard").collect()]
-    assert Counter(r[:2] for r in rows) == Counter(r[:2] for r in twice)
-    assert Counter((r["doc_id"], r["shard"]) for r in placed.collect()) == Counter((r[0], r[2]) for r in rows)
-    got = sharding.resharded(docs, "pmod(xxhash64(doc_id), 4)", 5, 4).collect()
-    assert Counter((r["doc_id"], r["text_crc32"]) for r in got) == Counter((r[0], zlib.crc32((r[1] or "").encode())) for r in twice)
-    slots = defaultdict(list)
-    for r in got:
-        slots[r["shard"]].append(r["slot"])
-    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+# queries and pipeline
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
