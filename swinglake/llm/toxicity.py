@@ -10,7 +10,8 @@ among positives lies clearly above their corrected rate among clean texts. The t
 0-1 risk, false alarms weighing twice, and scores are shifted so that it is 0.5.
 
 Only labels of the learning part are read, and of them only which texts are confirmed toxic and how many there are. The
-sample is bounded: at most ``max_positives`` and ``max_unlabelled`` texts, those whose ids have the smallest hashes.
+sample is bounded: at most ``max_positives`` and ``max_unlabelled`` rows, those whose hashes of id and text are the smallest;
+of rows alike one goes to the driver with their number.
 Scoring reads every whole text. Fitting runs on the driver over that sample; weights go to tasks with the function.
 
 Defined results: a null or empty text has no features and gets the score of the bias alone; without a confirmed toxic
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from swinglake.llm.common import crc_mod, table
 
 DIM = 1 << 20
+#: Confirmed toxic texts that a feature must be in.
+MIN_SEEN = 5
 MARKS = ".,!?|%$*&#;:()[]<>{}\"'"
 
 
@@ -77,6 +80,19 @@ class Model:
         return score
 
 
+def risks(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """(risk on toxic texts, risk on clean ones) of outputs on positives and unlabelled texts, with the logistic loss; the second may be below 0."""
+    return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+
+def risk_slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """What each output is to be lowered by: the slopes of the whole risk, or where the risk on clean texts is below 0, those of its negative alone."""
+    sp, su = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
+    if risks(zp, zu, prior)[1] >= 0:
+        return prior * ((sp - 1) - sp) / len(zp), su / len(zu)
+    return prior * sp / len(zp), -su / len(zu)
+
+
 def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 600, rate: float = 0.1, z: float = 3.0, seed: int = 0) -> Model:
     if not positives or not unlabelled:
         return Model({}, -np.inf)
@@ -86,13 +102,12 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     p, u = seen / n_pos, count(unlabelled) / n_unl
     clean = np.maximum(u - prior * p, 0) / (1 - prior)
     spread = np.sqrt(np.maximum(clean, 1 / n_unl) * (1 - np.minimum(clean, 1)) / n_pos)
-    keep = np.flatnonzero((p - clean > z * spread) & (p > 2 * clean) & (seen >= (5 if n_pos >= 200 else 3)))
+    keep = np.flatnonzero((p - clean > z * spread) & (p > 2 * clean) & (seen >= MIN_SEEN))
     place = np.full(DIM, -1)
     place[keep] = np.arange(len(keep))
     chosen = [[(lambda f: f[f >= 0])(place[d]) for d in docs] for docs in (positives, unlabelled)]
     w, b, h, hb = np.zeros(len(keep)), -2.0, np.full(len(keep), 1e-6), 1e-6
     rng = np.random.default_rng(seed)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
     def outputs(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.concatenate([np.zeros(0, int), *docs]).astype(int)
@@ -102,11 +117,7 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     for _ in range(steps):
         batch = [[docs[i] for i in rng.integers(0, len(docs), n)] for docs, n in zip(chosen, (64, 192), strict=True)]
         (at_p, rows_p, zp), (at_u, rows_u, zu) = outputs(batch[0]), outputs(batch[1])
-        on_clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        if on_clean >= 0:
-            gp, gu = prior * (sigmoid(zp) - 1 - sigmoid(zp)) / len(zp), sigmoid(zu) / len(zu)
-        else:
-            gp, gu = prior * sigmoid(zp) / len(zp), -sigmoid(zu) / len(zu)
+        gp, gu = risk_slopes(zp, zu, prior)
         g = np.bincount(np.concatenate((at_p, at_u)), np.concatenate((gp[rows_p], gu[rows_u])), len(keep))
         h += g * g
         w -= rate * g / np.sqrt(h)
@@ -126,28 +137,35 @@ def train(docs: DataFrame, labels: DataFrame, learn: str, id_col: str = "doc_id"
     """``learn``: SQL over ``id`` that says which ids may be learned from."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IS NOT NULL").where(learn)
     known = known.groupBy("id").agg(F.max("label").alias("label"))
-    ids = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").where(learn)
-    share = known.join(ids.distinct(), "id", "left_semi").agg(F.avg((F.col("label") > 0).cast("int")).alias("p")).first()["p"]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL").where(learn)
+    rows = rows.withColumn("r", F.xxhash64("id", "text"))
+    keys = rows.select("id", "r")
+    share = known.join(keys.select("id"), "id", "left_semi").agg(F.avg((F.col("label") > 0).cast("int")).alias("p")).first()["p"]
     if not share or share >= 1:
         return Model({}, -np.inf)
-    order = [F.xxhash64("id"), F.col("id")]
-    positive = known.where("label > 0").join(ids.distinct(), "id", "left_semi").select("id").orderBy(*order).limit(max_positives)
-    other = ids.orderBy(*order).limit(max_unlabelled).distinct()
-    sample = positive.withColumn("kind", F.lit(1)).unionByName(other.withColumn("kind", F.lit(0)))
+
+    def smallest(of: DataFrame, most: int) -> DataFrame:
+        """(id, r, n): the rows of the smallest hashes, at most so many in all, with how many of rows alike are among them."""
+        return of.orderBy("r", "id").limit(most).groupBy("id", "r").agg(F.count(F.lit(1)).alias("n"))
+
+    positive = smallest(keys.join(known.where("label > 0"), "id", "left_semi"), max_positives)
+    sample = positive.withColumn("kind", F.lit(1)).unionByName(smallest(keys, max_unlabelled).withColumn("kind", F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                found = [features(t).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["kind", "found"])
-
-    # a bounded number of ids
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("kind", "text")
-    got = rows.mapInArrow(run, "kind int, found binary").toArrow()
-    docs_of = {0: [], 1: []}
-    for kind, found in zip(got["kind"].to_pylist(), got["found"].to_pylist(), strict=True):
-        docs_of[kind].append(found)
+                found = [features(t).tobytes() for t in part.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(found, pa.binary())], ["kind", "id", "r", "n", "found"])
+
+    # the sample is a bounded number of keys, and of rows alike one is enough
+    drawn = rows.join(F.broadcast(sample), ["id", "r"]).select("kind", "id", "r", "n", "text")
+    kind_of = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
+    got = drawn.mapInArrow(run, f"kind int, id {kind_of}, r long, n long, found binary").groupBy("kind", "id", "r", "n").agg(F.first("found").alias("found"))
+    table_ = got.select("kind", "n", "found").toArrow()
+    docs_of: dict[int, list[bytes]] = {0: [], 1: []}
+    for kind, n, found in zip(table_["kind"].to_pylist(), table_["n"].to_pylist(), table_["found"].to_pylist(), strict=True):
+        docs_of[kind] += [found] * n
     # sorted: the order in which tasks end must not change the model
     pos, unl = ([np.frombuffer(x, np.int32) for x in sorted(docs_of[k])] for k in (1, 0))
     return fit(pos, unl, float(share))
@@ -170,17 +188,15 @@ def scored(docs: DataFrame, model: Model, columns: list[str], text_col: str = "t
 LEARN = "crc32(cast(cast(id as string) as binary)) % 5 <> 0"
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, learn: str = LEARN) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, learn: str = LEARN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose text scores below the threshold, with all their columns."""
-    model = train(docs, labels, learn)
-    names = docs.columns
+    model = train(docs, labels, learn, id_col, text_col)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
-        at = names.index("text")
         for b in batches:
-            keep = pa.array([of(t.as_py()) < threshold for t in b.column(at)], pa.bool_())
-            yield b.filter(keep)
+            yield b.filter(pa.array([of(t.as_py()) < threshold for t in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
