@@ -2,8 +2,8 @@
 
 Two GRUs read each segment of a text's UTF-8 bytes, one forwards and one backwards; from their states a softmax labels
 every byte's position, and the document's probabilities are the mean over all its positions. The network is trained in
-numpy by backpropagation through time, with Adam, on windows of a bounded sample: at most about ``per_language`` documents
-of each of the ``languages`` most frequent languages, chosen by a hash of the id, and a few windows of each. Scoring reads
+numpy by backpropagation through time, with Adam, on windows of a bounded sample: at most ``per_language`` rows of each
+language, those whose hashes of id and text are the smallest, and a few windows of each. Scoring reads
 every byte of every text, in segments that advance side by side; the network's few thousand numbers go with the function.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every text if nothing can be learned;
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swinglake.llm.common import crc_mod, table
@@ -178,32 +178,32 @@ def windows_of(text: str, key: int, most: int = 4) -> list[bytes]:
     return [data[(a := zlib.crc32(f"{key}:{i}".encode()) % (span + 1)) : a + SEGMENT] for i in range(min(most, 1 + span // SEGMENT))]
 
 
-def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, languages: int = 64) -> tuple[list[str], Network | None]:
-    """Languages and the network. ``learn``: a condition on rows that may be learned from."""
+def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000) -> tuple[list[str], Network | None]:
+    """Languages and the network. ``learn``: a condition on rows that may be learned from. Up to 1000 rows a language, each
+    task keeps only that many of one before they are shuffled."""
     known = docs.where(learn).where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     known = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    # the most frequent languages, a bounded number
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
-    names = sorted(counts)
-    if len(names) < 2:
-        return names, None
-    share = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(1.0, per_language / counts[k])))])
-    drawn = (F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)) < F.try_element_at(share, F.col("lang"))
-    place = {k: i for i, k in enumerate(names)}
+    known = known.withColumn("r", F.xxhash64("id", "text"))
+    order = Window.partitionBy("lang").orderBy("r")
+    first = known.select("lang", "r").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
+    first = first.groupBy("lang", "r").agg(F.count(F.lit(1)).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(place[k], w) for i, t, k in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in windows_of(t, zlib.crc32(str(i).encode()))]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([w for _, w in found], pa.binary())], ["k", "w"])
+            found = [(lang, r, n, w) for lang, r, n, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in windows_of(t, r)]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)], ["lang", "r", "n", "w"])
 
-    got = known.where(drawn).select("id", "text", "lang").mapInArrow(run, "k int, w binary").toArrow()
+    # of rows alike one is enough, with their number
+    drawn = known.join(first, ["lang", "r"]).select("lang", "r", "n", "text").mapInArrow(run, "lang string, r long, n long, w binary")
+    got = drawn.groupBy("lang", "r", "n", "w").agg(F.lit(1).alias("one")).toArrow()
     # sorted: the order in which tasks end must not change the network
-    pairs = sorted(zip(got["k"].to_pylist(), got["w"].to_pylist(), strict=True))
-    present = sorted({k for k, _ in pairs})
-    if len(present) < 2:
-        return [names[k] for k in present], None
-    again = {k: i for i, k in enumerate(present)}
-    return [names[k] for k in present], fit([w for _, w in pairs], np.array([again[k] for k, _ in pairs]), len(present))
+    pairs = sorted((k, w) for k, n, w in zip(got["lang"].to_pylist(), got["n"].to_pylist(), got["w"].to_pylist(), strict=True) for _ in range(n))
+    names = sorted({k for k, _ in pairs})
+    if len(names) < 2:
+        return names, None
+    place = {k: i for i, k in enumerate(names)}
+    return names, fit([w for _, w in pairs], np.array([place[k] for k, _ in pairs]), len(names))
 
 
 def document_probabilities(net: Network, texts: list[str]) -> np.ndarray:

@@ -398,6 +398,38 @@ def test_toxicity(spark):
     assert toxicity.scored(empty(spark), toxicity.train(empty(spark), labels.limit(0), toxicity.LEARN), ["doc_id"]).count() == 0
 
 
+def test_toxic_sample_is_bounded_by_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda pos, unl, prior: seen.append((len(pos), len(unl), prior)) or toxicity.Model({}, -np.inf))
+    d = spark.createDataFrame([(i % 12, "same" if i % 2 else f"text {i}", "en", "a", 1) for i in range(1200)] + [(None, "x", "en", "a", 1)] * 50, SCHEMA).repartition(5)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)] * 3 + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    toxicity.train(d, labels, toxicity.LEARN, max_positives=7, max_unlabelled=9)
+    toxicity.train(d, labels, toxicity.LEARN)
+    learnable = [i for i in range(12) if zlib.crc32(str(i).encode()) % 5]
+    assert seen[0][:2] == (7, 9) and seen[1][:2] == (100 * sum(i % 2 for i in learnable), 100 * len(learnable))
+    assert seen[0][2] == pytest.approx(np.mean([i % 2 for i in learnable]))
+    renamed = d.withColumnsRenamed({"doc_id": "n", "text": "body"}).withColumn("text", F.lit(1)).withColumn("score", F.lit("s"))
+    kept = toxicity.drop_toxic(renamed, labels.withColumnRenamed("doc_id", "n"), id_col="n", text_col="body")
+    assert kept.columns == renamed.columns and kept.count() == 1250
+
+
+def test_non_negative_risk():
+    """The risks and their slopes against the definition and differences; below 0 the step goes the other way."""
+    rng = np.random.default_rng(3)
+    loss = lambda z: math.log1p(math.exp(z))
+    for low in (False, True):
+        zp, zu, prior = rng.normal(1, 1, 7), rng.normal(-6 if low else 0, 0.5, 9), 0.4
+        toxic = prior * sum(loss(-z) for z in zp) / 7
+        clean = sum(loss(z) for z in zu) / 9 - prior * sum(loss(z) for z in zp) / 7
+        assert toxicity.risks(zp, zu, prior) == pytest.approx((toxic, clean)) and (clean < 0) == low
+        slopes = np.concatenate(toxicity.risk_slopes(zp, zu, prior))
+        for i in range(16):
+            z = [np.concatenate((zp, zu)) + d * np.eye(16)[i] for d in (1e-5, -1e-5)]
+            above, below = (toxicity.risks(x[:7], x[7:], prior) for x in z)
+            goal = lambda r: -r[1] if low else r[0] + r[1]
+            assert slopes[i] == pytest.approx((goal(above) - goal(below)) / 2e-5, abs=1e-6)
+
+
 # quality
 
 
@@ -477,7 +509,7 @@ def test_gradients():
             assert abs((above - below) / 2e-3 - g[i]) < 1e-4 + 0.02 * abs(g[i])
 
 
-def test_langid(spark):
+def test_langid(spark, monkeypatch):
     rng = random.Random(10)
     alphabets = {"aa": "abcdé", "bb": "vwxyz", "cc": "mnopß"}
     rows = [(i, " ".join("".join(rng.choice(alphabets[k]) for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(3, 60))), k, "a", 1) for i, k in enumerate(rng.choice(sorted(alphabets)) for _ in range(500))]
@@ -490,6 +522,12 @@ def test_langid(spark):
     assert np.mean([got[i]["lang_pred"] == k for i, _, k, *_ in rows[:500] if i % 4 == 2]) > 0.97
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (900, 901, 902)) and got[903]["lang_pred"] == "aa"
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    few = spark.createDataFrame([(i % 3, f"{'abc' if i % 2 else 'xyz'} {i}", "aa" if i % 2 else "bb", "a", 1) for i in range(600)] + [(None, "rare word", "zz", None, None)] * 30, SCHEMA)
+    windows = []
+    monkeypatch.setattr(langid, "fit", lambda w, y, k: windows.append(Counter(y.tolist())) or net)
+    for most in (10, 1000):
+        assert langid.train(few, F.lit(True), per_language=most)[0] == ["aa", "bb", "zz"]
+    assert windows == [Counter({0: 10, 1: 10, 2: 10}), Counter({0: 300, 1: 300, 2: 30})]
     one, none = langid.train(d.where("lang = 'aa'"), F.lit(True)), langid.train(empty(spark), F.lit(True))
     assert {r["lang_pred"] for r in langid.predicted(d, *one).collect()} == {"aa", "und"}
     assert {r["lang_pred"] for r in langid.predicted(d, *none).collect()} == {"und"}
@@ -561,7 +599,8 @@ def test_trie_in_ranges_is_the_trie_of_all():
     for t in tokens:
         x = lm.closed(t)
         expected = [log_odds(cells[x[:i], node]) if i < lm.PREFIX else 0 for i, c in enumerate(x) for node, _ in path(code, x[i - 1] if i else 32, c)]
-        assert np.frombuffer(inputs[t], np.int8).tolist() == expected, t
+        signs = [2 * bit - 1 for i, c in enumerate(x) for _, bit in path(code, x[i - 1] if i else 32, c)]
+        assert [v * s for v, s in zip(np.frombuffer(inputs[t], np.int8).tolist(), signs, strict=True)] == expected, t
     assert all(two[(o << 16) + node] == log_odds(n) for (o, node), n in pairs.items())
 
 
@@ -599,7 +638,7 @@ def test_mixing_is_that_of_one_bit_after_another():
             x, k = lm.closed(t), 0
             for i, c in enumerate(x):
                 for node, bit in path(code, x[i - 1] if i else 32, c):
-                    word = int(np.frombuffer(inputs[t], np.int8)[k])
+                    word = int(np.frombuffer(inputs[t], np.int8)[k]) * (2 * bit - 1)
                     k += 1
                     said = log_odds(after[before, x[:i], node]) if i < 2 and before in ranks else 0
                     gate = sum(abs(said or word) > e for e in lm.GATE_ENDS) + (lm.KNOWN - 1 if said else 0)
