@@ -105,9 +105,9 @@ def launch_grid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("b", best).select("shot_number", F.when(F.col("b.off") <= 1.0, F.col("b.alpha")).alias("alpha"), F.round("b.off", 5).alias("residual"))
 
 
-GRID_SQL = with_lenses("shots") + """, g AS (SELECT shot_number, list_min(list_transform(range(0, 91), lambda i: {'off': round(abs(launch_v * 0.7 + 2.0 - degrees(atan2(
-0.5 + ball_speed * 1.4666667::DOUBLE * sin(radians(i * 0.5::DOUBLE)) * (0.02 + num_frames / 1000.0::DOUBLE), distance_ft + ball_speed * 1.4666667::DOUBLE * cos(radians(i * 0.5::DOUBLE)) * (0.02 + num_frames / 1000.0::DOUBLE)))), 9), 'alpha': i * 0.5::DOUBLE})) AS b
-FROM shots WHERE launch_v IS NOT NULL AND shot_number % 10 <> 9)
+GRID_SQL = with_lenses("shots") + """, g AS (SELECT shot_number, list_min(list_transform(range(0, 451), lambda i: {'off': round(abs(launch_v * 0.7 + 2.0 - degrees(atan2(
+0.5 + ball_speed * 1.4666667::DOUBLE * sin(radians(i / 10.0::DOUBLE)) * (0.02 + num_frames / 1000.0::DOUBLE), distance_ft + ball_speed * 1.4666667::DOUBLE * cos(radians(i / 10.0::DOUBLE)) * (0.02 + num_frames / 1000.0::DOUBLE)))), 9), 'alpha': i / 10.0::DOUBLE})) AS b
+FROM shots WHERE launch_v IS NOT NULL)
 SELECT shot_number, CASE WHEN b.off <= 1 THEN b.alpha END AS alpha, round(b.off, 5) AS residual FROM g"""
 
 
@@ -273,22 +273,30 @@ unnest([ball_speed IS NOT NULL, club_speed IS NOT NULL, spin_rpm IS NOT NULL, la
 SELECT club, metric, sum(has::INT)::BIGINT AS n_have, count(*) AS n FROM m GROUP BY 1, 2"""
 
 
-def rule_reasons_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules that a shot breaks, in the order of the rules."""
+def rule_reasons(t: Column, bin_error: Column, weak: Column, snr: Column) -> Column:
+    """All rules that a vertical frame breaks: a time after impact of 20 to 100 ms, at most 50 bins off, and a strength of 3 where the speed anchor is weak."""
     rules = {
-        "no_spin": F.col("spin_rpm").isNull(),
-        "weak_confidence": F.col("launch_confidence") < 0.4,
-        "few_frames": F.col("num_frames") <= 2,
-        "wide": F.abs("launch_h") > 15,
-        "low": F.col("launch_v") < 0,
+        "missing_t_after": t.isNull(),
+        "time_too_early": t < 0.020,
+        "time_too_late": t > 0.100,
+        "bin_error_gt_50": bin_error > 50,
+        "weak_adjacent_snr_too_low": weak & (snr < 3.0),
     }
-    reasons = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in rules.items()]))
-    return lens(spark, sf_dir, "shots").select("shot_number", F.array_join(reasons, ",").alias("reasons"), F.size(reasons).alias("n"))
+    return F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in rules.items()]))
+
+
+def rule_reasons_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that each frame breaks, and whether it may be used."""
+    n = F.col("shot_number")
+    s = lens(spark, sf_dir, "shots").select("shot_number", F.when(n % 11 != 0, n * 7 % 130 / 1000).alias("t"), F.when(n % 5 != 0, n * 13 % 80).alias("bin_error"), (n % 3 == 0).alias("weak"), (F.col("num_frames") / 8).alias("snr"))
+    reasons = rule_reasons(F.col("t"), F.col("bin_error"), F.col("weak"), F.col("snr"))
+    return s.select("shot_number", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("usable"))
 
 
-REASONS_SQL = with_lenses("shots") + """, r AS (SELECT shot_number, list_filter([CASE WHEN spin_rpm IS NULL THEN 'no_spin' END, CASE WHEN launch_confidence < 0.4 THEN 'weak_confidence' END,
-CASE WHEN num_frames <= 2 THEN 'few_frames' END, CASE WHEN abs(launch_h) > 15 THEN 'wide' END, CASE WHEN launch_v < 0 THEN 'low' END], lambda x: x IS NOT NULL) AS r FROM shots)
-SELECT shot_number, array_to_string(r, ',') AS reasons, len(r)::INT AS n FROM r"""
+REASONS_SQL = with_lenses("shots") + """, f AS (SELECT shot_number, CASE WHEN shot_number % 11 <> 0 THEN shot_number * 7 % 130 / 1000 END AS t, CASE WHEN shot_number % 5 <> 0 THEN shot_number * 13 % 80 END AS b, shot_number % 3 = 0 AND num_frames / 8 < 3 AS w FROM shots)
+SELECT shot_number, concat_ws(',', CASE WHEN t IS NULL THEN 'missing_t_after' WHEN t < 0.02::DOUBLE THEN 'time_too_early' WHEN t > 0.1::DOUBLE THEN 'time_too_late' END, CASE WHEN b > 50 THEN 'bin_error_gt_50' END, CASE WHEN w THEN 'weak_adjacent_snr_too_low' END) AS reasons,
+t BETWEEN 0.02::DOUBLE AND 0.1::DOUBLE AND coalesce(b <= 50, true) AND NOT w AS usable FROM f WHERE t IS NOT NULL
+UNION ALL SELECT shot_number, concat_ws(',', 'missing_t_after', CASE WHEN b > 50 THEN 'bin_error_gt_50' END, CASE WHEN w THEN 'weak_adjacent_snr_too_low' END), false FROM f WHERE t IS NULL"""
 
 QUERIES = {
     "dim_club_fallback": (dim_club_fallback, DIM_SQL),

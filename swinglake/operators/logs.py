@@ -46,28 +46,39 @@ SELECT session_id, state, count(*) AS n, sum(strlen(raw))::BIGINT AS bytes FROM
 
 
 def session_uuids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stable id for sessions that carry none."""
-    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
-    return users.select("user_id", F.length(uuid5(NAMESPACE, F.concat(F.lit("device:"), F.col("user_id").cast("string")))).cast("int").alias("n"), F.substring(uuid5(NAMESPACE, F.concat(F.lit("device:"), F.col("user_id").cast("string"))), 1, 8).alias("head"))
+    """A session's id: the first one that its lines carry and that isn't empty, in lower case; else one made of the device and the session's name."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.expr(EMBEDDED).alias("own"))
+    first = F.min(F.when(F.trim("own") != "", F.struct("event_id", F.lower(F.trim("own")).alias("id"))))["id"]
+    return e.groupBy("user_id").agg(first.alias("own")).select("user_id", F.coalesce("own", uuid5(NAMESPACE, F.concat(F.lit("device:"), F.col("user_id").cast("string")))).alias("session_uuid"))
 
 
-UUID_SQL = "SELECT DISTINCT user_id, 36 AS n, substr(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('device:' || user_id)), 1, 8) AS head FROM events"
+#: What a line carries of its session's id: every third session has one, on some of its lines only.
+EMBEDDED = "CASE WHEN user_id % 3 = 0 AND event_id % 2 = 0 THEN concat('ABCDEF00-0000-5000-8000-', lpad(cast(user_id AS string), 12, '0')) WHEN event_id % 5 = 0 THEN ' ' END"
+UUID_SQL = """WITH e AS (SELECT user_id, event_id, """ + EMBEDDED.replace("AS string", "AS VARCHAR") + """ AS own FROM events),
+f AS (SELECT user_id, arg_min(lower(trim(own)), event_id) FILTER (trim(own) <> '') AS own FROM e GROUP BY 1),
+h AS (SELECT user_id, own, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('device:' || user_id)) AS h FROM f)
+SELECT user_id, coalesce(own, concat(h[1:8], '-', h[9:12], '-5', h[14:16], '-', ['8', '9', 'a', 'b'][1 + (instr('0123456789abcdef', h[17:17]) - 1) % 4], h[18:20], '-', h[21:32])) AS session_uuid FROM h"""
+
 
 def radar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The radar's text protocol: JSON, or a plain signed number; the sign is the direction."""
-    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"speed": '), (F.col("event_id") % 80 - 40).cast("string"), F.lit("}"))).when(
-        F.col("event_id") % 3 == 1, (F.col("event_id") % 60 - 30).cast("string")
-    ).otherwise(F.lit("?garbage"))
+    """The radar's text protocol: JSON with a number or an array of them, or a plain signed number; the sign is the direction."""
+    n = F.col("event_id")
+    text = (
+        F.when(n % 4 == 0, F.concat(F.lit('{"speed": '), (n % 80 - 40).cast("string"), F.lit("}")))
+        .when(n % 4 == 1, (n % 60 - 30).cast("string"))
+        .when(n % 4 == 2, F.concat(F.lit('{"speed": ['), (n % 50 - 25).cast("string"), F.lit(", "), (n % 30 - 15).cast("string"), F.lit("]}")))
+        .otherwise(F.lit("?garbage"))
+    )
     lines = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.alias("line"))
     v = F.try_parse_json("line")
-    speed = F.coalesce(F.try_variant_get(v, "$.speed", "double"), F.col("line").try_cast("double"))
-    parsed = lines.withColumn("s", speed).where("s IS NOT NULL")
+    one = F.coalesce(F.try_variant_get(v, "$.speed", "double"), F.col("line").try_cast("double"))
+    speeds = F.coalesce(F.try_variant_get(v, "$.speed", "array<double>"), F.array(one))
+    parsed = lines.select(F.explode(speeds).alias("s")).where("s IS NOT NULL")
     return parsed.groupBy(F.when(F.col("s") > 0, "inbound").otherwise("outbound").alias("direction")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("s")).alias("total"))
 
 
-RADAR_SQL = """, l AS (SELECT CASE event_id % 3 WHEN 0 THEN event_id % 80 - 40 WHEN 1 THEN event_id % 60 - 30 END::DOUBLE AS s FROM events)
-SELECT CASE WHEN s > 0 THEN 'inbound' ELSE 'outbound' END AS direction, count(*) AS n, sum(abs(s)) AS total FROM l WHERE s IS NOT NULL GROUP BY 1"""
-RADAR_SQL = "WITH" + RADAR_SQL[1:]
+RADAR_SQL = """WITH l AS (SELECT unnest(CASE event_id % 4 WHEN 0 THEN [event_id % 80 - 40] WHEN 1 THEN [event_id % 60 - 30] WHEN 2 THEN [event_id % 50 - 25, event_id % 30 - 15] END)::DOUBLE AS s FROM events)
+SELECT CASE WHEN s > 0 THEN 'inbound' ELSE 'outbound' END AS direction, count(*) AS n, sum(abs(s)) AS total FROM l GROUP BY 1"""
 
 QUERIES = {
     "json_tolerant_scan": (json_tolerant_scan, TOLERANT_SQL),

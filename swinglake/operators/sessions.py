@@ -156,20 +156,35 @@ def frame_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEIGHBOURS_SQL = READINGS + """SELECT session_id, seq, magnitude FROM (SELECT *, max((magnitude >= 95)::INT) OVER (PARTITION BY session_id ORDER BY us, seq ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near FROM readings) WHERE near = 1"""
 
 
+def signal_ends(df: DataFrame, keys: list[str], order: str, value: str, smooth: int = 90, reference: int = 450, share: float = 0.15, hold: int = 150) -> DataFrame:
+    """Per key: its number of rows, its reference level, and the place (from 0) at which its signal is lost, else its number of rows.
+
+    The signal is smoothed by a centred mean of ``smooth`` rows, rows beyond an end being 0. The reference is the median of the
+    first ``reference`` smoothed values. The signal is lost at the first of ``hold`` rows on end that are below the share of the
+    reference; a signal shorter than the reference, or whose reference isn't above 0, isn't lost.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    half = smooth // 2
+    rows = df.select(*keys, order, (F.sum(value).over(w.rowsBetween(-half, smooth - half - 1)) / smooth).alias("smooth"), (F.row_number().over(w) - 1).alias("at"))
+    levels = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile(F.when(F.col("at") < reference, F.col("smooth")), F.lit(0.5)).alias("level"))
+    below = rows.join(levels, keys).withColumn("below", (F.col("smooth") < share * F.col("level")).cast("int"))
+    lost = below.withColumn("run", F.sum("below").over(w.rowsBetween(0, hold - 1))).where((F.col("run") == hold) & (F.col("n") >= reference) & (F.col("level") > 0))
+    first = lost.groupBy(*keys).agg(F.min("at").alias("lost"))
+    return levels.join(first, keys, "left").select(*keys, "n", F.round("level", 5).alias("level"), F.coalesce("lost", "n").cast("long").alias("end"))
+
+
 def rolling_mean_below(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sum of the last nine readings, and whether the last fifteen were all below it by half at least."""
-    w = Window.partitionBy("session_id").orderBy("us", "seq")
-    r = lens(spark, sf_dir, "readings")
-    return r.select(
-        "session_id",
-        "seq",
-        F.round(F.sum("speed_mph").over(w.rowsBetween(-8, 0)), 2).alias("sum9"),
-        (F.max("speed_mph").over(w.rowsBetween(-4, 0)) < F.avg("speed_mph").over(w.rowsBetween(Window.unboundedPreceding, 0)) * 0.9).alias("quiet"),
-    )
+    """Where the signals of eight captures end; a capture is an eighth of the readings, the odd ones of which are all but silent from a place on."""
+    faded = F.when((F.col("session_id") % 2 == 1) & (F.col("seq") % 10000 > 7000), F.col("magnitude") * 0.02).otherwise(F.col("magnitude"))
+    r = lens(spark, sf_dir, "readings").select((F.col("session_id") % 8).alias("capture"), "seq", faded.alias("value"))
+    return signal_ends(r, ["capture"], "seq", "value")
 
 
-ROLLING_SQL = READINGS + """SELECT session_id, seq, round(sum(speed_mph) OVER (PARTITION BY session_id ORDER BY us, seq ROWS 8 PRECEDING), 2) AS sum9,
-max(speed_mph) OVER (PARTITION BY session_id ORDER BY us, seq ROWS 4 PRECEDING) < avg(speed_mph) OVER (PARTITION BY session_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) * 0.9 AS quiet FROM readings"""
+ROLLING_SQL = READINGS + """, r AS (SELECT session_id % 8 AS capture, seq, CASE WHEN session_id % 2 = 1 AND seq % 10000 > 7000 THEN magnitude * 0.02::DOUBLE ELSE magnitude END AS v FROM readings),
+s AS (SELECT capture, row_number() OVER w - 1 AS at_row, sum(v) OVER (PARTITION BY capture ORDER BY seq ROWS BETWEEN 45 PRECEDING AND 44 FOLLOWING) / 90 AS s FROM r WINDOW w AS (PARTITION BY capture ORDER BY seq)),
+l AS (SELECT capture, count(*) AS n, quantile_cont(s, 0.5) FILTER (at_row < 450) AS level FROM s GROUP BY 1),
+b AS (SELECT s.capture, at_row, n, level, sum((s < 0.15::DOUBLE * level)::INT) OVER (PARTITION BY s.capture ORDER BY at_row ROWS BETWEEN CURRENT ROW AND 149 FOLLOWING) AS k FROM s JOIN l ON s.capture = l.capture)
+SELECT capture, max(n) AS n, round(max(level), 5) AS level, coalesce(min(at_row) FILTER (k = 150 AND n >= 450 AND level > 0), max(n)) AS "end" FROM b GROUP BY 1"""
 
 
 def paged_recent(spark: SparkSession, sf_dir: str, page: int = 3, size: int = 5) -> DataFrame:
@@ -180,13 +195,13 @@ def paged_recent(spark: SparkSession, sf_dir: str, page: int = 3, size: int = 5)
 PAGED_SQL = SHOTS + "SELECT session_id, shot_number, ball_speed, club FROM shots ORDER BY us DESC, shot_number DESC LIMIT 5 OFFSET 15"
 
 
-def recent_retained(spark: SparkSession, sf_dir: str, keep: int = 4) -> DataFrame:
+def recent_retained(spark: SparkSession, sf_dir: str, keep: int = 200) -> DataFrame:
     """The newest shots of each session, numbered from the newest."""
     w = Window.partitionBy("session_id").orderBy(F.desc("us"), F.desc("shot_number"))
     return lens(spark, sf_dir, "shots").withColumn("age", F.row_number().over(w)).where(F.col("age") <= keep).select("session_id", "shot_number", F.col("age").cast("long").alias("age"))
 
 
-RETAINED_SQL = SHOTS + "SELECT session_id, shot_number, age FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY us DESC, shot_number DESC) AS age FROM shots) WHERE age <= 4"
+RETAINED_SQL = SHOTS + "SELECT session_id, shot_number, age FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY us DESC, shot_number DESC) AS age FROM shots) WHERE age <= 200"
 
 
 def packet_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +228,9 @@ def mode_bin_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = lens(spark, sf_dir, "readings").where("direction = 'outbound'").select("session_id", "speed_mph", F.bround("speed_mph").alias("bin"))
     bins = r.groupBy("session_id", "bin").agg(F.count(F.lit(1)).alias("k"), F.max("speed_mph").alias("top"))
     fastest = bins.groupBy("session_id").agg(F.max(F.when(F.col("k") >= 2, F.col("bin"))).alias("bin"), F.max("top").alias("top"))
-    near = r.select("session_id", "speed_mph").join(fastest.select("session_id", F.col("bin").alias("best")), "session_id").where(F.abs(F.col("speed_mph") - F.col("best")) <= 2)
+    # only bins that can hold such a speed meet their readings again
+    close = bins.join(fastest.select("session_id", F.col("bin").alias("best")), "session_id").where(F.abs(F.col("bin") - F.col("best")) <= 3).select("session_id", "bin", "best")
+    near = r.join(close, ["session_id", "bin"]).where(F.abs(F.col("speed_mph") - F.col("best")) <= 2)
     picked = near.groupBy("session_id").agg(F.max("speed_mph").alias("picked"))
     return fastest.join(picked, "session_id", "left").select("session_id", F.col("bin").alias("mode_bin"), F.coalesce("picked", "top").alias("ball_speed"))
 

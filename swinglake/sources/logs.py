@@ -21,7 +21,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def tolerant(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """Lines that are JSON objects, with ``v`` as VARIANT; NUL bytes are taken out, blank and broken lines and other JSON left out."""
-    clean = F.regexp_replace(F.col(raw), "\u0000", "")
+    clean = F.translate(F.col(raw), "\u0000", "")
     v = F.try_parse_json(clean)
     return lines.withColumn("v", v).where(F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT"))
 
