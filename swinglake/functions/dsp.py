@@ -132,61 +132,3 @@ def spin_rpm(envelope: np.ndarray, fs: float, low: float = 33.0, high: float = 2
     k = band[int(np.argmax(s[band]))]
     noise = float(np.median(s[1:]))
     return float(f[k] * 60), float(s[k] / noise) if noise > 0 else 0.0, depth
-
-
-# Fixed values of a golf ball and of the air, and of the flight model.
-MASS, RADIUS, AIR, GRAVITY = 0.04593, 0.02135, 1.225, 9.81
-CD0, CD_SPIN, CL_TOP, CL_HALF, DECAY = 0.205, 0.18, 0.32, 0.15, 0.04
-DT, LONGEST, YARDS, MPS = 0.002, 15.0, 1.09361, 0.44704
-
-
-def fly(mph: np.ndarray, up: np.ndarray, side: np.ndarray, rpm: np.ndarray, axis: np.ndarray, cd0: float = CD0, cl_top: float = CL_TOP) -> dict[str, np.ndarray]:
-    """Flights of many balls at once by fourth-order Runge-Kutta, until each has come down."""
-    v0, a, h, tilt = mph * MPS, np.radians(up), np.radians(side), np.radians(axis)
-    s = np.stack([np.zeros_like(v0)] * 3 + [v0 * np.cos(a) * np.cos(h), v0 * np.cos(a) * np.sin(h), v0 * np.sin(a)])
-    ax = np.stack([np.zeros_like(tilt), -np.cos(tilt), np.sin(tilt)])
-    omega = rpm * 2 * np.pi / 60
-    n = len(mph)
-    out = {k: np.full(n, np.nan) for k in ("carry_yd", "apex_yd", "lateral_yd", "time_s", "landing_deg")}
-    top, live, t = np.zeros(n), np.arange(n), 0.0
-
-    def slope(s: np.ndarray, omega: np.ndarray, ax: np.ndarray) -> np.ndarray:
-        v = s[3:]
-        speed = np.sqrt((v * v).sum(0))
-        still = speed < 1e-6
-        safe = np.where(still, 1.0, speed)
-        sp = RADIUS * omega / safe
-        q = 0.5 * AIR * safe * safe * np.pi * RADIUS**2 / MASS
-        lift = np.where(sp > 0, cl_top * sp / (CL_HALF + sp), 0.0) * q
-        cross = np.cross(ax, v, axis=0)
-        size = np.sqrt((cross * cross).sum(0))
-        acc = -(cd0 + CD_SPIN * sp) * q * v / safe + np.where(size > 1e-6, lift * cross / np.where(size > 1e-6, size, 1.0), 0.0)
-        acc = np.where(still, 0.0, acc)
-        acc[2] -= GRAVITY
-        return np.concatenate((v, acc))
-
-    while len(live) and t < LONGEST:
-        k1 = slope(s, omega, ax)
-        k2 = slope(s + DT / 2 * k1, omega, ax)
-        k3 = slope(s + DT / 2 * k2, omega, ax)
-        k4 = slope(s + DT * k3, omega, ax)
-        new = s + DT / 6 * (k1 + 2 * k2 + 2 * k3 + k4)
-        t += DT
-        omega = omega * np.exp(-DECAY * DT)
-        top[live] = np.maximum(top[live], new[2])
-        down = (new[2] <= 0) & (t > DT)
-        if t >= LONGEST:
-            down[:] = True
-        if down.any():
-            drop = s[2, down] - new[2, down]
-            part = np.where(np.abs(drop) > 1e-9, s[2, down] / np.where(drop == 0, 1, drop), 0.0)
-            if t >= LONGEST:
-                part = np.where(new[2, down] > 0, 1.0, part)
-            end = s[:, down] + part * (new[:, down] - s[:, down])
-            ids = live[down]
-            out["carry_yd"][ids], out["lateral_yd"][ids] = end[0] * YARDS, end[1] * YARDS
-            out["time_s"][ids] = t - DT + part * DT
-            out["landing_deg"][ids] = np.degrees(np.arctan2(-end[5], np.hypot(end[3], end[4])))
-            out["apex_yd"][ids] = top[ids] * YARDS
-        s, omega, ax, live = new[:, ~down], omega[~down], ax[:, ~down], live[~down]
-    return out

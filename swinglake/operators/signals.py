@@ -9,19 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swinglake.functions import clubs, dsp
-from swinglake.functions.lens import lens
+from swinglake.functions import dsp
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal few but costly rows to all cores."""
-    return df.repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
-
-
 def dft_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Magnitudes of the first eight frequencies of each frame."""
 
@@ -86,57 +80,96 @@ def cfar_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            rows = [(v, rank, k, r) for v, x in zip(p["vec_id"], p["x"], strict=True) for rank, (k, r) in enumerate(dsp.cfar(np.abs(np.fft.fft(x, 128))[:64], 8, 2))]
+            rows = [(v, rank, k, round(r, 6)) for v, x in zip(p["vec_id"], p["x"], strict=True) for rank, (k, r) in enumerate(dsp.cfar(np.abs(np.fft.fft(x, 128))[:64], 8, 2))]
             yield pd.DataFrame(rows, columns=["vec_id", "place", "bin", "ratio"])
 
     return _frames(spark, sf_dir).select("vec_id", "x").mapInPandas(run, "vec_id long, place int, bin int, ratio double")
 
 
-def capture_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Radar captures of 256 samples made from shots, turned back into speed readings."""
+CFAR_SQL = """WITH k AS (SELECT vec_id, unnest(range(0, 64)) AS bin, embedding FROM embeddings),
+t AS (SELECT vec_id, bin, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS i FROM k),
+m AS (SELECT vec_id, bin, sqrt(pow(sum(x * cos(2 * pi() * bin * i / 128)), 2) + pow(sum(x * sin(2 * pi() * bin * i / 128)), 2)) AS m FROM t GROUP BY 1, 2),
+n AS (SELECT a.vec_id, a.bin, a.m, quantile_cont(b.m, 0.5) AS noise FROM m a JOIN m b ON a.vec_id = b.vec_id AND abs(a.bin - b.bin) BETWEEN 3 AND 10 GROUP BY 1, 2, 3)
+SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY m / noise DESC, bin) - 1)::INT AS place, bin::INT AS bin, round(m / noise, 6) AS ratio FROM n WHERE noise > 0 AND m > 3 * noise"""
+
+
+def frame_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speed peaks of each frame read as a capture of 32 complex samples, at most three to either direction and 50 bins apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = np.arange(256) / dsp.FS
         for p in batches:
             rows = []
-            for shot, ball in zip(p["shot_number"], p["ball_speed"], strict=True):
-                f = ball / dsp.MPH_PER_BIN * dsp.FS / dsp.FFT
-                i, q = 2048 + 400 * np.cos(2 * np.pi * f * t), 2048 + 400 * np.sin(2 * np.pi * f * t)
-                rows += [(shot, *r) for r in dsp.speed_readings(i, q)]
-            yield pd.DataFrame(rows, columns=["shot_number", "ms", "mph", "magnitude", "direction"])
+            for v, x in zip(p["vec_id"], p["x"], strict=True):
+                s = np.abs(np.fft.fft((x[0::2] - x[0::2].mean()) + 1j * (x[1::2] - x[1::2].mean()), dsp.FFT))
+                for side, half in (("outbound", s[dsp.LOW_BIN : dsp.HIGH_BIN + 1]), ("inbound", s[dsp.FFT - dsp.LOW_BIN : dsp.FFT // 2 : -1])):
+                    rows += [(v, side, (k + dsp.LOW_BIN) * dsp.MPH_PER_BIN, float(half[k])) for k in dsp.peaks(half, floor=0.0)]
+            yield pd.DataFrame(rows, columns=["vec_id", "direction", "mph", "magnitude"])
 
-    shots = spread(lens(spark, sf_dir, "shots").select("shot_number", "ball_speed"))
-    return shots.mapInPandas(run, "shot_number long, ms double, mph double, magnitude double, direction string")
+    return _frames(spark, sf_dir).select("vec_id", "x").mapInPandas(run, "vec_id long, direction string, mph double, magnitude double")
 
 
-def flight_rk4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Carry, apex, lateral, time and landing angle of every shot with a launch angle."""
+def impact_frames(spark: SparkSession, sf_dir: str, threshold: float = 1.5) -> DataFrame:
+    """Frames of a label whose high-frequency energy (bins 16 to 31) is above the threshold times the median of those with any."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            got = dsp.fly(*(p[c].to_numpy(float) for c in ("ball_speed", "launch_v", "launch_h", "spin", "axis")))
-            yield pd.DataFrame({"shot_number": p["shot_number"], **got, "total_yd": got["carry_yd"] + np.maximum(0.0, 30 * np.cos(np.radians(got["landing_deg"])))})
+            s = np.abs(np.fft.fft(np.stack(p["x"].to_numpy()), axis=1))[:, 16:32] if len(p) else np.zeros((0, 16))
+            yield pd.DataFrame({"vec_id": p["vec_id"], "label": p["label"], "energy": (s * s).sum(axis=1)})
+
+    f = _frames(spark, sf_dir)
+    energies = f.mapInPandas(run, f"vec_id long, label {dict(f.dtypes)['label']}, energy double")
+    level = energies.groupBy("label").agg(F.percentile(F.when(F.col("energy") > 0, F.col("energy")), F.lit(0.5)).alias("level"))
+    return energies.join(level, "label").where(F.col("energy") > threshold * F.col("level")).select("vec_id", "label", F.round("energy", 4).alias("energy"))
+
 
-    s = clubs.with_club(lens(spark, sf_dir, "shots")).where("launch_v IS NOT NULL")
-    spin = F.when((F.col("spin_confidence") >= 0.6) & F.col("spin_rpm").isNotNull(), F.col("spin_rpm")).otherwise(F.col("typical_spin"))
-    s = s.select("shot_number", "ball_speed", "launch_v", F.coalesce("launch_h", F.lit(0.0)).alias("launch_h"), spin.alias("spin"), F.coalesce(F.col("face_deg") - F.col("path_deg"), F.lit(0.0)).alias("axis"))
-    return spread(s).mapInPandas(run, "shot_number long, carry_yd double, apex_yd double, lateral_yd double, time_s double, landing_deg double, total_yd double")
+IMPACT_SQL = """WITH k AS (SELECT vec_id, label, unnest(range(16, 32)) AS freq, embedding FROM embeddings),
+t AS (SELECT vec_id, label, freq, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS i FROM k),
+m AS (SELECT vec_id, label, freq, pow(sum(x * cos(2 * pi() * freq * i / 64)), 2) + pow(sum(x * sin(2 * pi() * freq * i / 64)), 2) AS p FROM t GROUP BY 1, 2, 3),
+e AS (SELECT vec_id, label, sum(p) AS energy FROM m GROUP BY 1, 2), l AS (SELECT label, quantile_cont(energy, 0.5) AS level FROM e GROUP BY 1)
+SELECT vec_id, e.label, round(energy, 4) AS energy FROM e JOIN l ON e.label = l.label WHERE energy > 1.5 * level"""
 
 
-def mock_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shots drawn around each club's typical speed, held within bounds; one session for each customer."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("session_id"), F.element_at(F.array(*[F.lit(n) for n in clubs.NAMES]), (F.col("c_custkey") % 21 + 1).cast("int")).alias("club"))
-    ball = F.greatest(F.lit(40.0), F.least(F.lit(200.0), F.col("launch_mph") + F.randn(7) * 6))
-    return clubs.with_club(c).select("session_id", "club", F.round(ball, 1).alias("ball_speed"), F.round(F.col("typical_spin") * (1 + F.randn(8) * 0.1)).alias("spin_rpm"))
+def channel_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The angle between two channels of a frame (its halves as complex samples) from their summed cross product, and how well its phases agree."""
+    f = _frames(spark, sf_dir)
+    part = lambda c: F.filter(F.slice("x", c[0] + 1, 32), lambda v, k: k % 2 == c[1])
+    f = f.select("vec_id", *[part(c).alias(n) for n, c in {"ai": (0, 0), "aq": (0, 1), "bi": (32, 0), "bq": (32, 1)}.items()])
+    s = f.select("vec_id", F.explode(F.arrays_zip("ai", "aq", "bi", "bq")).alias("s")).select("vec_id", "s.*")
+    real, imaginary = F.col("ai") * F.col("bi") + F.col("aq") * F.col("bq"), F.col("aq") * F.col("bi") - F.col("ai") * F.col("bq")
+    sums = s.groupBy("vec_id").agg(F.sum(real).alias("re"), F.sum(imaginary).alias("im"), F.sum(F.sqrt(real * real + imaginary * imaginary)).alias("size"))
+    sine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.atan2("im", "re") / F.pi()))
+    return sums.select("vec_id", F.round(F.degrees(F.asin(sine)), 5).alias("angle"), F.round(F.try_divide(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")), F.col("size")), 5).alias("coherence"))
+
+
+CHANNEL_ANGLES_SQL = """WITH s AS (SELECT vec_id, unnest(range(0, 16)) AS k, embedding AS e FROM embeddings),
+c AS (SELECT vec_id, e[2 * k + 1]::DOUBLE AS ai, e[2 * k + 2]::DOUBLE AS aq, e[2 * k + 33]::DOUBLE AS bi, e[2 * k + 34]::DOUBLE AS bq FROM s),
+p AS (SELECT vec_id, ai * bi + aq * bq AS re, aq * bi - ai * bq AS im FROM c),
+t AS (SELECT vec_id, sum(re) AS re, sum(im) AS im, sum(sqrt(re * re + im * im)) AS size FROM p GROUP BY 1)
+SELECT vec_id, round(degrees(asin(greatest(-1, least(1, atan2(im, re) / pi())))), 5) AS angle, round(sqrt(re * re + im * im) / size, 5) AS coherence FROM t"""
+
+
+def fringe_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame in four parts in time: the energy of each, how much of it lies in the strongest part, and whether energy rises towards it."""
+    energy = lambda w: F.aggregate(w, F.lit(0.0), lambda s, v: s + v * v)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(energy(F.slice("x", k * 16 + 1, 16)).alias("e"), (-k).alias("first")))
+    f = _frames(spark, sf_dir).select("vec_id", parts.alias("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda s, v: s + v["e"])
+    best = F.array_max("p")
+    return f.select("vec_id", (-best["first"]).alias("part"), F.round(F.try_divide(best["e"], total), 6).alias("share"), (F.col("p")[1]["e"] > F.col("p")[0]["e"]).alias("rises"))
+
 
+FRINGE_SQL = """WITH p AS (SELECT vec_id, unnest(range(0, 4)) AS k, embedding FROM embeddings),
+e AS (SELECT vec_id, k, list_sum(list_transform(embedding[k * 16 + 1:k * 16 + 16], lambda v: v::DOUBLE * v::DOUBLE)) AS e FROM p)
+SELECT vec_id, arg_max(k, (e, -k))::INT AS part, round(max(e) / sum(e), 6) AS share, max(e) FILTER (k = 1) > max(e) FILTER (k = 0) AS rises FROM e GROUP BY 1"""
 
 QUERIES = {
     "dft_magnitude": (dft_magnitude, DFT_SQL),
     "sliding_windows": (sliding_windows, SLIDING_SQL),
     "median_iqr_band": (median_iqr_band, BAND_SQL),
     "channel_health": (channel_health, HEALTH_SQL),
-    "cfar_peaks": (cfar_peaks, None),
-    "capture_speeds": (capture_speeds, None),
-    "flight_rk4": (flight_rk4, None),
-    "mock_shots": (mock_shots, None),
+    "cfar_peaks": (cfar_peaks, CFAR_SQL),
+    "frame_speeds": (frame_speeds, None),
+    "impact_frames": (impact_frames, IMPACT_SQL),
+    "channel_angles": (channel_angles, CHANNEL_ANGLES_SQL),
+    "fringe_metrics": (fringe_metrics, FRINGE_SQL),
 }

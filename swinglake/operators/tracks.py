@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swinglake.functions.lens import lens, with_lenses
-from swinglake.functions.tracks import Hit, best_path
+from swinglake.functions.tracks import best_path
 from swinglake.operators.joins import interval_join
 
 READINGS = with_lenses("readings")
@@ -15,19 +14,22 @@ MINUTE = 60_000_000
 
 
 def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best path through what follows each purchase within 26 hours (an hour stands for 10 ms); a group is one event's window."""
+    """The best path through what follows each purchase within 26 hours (an hour stands for 10 ms), given what was there in the hours before.
+
+    An event's detections are an array of bounded length, that of its window; the fold over it runs in the JVM.
+    """
     r = lens(spark, sf_dir, "readings")
     events = r.where("event_type = 'purchase'").select("session_id", F.col("seq").alias("event"), F.col("us").alias("event_us"))
     hits = r.where("event_type <> 'purchase'").select("session_id", "seq", "us", "speed_mph", "magnitude")
-    near = interval_join(hits, events, ["session_id"], "us", "event_us", 0, 26 * 60 * MINUTE)
-
-    def path(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["us", "seq"])
-        hits = [Hit(int(h.seq), (h.us - h.event_us) / (360 * 1e6), 0.6 + h.speed_mph / 60, h.magnitude / 5, 1500 + h.magnitude * 20) for h in g.itertuples()]
-        score, found = best_path(hits)
-        return pd.DataFrame([(g["session_id"].iloc[0], g["event"].iloc[0], len(hits), len(found), round(score, 6), found[-1].frame if found else None)], columns=["session_id", "event", "hits", "points", "score", "last"])
-
-    return near.groupBy("session_id", "event").applyInPandas(path, "session_id long, event long, hits long, points long, score double, last long")
+    near = interval_join(hits, events, ["session_id"], "us", "event_us", 26 * 60 * MINUTE, 26 * 60 * MINUTE)
+    ms = (F.col("us") - F.col("event_us")).cast("double") / (360 * 1e6)
+    hit = F.struct(F.col("seq").alias("frame"), ms.alias("ms"), (0.6 + F.col("speed_mph") / 60).alias("distance"), (F.col("magnitude") / 5).alias("angle"), (1500 + F.col("magnitude") * 20).alias("magnitude"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", hit.alias("hit")))), lambda x: x["hit"])
+    found = near.groupBy("session_id", "event").agg(listed.alias("all"))
+    found = found.withColumn("hits", F.filter("all", lambda h: h["ms"] >= 0)).withColumn("best", best_path(F.col("hits"), F.filter("all", lambda h: h["ms"] < 0)))
+    return found.select(
+        "session_id", "event", F.size("hits").alias("hits"), F.coalesce(F.size("best.path"), F.lit(0)).alias("points"), F.round("best.score", 6).alias("score"), F.element_at("best.path", -1)["frame"].alias("last")
+    )
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
