@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Entry types that may leave the device, and the most bytes of a line.
@@ -14,9 +14,18 @@ LINE_BYTES = 32_768
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, raw) of text files: a line's number counts from 0 in its file."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "raw"))
+    """(file, line_no, raw) of text files: a line's number counts from 0 in its file.
+
+    A file is read in blocks, as Spark splits it: lines are numbered inside their block, and a block begins behind the lines
+    of those before it, which are counted first.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__nth"), F.col("value").alias("raw")
+    )
+    before = Window.partitionBy("file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "__at").agg(F.count(F.lit(1)).alias("__n")).select("file", "__at", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    inside = F.row_number().over(Window.partitionBy("file", "__at").orderBy("__nth")) - 1
+    return lines.withColumn("__in", inside).join(blocks, ["file", "__at"]).select("file", (F.col("__first") + F.col("__in")).alias("line_no"), "raw")
 
 
 def tolerant(lines: DataFrame, raw: str = "raw") -> DataFrame:

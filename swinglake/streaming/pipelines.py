@@ -5,6 +5,7 @@ Each takes a streaming (or batch) DataFrame and returns one; sources and sinks a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -79,21 +80,17 @@ def clock_state(reads: DataFrame, key: str, at: str = "ts", ttl_s: float = 60.0)
     schema = f"{key} long, {at} timestamp, offset_s double, source string"
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else (None, None)
-        out = []
-        for p in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: getattr(r, at)):
-            t, offset = getattr(p, at).timestamp(), p.offset_s
-            if not pd.isna(offset):
-                held = (float(offset), t)
-                out.append((k[0], getattr(p, at), float(offset), "fresh"))
-            elif held[1] is not None and t - held[1] <= ttl_s:
-                out.append((k[0], getattr(p, at), held[0], "previous"))
-            else:
-                out.append((k[0], getattr(p, at), None, "none"))
-        if held[1] is not None:
-            state.update(held)
-        if out:
-            yield pd.DataFrame(out, columns=[key, at, "offset_s", "source"])
+        offset, since = state.get if state.exists else (None, None)
+        batch = pd.concat(list(batches)).sort_values(at, kind="stable")
+        seconds = batch[at].astype("datetime64[ns]").astype("int64") / 1e9
+        own = batch["offset_s"].notna()
+        last = batch["offset_s"].ffill().fillna(math.nan if offset is None else offset)
+        last_at = seconds.where(own).ffill().fillna(math.nan if since is None else since)
+        held = (seconds - last_at <= ttl_s) & last.notna()
+        source = pd.Series("none", batch.index).mask(held, "previous").mask(own, "fresh")
+        if last.notna().iloc[-1]:
+            state.update((float(last.iloc[-1]), float(last_at.iloc[-1])))
+        yield pd.DataFrame({key: k[0], at: batch[at], "offset_s": last.where(held), "source": source})
 
     return reads.select(key, at, "offset_s").groupBy(key).applyInPandasWithState(run, schema, "offset_s double, at double", "append", GroupStateTimeout.NoTimeout)
 
@@ -140,3 +137,42 @@ def ring_buffer(frames: DataFrame, key: str, at: str = "ts", size: int = 204) ->
         yield pd.DataFrame([(k[0], held[-1] if held else None, len(held), dropped)], columns=[key, "newest", "held", "dropped"])
 
     return frames.groupBy(key).applyInPandasWithState(run, schema, "held array<bigint>, dropped long", "update", GroupStateTimeout.NoTimeout)
+
+
+def buffer_warnings(joined: DataFrame, key: str, window_s: float = 6.75, hz: float = 34.0, after_s: float = 0.75, least: float = 0.5) -> DataFrame:
+    """Of each shot with its frames (rows of :func:`shot_frames`): how many it has, whether that is under the share of what its window should
+    hold, and whether none came after the shot. ``joined`` is a batch, or one micro-batch of the stream."""
+    late = F.count_if(F.col("frame_ts") > F.col("shot_ts"))
+    counts = joined.groupBy(key, "shot", "shot_ts").agg(F.count("frame").alias("frames"), late.alias("after"))
+    return counts.select(key, "shot", "frames", (F.col("frames") < least * window_s * hz).alias("underfilled"), (F.col("after") == 0).alias("nothing_after"))
+
+
+def uploadable(lines: DataFrame, types: tuple[str, ...], dropped: tuple[str, ...] = ("radc_b64", "frames", "i_samples", "q_samples"), raw: str = "raw") -> DataFrame:
+    """Lines of the allowed types without their raw payloads: a projection, so it runs on a stream as on a table. Other lines and broken ones are left out."""
+    fields = F.from_json(raw, "map<string, variant>")
+    kept = F.map_filter(fields, lambda k, v: ~k.isin(*dropped))
+    return lines.withColumn("__f", kept).where(F.try_variant_get(F.col("__f")["type"], "$", "string").isin(*types)).withColumn(raw, F.to_json("__f")).drop("__f")
+
+
+def shot_buffers(events: DataFrame, key: str, at: str = "ts", size: int = 204) -> DataFrame:
+    """For each shot the frames held since the shot before it, at most the newest ``size``; the buffer is then empty.
+
+    ``events`` has ``frame``, null where the event is a shot. State holds frame numbers only.
+    """
+    schema = f"{key} long, {at} timestamp, frames array<bigint>"
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        batch = pd.concat(list(batches)).sort_values(at, kind="stable")
+        shots = batch["frame"].isna().to_numpy()
+        turn = shots.cumsum() - shots  # how many shots came before
+        out = []
+        for n, part in batch.groupby(turn):
+            held += part["frame"].dropna().astype(int).tolist()
+            if n < shots.sum():
+                out.append((k[0], part[at].iloc[-1], held[-size:]))
+                held = []
+        state.update((held[-size:],))
+        yield pd.DataFrame(out, columns=[key, at, "frames"])
+
+    return events.select(key, at, "frame").groupBy(key).applyInPandasWithState(run, schema, "held array<bigint>", "append", GroupStateTimeout.NoTimeout)

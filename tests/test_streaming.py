@@ -60,3 +60,35 @@ def test_gap_exactly_at_the_limit_stays(spark):
     ms = [0, 450, 1000]
     df = spark.createDataFrame([(1, T0 + timedelta(milliseconds=m)) for m in ms], "k long, ts timestamp")
     assert sorted(r["n"] for r in pipelines.gap_sessions(df, "k").collect()) == [1, 2]
+
+
+def test_ring_buffer_keeps_the_newest(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    batches = [[(1, at(i), i) for i in range(5)], [(1, at(i), i) for i in range(5, 8)]]
+    got = drive(spark, tmp_path, batches, "k long, ts timestamp, frame long", lambda s: pipelines.ring_buffer(s, "k", size=4), mode="update")
+    assert [(r["newest"], r["held"], r["dropped"]) for r in sorted(got, key=lambda r: r["newest"])] == [(4, 4, 1), (7, 4, 4)]
+
+
+def test_running_stats(spark, tmp_path):
+    got = drive(spark, tmp_path, [[(1, 100.0)], [(1, 110.0), (2, 90.0)]], "k long, ball_speed double", lambda s: pipelines.running_stats(s, "k"), mode="update")
+    assert sorted((r["k"], r["shot_count"], r["avg_ball"]) for r in got) == [(1, 1, 100.0), (1, 2, 105.0), (2, 1, 90.0)]
+
+
+def test_shot_empties_the_buffer(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    batches = [[(1, at(0), 10), (1, at(1), 11), (1, at(2), None), (1, at(3), 12)], [(1, at(4), 13), (1, at(5), 14), (1, at(6), 15), (1, at(7), None), (1, at(8), None)]]
+    got = drive(spark, tmp_path, batches, "k long, ts timestamp, frame long", lambda s: pipelines.shot_buffers(s, "k", size=3))
+    assert [(r["ts"], r["frames"]) for r in sorted(got, key=lambda r: r["ts"])] == [(at(2), [10, 11]), (at(7), [13, 14, 15]), (at(8), [])]
+
+
+def test_buffer_warnings(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    rows = [(1, 7, at(10), i, at(4 + i * 0.05)) for i in range(130)] + [(1, 8, at(50), 999, at(49))]
+    got = {r["shot"]: r for r in pipelines.buffer_warnings(spark.createDataFrame(rows, "k long, shot long, shot_ts timestamp, frame long, frame_ts timestamp"), "k").collect()}
+    assert (got[7]["underfilled"], got[7]["nothing_after"]) == (False, False) and (got[8]["underfilled"], got[8]["nothing_after"]) == (True, True)
+
+
+def test_payloads_are_left_out_of_uploads(spark, tmp_path):
+    lines = ['{"type": "shot", "n": 1, "radc_b64": "AAAA"}', '{"type": "other"}', "broken", '{"type": "shot", "frames": [1, 2]}']
+    got = drive(spark, tmp_path, [[(x,) for x in lines]], "raw string", lambda s: pipelines.uploadable(s, ("shot",)))
+    assert sorted(r["raw"] for r in got) == ['{"type":"shot","n":1}', '{"type":"shot"}']
