@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from swinglake.llm.common import crc_mod, table
+from swinglake.llm.common import crc_mod, table, written
 
 SEGMENT = 128
 SPACE = 0x20
+#: Sample keys that go to all tasks; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 #: Segments that advance together.
 WIDTH = 2048
 
@@ -186,7 +188,9 @@ def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     known = known.withColumn("r", F.xxhash64("id", "text"))
     order = Window.partitionBy("lang").orderBy("r")
     first = known.select("lang", "r").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
-    first = first.groupBy("lang", "r").agg(F.count(F.lit(1)).alias("n"))
+    first = written(first.groupBy("lang", "r").agg(F.count(F.lit(1)).alias("n")), "langid-sample")
+    # a row for each of the sample: they go to the texts, unless there are very many languages
+    first = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
