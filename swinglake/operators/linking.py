@@ -186,7 +186,55 @@ ORDER_SQL = SHOTS + """, c AS (SELECT DISTINCT club FROM shots), k AS (SELECT cl
 WHEN club IN ('pw', 'gw', 'sw', 'lw') THEN 4 ELSE 5 END AS kind, coalesce(TRY_CAST(regexp_extract(club, '^(\\d+)-', 1) AS INT), coalesce(list_position(['pw', 'gw', 'sw', 'lw'], club), 0))::INT AS number FROM c)
 SELECT club, kind, number, row_number() OVER (ORDER BY kind, number, club) AS place FROM k"""
 
+def clock_sync(reads: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Per key, how a device's clock maps to the host's: from reads with ``mid`` (host, s), ``latency_ms`` and ``clock`` (s, null if it failed).
+
+    A clock with fractions gives the offset of its quickest read. One of whole seconds is off by up to one, so its offset comes from
+    the first two valid reads in order that lie a second apart: the host's time between them is where the second turned. Without
+    such a turn, or a valid read, nothing can be said.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    valid = reads.where("clock IS NOT NULL").withColumn("off", F.col("mid") - F.col("clock"))
+    turned = (F.col("clock") - F.lag("clock").over(w)) == 1.0
+    valid = valid.withColumn("turn", F.when(turned, F.struct(order, F.lag("mid").over(w).alias("from"), F.col("mid").alias("to"), F.col("clock").alias("at"))))
+    found = valid.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("valid"),
+        F.min_by("off", F.struct("latency_ms", order)).alias("raw_offset"),
+        F.min("latency_ms").alias("latency_ms"),
+        F.when(F.count(F.lit(1)) > 1, (F.max("off") - F.min("off")) * 1000).alias("spread_ms"),
+        (F.count_if(F.abs(F.col("clock") - F.bround("clock")) > 1e-6) > 0).alias("fractions"),
+        F.min("turn").alias("turn"),
+    )
+    method = F.when(F.col("valid").isNull(), "no_valid_reads").when(F.col("fractions"), "fractional_clock").when(F.col("turn").isNotNull(), "integer_rollover").otherwise("integer_unusable_no_rollover")
+    offset = F.when(F.col("fractions"), F.col("raw_offset")).otherwise((F.col("turn.from") + F.col("turn.to")) / 2 - F.col("turn.at"))
+    uncertain = F.when(~F.col("fractions"), (F.col("turn.to") - F.col("turn.from")) * 1000)
+    return reads.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples")).join(found, keys, "left").select(
+        *keys, "samples", F.coalesce("valid", F.lit(0)).alias("valid"), method.alias("method"), F.round(offset, 6).alias("offset_s"), F.round("raw_offset", 6).alias("raw_offset_s"), "latency_ms",
+        F.round("spread_ms", 3).alias("spread_ms"), F.round(uncertain, 3).alias("uncertainty_ms"),
+    )
+
+
+_READS = """SELECT session_id, seq, n * 0.3::DOUBLE + (seq % 3) * 0.01::DOUBLE AS mid, CAST(2 + seq % 7 AS DOUBLE) AS latency_ms, CASE WHEN seq % 11 = 0 OR session_id % 10 = 9 THEN NULL
+WHEN session_id % 3 = 0 THEN n * 0.3::DOUBLE - 0.25::DOUBLE + (seq % 5) * 0.001::DOUBLE WHEN session_id % 3 = 1 THEN floor(n * 0.3::DOUBLE + 0.45::DOUBLE) ELSE 5.0::DOUBLE END AS clock
+FROM (SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS n FROM {r}) x"""
+
+
+def clock_syncs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session's readings as reads of a clock: with fractions, of whole seconds, one that stands, and one that never answers."""
+    reads = spark.sql(_READS.format(r="{r}"), r=lens(spark, sf_dir, "readings"))
+    return clock_sync(reads, ["session_id"], "seq")
+
+
+SYNC_SQL = READINGS + f""", q AS ({_READS.format(r="readings")}), v AS (SELECT *, mid - clock AS off, lag(clock) OVER w AS pc, lag(mid) OVER w AS pm FROM q WHERE clock IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+t AS (SELECT session_id, arg_min(pm, seq) AS a, arg_min(mid, seq) AS b, arg_min(clock, seq) AS c FROM v WHERE clock - pc = 1 GROUP BY 1),
+f AS (SELECT session_id, count(*) AS valid, arg_min(off, (latency_ms, seq)) AS raw, min(latency_ms) AS latency_ms, CASE WHEN count(*) > 1 THEN (max(off) - min(off)) * 1000 END AS spread, bool_or(abs(clock - round_even(clock, 0)) > 1e-6) AS fr FROM v GROUP BY 1),
+n AS (SELECT session_id, count(*) AS samples FROM q GROUP BY 1)
+SELECT n.session_id, samples, coalesce(valid, 0) AS valid, CASE WHEN valid IS NULL THEN 'no_valid_reads' WHEN fr THEN 'fractional_clock' WHEN c IS NOT NULL THEN 'integer_rollover' ELSE 'integer_unusable_no_rollover' END AS method,
+round(CASE WHEN fr THEN raw ELSE (a + b) / 2 - c END, 6) AS offset_s, round(raw, 6) AS raw_offset_s, latency_ms, round(spread, 3) AS spread_ms, round(CASE WHEN NOT fr THEN (b - a) * 1000 END, 3) AS uncertainty_ms
+FROM n LEFT JOIN f ON n.session_id = f.session_id LEFT JOIN t ON n.session_id = t.session_id"""
+
 QUERIES = {
+    "clock_syncs": (clock_syncs, SYNC_SQL),
     "buffers_before_shots": (buffers_before_shots, BUFFERS_SQL),
     "shot_details": (shot_details, DETAILS_SQL),
     "sequence_pairs": (sequence_pairs, SEQUENCE_SQL),
