@@ -779,6 +779,50 @@ def test_reshard_survives(spark, data, docs, tmp_path, monkeypatch, step):
         assert {str(x.relative_to(path)) for x in (tmp_path / "t").glob("files-*/*/*.parquet")} == {f.name for f in now.files}
 
 
+# all operators: null ids, rows that repeat an id, rows alike throughout
+
+
+def test_null_ids_and_repeated_rows(spark, data, tokenizer):
+    alike = [(None, "one two three", "en", "a", 1)] * 3 + [(7, "another text of id seven", "de", None, 1), (None, None, None, None, None)]
+    rows = data + data[:30] + alike
+    docs = clashing(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(100)] + [(None, 1, 1), (5, None, None)] + [(3, 1, 0)] * 4, "doc_id long, quality int, toxic int")
+
+    def same(found, key, values):
+        """Rows alike have the same result, and there is one for each row."""
+        got = found.collect()
+        assert len(got) == len(rows)
+        by = defaultdict(set)
+        for r in got:
+            by[key(r)].add(values(r))
+        return by
+
+    plan = same(mixing.mix_plan(docs), lambda r: (r["id"], r["key"], r["size"]), lambda r: r["copies"])
+    assert all(len(v) == 1 for v in plan.values())
+    assert mixing.mixed(docs).columns == docs.columns
+    same(simhash.near_duplicates(docs), lambda r: (r["doc_id"], r["fp"]), lambda r: r["component_id"])
+    model = toxicity.train(docs, labels, toxicity.LEARN)
+    same(toxicity.scored(docs, model, ["doc_id", "text"]), lambda r: (r["doc_id"], r["text"]), lambda r: r["score"])
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() <= len(rows)
+    judged = same(quality.judged(docs, labels), lambda r: (r["doc_id"], r["n_words"], r["word_chars"]), lambda r: r["kept"])
+    assert all(len(v) == 1 for v in judged.values())
+    names, net = langid.train(docs, F.lit(True))
+    assert names == ["de", "en"]
+    same(langid.predicted(docs, names, net), lambda r: r["doc_id"], lambda r: r["lang_pred"])
+    same(exact.exact_groups(docs), lambda r: r["doc_id"], lambda r: r["keep_id"])
+    pieces = packing.pack(docs, TOKENIZER, window=256).collect()
+    expected = Counter()
+    for i, t, *_ in rows:
+        expected[i] += len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+    found = Counter()
+    for r in pieces:
+        found[r["doc_id"]] += r["length"]
+    assert found == expected
+    similar = simhash.drop_similar(docs)
+    assert similar.columns == docs.columns and 0 < similar.count() < len(rows)
+
+
 # queries and pipeline
 
 
