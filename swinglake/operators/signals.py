@@ -162,7 +162,41 @@ FRINGE_SQL = """WITH p AS (SELECT vec_id, unnest(range(0, 4)) AS k, embedding FR
 e AS (SELECT vec_id, k, list_sum(list_transform(embedding[k * 16 + 1:k * 16 + 16], lambda v: v::DOUBLE * v::DOUBLE)) AS e FROM p)
 SELECT vec_id, arg_max(k, (e, -k))::INT AS part, round(max(e) / sum(e), 6) AS share, max(e) FILTER (k = 1) > max(e) FILTER (k = 0) AS rises FROM e GROUP BY 1"""
 
+#: Names of spectra that combine up to three channels' magnitudes.
+SOURCES = ("f1a", "f2a", "f1b", "sum12", "min12", "geom12", "sum1b", "sumall")
+
+
+def combined(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
+    """The magnitudes of three channels by every source: alone, averaged, the lesser, and the geometric mean."""
+    return dict(zip(SOURCES, (a, b, c, (a + b) / 2, np.minimum(a, b), np.sqrt(a * b), (a + c) / 2, (a + b + c) / 3), strict=True))
+
+
+def spectrum_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest bin of each frame by every source; a frame's channels are its halves and its middle as 16 complex samples. The lower of equal bins."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            x = np.stack(p["x"].to_numpy()) if len(p) else np.zeros((0, 64))
+            channels = [np.abs(np.fft.fft(x[:, k : k + 32 : 2] + 1j * x[:, k + 1 : k + 32 : 2], axis=1)) for k in (0, 32, 16)]
+            for name, s in combined(*channels).items():
+                yield pd.DataFrame({"vec_id": p["vec_id"], "source": name, "bin": s.round(6).argmax(axis=1), "magnitude": s.max(axis=1, initial=0.0).round(4)})
+
+    return _frames(spark, sf_dir).select("vec_id", "x").mapInPandas(run, "vec_id long, source string, bin int, magnitude double")
+
+
+def _channel(offset: int) -> str:
+    re = f"sum(e[2 * i + {offset + 1}] * cos(2 * pi() * bin * i / 16) + e[2 * i + {offset + 2}] * sin(2 * pi() * bin * i / 16))"
+    im = f"sum(e[2 * i + {offset + 2}] * cos(2 * pi() * bin * i / 16) - e[2 * i + {offset + 1}] * sin(2 * pi() * bin * i / 16))"
+    return f"sqrt(pow({re}, 2) + pow({im}, 2))"
+
+
+SOURCES_SQL = f"""WITH k AS (SELECT vec_id, unnest(range(0, 16)) AS bin, embedding::DOUBLE[] AS e FROM embeddings), t AS (SELECT vec_id, bin, e, unnest(range(0, 16)) AS i FROM k),
+m AS (SELECT vec_id, bin, {_channel(0)} AS a, {_channel(32)} AS b, {_channel(16)} AS c FROM t GROUP BY 1, 2),
+s AS (SELECT vec_id, bin, unnest({list(SOURCES)}) AS source, unnest([a, b, c, (a + b) / 2, least(a, b), sqrt(a * b), (a + c) / 2, (a + b + c) / 3]) AS v FROM m)
+SELECT vec_id, source, arg_max(bin, (round(v, 6), -bin))::INT AS bin, round(max(v), 4) AS magnitude FROM s GROUP BY 1, 2"""
+
 QUERIES = {
+    "spectrum_sources": (spectrum_sources, SOURCES_SQL),
     "dft_magnitude": (dft_magnitude, DFT_SQL),
     "sliding_windows": (sliding_windows, SLIDING_SQL),
     "median_iqr_band": (median_iqr_band, BAND_SQL),
