@@ -298,7 +298,60 @@ SELECT shot_number, concat_ws(',', CASE WHEN t IS NULL THEN 'missing_t_after' WH
 t BETWEEN 0.02::DOUBLE AND 0.1::DOUBLE AND coalesce(b <= 50, true) AND NOT w AS usable FROM f WHERE t IS NOT NULL
 UNION ALL SELECT shot_number, concat_ws(',', 'missing_t_after', CASE WHEN b > 50 THEN 'bin_error_gt_50' END, CASE WHEN w THEN 'weak_adjacent_snr_too_low' END), false FROM f WHERE t IS NULL"""
 
+def ensured_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shot with both angles: the vertical one measured or else estimated, the horizontal one measured or else 0, each with its source and confidence.
+
+    An estimate's confidence stands in wherever none was measured.
+    """
+    c = clubbed(spark, sf_dir)
+    angle, confidence = flight.launch_estimate(F.col("ball_speed"), F.col("club_speed"), F.col("spin_rpm"), F.col("best_spin"))
+    has_v, has_h = F.col("launch_v").isNotNull(), F.col("launch_h").isNotNull()
+    source = lambda has: F.when(has, "radar").otherwise("estimated")
+    return c.select(
+        "shot_number",
+        F.coalesce("launch_v", angle).alias("vertical"),
+        source(has_v).alias("vertical_source"),
+        F.when(has_v, F.col("launch_confidence")).otherwise(confidence).alias("confidence"),
+        F.coalesce("launch_h", F.lit(0.0)).alias("horizontal"),
+        source(has_h).alias("horizontal_source"),
+        F.when(has_h, F.col("launch_confidence")).otherwise(confidence).alias("horizontal_confidence"),
+    )
+
+
+ENSURED_SQL = ESTIMATE_SQL + """SELECT shot_number, coalesce(launch_v, est) AS vertical, CASE WHEN launch_v IS NULL THEN 'estimated' ELSE 'radar' END AS vertical_source,
+CASE WHEN launch_v IS NULL THEN est_conf ELSE launch_confidence END AS confidence, coalesce(launch_h, 0) AS horizontal, CASE WHEN launch_h IS NULL THEN 'estimated' ELSE 'radar' END AS horizontal_source,
+CASE WHEN launch_h IS NULL THEN est_conf ELSE launch_confidence END AS horizontal_confidence FROM e"""
+
+
+def carry_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which carry a shot shows: one computed from physics where its launch is known (here given as a column), else the table's, with the measured
+    spin if that is reliable (confidence of 0.6 or more) or else the best spin for its speed."""
+    c = clubbed(spark, sf_dir).withColumn("physics", F.when(F.col("launch_v").isNotNull(), F.col("ball_speed") * 1.6))
+    reliable = F.coalesce((F.col("spin_rpm") > 0) & (F.col("spin_confidence") >= 0.6), F.lit(False))
+    spin = F.when(reliable, F.col("spin_rpm")).otherwise(F.col("best_spin"))
+    table = flight.spin_carry(F.col("carry"), F.col("ball_speed"), spin, F.col("best_spin"), F.col("club_speed"), F.col("carry_smash"))
+    way = F.when(F.col("physics").isNotNull(), "physics").when(reliable, "table_measured_spin").otherwise("table_best_spin")
+    return c.select("shot_number", way.alias("way"), F.round(F.coalesce("physics", table), 6).alias("carry"))
+
+
+CHOICE_SQL = CLUBBED + """, m AS (SELECT *, coalesce(spin_rpm > 0 AND spin_confidence >= 0.6, false) AS ok FROM s), n AS (SELECT *, CASE WHEN ok THEN spin_rpm ELSE best_spin END AS spin FROM m),
+f AS (SELECT *, abs(spin - best_spin) / 100 AS loss, carry_smash - smash AS short FROM n),
+g AS (SELECT *, CASE WHEN spin < best_spin THEN greatest(0.82, 1 - loss * 0.012) ELSE greatest(0.88, 1 - loss * 0.008) END AS f0, CASE WHEN short > 0 THEN greatest(0.94, 1 - short / 0.05 * 0.03) WHEN short < -0.05 THEN 0.98 ELSE 1.0 END AS contact FROM f)
+SELECT shot_number, CASE WHEN launch_v IS NOT NULL THEN 'physics' WHEN ok THEN 'table_measured_spin' ELSE 'table_best_spin' END AS way,
+round(CASE WHEN launch_v IS NOT NULL THEN ball_speed * 1.6 ELSE carry * CASE WHEN loss < 2 THEN least(1.02, f0 + 0.01) ELSE f0 END * contact END, 6)::DOUBLE AS carry FROM g"""
+
+
+def expected_spin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spin that a detector is told to expect of each ball speed, as a column beside it."""
+    return clubbed(spark, sf_dir).select("shot_number", F.round("best_spin", 4).alias("expected_rpm"))
+
+
+EXPECTED_SQL = CLUBBED + "SELECT shot_number, round(best_spin, 4)::DOUBLE AS expected_rpm FROM s"
+
 QUERIES = {
+    "ensured_angles": (ensured_angles, ENSURED_SQL),
+    "carry_choice": (carry_choice, CHOICE_SQL),
+    "expected_spin": (expected_spin, EXPECTED_SQL),
     "dim_club_fallback": (dim_club_fallback, DIM_SQL),
     "carry_table_interp": (carry_table_interp, CARRY_INTERP_SQL),
     "carry_spin_adjusted": (carry_spin_adjusted, CARRY_SPIN_SQL),

@@ -54,3 +54,17 @@ def read_comparison(spark: SparkSession, path: str, good_only: bool = True) -> D
     numbers = [c for c in rows.columns if c.endswith(("_of", "_tm", "_delta")) and not c.startswith(("timestamp", "spin_quality", "spin_rejection"))]
     rows = rows.withColumns({c: F.col(c).try_cast("double") for c in numbers})
     return rows.where("match_quality = 'good'") if good_only else rows
+
+
+def read_truth_named(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """A truth device's CSV with fixed column names (name here to name there), numbers where they are numbers, and the file's name as session."""
+    rows = spark.read.option("header", True).csv(path)
+    value = lambda there: F.regexp_replace(F.trim(F.col(f"`{there}`")), ",", "")
+    kept = [(F.trim(F.col(f"`{b}`")) if a == "club" else value(b).try_cast("double")).alias(a) for a, b in columns.items()]
+    return rows.select(F.col("_metadata.file_name").alias("session"), *kept)
+
+
+def labelled_tail(lines: DataFrame, labels: tuple[str, ...] = ("type", "session_uuid", "device_id"), fields: tuple[str, ...] = ("ts", "message"), raw: str = "raw") -> DataFrame:
+    """A log's new lines with labels and fields taken from their JSON, null where they lack them; a projection, so it runs on a stream too. Broken lines keep their text alone."""
+    v = F.try_parse_json(raw)
+    return lines.select(raw, *[F.try_variant_get(v, f"$.{name}", "string").alias(name) for name in (*labels, *fields)])

@@ -176,6 +176,16 @@ def test_sinks_round_trip(spark, tmp_path):
         sinks.markdown(shots, "Shots", most=1)
 
 
+def test_named_truth_and_tail(spark, tmp_path):
+    from swinglake.sources import scans
+
+    (tmp_path / "monday.csv").write_text('Club,Ball Speed,Extra\nPW,"1,100.5",x\n7i,,y\n')
+    got = scans.read_truth_named(spark, str(tmp_path), {"club": "Club", "ball_speed": "Ball Speed"}).collect()
+    assert [(r["session"], r["club"], r["ball_speed"]) for r in got] == [("monday.csv", "PW", 1100.5), ("monday.csv", "7i", None)]
+    lines = spark.createDataFrame([('{"type": "shot", "ts": "t", "device_id": 5}',), ("broken",)], "raw string")
+    assert [(r["type"], r["device_id"], r["ts"], r["message"]) for r in scans.labelled_tail(lines).collect()] == [("shot", "5", "t", None), (None, None, None, None)]
+
+
 def test_grid_fit_takes_every_shot(spark, sf):
     """Against direct computation on the reference's grid: all shots, 451 angles."""
     from swinglake.functions.lens import lens
