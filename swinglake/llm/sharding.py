@@ -37,6 +37,8 @@ from pyspark.sql.types import StructType
 from swinglake.llm.common import shared_path, table
 
 OVERHEAD = 16
+#: Tables with a row for each file go to all tasks up to so many files, and are joined by shuffle beyond.
+BROADCAST_FILES = 100_000
 
 
 def min_cost_flow(supply: Sequence[int], demand: Sequence[int], cost: np.ndarray) -> np.ndarray:
@@ -197,6 +199,11 @@ def _located(rows: DataFrame) -> DataFrame:
     return rows.select("*", name.alias("__file"), F.col("_metadata.row_index").alias("__row"))
 
 
+def _by_file(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    out = spark.createDataFrame(rows, schema)
+    return F.broadcast(out) if len(rows) <= BROADCAST_FILES else out
+
+
 def lay_out(docs: DataFrame, shard: str, shards: int, path: str, file_rows: int = 100_000, text_col: str = "text") -> Manifest:
     """Write ``docs`` as a table at ``path`` with shards 0 to ``shards`` - 1, ``shard`` being SQL for a row's, in files of at most so many rows.
 
@@ -219,7 +226,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     for f in now.files:
         places.append((f.name, f.shard, filled[f.shard]))
         filled[f.shard] += f.rows
-    at = spark.createDataFrame(places, "__file string, __shard int, __first long")
+    at = _by_file(spark, places, "__file string, __shard int, __first long")
     rows = _located(spark.read.schema(now.schema).parquet(*[f"{path}/{f.name}" for f in now.files]))
     return rows.join(at, "__file").select(*[F.col(f"`{c}`") for c in now.schema.names], "__shard", (F.col("__first") + F.col("__row")).alias("__slot"))
 
@@ -274,7 +281,7 @@ def reshard(spark: SparkSession, path: str, shards: int, text_col: str = "text",
 
     new: list[File] = []
     if whole:
-        to = spark.createDataFrame(sorted(whole.items()), "__file string, __shard int")
+        to = _by_file(spark, sorted(whole.items()), "__file string, __shard int")
         new += _write(rows(sorted(whole)).join(to, "__file").select(*columns, "__shard"), path, text_col, old.schema)
     if cut:
 
