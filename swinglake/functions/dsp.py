@@ -60,75 +60,3 @@ def cfar(spectrum: np.ndarray, train: int = 16, guard: int = 4, factor: float =
         if noise > 0 and spectrum[k] > factor * noise:
             out.append((k, float(spectrum[k] / noise)))
     return sorted(out, key=lambda x: (-x[1], x[0]))
-
-
-def decode_radc(payload: bytes) -> dict[str, np.ndarray] | None:
-    """Six blocks of 256 unsigned 16-bit values; None for a payload of another length."""
-    if payload is None or len(payload) != 3072:
-        return None
-    data = np.frombuffer(payload, "<u2").reshape(6, 256)
-    return dict(zip(("f1a_i", "f1a_q", "f2a_i", "f2a_q", "f1b_i", "f1b_q"), data, strict=True))
-
-
-def interferometric_angle(a: np.ndarray, b: np.ndarray, spacing: float = 0.5) -> tuple[float, float]:
-    """Angle in degrees between two channels' spectra at the strongest bin around, weighted by magnitude, and phase coherence."""
-    cross = a * np.conj(b)
-    weight = np.abs(cross)
-    total = float(weight.sum())
-    if total == 0:
-        return 0.0, 0.0
-    mean = cross.sum() / total
-    sine = float(np.clip(np.angle(cross.sum()) / (2 * np.pi * spacing), -1, 1))
-    return float(np.degrees(np.arcsin(sine))), float(abs(mean))
-
-
-def butterworth_band(low: float, high: float, fs: float, order: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Second-order sections (b, a) of a digital Butterworth low-pass at ``high`` followed by a high-pass at ``low`` (0: none)."""
-    sections_b, sections_a = [], []
-    for cutoff, high_pass in ((high, False), (low, True)):
-        if not cutoff:
-            continue
-        c = 1 / np.tan(np.pi * cutoff / fs)
-        for k in range(order):
-            d = 2 * np.cos(np.pi * (2 * k + 1) / (4 * order))
-            norm = 1 / (c * c + d * c + 1)
-            b = np.array([c * c, -2 * c * c, c * c]) if high_pass else np.array([1.0, 2.0, 1.0])
-            sections_b.append(b * norm)
-            sections_a.append(np.array([1.0, 2 * (1 - c * c) * norm, (c * c - d * c + 1) * norm]))
-    return np.array(sections_b), np.array(sections_a)
-
-
-def zero_phase(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Filter forwards and backwards with sections, ends padded by odd reflection."""
-    pad = min(len(x) - 1, 3 * (2 * len(b) + 1))
-    y = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1])) if pad > 0 else x.copy()
-    for _ in range(2):
-        for bb, aa in zip(b, a, strict=True):
-            out = np.empty_like(y)
-            # the state in which the section rests at the first value
-            gain = bb.sum() / aa.sum()
-            z1, z2 = (gain - bb[0]) * y[0], (bb[2] - aa[2] * gain) * y[0]
-            for k, v in enumerate(y):
-                w = bb[0] * v + z1
-                z1 = bb[1] * v - aa[1] * w + z2
-                z2 = bb[2] * v - aa[2] * w
-                out[k] = w
-            y = out
-        y = y[::-1]
-    return y[pad : len(y) - pad] if pad > 0 else y
-
-
-def spin_rpm(envelope: np.ndarray, fs: float, low: float = 33.0, high: float = 200.0) -> tuple[float, float, float]:
-    """(rpm, signal to noise, modulation depth) of an amplitude envelope: the strongest line between two frequencies."""
-    mean = float(envelope.mean())
-    depth = float(envelope.std() / mean) if mean > 0 else 0.0
-    t = np.linspace(-1, 1, len(envelope))
-    x = envelope - np.polyval(np.polyfit(t, envelope, 3), t)
-    s = np.abs(np.fft.rfft(x * np.hanning(len(x)), 8192))
-    f = np.fft.rfftfreq(8192, 1 / fs)
-    band = np.flatnonzero((f >= low) & (f <= high))[1:]
-    if not len(band):
-        return 0.0, 0.0, depth
-    k = band[int(np.argmax(s[band]))]
-    noise = float(np.median(s[1:]))
-    return float(f[k] * 60), float(s[k] / noise) if noise > 0 else 0.0, depth

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swinglake.functions import dsp
+from swinglake.functions.radc import SOURCES, combined
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,15 +163,6 @@ FRINGE_SQL = """WITH p AS (SELECT vec_id, unnest(range(0, 4)) AS k, embedding FR
 e AS (SELECT vec_id, k, list_sum(list_transform(embedding[k * 16 + 1:k * 16 + 16], lambda v: v::DOUBLE * v::DOUBLE)) AS e FROM p)
 SELECT vec_id, arg_max(k, (e, -k))::INT AS part, round(max(e) / sum(e), 6) AS share, max(e) FILTER (k = 1) > max(e) FILTER (k = 0) AS rises FROM e GROUP BY 1"""
 
-#: Names of spectra that combine up to three channels' magnitudes.
-SOURCES = ("f1a", "f2a", "f1b", "sum12", "min12", "geom12", "sum1b", "sumall")
-
-
-def combined(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
-    """The magnitudes of three channels by every source: alone, averaged, the lesser, and the geometric mean."""
-    return dict(zip(SOURCES, (a, b, c, (a + b) / 2, np.minimum(a, b), np.sqrt(a * b), (a + c) / 2, (a + b + c) / 3), strict=True))
-
-
 def spectrum_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest bin of each frame by every source; a frame's channels are its halves and its middle as 16 complex samples. The lower of equal bins."""
 

@@ -34,33 +34,6 @@ def test_peaks_keep_their_distance():
     assert dsp.peaks(s) == [100, 200, 300]
 
 
-def test_spin_of_a_modulated_envelope():
-    fs, rpm = 30_000 / 8, 4800
-    t = np.arange(2000) / fs
-    got, snr, depth = dsp.spin_rpm(1 + 0.1 * np.sin(2 * np.pi * rpm / 60 * t), fs)
-    assert abs(got - rpm) < 60 and snr > 10 and 0.05 < depth < 0.1
-
-
-def test_butterworth_gain():
-    b, a = dsp.butterworth_band(0, 700, 30_000)
-    w = np.exp(-1j * 2 * np.pi * 700 / 30_000)
-    gain = np.prod([abs(np.polyval(x[::-1], w) / np.polyval(y[::-1], w)) for x, y in zip(b, a)])
-    assert abs(gain - math.sqrt(0.5)) < 1e-6
-    x = np.sin(2 * np.pi * 100 * np.arange(3000) / 30_000)
-    assert np.abs(dsp.zero_phase(x, b, a) - x)[300:-300].max() < 0.01
-
-
-def test_payload_length():
-    assert dsp.decode_radc(b"x" * 10) is None and dsp.decode_radc(None) is None
-    assert dsp.decode_radc(bytes(3072))["f1b_q"].shape == (256,)
-
-
-def test_angle_from_phase():
-    a = np.exp(1j * np.linspace(0, 3, 32))
-    angle, coherence = dsp.interferometric_angle(a * np.exp(1j * np.pi * np.sin(np.radians(20))), a)
-    assert abs(angle - 20) < 1e-6 and coherence > 0.999
-
-
 def test_carry_never_falls(spark):
     got = [r[0] for r in spark.range(50, 230).select(flight.table_carry(F.col("id").cast("double")).alias("c")).collect()]
     assert got == sorted(got) and got[50] == 136.0
