@@ -62,11 +62,11 @@ def arrival(cross: np.ndarray) -> np.ndarray:
 
 def floor_of(magnitude: np.ndarray) -> np.ndarray:
     """The median of each frame's bins above zero; 0 where there is none."""
-    live = np.where(magnitude > 0, magnitude, np.nan)
-    some = (magnitude > 0).any(axis=-1)
-    out = np.zeros(len(magnitude))
-    out[some] = np.nanmedian(live[some], axis=-1)
-    return out
+    n = (magnitude > 0).sum(axis=-1)
+    ranked = np.sort(magnitude, axis=-1)  # what isn't above zero comes first
+    row, first = np.arange(len(magnitude)), magnitude.shape[-1] - n
+    last = magnitude.shape[-1] - 1
+    return np.where(n > 0, (ranked[row, np.minimum(first + (n - 1) // 2, last)] + ranked[row, np.minimum(first + n // 2, last)]) / 2, 0.0)
 
 
 def bin_distance(a: np.ndarray, b: np.ndarray, fft: int = FFT) -> np.ndarray:
@@ -118,7 +118,8 @@ def peak_angles(a: np.ndarray, b: np.ndarray, magnitude: np.ndarray, peak: np.nd
         m[:, PEAK_HALF] = top
     angles = arrival(a[rows, bins] * np.conj(b[rows, bins]))
     power = m * m
-    angle = (angles * power).sum(axis=1) / power.sum(axis=1)
+    total = power.sum(axis=1)
+    angle = np.divide((angles * power).sum(axis=1), total, out=angles[:, PEAK_HALF].copy(), where=total > 0)
     bins, inside = around(peak, band, CORE_HALF)
     bins = np.minimum(bins, magnitude.shape[1] - 1)
     w = np.where(inside, magnitude[rows, bins], 0.0)

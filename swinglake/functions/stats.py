@@ -34,25 +34,53 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, p: float) -> DataFr
     )
 
 
+#: Strips of a factor of two that values are counted in.
+STRIPS = 64
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, ps: tuple[float, ...]) -> DataFrame:
+    """Per key ``q``: the quantiles of the values that aren't null, between neighbours by linear interpolation.
+
+    No task holds a key's values: they are counted by strips, about one percent of a value wide, and only the strips in which a
+    wanted place lies are ranked, equal values counted first. Keys without a value are left out.
+    """
+    v = F.col("__v")
+    strip = F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v)) * STRIPS) + 2000 * STRIPS)).cast("int")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v")).withColumn("__strip", strip)
+    order, whole = Window.partitionBy(*keys).orderBy("__strip"), Window.partitionBy(*keys)
+    counts = rows.groupBy(*keys, "__strip").agg(F.count(F.lit(1)).alias("__n")).withColumns(
+        {"__before": F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__all": F.sum("__n").over(whole)}
+    )
+    spot = [F.lit(float(p)) * (F.col("__all") - 1) for p in ps]
+    places = F.array_distinct(F.array(*[f(x).cast("long") for x in spot for f in (F.floor, F.ceil)]))
+    wanted = F.filter(places, lambda x: (x >= F.col("__before")) & (x < F.col("__before") + F.col("__n")))
+    kept = counts.withColumn("__wanted", wanted).where(F.size("__wanted") > 0)
+    kept = kept.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__strip").alias("__s"), "__before", "__all", "__wanted")
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    held = rows.join(kept, [*same, F.col("__strip") == F.col("__s")]).groupBy(*keys, "__strip", "__v")
+    held = held.agg(F.count(F.lit(1)).alias("__c"), F.first("__before").alias("__before"), F.first("__all").alias("__all"), F.first("__wanted").alias("__wanted"))
+    upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(*keys, "__strip").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    held = held.withColumn("__upto", upto)
+    hits = held.select(*keys, "__all", "__v", F.explode(F.filter("__wanted", lambda x: (x < F.col("__upto")) & (x >= F.col("__upto") - F.col("__c")))).alias("__at"))
+    found = hits.groupBy(*keys).agg(F.first("__all").alias("__all"), F.map_from_entries(F.collect_list(F.struct("__at", "__v"))).alias("__m"))
+    low, high = ([F.element_at("__m", f(x).cast("long")) for x in spot] for f in (F.floor, F.ceil))
+    return found.select(*keys, F.array(*[a + (b - a) * (x - F.floor(x)) for a, b, x in zip(low, high, spot, strict=True)]).alias("q"))
+
+
 def sums(x: str, y: str) -> list[Column]:
-    """What correlation and fits need of pairs without nulls."""
+    """What correlation and fits need of pairs without nulls: number, means, and variances and covariance about the means."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-    return [F.count(a * b).alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy")]
+    return [F.count(a).alias("n"), F.avg(a).alias("mx"), F.avg(b).alias("my"), F.var_pop(a).alias("vx"), F.var_pop(b).alias("vy"), F.covar_pop(a, b).alias("cxy")]
 
 
 def pearson() -> Column:
     """From :func:`sums`; null where a side is constant."""
-    n = F.col("n")
-    top = n * F.col("sxy") - F.col("sx") * F.col("sy")
-    under = (n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - F.col("sy") * F.col("sy"))
-    return F.when((n > 1) & (under > 0), top / F.sqrt(under))
+    return F.when((F.col("n") > 1) & (F.col("vx") > 0) & (F.col("vy") > 0), F.col("cxy") / F.sqrt(F.col("vx") * F.col("vy")))
 
 
 def slope_intercept() -> tuple[Column, Column]:
     """Least squares of y on x, from :func:`sums`; 1 and 0 where it isn't determined."""
-    n = F.col("n")
-    under = n * F.col("sxx") - F.col("sx") * F.col("sx")
-    slope = F.when((n > 1) & (under > 0), F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), under)).otherwise(1.0)
-    intercept = F.when((n > 1) & (under > 0), F.try_divide(F.col("sy") - slope * F.col("sx"), n)).otherwise(0.0)
-    return slope, intercept
+    fits = (F.col("n") > 1) & (F.col("vx") > 0)
+    slope = F.when(fits, F.try_divide(F.col("cxy"), F.col("vx"))).otherwise(1.0)
+    return slope, F.when(fits, F.col("my") - slope * F.col("mx")).otherwise(0.0)

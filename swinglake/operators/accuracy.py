@@ -33,11 +33,8 @@ def ols_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth on device: linear fit with the deviation of its residuals, and the error left by an offset alone."""
     fit = good_errors(spark, sf_dir).groupBy("club").agg(*sums("d_ball_speed", "t_ball_speed"))
     slope, intercept = slope_intercept()
-    n = F.col("n")
     fit = fit.withColumn("slope", slope).withColumn("intercept", intercept)
-    vx = F.col("sxx") / n - F.pow(F.col("sx") / n, F.lit(2))
-    vy = F.col("syy") / n - F.pow(F.col("sy") / n, F.lit(2))
-    cxy = F.col("sxy") / n - F.col("sx") / n * F.col("sy") / n
+    vx, vy, cxy = F.col("vx"), F.col("vy"), F.col("cxy")
     residual = F.sqrt(F.greatest(vy - 2 * F.col("slope") * cxy + F.col("slope") * F.col("slope") * vx, F.lit(0.0)))
     offset = F.sqrt(F.greatest(vx + vy - 2 * cxy, F.lit(0.0)))
     return fit.where("n >= 3").select("club", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round(residual, 3).alias("residual_sd"), F.round(offset, 3).alias("offset_rmse"))
@@ -50,7 +47,7 @@ round(stddev_pop(t_speed - (slope * d_speed + intercept)), 3) AS residual_sd, ro
 
 def proportional_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = good_errors(spark, sf_dir).groupBy("club").agg(*sums("d_ball_speed", "t_ball_speed"))
-    return fit.select("club", F.round(F.try_divide(F.col("sxy"), F.col("sxx")), 5).alias("slope"))
+    return fit.select("club", F.round(F.try_divide(F.col("cxy") + F.col("mx") * F.col("my"), F.col("vx") + F.col("mx") * F.col("mx")), 5).alias("slope"))
 
 
 PROPORTIONAL_SQL = GOOD_SQL + "SELECT club, round(sum(d_speed * t_speed) / sum(d_speed * d_speed), 5) AS slope FROM good GROUP BY club"

@@ -95,14 +95,19 @@ SELECT shot_number, round(f, 6) AS factor, round(ball_speed / f, 3) AS corrected
 def launch_grid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The launch angle, of a grid of 0.1 degrees up to 45, whose bearing is nearest to a measured one; null beyond 1 degree.
 
-    Of angles equally near to nine decimals the smallest is taken.
+    A ball that starts higher is always seen higher from a radar behind it, so the grid is halved nine times: the last angle seen
+    at or below the measured bearing and its neighbour are the nearest. Of angles equally near to nine decimals the smaller is taken.
     """
     s = lens(spark, sf_dir, "shots").where("launch_v IS NOT NULL")
-    grid = F.transform(F.sequence(F.lit(0), F.lit(450)), lambda i: i.cast("double") / 10.0)
     t = F.lit(0.02) + F.col("num_frames") / 1000.0
-    off = lambda a: F.abs(F.col("launch_v") * 0.7 + 2.0 - flight.bearing(a, t, F.col("ball_speed"), F.col("distance_ft"), 0.5, 0.0))
-    best = F.array_min(F.transform(grid, lambda a: F.struct(F.round(off(a), 9).alias("off"), a.alias("alpha"))))
-    return s.withColumn("b", best).select("shot_number", F.when(F.col("b.off") <= 1.0, F.col("b.alpha")).alias("alpha"), F.round("b.off", 5).alias("residual"))
+    seen = lambda i: flight.bearing(i.cast("double") / 10.0, t, F.col("ball_speed"), F.col("distance_ft"), 0.5, 0.0)
+    measured = F.col("launch_v") * 0.7 + 2.0
+    s = s.withColumn("__i", F.lit(0))
+    for step in (256, 128, 64, 32, 16, 8, 4, 2, 1):
+        next_one = F.col("__i") + step
+        s = s.withColumn("__i", F.when((next_one <= 450) & (seen(F.least(next_one, F.lit(450))) <= measured), next_one).otherwise(F.col("__i")))
+    two = [F.struct(F.round(F.abs(measured - seen(i)), 9).alias("off"), (i.cast("double") / 10.0).alias("alpha")) for i in (F.col("__i"), F.least(F.col("__i") + 1, F.lit(450)))]
+    return s.withColumn("b", F.least(*two)).select("shot_number", F.when(F.col("b.off") <= 1.0, F.col("b.alpha")).alias("alpha"), F.round("b.off", 5).alias("residual"))
 
 
 GRID_SQL = with_lenses("shots") + """, g AS (SELECT shot_number, list_min(list_transform(range(0, 451), lambda i: {'off': round(abs(launch_v * 0.7 + 2.0 - degrees(atan2(

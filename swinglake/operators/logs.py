@@ -60,25 +60,38 @@ h AS (SELECT user_id, own, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || enc
 SELECT user_id, coalesce(own, concat(h[1:8], '-', h[9:12], '-5', h[14:16], '-', ['8', '9', 'a', 'b'][1 + (instr('0123456789abcdef', h[17:17]) - 1) % 4], h[18:20], '-', h[21:32])) AS session_uuid FROM h"""
 
 
+#: Lines of the radar from an event: single readings, arrays of several objects, empty arrays, plain numbers, and what isn't one.
+RADAR_LINE = """CASE event_id % 8 WHEN 0 THEN concat('{"speed": ', event_id % 80 - 40, ', "magnitude": ', event_id % 3, '}') WHEN 1 THEN cast(event_id % 60 - 30 AS string)
+WHEN 2 THEN concat('{"speed": [', event_id % 50 - 25, ', ', event_id % 30 - 15, '], "magnitude": [', event_id % 9, ', 1]}') WHEN 3 THEN '{"speed": []}'
+WHEN 4 THEN concat('{"speed": [', event_id % 50 - 25, ']}') WHEN 5 THEN concat('{"magnitude": ', event_id % 7, '}') WHEN 6 THEN '{broken' ELSE '?garbage' END"""
+
+
+def radar_readings(lines: DataFrame, line: str) -> DataFrame:
+    """``lines`` that hold a reading, with speed_mph, direction and magnitude.
+
+    The radar's protocol: JSON with a number or, of several objects, an array with the strongest first; or a plain signed number. The sign is
+    the direction. JSON without a speed reads 0, a magnitude of 0 is none, an empty array or anything else is no reading.
+    """
+    v = F.when(F.startswith(line, F.lit("{")), F.try_parse_json(line))
+    speeds, magnitudes = (F.try_variant_get(v, f"$.{k}", "array<double>") for k in ("speed", "magnitude"))
+    given = F.when(F.try_variant_get(v, "$.speed", "string").isNull(), 0.0).otherwise(F.try_variant_get(v, "$.speed", "double"))
+    speed = F.when(v.isNull(), F.col(line).try_cast("double")).when(speeds.isNotNull(), F.get(speeds, F.lit(0))).otherwise(given)
+    strength = F.when(speeds.isNotNull(), F.get(magnitudes, F.lit(0))).otherwise(F.nullif(F.try_variant_get(v, "$.magnitude", "double"), F.lit(0.0)))
+    out = lines.withColumns({"__speed": speed, "magnitude": strength}).where("__speed IS NOT NULL")
+    return out.withColumns({"speed_mph": F.abs("__speed"), "direction": F.when(F.col("__speed") > 0, "inbound").otherwise("outbound")}).drop("__speed")
+
+
 def radar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The radar's text protocol: JSON with a number or an array of them, or a plain signed number; the sign is the direction."""
-    n = F.col("event_id")
-    text = (
-        F.when(n % 4 == 0, F.concat(F.lit('{"speed": '), (n % 80 - 40).cast("string"), F.lit("}")))
-        .when(n % 4 == 1, (n % 60 - 30).cast("string"))
-        .when(n % 4 == 2, F.concat(F.lit('{"speed": ['), (n % 50 - 25).cast("string"), F.lit(", "), (n % 30 - 15).cast("string"), F.lit("]}")))
-        .otherwise(F.lit("?garbage"))
-    )
-    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.alias("line"))
-    v = F.try_parse_json("line")
-    one = F.coalesce(F.try_variant_get(v, "$.speed", "double"), F.col("line").try_cast("double"))
-    speeds = F.coalesce(F.try_variant_get(v, "$.speed", "array<double>"), F.array(one))
-    parsed = lines.select(F.explode(speeds).alias("s")).where("s IS NOT NULL")
-    return parsed.groupBy(F.when(F.col("s") > 0, "inbound").otherwise("outbound").alias("direction")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("s")).alias("total"))
+    """The reading of each line of the radar's text protocol."""
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(RADAR_LINE).alias("line"))
+    return radar_readings(lines, "line").drop("line")
 
 
-RADAR_SQL = """WITH l AS (SELECT unnest(CASE event_id % 4 WHEN 0 THEN [event_id % 80 - 40] WHEN 1 THEN [event_id % 60 - 30] WHEN 2 THEN [event_id % 50 - 25, event_id % 30 - 15] END)::DOUBLE AS s FROM events)
-SELECT CASE WHEN s > 0 THEN 'inbound' ELSE 'outbound' END AS direction, count(*) AS n, sum(abs(s)) AS total FROM l GROUP BY 1"""
+RADAR_SQL = """WITH l AS (SELECT event_id, """ + RADAR_LINE.replace("AS string", "AS VARCHAR") + """ AS line FROM events),
+j AS (SELECT *, CASE WHEN json_valid(line) AND line LIKE '{%' THEN line::JSON END AS j FROM l),
+r AS (SELECT event_id, CASE WHEN j IS NULL THEN try_cast(line AS DOUBLE) WHEN json_type(j, '$.speed') = 'ARRAY' THEN (j->>'$.speed[0]')::DOUBLE ELSE coalesce((j->>'$.speed')::DOUBLE, 0) END AS s,
+CASE WHEN json_type(j, '$.speed') = 'ARRAY' THEN (j->>'$.magnitude[0]')::DOUBLE ELSE nullif((j->>'$.magnitude')::DOUBLE, 0) END AS magnitude FROM j)
+SELECT event_id, magnitude, abs(s) AS speed_mph, CASE WHEN s > 0 THEN 'inbound' ELSE 'outbound' END AS direction FROM r WHERE s IS NOT NULL"""
 
 QUERIES = {
     "json_tolerant_scan": (json_tolerant_scan, TOLERANT_SQL),

@@ -11,33 +11,42 @@ from swinglake.functions.stats import error_columns, nearest_rank
 KEY = ["us", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
-def numbered(df: DataFrame, keys: list[str], by: list[str], ranges: list[Column]) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], by: list[str], coarse: Column, fine: Column) -> DataFrame:
     """``df`` with ``pos``, each row's place in its key's order from 1, nulls last; no task sorts a whole key.
 
-    ``ranges`` are columns that don't fall along that order and cut it into ranges. Rows are numbered inside their range,
-    and a range begins behind the rows of those before it, which are counted first: one row for each range.
+    ``coarse`` and ``fine`` don't fall along that order: ``coarse`` cuts a key into ranges of a bounded number (days), ``fine``
+    cuts those. Rows are numbered inside a fine range, which begins behind the rows of the fine ranges before it in its coarse one,
+    which begins behind those of the coarse ones before it. So a window holds a fine range's rows, a coarse range's fine
+    ranges, or a key's coarse ranges.
     """
-    cuts = [f"__r{i}" for i in range(len(ranges))]
-    rows = df.withColumns(dict(zip(cuts, ranges, strict=True)))
-    sizes = rows.groupBy(*keys, *cuts).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in cuts]).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = F.row_number().over(Window.partitionBy(*keys, *cuts).orderBy(*[F.col(c).asc_nulls_last() for c in by]))
-    starts = starts.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate([*keys, *cuts])], "__start")
-    same = [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate([*keys, *cuts])]
+    rows = df.withColumns({"__c": coarse, "__f": fine})
+    inside = F.row_number().over(Window.partitionBy(*keys, "__c", "__f").orderBy(*[F.col(c).asc_nulls_last() for c in by]))
+    starts = range_starts(rows, keys)
+    starts = starts.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate([*keys, "__c", "__f"])], "__start")
+    same = [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate([*keys, "__c", "__f"])]
     placed = rows.withColumn("__inside", inside).join(starts, same)
     return placed.select(*[F.col(c) for c in df.columns], (F.col("__start") + F.col("__inside")).alias("pos"))
 
 
-def ordinal_pairs(device: DataFrame, truth: DataFrame, keys: list[str], by: list[str], ranges: list[Column], speed: str = "ball_speed", tolerance: float = 5.0) -> DataFrame:
+def range_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, __c, __f and ``__start``: the rows of a key that come before a fine range."""
+    fine = rows.groupBy(*keys, "__c", "__f").agg(F.count(F.lit(1)).alias("__n"))
+    before = lambda by, over: F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(F.col(over).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    coarse = fine.groupBy(*keys, "__c").agg(F.sum("__n").alias("__n")).withColumn("__whole", before(keys, "__c"))
+    coarse = coarse.select(*[F.col(c).alias(f"__t{i}") for i, c in enumerate([*keys, "__c"])], "__whole")
+    same = [F.col(c).eqNullSafe(F.col(f"__t{i}")) for i, c in enumerate([*keys, "__c"])]
+    return fine.withColumn("__part", before([*keys, "__c"], "__f")).join(coarse, same).select(*keys, "__c", "__f", (F.col("__whole") + F.col("__part")).alias("__start"))
+
+
+def ordinal_pairs(device: DataFrame, truth: DataFrame, keys: list[str], by: list[str], coarse: Column, fine: Column, speed: str = "ball_speed", tolerance: float = 5.0) -> DataFrame:
     """Full outer pairing by position inside each key: the n-th of one side with the n-th of the other.
 
-    Both sides are sorted by ``by``, nulls last, in ``ranges`` of that order. A pair whose speeds differ by more than the
+    Both sides are sorted by ``by``, nulls last, in ranges of that order (:func:`numbered`). A pair whose speeds differ by more than the
     tolerance is a mismatch; a shot that is left over stays unmatched. Columns become ``d_*`` and ``t_*``.
     """
 
     def side(df: DataFrame, mark: str) -> DataFrame:
-        placed = numbered(df, keys, by, ranges)
+        placed = numbered(df, keys, by, coarse, fine)
         return placed.select(*keys, "pos", *[F.col(c).alias(f"{mark}_{c}") for c in df.columns if c not in keys], F.lit(True).alias(f"{mark}_here"))
 
     delta = F.abs(F.col(f"d_{speed}") - F.col(f"t_{speed}"))
@@ -52,8 +61,7 @@ def ordinal_pairs(device: DataFrame, truth: DataFrame, keys: list[str], by: list
 
 def paired(spark: SparkSession, sf_dir: str, tolerance: float = 30.0) -> DataFrame:
     # a club's shots of a day, in blocks of a hundred thousand orders
-    ranges = [F.col("us"), F.expr("l_orderkey div 100000")]
-    return ordinal_pairs(lens(spark, sf_dir, "device"), lens(spark, sf_dir, "truth"), ["club"], KEY, ranges, tolerance=tolerance)
+    return ordinal_pairs(lens(spark, sf_dir, "device"), lens(spark, sf_dir, "truth"), ["club"], KEY, F.col("us"), F.expr("l_orderkey div 100000"), tolerance=tolerance)
 
 
 PAIRS_SQL = (

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swinglake.functions import dsp
 from swinglake.functions.radc import SOURCES, combined
+from swinglake.functions.stats import quantiles
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +51,7 @@ SELECT vec_id, round(max(e), 5) AS energy, arg_max(start, (e, -start))::INT AS s
 def median_iqr_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and quartiles of each position over the frames of a label."""
     f = _frames(spark, sf_dir).select("label", F.posexplode("x").alias("i", "v"))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return f.groupBy("label", "i").agg(q.alias("q")).select("label", "i", *[F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("q25", "median", "q75"))])
+    return quantiles(f, ["label", "i"], "v", (0.25, 0.5, 0.75)).select("label", "i", *[F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("q25", "median", "q75"))])
 
 
 BAND_SQL = """WITH f AS (SELECT label, unnest(range(0, 64))::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
@@ -109,25 +109,36 @@ def frame_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames(spark, sf_dir).select("vec_id", "x").mapInPandas(run, "vec_id long, direction string, mph double, magnitude double")
 
 
-def impact_frames(spark: SparkSession, sf_dir: str, threshold: float = 1.5) -> DataFrame:
-    """Frames of a label whose high-frequency energy (bins 16 to 31) is above the threshold times the median of those with any."""
+#: A frame's strength: some are loud, some lost; of label 3 most are lost.
+LOUDNESS = "CASE WHEN vec_id % 13 = 0 THEN 4.0 WHEN vec_id % 5 = 0 OR label = 3 AND vec_id % 3 <> 0 THEN 0.0 ELSE 1.0 END"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            s = np.abs(np.fft.fft(np.stack(p["x"].to_numpy()), axis=1))[:, 16:32] if len(p) else np.zeros((0, 16))
-            yield pd.DataFrame({"vec_id": p["vec_id"], "label": p["label"], "energy": (s * s).sum(axis=1)})
 
-    f = _frames(spark, sf_dir)
-    energies = f.mapInPandas(run, f"vec_id long, label {dict(f.dtypes)['label']}, energy double")
-    level = energies.groupBy("label").agg(F.percentile(F.when(F.col("energy") > 0, F.col("energy")), F.lit(0.5)).alias("level"))
-    return energies.join(level, "label").where(F.col("energy") > threshold * F.col("level")).select("vec_id", "label", F.round("energy", 4).alias("energy"))
+def impact_frames(spark: SparkSession, sf_dir: str, factor: float = 3.0) -> DataFrame:
+    """Frames of a capture with more energy at high speed, either way, than ``factor`` times the median of its frames with any; none where the median frame has none.
 
+    A frame is 32 complex samples, a capture the frames of a label among a hundred running ones.
+    """
 
-IMPACT_SQL = """WITH k AS (SELECT vec_id, label, unnest(range(16, 32)) AS freq, embedding FROM embeddings),
-t AS (SELECT vec_id, label, freq, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS i FROM k),
-m AS (SELECT vec_id, label, freq, pow(sum(x * cos(2 * pi() * freq * i / 64)), 2) + pow(sum(x * sin(2 * pi() * freq * i / 64)), 2) AS p FROM t GROUP BY 1, 2, 3),
-e AS (SELECT vec_id, label, sum(p) AS energy FROM m GROUP BY 1, 2), l AS (SELECT label, quantile_cont(energy, 0.5) AS level FROM e GROUP BY 1)
-SELECT vec_id, e.label, round(energy, 4) AS energy FROM e JOIN l ON e.label = l.label WHERE energy > 1.5 * level"""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            x = np.stack(p["x"].to_numpy()) if len(p) else np.zeros((0, 64))
+            s = np.abs(np.fft.fft(x[:, 0::2] + 1j * x[:, 1::2], axis=1)) * p["loudness"].to_numpy()[:, None]
+            yield pd.DataFrame({"vec_id": p["vec_id"], "label": p["label"], "energy": (s[:, 4:16] ** 2).sum(axis=1) + (s[:, 20:] ** 2).sum(axis=1)})
+
+    f = _frames(spark, sf_dir).withColumn("loudness", F.expr(LOUDNESS).cast("double"))
+    energies = f.mapInPandas(run, f"vec_id long, label {dict(f.dtypes)['label']}, energy double").withColumn("capture", F.expr("vec_id div 100"))
+    w = Window.partitionBy("label", "capture")
+    level = F.median(F.when(F.col("energy") > 0, F.col("energy"))).over(w)
+    hit = (F.median("energy").over(w) > 0) & (F.col("energy") > factor * level)
+    return energies.withColumn("hit", hit).where("hit").select("vec_id", "label", F.round("energy", 4).alias("energy"))
+
+
+IMPACT_SQL = f"""WITH k AS (SELECT vec_id, label, {LOUDNESS}::DOUBLE AS l, unnest(list_concat(range(4, 16), range(20, 32))) AS freq, embedding FROM embeddings),
+t AS (SELECT vec_id, label, l, freq, unnest([embedding[2 * i + 1] for i in range(0, 32)])::DOUBLE AS a, unnest([embedding[2 * i + 2] for i in range(0, 32)])::DOUBLE AS b, 2 * pi() * freq * unnest(range(0, 32)) / 32 AS z FROM k),
+m AS (SELECT vec_id, label, l, freq, pow(sum(a * cos(z) + b * sin(z)), 2) + pow(sum(b * cos(z) - a * sin(z)), 2) AS p FROM t GROUP BY 1, 2, 3, 4),
+e AS (SELECT vec_id, label, vec_id // 100 AS capture, sum(p) * l * l AS energy FROM m GROUP BY vec_id, label, l),
+c AS (SELECT label, capture, quantile_cont(energy, 0.5) AS typical, quantile_cont(energy, 0.5) FILTER (energy > 0) AS level FROM e GROUP BY 1, 2)
+SELECT vec_id, e.label, round(energy, 4) AS energy FROM e JOIN c ON e.label = c.label AND e.capture = c.capture WHERE typical > 0 AND energy > 3.0 * level"""
 
 
 def channel_angles(spark: SparkSession, sf_dir: str) -> DataFrame:

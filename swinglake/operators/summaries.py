@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swinglake.functions.lens import lens, with_lenses
-from swinglake.functions.stats import nearest_rank
+from swinglake.functions.stats import nearest_rank, quantiles
 from swinglake.operators.pairing import GOOD_SQL, good_errors
 
 READINGS, SHOTS = with_lenses("readings"), with_lenses("shots")
@@ -81,10 +81,15 @@ SELECT least, count(*) AS attempted, count(e) AS detected, round(count(e) / coun
 {_rank("0.9")} AS p90, max(reasons) AS reasons, count(e) = count(*) AND coalesce(max(e) <= 0.5, false) AS passes FROM r JOIN c USING (least) GROUP BY 1"""
 
 
+def medians(df: DataFrame, keys: list[str], value: str, name: str, places: int) -> DataFrame:
+    return quantiles(df, keys, value, (0.5,)).select(*keys, F.round(F.col("q")[0], places).alias(name))
+
+
 def geometry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per club: median and 90th percentile of errors, how many are within 1, 2 and 5 degrees, counts by reason and by source."""
     rows = replay_rows(spark, sf_dir).where("least = 0.5")
-    stats = rows.groupBy("club").agg(*detection_columns((1.0, 2.0, 5.0)), F.round(F.percentile("e", F.lit(0.5)), 4).alias("median"))
+    stats = rows.groupBy("club").agg(*detection_columns((1.0, 2.0, 5.0)))
+    stats = stats.join(medians(rows, ["club"], "e", "median", 4), "club", "left")
     p90 = nearest_rank(rows, ["club"], "e", 0.9).select("club", F.round("e", 4).alias("p90"))
     return stats.join(p90, "club", "left").join(named_counts(rows, ["club"], "reason", "reasons"), "club").join(named_counts(rows, ["club"], "source_id", "sources"), "club")
 
@@ -126,10 +131,11 @@ def spin_replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     better = F.when(F.abs(half - F.col("truth")) <= F.abs(F.col("spin_rpm") - F.col("truth")), half).otherwise(F.col("spin_rpm"))
     ways = {"envelope": F.when(F.col("spin_confidence") >= 0.5, F.col("spin_rpm")), "sidebands": half, "harmonic": better}
     long = s.select("club", "truth", F.explode(F.array(*[F.struct(F.lit(k).alias("way"), v.alias("rpm")) for k, v in ways.items()])).alias("w")).select("club", "truth", "w.*")
-    e = F.abs(F.col("rpm") - F.col("truth"))
-    return long.groupBy("club", "way").agg(
-        F.count(F.lit(1)).alias("total"), F.count("rpm").alias("covered"), F.round(F.avg(e), 3).alias("mae"), F.round(F.percentile(e, F.lit(0.5)), 3).alias("median"), F.count_if(e / F.col("truth") * 100 <= 10).alias("within_10")
+    long = long.withColumn("e", F.abs(F.col("rpm") - F.col("truth")))
+    stats = long.groupBy("club", "way").agg(
+        F.count(F.lit(1)).alias("total"), F.count("rpm").alias("covered"), F.round(F.avg("e"), 3).alias("mae"), F.count_if(F.col("e") / F.col("truth") * 100 <= 10).alias("within_10")
     )
+    return stats.join(medians(long, ["club", "way"], "e", "median", 3), ["club", "way"], "left")
 
 
 SPIN_SQL = SHOTS + """, s AS (SELECT club, ball_speed * 40 + 500 AS truth, spin_rpm AS r, spin_rpm / 2 AS h, spin_confidence AS c FROM shots),
@@ -143,11 +149,12 @@ def club_speed_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.nullif(F.col("club_speed"), F.lit(0.0))
     new = F.when(F.col("shot_number") % 13 != 0, F.col("ball_speed") * (0.66 + 0.02 * (F.col("shot_number") % 10)))
     s = lens(spark, sf_dir, "shots").select("club", "ball_speed", old.alias("old"), new.alias("new"))
-    d = F.col("new") - F.col("old")
-    return s.groupBy("club").agg(
-        F.count(d).alias("n"), F.round(F.avg(d), 4).alias("mean"), F.round(F.percentile(d, F.lit(0.5)), 4).alias("median"), F.round(F.min(d), 4).alias("least"), F.round(F.max(d), 4).alias("most"),
+    s = s.withColumn("d", F.col("new") - F.col("old"))
+    stats = s.groupBy("club").agg(
+        F.count("d").alias("n"), F.round(F.avg("d"), 4).alias("mean"), F.round(F.min("d"), 4).alias("least"), F.round(F.max("d"), 4).alias("most"),
         F.count_if(F.col("ball_speed") / F.col("old") > 1.42).alias("high_old"), F.count_if(F.col("ball_speed") / F.col("new") > 1.42).alias("high_new"),
     )
+    return stats.join(medians(s, ["club"], "d", "median", 4), "club", "left")
 
 
 AB_SQL = SHOTS + """, s AS (SELECT club, ball_speed AS b, nullif(club_speed, 0) AS o, CASE WHEN shot_number % 13 <> 0 THEN ball_speed * (0.66::DOUBLE + 0.02::DOUBLE * (shot_number % 10)) END AS w FROM shots)
@@ -156,21 +163,21 @@ count(*) FILTER (b / o > 1.42::DOUBLE) AS high_old, count(*) FILTER (b / w > 1.4
 
 
 def diagnostic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of a kind: medians and maxima of their peaks, the three fullest bins (of equally full ones the lower), and counts of warnings."""
+    """Frames of a kind: medians and maxima of their peaks, the eight fullest bins (of equally full ones the lower), and counts of warnings."""
     r = lens(spark, sf_dir, "readings").withColumn("bin", F.floor("speed_mph"))
     w = F.array_compact(F.array(F.when(F.col("magnitude") < 5, F.lit("weak")), F.when(F.col("speed_mph") > 100, F.lit("fast"))))
-    stats = r.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("frames"), F.round(F.percentile("magnitude", F.lit(0.5)), 4).alias("median_magnitude"), F.max("magnitude").alias("max_magnitude"), F.round(F.percentile(F.abs(F.col("speed_mph") - 50), F.lit(0.5)), 4).alias("median_off")
-    )
+    stats = r.groupBy("event_type").agg(F.count(F.lit(1)).alias("frames"), F.max("magnitude").alias("max_magnitude"))
+    off = r.select("event_type", F.abs(F.col("speed_mph") - 50).alias("off"))
+    stats = stats.join(medians(r, ["event_type"], "magnitude", "median_magnitude", 4), "event_type", "left").join(medians(off, ["event_type"], "off", "median_off", 4), "event_type", "left")
     bins = r.groupBy("event_type", "bin").agg(F.count(F.lit(1)).alias("n"))
-    bins = bins.withColumn("place", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), "bin"))).where("place <= 3")
+    bins = bins.withColumn("place", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), "bin"))).where("place <= 8")
     tops = bins.groupBy("event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "bin", "n"))), lambda x: F.concat_ws("=", x["bin"].cast("string"), x["n"].cast("string"))), ",").alias("bins"))
     warned = named_counts(r.select("event_type", F.explode(w).alias("w")), ["event_type"], "w", "warnings")
     return stats.join(tops, "event_type").join(warned, "event_type", "left")
 
 
 DIAGNOSTIC_SQL = READINGS + """, b AS (SELECT event_type, floor(speed_mph)::BIGINT AS bin, count(*) AS n FROM readings GROUP BY 1, 2),
-t AS (SELECT event_type, string_agg(bin || '=' || n, ',' ORDER BY n DESC, bin) AS bins FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, bin) AS p FROM b) WHERE p <= 3 GROUP BY 1),
+t AS (SELECT event_type, string_agg(bin || '=' || n, ',' ORDER BY n DESC, bin) AS bins FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, bin) AS p FROM b) WHERE p <= 8 GROUP BY 1),
 w AS (SELECT event_type, string_agg(w || '=' || n, ',' ORDER BY w) AS warnings FROM (SELECT event_type, w, count(*) AS n FROM (SELECT event_type, 'weak' AS w FROM readings WHERE magnitude < 5 UNION ALL SELECT event_type, 'fast' FROM readings WHERE speed_mph > 100) GROUP BY 1, 2) GROUP BY 1)
 SELECT r.event_type, count(*) AS frames, round(quantile_cont(magnitude, 0.5), 4) AS median_magnitude, max(magnitude) AS max_magnitude, round(quantile_cont(abs(speed_mph - 50), 0.5), 4) AS median_off, max(bins) AS bins, max(warnings) AS warnings
 FROM readings r JOIN t USING (event_type) LEFT JOIN w USING (event_type) GROUP BY 1"""
@@ -180,10 +187,10 @@ def horizontal_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per session and over all: sources of horizontal angles, share detected, percentiles, hits at the wall of 15 degrees, mean confidence of those found."""
     s = lens(spark, sf_dir, "shots").withColumn("source", F.when(F.col("launch_h").isNull(), "none").when(F.col("launch_confidence") >= 0.5, "radar").otherwise("estimated"))
     s = s.withColumn("part", F.explode(F.array(F.lit("all"), F.concat(F.lit("s"), (F.col("session_id") % 20).cast("string")))))
-    q = F.percentile("launch_h", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     stats = s.groupBy("part").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.count("launch_h") / F.count(F.lit(1)), 6).alias("rate"), q.alias("q"), F.count_if(F.abs("launch_h") >= 15).alias("wall"), F.round(F.avg(F.when(F.col("launch_h").isNotNull(), F.col("launch_confidence"))), 4).alias("confidence")
+        F.count(F.lit(1)).alias("n"), F.round(F.count("launch_h") / F.count(F.lit(1)), 6).alias("rate"), F.count_if(F.abs("launch_h") >= 15).alias("wall"), F.round(F.avg(F.when(F.col("launch_h").isNotNull(), F.col("launch_confidence"))), 4).alias("confidence")
     )
+    stats = stats.join(quantiles(s, ["part"], "launch_h", (0.1, 0.5, 0.9)), "part", "left")
     stats = stats.select("part", "n", "rate", *[F.round(F.col("q")[i], 4).alias(k) for i, k in enumerate(("p10", "p50", "p90"))], "wall", "confidence")
     return stats.join(named_counts(s, ["part"], "source", "sources"), "part")
 
