@@ -136,3 +136,43 @@ def tier(kind: Column, way: Column, frames: Column) -> Column:
         .when(kind == "naive", F.when(way == "legacy_naive_suspect", 10).otherwise(20))
         .otherwise(0)
     )
+
+
+# Fixed values of the broad choice: times, strengths, frames apart.
+BROAD_LAST_S, BROAD_GAP, BROAD_LEAST, MIDDLE_S = 0.125, 2, 3.0, 0.060
+
+
+def broad(frames: Column) -> Column:
+    """The frames that strength alone selects: the strongest of the primary window, with the rising partner near by that is strongest; null without one.
+
+    Equally strong anchors: the one nearest to the window's middle, then to the speed's bin. Equally strong pairs: the closer one, then the earlier.
+    """
+    heard = F.filter(frames, lambda c: F.coalesce(c["t"].between(0.0, BROAD_LAST_S), F.lit(False)) & (c["snr"] >= BROAD_LEAST))
+    pool = F.filter(heard, lambda c: c["t"].between(FIRST_S, LAST_S) & (c["snr"] >= ALONE_SNR))
+    lead = _first_by(pool, lambda c: F.struct(-c["snr"], F.abs(c["t"] - MIDDLE_S), F.coalesce(c["bin_error"], F.lit(99_999)), c["frame"]))
+
+    def pair(a: Column) -> Column:
+        near = F.filter(heard, lambda c: (c["frame"] != a["frame"]) & (F.abs(c["frame"] - a["frame"]) <= BROAD_GAP))
+        two = F.transform(near, lambda c: F.when(c["t"] < a["t"], F.array(c, a)).otherwise(F.array(a, c)))
+        rising = F.filter(two, lambda p: p[1]["angle"] >= p[0]["angle"])
+        scored = F.transform(rising, lambda p: F.struct((-F.least(p[0]["snr"], p[1]["snr"])).alias("minus"), F.abs(p[0]["frame"] - p[1]["frame"]).alias("gap"), p[0]["frame"].alias("first"), p.alias("pair")))
+        return F.array_min(scored)["pair"]
+
+    return F.when(lead.isNotNull(), F.coalesce(pair(lead), F.array(lead)))
+
+
+def unwrapped(frames: Column, period: float, tee: Column, back: float = 0.75, far_bins: int = 80, least: float = 3.0) -> Column:
+    """Ranges of frames in order of time (t, range, bin_error, snr) with whole periods added, so that a ball is beyond its tee and never comes back.
+
+    Both by more than ``back``. Only frames near the speed's bin and strong enough take part; others keep their range.
+    """
+
+    def step(s: Column, c: Column) -> Column:
+        takes = F.coalesce(c["range"].isNotNull() & (c["bin_error"] <= far_bins) & (c["snr"] >= least), F.lit(False))
+        low = F.greatest(F.when(c["t"] >= FIRST_S, tee - back), s["last"] - back)
+        turns = F.greatest(F.coalesce(F.ceil((low - c["range"]) / period), F.lit(0)), F.lit(0))
+        value = F.when(takes, c["range"] + turns * period).otherwise(c["range"])
+        return F.struct(F.when(takes, value).otherwise(s["last"]).alias("last"), F.concat(s["out"], F.array(value)).alias("out"))
+
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
+    return F.aggregate(frames, start, step)["out"]

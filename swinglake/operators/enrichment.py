@@ -241,21 +241,57 @@ nullif(club_speed, 0) AS club_speed, array_to_string(list_filter([CASE WHEN NOT
 CASE WHEN launch_h IS NULL THEN 'hla' END, CASE WHEN NOT axis_known THEN 'spin_axis' END, CASE WHEN NOT measured THEN 'total_spin' END, CASE WHEN launch_v IS NULL THEN 'vla' END], lambda x: x IS NOT NULL), ',') AS estimated FROM a"""
 
 
-def spin_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spin that a high-spin club can't have had (below 0.6 of its best), and how sure the rest is."""
-    c = clubbed(spark, sf_dir)
-    lofted = F.col("club").isin(*clubs.WEDGES, *clubs.SHORT_IRONS)
-    verdict = (
-        F.when(F.col("spin_rpm").isNull(), "none")
-        .when(lofted & (F.col("spin_rpm") < F.col("best_spin") * 0.60), "implausible_for_club")
-        .when(F.col("spin_confidence") >= 0.6, "reliable")
+#: A spin's rails and quality in the lens of shots.
+_LOWER, _UPPER = "shot_number % 6 = 0", "shot_number % 17 = 0"
+_QUALITY = "CASE CAST(shot_number % 4 AS INT) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'high' END"
+
+
+def spin_verdict(rpm: Column, lower: Column, upper: Column, confidence: Column, quality: Column, club: Column, best: Column) -> Column:
+    """What becomes of a measured spin: a line on the lower rail below 0.6 of a lofted club's best can't be one; other lines on a rail
+    are kept for diagnosis only; the rest is reliable with a confidence of 0.6 and a quality above low, else only reported."""
+    lofted = club.isin(*clubs.WEDGES, *clubs.SHORT_IRONS)
+    return (
+        F.when(~F.coalesce(rpm > 0, F.lit(False)), "none")
+        .when(lower & lofted & (rpm < best * 0.60), "implausible_for_club")
+        .when(lower, "lower_rail")
+        .when(upper, "upper_rail")
+        .when((confidence >= 0.6) & quality.isin("high", "medium"), "reliable")
         .otherwise("reportable")
     )
-    return c.select("shot_number", verdict.alias("verdict"))
 
 
-REJECTION_SQL = CLUBBED + """SELECT shot_number, CASE WHEN spin_rpm IS NULL THEN 'none' WHEN club IN ('pw', 'gw', 'sw', 'lw', '6-iron', '7-iron', '8-iron', '9-iron') AND spin_rpm < best_spin * 0.60 THEN 'implausible_for_club'
-WHEN spin_confidence >= 0.6 THEN 'reliable' ELSE 'reportable' END AS verdict FROM s"""
+def spin_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on each shot's spin, and the carry that follows: adjusted for spin where that is reliable."""
+    c = clubbed(spark, sf_dir).withColumns({"lower": F.expr(_LOWER), "upper": F.expr(_UPPER), "quality": F.expr(_QUALITY)})
+    verdict = spin_verdict(*[F.col(n) for n in ("spin_rpm", "lower", "upper", "spin_confidence", "quality", "club", "best_spin")])
+    adjusted = flight.spin_carry(F.col("carry"), F.col("ball_speed"), F.col("spin_rpm"), F.col("best_spin"), F.col("club_speed"), F.col("carry_smash"))
+    return c.withColumn("verdict", verdict).select("shot_number", "verdict", F.round(F.when(F.col("verdict") == "reliable", adjusted).otherwise(F.col("carry")), 6).alias("carry"))
+
+
+REJECTION_SQL = CARRY_SPIN_SQL.split("SELECT shot_number, round(best_spin")[0] + f""", v AS (SELECT *, CASE WHEN NOT coalesce(spin_rpm > 0, false) THEN 'none'
+WHEN {_LOWER} AND club IN ('pw', 'gw', 'sw', 'lw', '6-iron', '7-iron', '8-iron', '9-iron') AND spin_rpm < best_spin * 0.60::DOUBLE THEN 'implausible_for_club' WHEN {_LOWER} THEN 'lower_rail' WHEN {_UPPER} THEN 'upper_rail'
+WHEN spin_confidence >= 0.6::DOUBLE AND {_QUALITY} IN ('high', 'medium') THEN 'reliable' ELSE 'reportable' END AS verdict FROM g)
+SELECT shot_number, verdict, round(CASE WHEN verdict = 'reliable' THEN carry * CASE WHEN loss < 2 THEN least(1.02::DOUBLE, f0 + 0.01::DOUBLE) ELSE f0 END * contact ELSE carry END, 6) AS carry FROM v"""
+
+
+def launch_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a ball's flight starts from: shots without a vertical angle have none; spin is measured where its confidence is 0.7, else the club's typical one; what is missing is straight."""
+    c = clubbed(spark, sf_dir).where("launch_v IS NOT NULL")
+    measured = F.coalesce(F.col("spin_rpm").isNotNull() & (F.col("spin_confidence") >= 0.7), F.lit(False))
+    axis = F.when(F.col("face_deg").isNotNull() & F.col("path_deg").isNotNull(), F.col("face_deg") - F.col("path_deg"))
+    return c.select(
+        "shot_number",
+        "ball_speed",
+        "launch_v",
+        F.coalesce("launch_h", F.lit(0.0)).alias("launch_h"),
+        F.when(measured, F.col("spin_rpm")).otherwise(F.col("typical_spin")).alias("spin_rpm"),
+        F.round(F.coalesce(axis, F.lit(0.0)), 4).alias("spin_axis"),
+        F.when(measured, "measured").otherwise("club_typical").alias("spin_source"),
+    )
+
+
+CONDITIONS_SQL = CLUBBED + """SELECT shot_number, ball_speed, launch_v, coalesce(launch_h, 0.0) AS launch_h, CASE WHEN spin_rpm IS NOT NULL AND spin_confidence >= 0.7::DOUBLE THEN spin_rpm ELSE typical_spin END AS spin_rpm,
+round(coalesce(face_deg - path_deg, 0.0), 4) AS spin_axis, CASE WHEN spin_rpm IS NOT NULL AND spin_confidence >= 0.7::DOUBLE THEN 'measured' ELSE 'club_typical' END AS spin_source FROM s WHERE launch_v IS NOT NULL"""
 
 
 def completeness_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,6 +405,7 @@ QUERIES = {
     "acceptance_ladder_h": (acceptance_ladder_h, LADDER_H_SQL),
     "simulator_shot": (simulator_shot, SIMULATOR_SQL),
     "spin_rejection": (spin_rejection, REJECTION_SQL),
+    "launch_conditions": (launch_conditions, CONDITIONS_SQL),
     "completeness_matrix": (completeness_matrix, COMPLETENESS_SQL),
     "rule_reasons_array": (rule_reasons_array, REASONS_SQL),
 }

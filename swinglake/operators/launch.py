@@ -322,7 +322,8 @@ def frame_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
                             size = (4000, 150, 700, 2500)[label % 4] * (1 + 0.2 * np.sin(frame))
                             phase = 2 * np.pi * (kmh + (label % 5 == 4) * 14) / 200 * k
                             turn = -2 * np.pi * radc.SPACING_M * np.sin(np.radians(bearing)) / radc.WAVELENGTH_M
-                            for c, extra in ((0, 0.0), (2, turn), (4, 0.0)):
+                            out = 2 * np.pi * np.hypot(along, up) / (5.0 * 3.28084)  # the second frequency's phase grows with the range
+                            for c, extra in ((0, 0.0), (2, turn), (4, out)):
                                 codes[c] += size * np.cos(phase + extra)
                                 codes[c + 1] += size * np.sin(phase + extra)
                         payload = np.clip(np.floor(codes + 32768), 0, 65535).astype("<u2").tobytes()

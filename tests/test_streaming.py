@@ -92,3 +92,81 @@ def test_payloads_are_left_out_of_uploads(spark, tmp_path):
     lines = ['{"type": "shot", "n": 1, "radc_b64": "AAAA"}', '{"type": "other"}', "broken", '{"type": "shot", "frames": [1, 2]}']
     got = drive(spark, tmp_path, [[(x,) for x in lines]], "raw string", lambda s: pipelines.uploadable(s, ("shot",)))
     assert sorted(r["raw"] for r in got) == ['{"type":"shot","n":1}', '{"type":"shot"}']
+
+
+def state_rows(spark, tmp_path, batches, schema, build, mode="append"):
+    """What :func:`drive` does, and the rows of state after the last batch."""
+    source = str(tmp_path / "in")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{source}/b={i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    q = build(stream).writeStream.outputMode(mode).format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    return spark.table("states").collect(), left
+
+
+def test_states_expire(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    cases = {
+        "debounced": ([[(k, at(0)) for k in range(20)], [(99, at(100))], [(99, at(200))]], "k long, ts timestamp", lambda s: pipelines.debounced(s, "k"), "append"),
+        "clock": ([[(k, at(0), 1.0) for k in range(20)], [(99, at(300), None)], [(99, at(400), None)]], "k long, ts timestamp, offset_s double", lambda s: pipelines.clock_state(s, "k"), "append"),
+        "ring": ([[(k, at(0), 1) for k in range(20)], [(99, at(9000), 2)], [(99, at(9100), 3)]], "k long, ts timestamp, frame long", lambda s: pipelines.ring_buffer(s, "k"), "update"),
+        "uploads": ([[(f"{k}", at(0), 500) for k in range(20)], [("x", at(10**6), 200)], [("x", at(10**6 + 9), 200)]], "file string, ts timestamp, status int", pipelines.upload_states, "append"),
+        "buffers": ([[(k, at(0), 1) for k in range(20)], [(99, at(9000), 2)], [(99, at(9100), None)]], "k long, ts timestamp, frame long", lambda s: pipelines.shot_buffers(s, "k"), "append"),
+    }
+    for name, (batches, schema, build, mode) in cases.items():
+        assert state_rows(spark, tmp_path / name, batches, schema, build, mode)[1] <= 1, name
+
+
+def test_shots_wait_for_their_frames(spark, tmp_path):
+    """Frames after a shot count until the wait is over, however they are batched; later ones don't; the timer gives a shot without further frames."""
+    at = lambda s: T0 + timedelta(seconds=s)
+    schema = "k long, ts timestamp, shot long, frame long"
+    frames = [(1, at(1 + 0.05 * i), None, i) for i in range(20)]  # 1.00 to 1.95
+    for n, batches in enumerate(
+        (
+            [[*frames, (1, at(1.6), 7, None)], [(2, at(60), None, 1)], [(2, at(61), None, 2)]],
+            [[*frames[:5], (1, at(1.6), 7, None)], frames[5:14], frames[14:], [(2, at(60), None, 1)], [(2, at(61), None, 2)]],
+        )
+    ):
+        got, left = state_rows(spark, tmp_path / str(n), batches, schema, lambda s: pipelines.waited_frames(s, "k"))
+        assert [(r["k"], r["shot"], sorted(r["frames"])) for r in got] == [(1, 7, list(range(16)))]  # up to 1.75 of 1.78
+        assert left <= 1
+
+
+def test_waits_reach_back_and_end(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    schema = "k long, ts timestamp, shot long, frame long"
+    batches = [[(1, at(s), None, s) for s in range(20)], [(1, at(10.0), 1, None), (1, at(19.5), 2, None)], [(1, at(90), None, 99)], [(1, at(91), None, 100)]]
+    got, _ = state_rows(spark, tmp_path, batches, schema, lambda s: pipelines.waited_frames(s, "k", late="15 seconds"))
+    assert {r["shot"]: r["frames"] for r in got} == {1: [4, 5, 6, 7, 8, 9, 10], 2: [14, 15, 16, 17, 18, 19]}
+
+
+def test_diagnostics_are_drained_by_cycle(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    schema = "k long, ts timestamp, reason string, latency_ms double"
+    batches = [[(1, at(0), "slow", 3.0), (1, at(1), "no_ball", None)], [(1, at(2), "zero", 0.0), (1, at(3), None, 250.0), (1, at(4), "after", None)], [(2, at(5000), "x", 1.0)], [(2, at(6000), None, 9.0)]]
+    got, left = state_rows(spark, tmp_path, batches, schema, lambda s: pipelines.drained_diagnostics(s, "k"))
+    assert sorted((r["k"], r["reason"], r["latency_ms"]) for r in got if r["reason"] != "after") == [(1, "no_ball", 250.0), (1, "slow", 3.0), (1, "zero", 250.0), (2, "x", 1.0)]
+    assert [r["latency_ms"] for r in got if r["reason"] == "after"] == [None] and left == 0
+
+
+def test_log_tail_resumes(spark, tmp_path):
+    logs, out, cp = (str(tmp_path / x) for x in ("logs", "out", "cp"))
+
+    def feed(name, lines):
+        (tmp_path / "logs").mkdir(exist_ok=True)
+        (tmp_path / "logs" / name).write_text("\n".join(lines) + "\n")
+
+    def run():
+        q = pipelines.log_tail(spark, logs).writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    feed("a.jsonl", ['{"type": "shot_detected", "ts": "t1", "device_id": "d"}', "broken"])
+    run()
+    feed("b.jsonl", ['{"type": "error", "message": "m"}'])
+    run()
+    got = [(r["raw"] == "broken", r["type"], r["device_id"], r["ts"], r["message"]) for r in spark.read.parquet(out).collect()]
+    assert sorted(got, key=repr) == sorted([(False, "shot_detected", "d", "t1", None), (True, None, None, None, None), (False, "error", None, None, "m")], key=repr)
