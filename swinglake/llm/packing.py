@@ -63,7 +63,8 @@ class ChunkTokenizer:
     """Ids of texts as little-endian bytes: those of ``encode(text, add_special_tokens=False)``, with a bounded memory of chunks.
 
     A chunk stands between spaces or newlines, which neither a token nor an added token crosses. Letters and the marks
-    behind them are tokens apart, so a chunk of both is put together from two.
+    behind them are tokens apart, so a chunk of both is put together from two. Letters are what is so after the
+    tokenizer's normalisation, which takes some apart into a letter and a sign.
     """
 
     MARKS = ".,;:!?"
@@ -75,6 +76,9 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.parts, self.chunks = Memory(parts), Memory(chunks)
 
+    def _letters(self, text: str) -> bool:
+        return text.isalpha() and (text.isascii() or self.tokenizer.normalizer.normalize_str(text).isalpha())
+
     def _learn(self, parts: list[str]) -> None:
         for at in range(0, len(parts), 2000):
             some = parts[at : at + 2000]
@@ -91,7 +95,7 @@ class ChunkTokenizer:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         chunks = self.chunks.missing(set().union(*split))
         letters = [c.rstrip(self.MARKS) for c in chunks]
-        heads = [x if x.isalpha() else c for c, x in zip(chunks, letters, strict=True)]
+        heads = [x if self._letters(x) else c for c, x in zip(chunks, letters, strict=True)]
         tails = [c[len(x) :] for c, x in zip(chunks, heads, strict=True)]
         self._learn(self.parts.missing({*heads, *tails}))
         part = self.parts.new
