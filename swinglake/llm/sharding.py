@@ -30,11 +30,11 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from swinglake.llm.common import shared_path, table
+from swinglake.llm.common import shared_path, table, written
 
 OVERHEAD = 16
 #: Tables with a row for each file go to all tasks up to so many files, and are joined by shuffle beyond.
@@ -264,6 +264,75 @@ def deal(sizes: np.ndarray, shares: dict[int, int]) -> np.ndarray:
     return out
 
 
+#: Documents of each shard that may be exchanged to even out what dealing files one by one leaves, and how many each shard should have at least.
+EXCHANGED, LEAST_FREE = 64, 8
+
+
+def open_up(files: Sequence[File], whole: dict[str, int], cut: dict[str, dict[int, int]], shards: int) -> None:
+    """Give every shard documents that may be exchanged, LEAST_FREE where it has as many: files that were to stay are cut too, the smallest first.
+
+    A file that is cut has thousands of rows in a large table, so this adds files of shards without one, and in small tables others.
+    """
+    free = [0.0] * shards
+    for f in files:
+        for j, share in cut.get(f.name, {}).items():
+            free[j] += f.rows * share / f.bytes
+    small = sorted(files, key=lambda f: (f.rows, f.name))
+    for f in small:
+        if f.name not in cut and f.name not in whole and f.shard < shards and free[f.shard] < LEAST_FREE:
+            cut[f.name] = {f.shard: f.bytes}
+            free[f.shard] += f.rows
+    for f in small:  # where nothing else is free, files that move
+        if f.name in whole and free[whole[f.name]] < 2:
+            j = whole.pop(f.name)
+            cut[f.name] = {j: f.bytes}
+            free[j] += f.rows
+
+
+def exchanges(sizes: Sequence[int], movable: Sequence[list[tuple[int, object]]], most: int = 10_000) -> dict[object, int]:
+    """New shards of some documents, such that the shards' ``sizes`` come closer to each other.
+
+    ``movable``: (size, document) of each shard. As long as it helps, the fullest shard that can gives a document to an emptier one, or
+    exchanges one for a smaller: of all ways between the two that which brings them closest.
+    """
+    dev = np.array(sizes, np.int64) * len(sizes) - int(sum(sizes))  # times the number of shards, so whole
+    scale = len(sizes)
+    held = [sorted(m, key=lambda x: x[0]) for m in movable]
+    moved: dict[object, int] = {}
+    for _ in range(most):
+        order = np.argsort(-dev, kind="stable").tolist()
+        best = None
+        for i, j in [(i, j) for i in order[:4] for j in order[:-5:-1] if dev[i] > dev[j]]:
+            gap = int(dev[i] - dev[j])
+            mine, theirs = np.array([x for x, _ in held[i]] or [0]), np.array([0, *(x for x, _ in held[j])])
+            if not held[i]:
+                continue
+            # what i gives less what it takes should be half the gap
+            aim = mine - gap / (2 * scale)
+            order_j = np.argsort(theirs, kind="stable")
+            at = np.searchsorted(theirs[order_j], aim)
+            for near in (np.clip(at - 1, 0, len(theirs) - 1), np.clip(at, 0, len(theirs) - 1)):
+                gives = mine - theirs[order_j[near]]
+                left = np.abs(gap - 2 * scale * gives)
+                k = int(left.argmin())
+                if gives[k] > 0 and left[k] < gap and (best is None or gap - left[k] > best[0]):
+                    best = (gap - int(left[k]), i, j, k, int(order_j[near[k]]) - 1, int(gives[k]))
+        if best is None:
+            break
+        _, i, j, k, b, gives = best
+        given, taken = held[i].pop(k), held[j].pop(b) if b >= 0 else None
+        held[j].append(given)
+        moved[given[1]] = j
+        if taken:
+            held[i].append(taken)
+            moved[taken[1]] = i
+        for x in (i, j):
+            held[x].sort(key=lambda y: y[0])
+        dev[i] -= gives * scale
+        dev[j] += gives * scale
+    return moved
+
+
 def reshard(spark: SparkSession, path: str, shards: int, text_col: str = "text", cost: np.ndarray | None = None) -> list[str]:
     """Bring the table at ``path`` to so many shards of near equal bytes, and return the files that were rewritten.
 
@@ -274,6 +343,7 @@ def reshard(spark: SparkSession, path: str, shards: int, text_col: str = "text",
         _tidy(spark, path)
         return []
     whole, cut = file_transfers(old.files, shards, cost)
+    open_up(old.files, whole, cut, shards)
     columns = [F.col(f"`{c}`") for c in old.schema.names]
 
     def rows(names: Sequence[str]) -> DataFrame:
@@ -287,10 +357,11 @@ def reshard(spark: SparkSession, path: str, shards: int, text_col: str = "text",
 
         def dealt(group: pd.DataFrame) -> pd.DataFrame:  # one file, whose rows are bounded
             group = group.sort_values("__row")
-            return pd.DataFrame({"__file": group["__file"], "__row": group["__row"], "__shard": deal(group["__size"].to_numpy(), cut[group["__file"].iloc[0]])})
+            return pd.DataFrame({"__file": group["__file"], "__row": group["__row"], "__shard": deal(group["__size"].to_numpy(), cut[group["__file"].iloc[0]]), "__size": group["__size"]})
 
         measured = rows(sorted(cut)).select("__file", "__row", document_size(text_col).alias("__size"))
-        to = measured.groupBy("__file").applyInPandas(dealt, "__file string, __row long, __shard int")
+        to = measured.groupBy("__file").applyInPandas(dealt, "__file string, __row long, __shard int, __size long")
+        to = _evened(written(to, "reshard-deal"), old.files, whole, cut, shards)
         moved = rows(sorted(cut)).join(to, ["__file", "__row"]).select(*columns, "__shard").hint("rebalance", "__shard")
         new += _write(moved, path, text_col, old.schema)
     rewritten = set(whole) | set(cut)
@@ -300,6 +371,26 @@ def reshard(spark: SparkSession, path: str, shards: int, text_col: str = "text",
     return sorted(rewritten)
 
 
+def _evened(to: DataFrame, files: Sequence[File], whole: dict[str, int], cut: dict[str, dict[int, int]], shards: int) -> DataFrame:
+    """The deal of the files that are cut (__file, __row, __shard, __size), with a bounded number of documents of each shard exchanged."""
+    spark = to.sparkSession
+    sizes = [0] * shards
+    for f in files:
+        if f.name not in cut:
+            sizes[whole.get(f.name, f.shard)] += f.bytes
+    for shard, n in to.groupBy("__shard").agg(F.sum("__size")).collect():  # a row for each shard
+        sizes[shard] += n
+    nth = F.row_number().over(Window.partitionBy("__shard").orderBy("__size", "__file", "__row"))
+    movable: list[list[tuple[int, object]]] = [[] for _ in range(shards)]
+    for r in to.withColumn("nth", nth).where(F.col("nth") <= EXCHANGED).orderBy("__shard", "nth").collect():  # bounded: so many for each shard
+        movable[r["__shard"]].append((r["__size"], (r["__file"], r["__row"])))
+    moved = exchanges(sizes, movable)
+    if not moved:
+        return to.drop("__size")
+    new = F.broadcast(spark.createDataFrame([(f, r, j) for (f, r), j in sorted(moved.items())], "__file string, __row long, __new int"))
+    return to.join(new, ["__file", "__row"], "left").select("__file", "__row", F.coalesce("__new", "__shard").alias("__shard"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str, old_shards: int = 32, shards: int = 40, files: int = 8) -> DataFrame:
     """The table is laid out in 32 shards by a hash of the id, about 8 files each, and goes to 40 of near equal bytes; the result is read back."""
     docs = table(spark, sf_dir, "documents")
