@@ -50,11 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    _SCRATCH.append(path)
+    to_delete(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def to_delete(path: str) -> None:
+    """Have :func:`scratch` delete a table that was written by other means."""
+    _SCRATCH.append(path)
+
+
 #: Folders of the tables that ``written`` made and nothing has deleted yet.
 _SCRATCH: list[str] = []
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swinglake.llm.common import drop_path, shared_path, table, written
+from swinglake.llm.common import drop_path, shared_path, table, to_delete, written
 
 BITS = 64
 #: The queries of so many tiles are asked of a tree together.
@@ -255,6 +255,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         if after == before:
             break
         before = after
+    to_delete(path)  # the result reads it
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
