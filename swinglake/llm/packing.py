@@ -75,9 +75,15 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.parts, self.chunks = Memory(parts), Memory(chunks)
+        self.plain: set[str] = set()  # letters that normalisation leaves letters
 
     def _letters(self, text: str) -> bool:
-        return text.isalpha() and (text.isascii() or self.tokenizer.normalizer.normalize_str(text).isalpha())
+        if not text.isalpha():
+            return False
+        if text.isascii() or self.plain.issuperset(text):
+            return True
+        self.plain.update(c for c in set(text) if self.tokenizer.normalizer.normalize_str(c).isalpha())
+        return self.plain.issuperset(text)
 
     def _learn(self, parts: list[str]) -> None:
         for at in range(0, len(parts), 2000):
