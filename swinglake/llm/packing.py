@@ -69,7 +69,7 @@ class ChunkTokenizer:
 
     MARKS = ".,;:!?"
 
-    def __init__(self, path: str, parts: int = 200_000, chunks: int = 250_000):
+    def __init__(self, path: str, parts: int = 500_000, chunks: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
