@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from swinglake.llm import packing, sharding, simhash
+from swinglake.llm import lm, packing, sharding, simhash
 from swinglake.llm.common import scratch, shared_dir
 
 
@@ -78,3 +78,45 @@ def test_long_ids_clash_with_helper_columns(spark):
     sharding.lay_out(docs, "pmod(doc_id, 3)", 3, path, 5)
     sharding.reshard(spark, path, 4)
     assert sorted(r.doc_id for r in sharding.read_shards(spark, path).collect()) == list(range(30)) and rows.count() == 30
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """Long documents have the same score alone and beside others, whole and in pieces, in one partition and in many."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 5))) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([60_001, 9000, 1, 0, 300, 25_000, 40, 700])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for parts, piece in ((1, lm.PIECE), (8, lm.PIECE), (1, 8 * 2000), (3, 8 * 131)):
+        monkeypatch.setattr(lm.in_pieces, "__defaults__", (piece // 8,))
+        found.append({r.doc_id: r.score for r in lm.lm_scores(docs.repartition(parts, "doc_id")).collect()})
+    for other in found[1:]:
+        for i, score in found[0].items():
+            assert other[i] == pytest.approx(score, rel=1e-6)
+
+
+def test_pieces_are_the_whole(monkeypatch):
+    """A stream scored in pieces has the loss of the stream scored at once, to the last digits, and leaves the same weights."""
+    from test_operators import lm_parts
+
+    rng = random.Random(9)
+    streams = [[bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 6))) for _ in range(n)] + [b"\n"] for n in (2000, 0, 400, 129, 128)]
+    tokens, times, code, two, inputs = lm_parts(streams)
+    table = np.random.default_rng(1).integers(-100, 100, 1 << 12).astype(np.int8)
+    mixer = lm.Mixer(code, two, table, np.tile(np.array(lm.START), (lm.GATES, 1)))
+    mixer.learn(tokens, [inputs[t] for t in tokens], [i % 7 - 1 for i in range(len(tokens))])
+    numbers = [np.array([tokens.index(t) for t in s]) for s in streams]
+    end = tokens.index(b"\n")
+    order = [end] + [i for i in range(len(tokens)) if i != end]  # the end mark comes first, as in the query
+    mixer.learn([tokens[i] for i in order], [inputs[tokens[i]] for i in order], [i % 7 - 1 for i in range(len(tokens))])
+    numbers = [np.array([order.index(i) for i in s]) for s in numbers]
+    whole = mixer.score(numbers, [0] * len(numbers), mixer.fresh(len(numbers)))
+    for tokens_each in (128, 150, 500, 1999, 5000):
+        assert lm.in_pieces(mixer, numbers, tokens_each) == pytest.approx(whole, rel=1e-9)
+
+
+def test_ranges_are_bounded(spark, monkeypatch):
+    tokens = spark.range(5000).selectExpr("cast(concat('t', id) as binary) AS token")
+    assert len(lm.range_cuts(tokens, 5000, 100)) > 20
+    monkeypatch.setattr(lm, "RANGES", 8)
+    assert 1 <= len(lm.range_cuts(tokens, 5000, 100)) <= 16

@@ -829,7 +829,7 @@ def test_null_ids_and_repeated_rows(spark, data, tokenizer):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, sf, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     a, b = registry.QUERIES[name](spark, sf).toPandas(), c.execute(registry.ORACLE_SQL[name]).df()
     k = sorted(a.columns)
