@@ -174,13 +174,13 @@ def signal_ends(df: DataFrame, keys: list[str], order: str, value: str, smooth:
 
 
 def rolling_mean_below(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the signals of eight captures end; a capture is an eighth of the readings, the odd ones of which are all but silent from a place on."""
-    faded = F.when((F.col("session_id") % 2 == 1) & (F.col("seq") % 10000 > 7000), F.col("magnitude") * 0.02).otherwise(F.col("magnitude"))
-    r = lens(spark, sf_dir, "readings").select((F.col("session_id") % 8).alias("capture"), "seq", faded.alias("value"))
+    """Where the signals of captures end; a capture is a run of 2000 readings, the odd ones of which are all but silent from a place on."""
+    faded = F.when((F.expr("seq div 2000") % 2 == 1) & (F.col("seq") % 2000 > 1400), F.col("magnitude") * 0.02).otherwise(F.col("magnitude"))
+    r = lens(spark, sf_dir, "readings").select(F.expr("seq div 2000").alias("capture"), "seq", faded.alias("value"))
     return signal_ends(r, ["capture"], "seq", "value")
 
 
-ROLLING_SQL = READINGS + """, r AS (SELECT session_id % 8 AS capture, seq, CASE WHEN session_id % 2 = 1 AND seq % 10000 > 7000 THEN magnitude * 0.02::DOUBLE ELSE magnitude END AS v FROM readings),
+ROLLING_SQL = READINGS + """, r AS (SELECT seq // 2000 AS capture, seq, CASE WHEN seq // 2000 % 2 = 1 AND seq % 2000 > 1400 THEN magnitude * 0.02::DOUBLE ELSE magnitude END AS v FROM readings),
 s AS (SELECT capture, row_number() OVER w - 1 AS at_row, sum(v) OVER (PARTITION BY capture ORDER BY seq ROWS BETWEEN 45 PRECEDING AND 44 FOLLOWING) / 90 AS s FROM r WINDOW w AS (PARTITION BY capture ORDER BY seq)),
 l AS (SELECT capture, count(*) AS n, quantile_cont(s, 0.5) FILTER (at_row < 450) AS level FROM s GROUP BY 1),
 b AS (SELECT s.capture, at_row, n, level, sum((s < 0.15::DOUBLE * level)::INT) OVER (PARTITION BY s.capture ORDER BY at_row ROWS BETWEEN CURRENT ROW AND 149 FOLLOWING) AS k FROM s JOIN l ON s.capture = l.capture)

@@ -6,32 +6,64 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swinglake.functions.lens import lens, with_lenses
-from swinglake.functions.tracks import best_path
+from swinglake.functions.tracks import best_path, lingering, path_metrics, path_quality, pick_worth
 from swinglake.operators.joins import interval_join
 
 READINGS = with_lenses("readings")
 MINUTE = 60_000_000
 
 
-def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best path through what follows each purchase within 26 hours (an hour stands for 10 ms), given what was there in the hours before.
+# Where a ball's detections lie (m), and the time looked at after an event (ms).
+WITHIN_M, AFTER_MS = (0.6, 5.2), 260.0
 
-    An event's detections are an array of bounded length, that of its window; the fold over it runs in the JVM.
+
+def _events_with_hits(spark: SparkSession, sf_dir: str, before_hours: int, after_hours: int) -> DataFrame:
+    """Purchases as events, each with the readings around it in order as an array ``all``; an hour stands for 10 ms.
+
+    What a sensor reports around an event is bounded by its frames; so is this array by the window.
     """
     r = lens(spark, sf_dir, "readings")
-    events = r.where("event_type = 'purchase'").select("session_id", F.col("seq").alias("event"), F.col("us").alias("event_us"))
-    hits = r.where("event_type <> 'purchase'").select("session_id", "seq", "us", "speed_mph", "magnitude")
-    near = interval_join(hits, events, ["session_id"], "us", "event_us", 26 * 60 * MINUTE, 26 * 60 * MINUTE)
+    events = r.where("event_type = 'purchase'").select("session_id", F.col("seq").alias("event"), F.col("us").alias("event_us"), F.when(F.col("seq") % 3 != 0, F.col("magnitude")).alias("ball_ms"))
+    hits = r.where("event_type <> 'purchase'").select("session_id", "seq", "us", "speed_mph", F.col("magnitude").alias("strength"))
+    near = interval_join(hits, events, ["session_id"], "us", "event_us", before_hours * 60 * MINUTE, after_hours * 60 * MINUTE)
     ms = (F.col("us") - F.col("event_us")).cast("double") / (360 * 1e6)
-    hit = F.struct(F.col("seq").alias("frame"), ms.alias("ms"), (0.6 + F.col("speed_mph") / 60).alias("distance"), (F.col("magnitude") / 5).alias("angle"), (1500 + F.col("magnitude") * 20).alias("magnitude"))
+    hit = F.struct(F.col("seq").alias("frame"), ms.alias("ms"), (0.6 + F.col("speed_mph") / 60).alias("distance"), (F.col("strength") / 5).alias("angle"), (1500 + F.col("strength") * 20).alias("magnitude"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("us", "seq", hit.alias("hit")))), lambda x: x["hit"])
-    found = near.groupBy("session_id", "event").agg(listed.alias("all"))
+    return near.groupBy("session_id", "event").agg(listed.alias("all"), F.first("ball_ms").alias("ball_ms"))
+
+
+def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best path through what follows each purchase within 26 hours (an hour stands for 10 ms), given what was there in the hours before.
+
+    An event's detections are an array of bounded length, that of its window; the fold over it runs in the JVM.
+    """
+    found = _events_with_hits(spark, sf_dir, 26, 26)
     found = found.withColumn("hits", F.filter("all", lambda h: h["ms"] >= 0)).withColumn("best", best_path(F.col("hits"), F.filter("all", lambda h: h["ms"] < 0)))
     return found.select(
         "session_id", "event", F.size("hits").alias("hits"), F.coalesce(F.size("best.path"), F.lit(0)).alias("points"), F.round("best.score", 6).alias("score"), F.element_at("best.path", -1)["frame"].alias("last")
     )
 
 
+def judged_events(events: DataFrame) -> DataFrame:
+    """Events (all, ball_ms) with ``path``, ``score``, ``metrics``, ``left`` (what lingers), ``worth`` and ``quality``; events without a detection are left out."""
+    inside = lambda h: (h["ms"] >= 0) & (h["ms"] <= AFTER_MS) & h["distance"].between(*WITHIN_M)
+    found = events.withColumn("hits", F.filter("all", inside)).where(F.size("hits") > 0)
+    found = found.withColumn("best", best_path(F.col("hits"), F.filter("all", lambda h: h["ms"] < 0)))
+    found = found.withColumns({"path": F.col("best.path"), "score": F.col("best.score")}).withColumn("metrics", path_metrics(F.col("path")))
+    found = found.withColumn("left", lingering(F.col("path"), F.col("all")))
+    return found.withColumns({"worth": pick_worth(F.col("score"), F.col("metrics"), F.col("left"), F.col("ball_ms")), "quality": path_quality(F.col("metrics"), F.col("left"))}).drop("best", "hits")
+
+
+def event_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each session's events the one whose path is the likeliest shot, the first of equal ones, with its shape and quality."""
+    found = judged_events(_events_with_hits(spark, sf_dir, 18, 40))
+    row = F.struct("event", "score", "worth", "left", "quality", "metrics")
+    picked = found.groupBy("session_id").agg(F.count(F.lit(1)).alias("events"), F.max_by(row, F.struct("worth", -F.col("event"))).alias("p"))
+    return picked.select(
+        "session_id", "events", "p.event", F.round("p.score", 6).alias("score"), F.round("p.worth", 6).alias("worth"), "p.left", "p.quality", "p.metrics.points", F.round("p.metrics.gain_m", 6).alias("gain_m"), F.round("p.metrics.steady", 6).alias("steady")
+    )
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lens(spark, sf_dir, "readings").select(
         "session_id",
@@ -111,6 +143,7 @@ SELECT session_id, seq, magnitude + 100 * sum(CASE WHEN d < -50 THEN 1 WHEN d >
 
 QUERIES = {
     "event_paths": (event_paths, None),
+    "event_picks": (event_picks, None),
     "vertical_rule_stack": (vertical_rule_stack, RULES_SQL),
     "leave_one_session_out": (leave_one_session_out, LOSO_SQL),
     "phase_unwrap": (phase_unwrap, UNWRAP_SQL),

@@ -117,6 +117,46 @@ def test_best_path_is_the_best_of_all(spark):
         assert path_worth([h.asDict() for h in got[k]["path"]], before) == pytest.approx(max(worths))
 
 
+def plain_pick(score, path, later, ball_ms):
+    """(worth, quality, what lingers) of a path by the rules, one after another."""
+    end, gain = path[-1], path[-1]["distance"] - path[0]["distance"]
+    left = sum(h["ms"] > end["ms"] + 90 and abs(h["distance"] - end["distance"]) <= 0.35 and abs(h["angle"] - end["angle"]) <= 8 for h in later)
+    steps = [b["distance"] - a["distance"] > 0 for a, b in zip(path, path[1:], strict=False)]
+    steady, long = (sum(steps) / len(steps) if steps else 1.0), end["ms"] - path[0]["ms"]
+    worth = score - 1.2 * left + 0.8 * min(gain, 2.5) + 0.7 * steady + (0.5 if len(path) >= 3 else -0.6) + (0.4 if 30 <= long <= 220 else -0.4)
+    worth += (0.5 if path[0]["distance"] <= 2.5 else 0) - 0.35 * max(0, path[0]["ms"] - 120) / 40 - 0.8 * max(0, path[0]["distance"] - 3.8) - 0.6 * left
+    worth -= min(1.0, abs(path[0]["ms"] - ball_ms) / 160) if ball_ms is not None else 0
+    strong = path[0]["ms"] <= 120 and steady >= 0.75 and (len(path) >= 4 and gain >= 1.2 or len(path) >= 3 and gain >= 1.5 and left <= 4)
+    return worth, "strong" if strong else "partial" if len(path) >= 2 and gain >= 0.4 and steady >= 0.5 else "weak", left
+
+
+def test_events_are_judged(spark):
+    from swinglake.functions.tracks import HIT
+    from swinglake.operators.tracks import judged_events
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(60):
+        ms = np.sort(rng.uniform(-100, 420, 12)).round(1)
+        flight = k % 3 == 0
+        hits = [dict(frame=i, ms=float(m), distance=float(0.8 + max(m, 0) / 60 if flight else rng.uniform(0.3, 5.6)), angle=float(rng.uniform(-3, 3) if flight else rng.uniform(-20, 20)), magnitude=float(rng.uniform(1500, 4000))) for i, m in enumerate(ms)]
+        rows.append((k, hits, None if k % 4 == 0 else 30.0 * (k % 5)))
+    rows += [(90, [], None), (91, [dict(frame=0, ms=-5.0, distance=1.0, angle=0.0, magnitude=2000.0)], 3.0)]
+    got = {r["k"]: r for r in judged_events(spark.createDataFrame(rows, f"k int, all array<struct<{HIT}>>, ball_ms double")).collect()}
+    for k, hits, ball_ms in rows:
+        inside = [h for h in hits if 0 <= h["ms"] <= 260 and 0.6 <= h["distance"] <= 5.2]
+        assert (k in got) == bool(inside)
+        if inside:
+            r = got[k]
+            path = [h.asDict() for h in r["path"]]
+            worth, quality, left = plain_pick(r["score"], path, hits, ball_ms)
+            assert r["worth"] == pytest.approx(worth) and (r["quality"], r["left"]) == (quality, left)
+            assert r["metrics"]["points"] == len(path) and r["metrics"]["angle_span"] == pytest.approx(max(h["angle"] for h in path) - min(h["angle"] for h in path))
+            before = [h for h in hits if h["ms"] < 0]
+            assert r["score"] == pytest.approx(max(w for n in range(1, len(inside) + 1) for c in combinations(inside, n) if (w := path_worth(c, before)) is not None))
+    assert {r["quality"] for r in got.values()} == {"strong", "partial", "weak"}
+
+
 def test_sinks_round_trip(spark, tmp_path):
     import csv
     import gzip
