@@ -29,9 +29,8 @@ PEARSON_SQL = GOOD_SQL + """, g AS (SELECT club, frames, count(*) AS n, covar_po
 SELECT club, frames, n, CASE WHEN n >= 3 AND s > 0 THEN round(c / s, 4) END AS r_or_null, CASE WHEN n > 1 AND s > 0 THEN round(c / s, 4) ELSE 0.0 END AS r_or_zero FROM g"""
 
 
-def ols_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Truth on device: linear fit with the deviation of its residuals, and the error left by an offset alone."""
-    fit = good_errors(spark, sf_dir).groupBy("club").agg(*sums("d_ball_speed", "t_ball_speed"))
+def _calibration(spark: SparkSession, sf_dir: str, device: str, truth: str) -> DataFrame:
+    fit = good_errors(spark, sf_dir).groupBy("club").agg(*sums(device, truth))
     slope, intercept = slope_intercept()
     fit = fit.withColumn("slope", slope).withColumn("intercept", intercept)
     vx, vy, cxy = F.col("vx"), F.col("vy"), F.col("cxy")
@@ -40,11 +39,24 @@ def ols_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.where("n >= 3").select("club", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round(residual, 3).alias("residual_sd"), F.round(offset, 3).alias("offset_rmse"))
 
 
+def ols_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth on device: linear fit with the deviation of its residuals, and the error left by an offset alone."""
+    return _calibration(spark, sf_dir, "d_ball_speed", "t_ball_speed")
+
+
+def angle_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of launch angles."""
+    return _calibration(spark, sf_dir, "d_launch_v", "t_launch_v")
+
+
 OLS_SQL = GOOD_SQL + """, f AS (SELECT club, count(*) AS n, regr_slope(t_speed, d_speed) AS slope, regr_intercept(t_speed, d_speed) AS intercept, stddev_pop(t_speed - d_speed) AS o FROM good GROUP BY club)
 SELECT f.club, max(f.n) AS n, round(max(slope), 4) AS slope, round(max(intercept), 4) AS intercept,
 round(stddev_pop(t_speed - (slope * d_speed + intercept)), 3) AS residual_sd, round(max(o), 3) AS offset_rmse FROM good JOIN f ON good.club = f.club GROUP BY f.club HAVING max(f.n) >= 3"""
 
 
+ANGLE_SQL = GOOD_SQL + OLS_SQL.removeprefix(GOOD_SQL).replace("d_speed", "d_launch").replace("t_speed", "t_launch")
+
+
 def proportional_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = good_errors(spark, sf_dir).groupBy("club").agg(*sums("d_ball_speed", "t_ball_speed"))
     return fit.select("club", F.round(F.try_divide(F.col("cxy") + F.col("mx") * F.col("my"), F.col("vx") + F.col("mx") * F.col("mx")), 5).alias("slope"))
@@ -89,6 +101,7 @@ QUERIES = {
     "nearest_rank_p90": (nearest_rank_p90, P90_SQL),
     "pearson_guarded": (pearson_guarded, PEARSON_SQL),
     "ols_calibration": (ols_calibration, OLS_SQL),
+    "angle_calibration": (angle_calibration, ANGLE_SQL),
     "proportional_fit": (proportional_fit, PROPORTIONAL_SQL),
     "bland_altman_limits": (bland_altman_limits, BLAND_SQL),
     "metric_verdict": (metric_verdict, VERDICT_SQL),

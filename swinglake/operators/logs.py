@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swinglake.sources.logs import allowed, tolerant, uuid5
+from swinglake.functions.lens import lens, with_lenses
+from swinglake.sources.logs import allowed, shots, tolerant, uuid5
+from swinglake.sources.scans import capture_lines, stored_captures
 
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 _TYPES = "CASE event_type WHEN 'click' THEN 'shot_detected' WHEN 'view' THEN 'trigger_event' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'kld_buffer' ELSE 'session_end' END"
@@ -93,9 +95,62 @@ r AS (SELECT event_id, CASE WHEN j IS NULL THEN try_cast(line AS DOUBLE) WHEN js
 CASE WHEN json_type(j, '$.speed') = 'ARRAY' THEN (j->>'$.magnitude[0]')::DOUBLE ELSE nullif((j->>'$.magnitude')::DOUBLE, 0) END AS magnitude FROM j)
 SELECT event_id, magnitude, abs(s) AS speed_mph, CASE WHEN s > 0 THEN 'inbound' ELSE 'outbound' END AS direction FROM r WHERE s IS NOT NULL"""
 
+#: Lines of a session log from an event: shots whose fields stand at the top or in ``data``, with one name of the time or another, captures, and
+#: broken ones; {nul} is a NUL byte.
+SHOT_LINE = """CASE WHEN event_id % 13 = 0 THEN '{{"type": "shot_detected", "shot' WHEN event_type = 'view' THEN concat({nul}, '{{"type": "rolling_buffer_capture", "shot_number": ', event_id, CASE WHEN event_id % 5 = 0 THEN '}}' ELSE
+concat(', "i_samples": [', event_id % 7, ', 2, 3], "q_samples": [4, ', event_id % 11, ', 6], "ball_timestamp_ms": ', event_id % 90, '}}') END) WHEN event_type <> 'click' THEN '{{"type": "error", "shot_number": 3}}'
+WHEN event_id % 3 = 0 THEN concat('{{"type": "shot_detected", "data": {{"shot_number": ', event_id, ', "ball_speed_mph": ', event_id % 80 + 60, ', "timestamp": "t', event_id, '"}}}}')
+WHEN event_id % 3 = 1 THEN concat('{{"type": "shot_detected", "shot_number": ', event_id, ', "club": "pw", "ts": "a', event_id, '", "timestamp": "b", "data": {{"shot_number": 5, "spin_rpm": ', event_id % 9000, '}}}}')
+ELSE concat({nul}, '{{"type": "shot_detected", "shot_number": ', event_id, ', "timestamp": "c', event_id, '", "club_speed_mph": "', event_id % 50, '"}}') END"""
+
+
+def _session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("line_no"), F.expr(SHOT_LINE.format(nul="char(0)")).alias("raw"))
+
+
+_SESSION_LINES = "WITH l AS (SELECT user_id::VARCHAR AS file, event_id AS line_no, replace(" + SHOT_LINE.format(nul="chr(0)") + ", chr(0), '') AS raw FROM events), j AS (SELECT file, line_no, raw::JSON AS j FROM l WHERE json_valid(raw))"
+
+
+def log_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shots of session logs: fields at the top or else in ``data``, the time by ``ts`` or else ``timestamp``."""
+    return shots(_session_lines(spark, sf_dir))
+
+
+LOG_SHOTS_SQL = _SESSION_LINES + """ SELECT file, line_no, coalesce(j->>'$.shot_number', j->>'$.data.shot_number')::BIGINT AS shot_number, coalesce(j->>'$.ts', j->>'$.data.ts', j->>'$.timestamp', j->>'$.data.timestamp') AS ts, coalesce(j->>'$.club', j->>'$.data.club') AS club,
+coalesce(j->>'$.ball_speed_mph', j->>'$.data.ball_speed_mph')::DOUBLE AS ball_speed_mph, coalesce(j->>'$.club_speed_mph', j->>'$.data.club_speed_mph')::DOUBLE AS club_speed_mph, coalesce(j->>'$.spin_rpm', j->>'$.data.spin_rpm')::DOUBLE AS spin_rpm
+FROM j WHERE j->>'$.type' = 'shot_detected'"""
+
+
+def log_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captures of session logs: how many samples each has, their sums, and when the ball was seen."""
+    c = capture_lines(_session_lines(spark, sf_dir))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)
+    return c.select("file", "line_no", "shot_number", "ball_ms", F.coalesce(F.size("i"), F.lit(0)).alias("samples"), total("i").alias("sum_i"), total("q").alias("sum_q"))
+
+
+LOG_CAPTURES_SQL = _SESSION_LINES + """, c AS (SELECT file, line_no, (j->>'$.shot_number')::BIGINT AS shot_number, (j->>'$.ball_timestamp_ms')::DOUBLE AS ball_ms, (j->'$.i_samples')::INT[] AS i, (j->'$.q_samples')::INT[] AS q FROM j WHERE j->>'$.type' = 'rolling_buffer_capture')
+SELECT file, line_no, shot_number, ball_ms, coalesce(len(i), 0)::INT AS samples, list_sum(i)::INT AS sum_i, list_sum(q)::INT AS sum_q FROM c"""
+
+
+def capture_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings as the frames of stored captures, a session each, by the number of the shot (a purchase) they surround within days."""
+    r = lens(spark, sf_dir, "readings").withColumn("at", F.col("us") / 1e6)
+    frames = r.where("event_type <> 'purchase'").select(F.col("session_id").alias("capture"), F.when(F.col("session_id") % 2 == 0, "vertical").otherwise("horizontal").alias("orientation"), "at", "seq")
+    found = stored_captures(frames, r.where("event_type = 'purchase' AND session_id % 9 <> 0").select(F.col("session_id").alias("capture"), "at"), 7, 86400.0, 43200.0)
+    return found.groupBy("capture", "orientation", "shot_number").agg(F.count(F.lit(1)).alias("frames"), F.sum("seq").alias("seqs"))
+
+
+BUFFERS_SQL = with_lenses("readings") + """, r AS (SELECT *, us / 1e6::DOUBLE AS t FROM readings), f AS (SELECT session_id AS capture, CASE WHEN session_id % 2 = 0 THEN 'vertical' ELSE 'horizontal' END AS orientation, t, seq FROM r WHERE event_type <> 'purchase'),
+s AS (SELECT session_id AS capture, t, (row_number() OVER (PARTITION BY session_id ORDER BY t) + 6)::INT AS n FROM r WHERE event_type = 'purchase' AND session_id % 9 <> 0),
+m AS (SELECT f.*, n FROM f JOIN s ON f.capture = s.capture AND f.t >= s.t - 86400 AND f.t <= s.t + 43200 UNION ALL SELECT f.*, 7 FROM f WHERE capture NOT IN (SELECT capture FROM s))
+SELECT capture, orientation, n AS shot_number, count(*) AS frames, sum(seq)::BIGINT AS seqs FROM m GROUP BY 1, 2, 3"""
+
 QUERIES = {
     "json_tolerant_scan": (json_tolerant_scan, TOLERANT_SQL),
     "json_allowlist": (json_allowlist, ALLOWLIST_SQL),
     "session_uuids": (session_uuids, UUID_SQL),
     "radar_lines": (radar_lines, RADAR_SQL),
+    "log_shots": (log_shots, LOG_SHOTS_SQL),
+    "log_captures": (log_captures, LOG_CAPTURES_SQL),
+    "capture_buffers": (capture_buffers, BUFFERS_SQL),
 }

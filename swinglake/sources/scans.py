@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAYLOAD = 3072
@@ -42,6 +42,38 @@ def captures(df: DataFrame, reply: str) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.when(there, F.col(f"__{k}")).alias(k) for k in parts])
 
 
+def capture_lines(lines: DataFrame, raw: str = "raw") -> DataFrame:
+    """``lines`` that log a capture, with its shot's number, times and samples; NUL bytes are taken out, broken lines and other entries left out.
+
+    A capture without samples stays, with nulls, so that replays can say so.
+    """
+    v = F.try_parse_json(F.translate(F.trim(raw), "\u0000", ""))
+    of = lambda name, kind: F.try_variant_get(F.col("__v"), f"$.{name}", kind)
+    kept = lines.withColumn("__v", v).where(F.try_variant_get(F.col("__v"), "$.type", "string") == "rolling_buffer_capture")
+    out = {"shot_number": of("shot_number", "bigint"), "ball_speed": of("ball_speed_mph", "double"), "ball_ms": of("ball_timestamp_ms", "double"), "i": of("i_samples", "array<int>"), "q": of("q_samples", "array<int>")}
+    return kept.select(*[F.col(f"`{c}`") for c in lines.columns if c not in (raw, *out)], *[x.alias(n) for n, x in out.items()])
+
+
+def stored_captures(frames: DataFrame, shots: DataFrame, first_shot: int = 1, before_s: float = 6.0, after_s: float = 0.75) -> DataFrame:
+    """Frames of stored captures (capture, orientation, at, ...) by the number of their shot, as a buffer's would be.
+
+    ``shots`` has (capture, at): a capture's shots are numbered by time from ``first_shot`` on, each has the frames of the closed window around it,
+    and a capture without shots is one shot of all its frames. Captures of another orientation than vertical or horizontal are refused.
+    """
+    bad = ~F.coalesce(F.col("orientation").isin("vertical", "horizontal"), F.lit(False))
+    right = frames.withColumn("orientation", F.when(bad, F.raise_error(F.lit("orientation must be vertical or horizontal")).cast("string")).otherwise(F.col("orientation")))
+    placed = F.row_number().over(Window.partitionBy("capture").orderBy("at")) + (first_shot - 1)
+    numbered = shots.where("at IS NOT NULL").select(F.col("capture").alias("__c"), F.col("at").alias("__at"), placed.alias("shot_number"))
+    width = before_s + after_s
+    # frames and shots meet in buckets as wide as the window, so that the join is by equality
+    bucket = lambda x: F.floor(x / width)
+    near = numbered.withColumn("__b", F.explode(F.sequence(bucket(F.col("__at") - before_s), bucket(F.col("__at") + after_s))))
+    met = right.join(near, (F.col("capture") == F.col("__c")) & (bucket(F.col("at")) == F.col("__b")))
+    met = met.where((F.col("at") >= F.col("__at") - before_s) & (F.col("at") <= F.col("__at") + after_s)).drop("__c", "__at", "__b")
+    alone = right.join(numbered.select("__c").distinct(), F.col("capture") == F.col("__c"), "left_anti").withColumn("shot_number", F.lit(first_shot))
+    return met.unionByName(alone)
+
+
 def joined_blocks(df: DataFrame, keys: list[str], order: str, block: str) -> DataFrame:
     """One array ``samples`` per key, its blocks in order. A capture is of bounded length."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(block).alias("b"))))

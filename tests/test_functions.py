@@ -221,3 +221,17 @@ def test_grid_fit_takes_every_shot(spark, sf):
             assert off[round(found["alpha"] * 10)] == pytest.approx(off.min(), abs=1e-8)
             near = np.flatnonzero(off <= off.min() + 1e-10)
             assert found["alpha"] <= alpha[near[0]] + 1e-9
+
+
+def test_stored_captures(spark):
+    from swinglake.sources import scans
+
+    frames = spark.createDataFrame([("a", "vertical", float(t), t) for t in range(20)] + [("b", "horizontal", 3.0, 1)], "capture string, orientation string, at double, frame int")
+    shots = spark.createDataFrame([("a", 15.25), ("a", 5.0), ("a", None)], "capture string, at double")
+    got = {}
+    for r in scans.stored_captures(frames, shots, 3).collect():
+        got.setdefault((r["capture"], r["shot_number"]), []).append(r["frame"])
+    assert {k: sorted(v) for k, v in got.items()} == {("a", 3): list(range(6)), ("a", 4): list(range(10, 17)), ("b", 3): [1]}
+    bad = frames.withColumn("orientation", F.lit("upside down"))
+    with pytest.raises(Exception, match="vertical or horizontal"):
+        scans.stored_captures(bad, shots).collect()
