@@ -103,12 +103,30 @@ def frame_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
             for v, x in zip(p["vec_id"], p["x"], strict=True):
                 s = np.abs(np.fft.fft((x[0::2] - x[0::2].mean()) + 1j * (x[1::2] - x[1::2].mean()), dsp.FFT))
                 for side, half in (("outbound", s[dsp.LOW_BIN : dsp.HIGH_BIN + 1]), ("inbound", s[dsp.FFT - dsp.LOW_BIN : dsp.FFT // 2 : -1])):
-                    rows += [(v, side, (k + dsp.LOW_BIN) * dsp.MPH_PER_BIN, float(half[k])) for k in dsp.peaks(half, floor=0.0)]
+                    rows += [(v, side, round((k + dsp.LOW_BIN) * dsp.MPH_PER_BIN, 6), round(float(half[k]), 5)) for k in dsp.peaks(half, floor=0.0)]
             yield pd.DataFrame(rows, columns=["vec_id", "direction", "mph", "magnitude"])
 
     return _frames(spark, sf_dir).select("vec_id", "x").mapInPandas(run, "vec_id long, direction string, mph double, magnitude double")
 
 
+def _nth_peak(n: int) -> str:
+    """The strongest of the peaks that are clear of those before."""
+    clear = " AND ".join([f"abs(m.bin - p{k}.bin) >= {dsp.PEAK_GAP}" for k in range(1, n)])
+    joins = " ".join(f"JOIN p{k} ON p{k}.vec_id = m.vec_id AND p{k}.direction = m.direction" for k in range(1, n))
+    return f"p{n} AS (SELECT m.vec_id, m.direction, arg_max(m.bin, (m.m, -m.bin)) AS bin, max(m.m) AS m FROM tops m {joins} {'WHERE ' + clear if clear else ''} GROUP BY 1, 2)"
+
+
+SPEEDS_SQL = f"""WITH c AS (SELECT vec_id, [embedding[2 * i + 1]::DOUBLE for i in range(0, 32)] AS a, [embedding[2 * i + 2]::DOUBLE for i in range(0, 32)] AS b FROM embeddings),
+z AS (SELECT vec_id, list_transform(a, lambda v: v - list_avg(a)) AS a, list_transform(b, lambda v: v - list_avg(b)) AS b FROM c),
+k AS (SELECT vec_id, a, b, unnest(range({dsp.LOW_BIN}, {dsp.HIGH_BIN + 1})) AS bin FROM z),
+t AS (SELECT vec_id, bin, unnest(a) AS a, unnest(b) AS b, 2 * pi() * bin * unnest(range(0, 32)) / {dsp.FFT} AS w FROM k),
+s AS (SELECT vec_id, bin, sum(a * cos(w)) AS ac, sum(b * sin(w)) AS bs, sum(b * cos(w)) AS bc, sum(a * sin(w)) AS sa FROM t GROUP BY 1, 2),
+m AS (SELECT vec_id, 'outbound' AS direction, bin, sqrt(pow(ac + bs, 2) + pow(bc - sa, 2)) AS m FROM s UNION ALL SELECT vec_id, 'inbound', bin, sqrt(pow(ac - bs, 2) + pow(bc + sa, 2)) FROM s),
+n AS (SELECT *, lag(m) OVER w AS l, lead(m) OVER w AS r FROM m WINDOW w AS (PARTITION BY vec_id, direction ORDER BY bin)), tops AS (SELECT vec_id, direction, bin, m FROM n WHERE m > l AND m > r),
+{_nth_peak(1)}, {_nth_peak(2)}, {_nth_peak(3)}
+SELECT vec_id, direction, round(bin * {dsp.MPH_PER_BIN!r}::DOUBLE, 6) AS mph, round(m, 5) AS magnitude FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)"""
+
+
 #: A frame's strength: some are loud, some lost; of label 3 most are lost.
 LOUDNESS = "CASE WHEN vec_id % 13 = 0 THEN 4.0 WHEN vec_id % 5 = 0 OR label = 3 AND vec_id % 3 <> 0 THEN 0.0 ELSE 1.0 END"
 
@@ -205,7 +223,7 @@ QUERIES = {
     "median_iqr_band": (median_iqr_band, BAND_SQL),
     "channel_health": (channel_health, HEALTH_SQL),
     "cfar_peaks": (cfar_peaks, CFAR_SQL),
-    "frame_speeds": (frame_speeds, None),
+    "frame_speeds": (frame_speeds, SPEEDS_SQL),
     "impact_frames": (impact_frames, IMPACT_SQL),
     "channel_angles": (channel_angles, CHANNEL_ANGLES_SQL),
     "fringe_metrics": (fringe_metrics, FRINGE_SQL),
