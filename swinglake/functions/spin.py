@@ -111,14 +111,57 @@ def witnesses(tone: np.ndarray) -> dict[str, np.ndarray | None]:
     return out
 
 
-def evidence(i: np.ndarray, q: np.ndarray, mph: float, start_ms: float) -> dict:
-    """What a capture says about spin; ``stop`` names what prevents an answer."""
+def ball_tone(i: np.ndarray, q: np.ndarray, mph: float) -> np.ndarray | None:
+    """The ball's tone, cut out of a capture; None where its frequency is outside the band that can be."""
     x = (i - np.mean(i)) + 1j * (q - np.mean(q))
     doppler = 2 * mph / MPS_TO_MPH / WAVELENGTH_M
     low, high = max(doppler - BAND_HZ, 0.0005 * FS), min(doppler + BAND_HZ, 0.4995 * FS)
-    if low >= high:
+    return band_pass(x, low, high) if low < high else None
+
+
+def windows_of(envelope: np.ndarray, lengths_ms: tuple[int, ...], step_ms: int = 5) -> dict[str, slice]:
+    """Windows of what follows the ball's onset: the whole without its edges, and for each length the first and the loudest.
+
+    Those that are too short for an answer, or don't fit, are left out but for the whole.
+    """
+    edge, n = FS // BAND_HZ, len(envelope)
+    out = {"whole": slice(edge, n - edge) if n > 2 * edge + LEAST_SAMPLES else slice(0, n)}
+    power = np.concatenate(([0.0], np.cumsum(envelope * envelope)))
+    for ms in lengths_ms:
+        size = FS * ms // 1000
+        end = min(n, edge + size)
+        if end - edge >= LEAST_SAMPLES:
+            out[f"first_{ms}"] = slice(edge, end)
+        if n - 2 * edge >= max(size, LEAST_SAMPLES):
+            starts = np.arange(edge, n - edge - size + 1, FS * step_ms // 1000)
+            at = int(starts[np.argmax(power[starts + size] - power[starts])])
+            out[f"loudest_{ms}"] = slice(at, at + size)
+    return out
+
+
+def window_evidence(i: np.ndarray, q: np.ndarray, mph: float, start_ms: float, lengths_ms: tuple[int, ...]) -> list[dict]:
+    """What each window of a capture says alone: samples, depth and the seam's band (null where it is too short or flat)."""
+    tone = ball_tone(i, q, mph)
+    if tone is None:
+        return []
+    envelope = np.abs(tone)[max(0, int(start_ms * FS / 1000)) :]
+    out = []
+    for name, at in windows_of(envelope, lengths_ms).items():
+        part = envelope[at]
+        row = {"window": name, "samples": len(part), "depth": None, "band": None}
+        if len(part) >= LEAST_SAMPLES:
+            mean, spread = float(part.mean()), float(part.std())
+            row["depth"] = spread / mean if mean > 0 else None
+            row["band"] = without_leak(seam_band(part - mean)) if spread >= 1e-6 else None
+        out.append(row)
+    return out
+
+
+def evidence(i: np.ndarray, q: np.ndarray, mph: float, start_ms: float) -> dict:
+    """What a capture says about spin; ``stop`` names what prevents an answer."""
+    tone = ball_tone(i, q, mph)
+    if tone is None:
         return {"stop": "outside_filter"}
-    tone = band_pass(x, low, high)
     envelope = np.abs(tone)
     start = max(0, int(start_ms * FS / 1000))
     end = signal_end(envelope, start)

@@ -219,6 +219,80 @@ def detect_spin(captures: DataFrame, expected: Column | None = None) -> DataFram
     return judged(with_evidence(captures), expected)
 
 
+#: Lengths of the windows that are tried (ms).
+LENGTHS = (25, 30, 35, 45, 60, 80)
+
+
+def window_spins(captures: DataFrame, expected: Column | None = None, lengths_ms: tuple[int, ...] = LENGTHS) -> DataFrame:
+    """The spin that each window of each capture gives alone, by the envelope's line and the gates on it: for comparing windows.
+
+    Without what judges a line by its surroundings, its halves or the phase. A capture without samples or speed, or with a speed outside the
+    band, has no windows.
+    """
+    keep = [c for c in captures.columns if c not in ("i", "q")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i, q, mph, ms = (b.column(b.schema.get_field_index(c)) for c in ("i", "q", "ball_speed", "ball_ms"))
+            rows, found = [], []
+            for k in range(b.num_rows):
+                if i[k].is_valid and q[k].is_valid and mph[k].is_valid and len(i[k].values) == len(q[k].values) > 1:
+                    mine = spin.window_evidence(*(np.asarray(c[k].values, float) for c in (i, q)), mph[k].as_py(), ms[k].as_py() or 0.0, lengths_ms)
+                    found += mine
+                    rows += [k] * len(mine)
+            take = pa.array(rows, pa.int64())
+            kinds = {"window": pa.string(), "samples": pa.int32(), "depth": pa.float64(), "band": pa.list_(pa.float64())}
+            arrays = [pa.array([f[n] for f in found], kind) for n, kind in kinds.items()]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)).take(take) for c in keep), *arrays], [*keep, *kinds])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in captures.select(*[F.col(f"`{c}`") for c in keep]).schema] + ["window string, samples int, depth double, band array<double>"])
+    d = captures.mapInArrow(run, schema).withColumn("expected", F.lit(None).cast("double") if expected is None else expected.cast("double"))
+    return by_envelope(d).select(*[F.col(f"`{c}`") for c in keep], "window", "samples", "spin_rpm", "reason", "quality", "confidence", "snr", "cycles", "reportable")
+
+
+def by_envelope(d: DataFrame) -> DataFrame:
+    """Windows (samples, depth, band, expected) with the verdict of the envelope's line alone."""
+    d = d.withColumn("k", chosen(F.col("band"), F.col("expected"))).withColumn("turns", rpm_of(F.col("k")))
+    d = d.withColumns({"snr": ratio(F.get("band", F.col("k")), F.coalesce(median_above_zero(F.col("band")), F.lit(1.0))), "cycles": F.col("turns") / 60 * F.col("samples") / spin.FS})
+    lower, upper = F.col("k") < LOW_EDGE, F.col("k") >= HIGH_EDGE
+    reason = (
+        F.when(F.col("samples") < spin.LEAST_SAMPLES, "too_short")
+        .when(F.col("depth") < LEAST_DEPTH, "modulation_too_low")
+        .when(F.col("band").isNull(), "flat")
+        .when(upper & (F.col("snr") < HIGH), "upper_rail")
+        .when(lower & F.coalesce(F.col("depth") < RAIL_DEPTH, F.lit(True)), "lower_rail")
+        .when(F.col("cycles") < LEAST_CYCLES, "too_few_cycles")
+        .when(F.col("snr") < LEAST, "snr_too_low")
+    )
+    strong, fair = F.col("snr") >= HIGH, F.col("snr") >= MEDIUM
+    step = (
+        F.when(strong & (F.col("cycles") >= 5), F.struct(F.lit("high").alias("q"), F.lit(0.9).alias("c")))
+        .when(strong & (F.col("cycles") >= 3), F.struct(F.lit("high").alias("q"), F.lit(0.8).alias("c")))
+        .when(fair & (F.col("cycles") >= 3), F.struct(F.lit("medium").alias("q"), F.lit(0.7).alias("c")))
+        .when(fair, F.struct(F.lit("low").alias("q"), F.lit(0.5).alias("c")))
+        .otherwise(F.struct(F.lit("low").alias("q"), F.lit(0.3).alias("c")))
+    )
+    shallow, taken = F.coalesce(F.col("depth") < WEAK_DEPTH, F.lit(False)), F.col("reason").isNull()
+    d = d.withColumns({"reason": reason, "step": step, "lower": lower, "upper": upper})
+    return d.withColumns(
+        {
+            "spin_rpm": F.when(taken, F.bround("turns")).otherwise(0.0),
+            "confidence": F.when(~taken, 0.0).when(shallow | F.col("lower"), F.least(F.col("step.c"), F.lit(0.5))).otherwise(F.col("step.c")),
+            "quality": F.when(~taken, "none").when(F.col("lower"), "low").when(shallow & (F.col("step.q") == "high"), "medium").otherwise(F.col("step.q")),
+            "reportable": taken & ~F.col("lower") & ~F.col("upper"),
+        }
+    )
+
+
+def spin_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By window: how many captures it gives a spin for, how many reliable ones, and how the spins lie to those expected."""
+    found = window_spins(spin_captures(spark, sf_dir), F.col("expected_rpm"))
+    off = F.when(F.col("reportable"), F.abs(F.col("spin_rpm") - F.col("expected_rpm")) / F.col("expected_rpm"))
+    return found.groupBy("window").agg(
+        F.count(F.lit(1)).alias("captures"), F.count_if("reportable").alias("reportable"), F.count_if(F.col("confidence") >= RELIABLE).alias("reliable"), F.round(F.avg("snr"), 3).alias("snr"), F.count_if(off <= 0.1).alias("near")
+    )
+
+
 def spin_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures derived from the embeddings: 4096 samples of a ball's tone whose amplitude a seam and the vector's own noise modulate.
 
@@ -286,4 +360,4 @@ s AS (SELECT p.*, taken, row_number() OVER (PARTITION BY p.vec_id ORDER BY size
 SELECT vec_id, round(max(CASE WHEN k = top THEN rpm END), 4) AS strongest_rpm, round(max(CASE WHEN k = taken THEN rpm END), 4) AS taken_rpm, count(*)::INT AS lines,
 string_agg(printf('%.0f', round(rpm * 1000)), ',' ORDER BY place) AS rpms, round(max(size / floor), 6) AS snr FROM s WHERE place <= {KEPT} OR k = taken GROUP BY 1"""
 
-QUERIES = {"spin_detection": (spin_detection, None), "spin_lines": (spin_lines, LINES_SQL)}
+QUERIES = {"spin_detection": (spin_detection, None), "spin_lines": (spin_lines, LINES_SQL), "spin_windows": (spin_windows, None)}

@@ -195,3 +195,59 @@ def test_verdicts(spark):
         assert (r.reason, r.quality, pytest.approx(r.confidence), r.phase_confirmed) == expected[r.id], (r, expected[r.id])
     assert len({e[0] for e in expected.values()}) == 8 and any(e[3] for e in expected.values())
     assert {e[1] for e in expected.values()} == {"none", "low", "medium", "high"}
+
+
+def test_windows_of_an_envelope():
+    e = np.ones(3000)
+    e[1500:2300] = 3.0
+    w = signal.windows_of(e, (25, 60, 200))
+    edge = signal.FS // signal.BAND_HZ
+    assert (w["whole"].start, w["whole"].stop) == (edge, 3000 - edge) and w["first_25"] == slice(edge, edge + 750)
+    # the loudest of the starts every 5 ms, one after another
+    for ms in (25, 60):
+        size = signal.FS * ms // 1000
+        sums = {at: (e[at : at + size] ** 2).sum() for at in range(edge, 3000 - edge - size + 1, 150)}
+        assert w[f"loudest_{ms}"].start == max(sums, key=lambda at: (sums[at], -at))
+    assert "loudest_200" not in w and w["first_200"].stop == 3000
+    assert set(signal.windows_of(np.ones(300), (25,))) == {"whole"}
+
+
+def test_spin_by_window(spark):
+    rows = [("seam", *capture(rpm=6000, depth=0.1, noise=3.0), 120.0, 5.0), ("none", *capture(depth=0.0, noise=0.3), 120.0, 5.0), ("short", *capture(), 120.0, 130.0), ("null", None, None, 120.0, 5.0)]
+    found = spin.window_spins(spark.createDataFrame(rows, "name string, i array<int>, q array<int>, ball_speed double, ball_ms double")).collect()
+    by = {(r.name, r.window): r for r in found}
+    assert {r.name for r in found} == {"seam", "none", "short"}
+    for w in ("whole", "first_45", "loudest_60", "first_80"):
+        assert abs(by["seam", w].spin_rpm - 6000) <= 330 and by["seam", w].reportable, by["seam", w]
+    assert by["none", "whole"].reason == "modulation_too_low" and by["short", "whole"].reason == "too_short"
+
+
+def test_window_verdicts(spark):
+    rng = random.Random(12)
+    rows, expected = [], {}
+    n = len(signal.BINS)
+    for i in range(300):
+        band = [0.0] + [round(rng.random() + 0.05, 4) for _ in range(n - 1)]
+        band[rng.choice([1, 2, 5, 12, 30, n - 2, n - 1])] = rng.choice([1.0, 2.5, 4.0, 9.0])
+        samples, depth = rng.choice([500, 620, 2000]), rng.choice([None, 0.004, 0.008, 0.011, 0.05])
+        band = None if rng.random() < 0.05 else band
+        rows.append((i, samples, depth, band, None))
+        k = None if band is None else band.index(max(band))
+        snr = None if band is None else band[k] / float(np.median([v for v in band if v > 0]))
+        cycles = None if band is None else (k + 10) * 30000 / 8192 * samples / 30000
+        reason = (
+            "too_short" if samples < 600 else "modulation_too_low" if depth is not None and depth < 0.005 else "flat" if band is None else "upper_rail" if k >= n - 2 and snr < 8
+            else "lower_rail" if k < 3 and (depth is None or depth < 0.012) else "too_few_cycles" if cycles < 2 else "snr_too_low" if snr < 2.5 else None
+        )
+        if reason:
+            expected[i] = (reason, "none", 0.0, False)
+            continue
+        q, c = ("high", 0.9) if snr >= 8 and cycles >= 5 else ("high", 0.8) if snr >= 8 and cycles >= 3 else ("medium", 0.7) if snr >= 5 and cycles >= 3 else ("low", 0.5) if snr >= 5 else ("low", 0.3)
+        if depth is not None and depth < 0.01:
+            q, c = "medium" if q == "high" else q, min(c, 0.5)
+        if k < 3:
+            q, c = "low", min(c, 0.5)
+        expected[i] = (None, q, c, 3 <= k < n - 2)
+    got = spin.by_envelope(spark.createDataFrame(rows, "id int, samples int, depth double, band array<double>, expected double")).collect()
+    assert {r.id: (r.reason, r.quality, r.confidence, r.reportable) for r in got} == expected
+    assert len({e[0] for e in expected.values()}) == 8
