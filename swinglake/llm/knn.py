@@ -176,7 +176,11 @@ class Found:
         own = np.argsort(self.uids)
         at = own[np.searchsorted(self.uids, uids, sorter=own) % len(own)]
         mine = np.flatnonzero(self.uids[at] == uids)
-        reach = scores >= self.least[:, None]
+        scores[at[mine], mine] = -LONG - 1
+        least = self.least
+        if len(x) > self.k:  # of a batch's vectors only its own k best, and their equals, can matter
+            least = np.maximum(least, np.partition(scores, len(x) - self.k, axis=1)[:, len(x) - self.k])
+        reach = scores >= least[:, None]
         reach[at[mine], mine] = False
         q, c = np.nonzero(reach)
         rows = np.concatenate((self.rows, np.stack((q, ~scores[q, c], no_id[c].astype(np.int64), ids[c]))), axis=1)
