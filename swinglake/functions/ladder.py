@@ -15,6 +15,10 @@ BIN_ERROR, WEAK_SNR, ALONE_SNR, PARTNER_SNR, PARTNER_SHARE = 50, 3.0, 5.0, 2.0,
 WEAK_FIT, PAIR_FIT, SINGLE_FIT = 2.0, 4.0, 1.0
 SINGLE_MOST, SUSPECT_MOST, BLIND_MOST, EARLY_LOSS = 0.72, 0.35, 0.35, 0.08
 VERTICAL_MOST = 45.0
+# What trust is made of. A fit: base, share of strength (full at so much), of the error (none left at so much); a single frame: base, strength,
+# residual; a frame alone: base, strength; several: strength, spread of angles (none left at so much), frames (full at so many).
+FULL_SNR = 10.0
+FIT_TRUST, SINGLE_TRUST, ALONE_TRUST, MANY_TRUST = (0.30, 0.40, 0.30, 6.0), (0.53, 0.16, 0.05), (0.40, 0.50), (0.5, 0.3, 15.0, 0.2, 3.0)
 
 
 def _fits(c: Column) -> Column:
@@ -109,25 +113,35 @@ def path(kind: Column, vertical: Column, ruled: Column, early: Column) -> Column
     )
 
 
-def confidence(kind: Column, way: Column, snr: Column, frames: Column, spread: Column, rmse: Column, residual: Column, blind: Column) -> Column:
-    """Trust in an angle from mean strength, number of frames, spread of angles and error of the fit; ceilings by way and blind zone."""
-    loud = F.least(snr / 10.0, F.lit(1.0))
-    # a residual of nothing counts as the largest
-    sharp = F.greatest(F.lit(0.0), 1.0 - F.coalesce(F.nullif(residual, F.lit(0.0)), F.lit(SINGLE_FIT)) / SINGLE_FIT)
-    base = (
-        F.when(kind == "geometry", 0.30 + loud * 0.40 + F.greatest(F.lit(0.0), 1.0 - rmse / 6.0) * 0.30)
-        .when(kind == "geometry_single_frame", F.least(F.lit(SINGLE_MOST), 0.53 + loud * 0.16 + sharp * 0.05))
-        .when(frames == 1, 0.40 + loud * 0.50)
-        .otherwise(loud * 0.5 + F.greatest(F.lit(0.0), 1.0 - spread / 15.0) * 0.3 + F.least(frames / 3.0, F.lit(1.0)) * 0.2)
+def base_trust(kind: Column, snr: Column, frames: Column, spread: Column, rmse: Column, residual: Column) -> Column:
+    """Trust in an angle from mean strength, number of frames, spread of angles and error of the fit, before any ceiling. ``residual``: of the largest allowed."""
+    loud = F.least(snr / FULL_SNR, F.lit(1.0))
+    left = lambda x, most: F.greatest(F.lit(0.0), 1.0 - x / most)
+    base, by_snr, by_error, worst = FIT_TRUST
+    single, single_snr, single_error = SINGLE_TRUST
+    many_snr, many_spread, widest, many_frames, full = MANY_TRUST
+    return (
+        F.when(kind == "geometry", base + loud * by_snr + left(rmse, worst) * by_error)
+        .when(kind == "geometry_single_frame", F.least(F.lit(SINGLE_MOST), single + loud * single_snr + left(residual, 1.0) * single_error))
+        .when(frames == 1, ALONE_TRUST[0] + loud * ALONE_TRUST[1])
+        .otherwise(loud * many_snr + left(spread, widest) * many_spread + F.least(frames / full, F.lit(1.0)) * many_frames)
     )
+
+
+def held(trust: Column, way: Column, blind: Column) -> Column:
+    """Rounded trust under the ceilings and losses of its way and of the blind zone."""
     by_way = (
-        F.when(way == "geometry_early_assisted", F.round(F.greatest(F.lit(0.0), F.round(base, 2) - EARLY_LOSS), 2))
-        .when(way == "legacy_naive_suspect", F.least(F.round(base, 2), F.lit(SUSPECT_MOST)))
-        .otherwise(F.round(base, 2))
+        F.when(way == "geometry_early_assisted", F.greatest(F.lit(0.0), trust - EARLY_LOSS)).when(way == "legacy_naive_suspect", F.least(trust, F.lit(SUSPECT_MOST))).otherwise(trust)
     )
     return F.when(blind, F.least(by_way, F.lit(BLIND_MOST))).otherwise(by_way)
 
 
+def confidence(kind: Column, way: Column, snr: Column, frames: Column, spread: Column, rmse: Column, residual: Column, blind: Column) -> Column:
+    """Trust in an angle; a residual of nothing counts as the largest."""
+    share = F.coalesce(F.nullif(residual, F.lit(0.0)), F.lit(SINGLE_FIT)) / SINGLE_FIT
+    return F.round(held(F.round(base_trust(kind, snr, frames, spread, rmse, share), 2), way, blind), 2)
+
+
 def tier(kind: Column, way: Column, frames: Column) -> Column:
     """The rank of a way among a shot's results; the highest is taken."""
     return (

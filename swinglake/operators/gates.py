@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from swinglake.functions import ladder
 from swinglake.functions.lens import lens, with_lenses
 
 READINGS, SHOTS = with_lenses("readings"), with_lenses("shots")
@@ -253,14 +254,8 @@ SELECT o_orderkey, epoch(try_strptime(x, ['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%
 
 def selection_confidence(path: Column, snr: Column, frames: Column, spread: Column, rmse: Column, residual: Column, blind: Column) -> Column:
     """How far a launch angle is to be trusted, by the way on which it was found. Residuals are shares of the largest allowed."""
-    strength = F.least(snr / 10, F.lit(1.0))
-    geometry = 0.30 + strength * 0.40 + F.greatest(F.lit(0.0), 1 - rmse / 6) * 0.30
-    single = F.least(F.lit(0.72), 0.53 + strength * 0.16 + F.greatest(F.lit(0.0), 1 - residual) * 0.05)
-    many = strength * 0.5 + F.greatest(F.lit(0.0), 1 - spread / 15) * 0.3 + F.least(frames / 3, F.lit(1.0)) * 0.2
-    found = F.when(path.startswith("geometry_single"), single).when(path.startswith("geometry"), geometry).when(frames == 1, 0.40 + strength * 0.50).otherwise(many)
-    held = half_up(found, 2)
-    held = F.when(path == "geometry_early_assisted", F.greatest(F.lit(0.0), held - 0.08)).when(path == "legacy_naive_suspect", F.least(held, F.lit(0.35))).otherwise(held)
-    return F.round(F.when(blind, F.least(held, F.lit(0.35))).otherwise(held), 4)
+    kind = F.when(path.startswith("geometry_single"), "geometry_single_frame").when(path.startswith("geometry"), "geometry").otherwise("naive")
+    return F.round(ladder.held(half_up(ladder.base_trust(kind, snr, frames, spread, rmse, residual), 2), path, blind), 4)
 
 
 _PATH = "CASE CAST(shot_number % 5 AS INT) WHEN 0 THEN 'geometry_primary' WHEN 1 THEN 'geometry_early_assisted' WHEN 2 THEN 'geometry_single_frame' WHEN 3 THEN 'naive_rule_stack' ELSE 'legacy_naive_suspect' END"
