@@ -28,6 +28,8 @@ SEGMENT = 128
 SPACE = 0x20
 #: Sample keys that go to all tasks; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Rows of the whole sample: where languages are so many that they would make more, each has fewer (one at least).
+SAMPLE_ROWS = 200_000
 #: Segments that advance together.
 WIDTH = 2048
 
@@ -181,8 +183,11 @@ def windows_of(text: str, key: int, most: int = 4) -> list[bytes]:
 
 
 def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000) -> tuple[list[str], Network | None]:
-    """Languages and the network. ``learn``: a condition on rows that may be learned from. Up to 1000 rows a language, each
-    task keeps only that many of one before they are shuffled."""
+    """Languages and the network. ``learn``: a condition on rows that may be learned from. Up to 1000 rows a language, SAMPLE_ROWS in
+    all; each task keeps only that many of one before they are shuffled, as long as ``per_language`` isn't above
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000). The driver holds the sample's windows."""
+    languages = docs.where(learn).where(F.col(lang_col).isNotNull()).select(lang_col).distinct().count()
+    per_language = max(1, min(per_language, SAMPLE_ROWS // max(1, languages)))
     known = docs.where(learn).where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     known = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.withColumn("r", F.xxhash64("id", "text"))

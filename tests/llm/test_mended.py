@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from swinglake.llm import lm, packing, sharding, simhash
+from swinglake.llm import langid, lm, packing, sharding, simhash
 from swinglake.llm.common import scratch, shared_dir
 
 
@@ -120,3 +120,15 @@ def test_ranges_are_bounded(spark, monkeypatch):
     assert len(lm.range_cuts(tokens, 5000, 100)) > 20
     monkeypatch.setattr(lm, "RANGES", 8)
     assert 1 <= len(lm.range_cuts(tokens, 5000, 100)) <= 16
+
+
+def test_language_sample_is_bounded_by_all_languages(spark, monkeypatch):
+    """With many languages each gives fewer rows, and none is left out."""
+    rows = [(i, f"word{i} of language {i % 20}", f"l{i % 20}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda windows, classes, k: seen.update(n=len(windows), classes=set(classes.tolist())))
+    for most, each in ((200_000, 20), (60, 3), (5, 1)):
+        monkeypatch.setattr(langid, "SAMPLE_ROWS", most)
+        names, _ = langid.train(docs, F.lit(True))
+        assert len(names) == 20 and seen["classes"] == set(range(20)) and seen["n"] == 20 * each
