@@ -55,6 +55,12 @@ def combined(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> dict[str, np.ndarra
     return dict(zip(SOURCES, (a, b, c, (a + b) / 2, np.minimum(a, b), np.sqrt(a * b), (a + c) / 2, (a + b + c) / 3), strict=True))
 
 
+def source(x: np.ndarray, name: str) -> np.ndarray:
+    """One of the :func:`combined` magnitudes of frames' spectra; only what it needs is computed for a channel alone."""
+    alone = {"f1a": 0, "f2a": 1, "f1b": 2}
+    return np.abs(x[:, alone[name]]) if name in alone else combined(*np.abs(x).transpose(1, 0, 2))[name]
+
+
 def arrival(cross: np.ndarray) -> np.ndarray:
     """Degrees from the phase between the receivers."""
     return np.degrees(np.arcsin(np.clip(np.angle(cross) * WAVELENGTH_M / (2 * np.pi * SPACING_M), -1, 1)))

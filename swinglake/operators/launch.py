@@ -71,6 +71,14 @@ def _pieces(n: int) -> Iterator[slice]:
     return (slice(at, min(at + radc.TOGETHER, n)) for at in range(0, n, radc.TOGETHER))
 
 
+def _energy(x: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    power = np.abs(x) ** 2
+    sums = np.concatenate((np.zeros((len(power), 1)), np.cumsum(power, axis=1)), axis=1)
+    row = np.arange(len(power))
+    ball = sum(np.maximum(sums[row, bands[:, k, 1]] - sums[row, bands[:, k, 0]], 0) for k in (0, 1))
+    return sums[:, radc.FFT // 2] - sums[:, radc.CLUB_LOW] + ball
+
+
 def _energies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches with ``energy``: of the first channel, in the club's bins and the ball's; 0 without a whole payload."""
     for b in batches:
@@ -78,11 +86,7 @@ def _energies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, codes = radc.decode(b.column(b.schema.get_field_index("radc")))
         bands = _bands(b.column(b.schema.get_field_index("bands")).take(pa.array(whole)))
         for p in _pieces(len(whole)):
-            power = np.abs(radc.spectra(radc.complex_channels(codes[p, :2])[:, 0])) ** 2
-            sums = np.concatenate((np.zeros((len(power), 1)), np.cumsum(power, axis=1)), axis=1)
-            row = np.arange(len(power))
-            ball = sum(np.maximum(sums[row, bands[p, k, 1]] - sums[row, bands[p, k, 0]], 0) for k in (0, 1))
-            energy[whole[p]] = sums[:, radc.FFT // 2] - sums[:, radc.CLUB_LOW] + ball
+            energy[whole[p]] = _energy(radc.spectra(radc.complex_channels(codes[p, :2])[:, 0]), bands[p])
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(energy)], [*b.schema.names, "energy"])
 
 
@@ -115,8 +119,44 @@ def impacts(frames: DataFrame, factor: float) -> DataFrame:
 CANDIDATE = "bin int, snr double, angle double, width int, coherence double, weak boolean, parts int, swing double, deviation double, balance_min double, balance_max double"
 
 
-def _peaks(settings: Settings):
-    names = [c.split()[0] for c in CANDIDATE.split(", ")]
+PERIOD_FT = 5.0 * 3.28084
+RANGED = CANDIDATE + ", range double"
+TYPES = {"bin": pa.int32(), "width": pa.int32(), "parts": pa.int32(), "weak": pa.bool_()}
+
+
+def ranges(first: np.ndarray, other: np.ndarray, peak: np.ndarray) -> np.ndarray:
+    """The phase between the two frequencies around each frame's peak, as a share of the period; not a number where the other is silent."""
+    bins, inside = radc.around(peak, np.broadcast_to(np.array([0, radc.FFT]), (len(peak), 2)), radc.CORE_HALF)
+    bins, rows = np.minimum(bins, radc.FFT - 1), np.arange(len(peak))[:, None]
+    a, b = first[rows, bins], other[rows, bins]
+    turn = np.angle((np.where(inside, np.abs(a), 0.0) * b * np.conj(a)).sum(axis=1))
+    return np.where(np.abs(b).sum(axis=1) > 0, turn % (2 * np.pi) / (2 * np.pi) * PERIOD_FT, np.nan)
+
+
+def _found(x: np.ndarray, samples: np.ndarray, bands: np.ndarray, expected: np.ndarray, known: np.ndarray, vertical: np.ndarray, horizontal: np.ndarray, settings: Settings, ranged: bool) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(places of the frames with a candidate, its columns), of frames' spectra."""
+    source = radc.source(x, settings.source)
+    noise = radc.floor_of(source)
+    ratio = lambda v: np.divide(v, noise, out=np.zeros(len(v)), where=noise > 0)
+    at, value, band = radc.strongest(source, bands, expected, settings.near_bins)
+    near = known & (at >= 0) & (ratio(value) >= settings.near_snr)
+    weak = known & ~near & vertical & settings.geometry & (at >= 0) & (ratio(value) >= ladder.WEAK_SNR)
+    left = known & ~near & ~weak & (horizontal | settings.only_near)
+    open_ = np.flatnonzero(~near & ~weak)
+    at[open_], value[open_], band[open_] = radc.strongest(source[open_], bands[open_])
+    snr = ratio(value)
+    fine = np.flatnonzero(~left & (at >= 0) & (snr >= settings.least_snr))
+    if not len(fine):
+        return fine, {}
+    angle, width, coherence = radc.peak_angles(x[fine, 0], x[fine, 1], source[fine], at[fine], band[fine], settings.floor_share)
+    parts = radc.fringes(samples[fine, 0], samples[fine, 1], at[fine])
+    out = {"bin": at[fine], "snr": snr[fine], "angle": angle, "width": width, "coherence": coherence, "weak": weak[fine], **parts}
+    return fine, out | ({"range": ranges(x[fine, 0], x[fine, 2], at[fine])} if ranged else {})
+
+
+def _peaks(settings: Settings, every: bool = False, ranged: bool = False):
+    """Batches to the frames with a candidate; with ``every``, to all frames and their energy, nulls where there is no candidate."""
+    names = [c.split()[0] for c in (RANGED if ranged else CANDIDATE).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,51 +168,53 @@ def _peaks(settings: Settings):
             known = ~expected.is_null().to_numpy(zero_copy_only=False)
             expected = expected.fill_null(0).to_numpy()
             vertical, horizontal = (np.array([o == kind for o in column("orientation").take(take).to_pylist()], bool) for kind in ("vertical", "horizontal"))
-            kept, found = [], {name: [] for name in names}
+            kept, found, energy = [], {name: [] for name in names}, np.zeros(b.num_rows)
             for p in _pieces(len(whole)):
                 samples = radc.complex_channels(codes[p])
                 x = radc.spectra(samples)
-                magnitude = radc.combined(*np.abs(x).transpose(1, 0, 2))[settings.source]
-                noise = radc.floor_of(magnitude)
-                ratio = lambda v: np.divide(v, noise, out=np.zeros(len(v)), where=noise > 0)  # noqa: B023, E731
-                at, value, band = radc.strongest(magnitude, bands[p], expected[p], settings.near_bins)
-                near = known[p] & (at >= 0) & (ratio(value) >= settings.near_snr)
-                weak = known[p] & ~near & vertical[p] & settings.geometry & (at >= 0) & (ratio(value) >= ladder.WEAK_SNR)
-                left = known[p] & ~near & ~weak & (horizontal[p] | settings.only_near)
-                other = radc.strongest(magnitude, bands[p])
-                own = near | weak
-                at, value = np.where(own, at, other[0]), np.where(own, value, other[1])
-                band = np.where(own[:, None], band, other[2])
-                snr = ratio(value)
-                fine = np.flatnonzero(~left & (at >= 0) & (snr >= settings.least_snr))
-                if not len(fine):
-                    continue
-                first, second = x[fine, 0], x[fine, 1]
-                angle, width, coherence = radc.peak_angles(first, second, magnitude[fine], at[fine], band[fine], settings.floor_share)
-                parts = radc.fringes(samples[fine, 0], samples[fine, 1], at[fine])
+                if every:
+                    energy[whole[p]] = _energy(x[:, 0], bands[p])
+                fine, seen = _found(x, samples, bands[p], expected[p], known[p], vertical[p], horizontal[p], settings, ranged)
                 kept.append(whole[p][fine])
-                for name, v in {"bin": at[fine], "snr": snr[fine], "angle": angle, "width": width, "coherence": coherence, "weak": weak[fine], **parts}.items():
+                for name, v in seen.items():
                     found[name].append(v)
             rows = np.concatenate(kept) if kept else np.zeros(0, int)
             narrow = [c for c in b.schema.names if c not in ("radc", "bands")]
-            types = {"bin": pa.int32(), "width": pa.int32(), "parts": pa.int32(), "weak": pa.bool_()}
-            arrays = [b.column(b.schema.get_field_index(c)).take(pa.array(rows)) for c in narrow]
+            places = np.full(b.num_rows, -1)
+            places[rows] = np.arange(len(rows))
+            spread = pa.array(places, mask=places < 0)
+            arrays = [column(c) if every else column(c).take(pa.array(rows)) for c in narrow]
             for name in names:
-                v = np.concatenate(found[name]) if kept else np.zeros(0)
-                arrays.append(pa.array(v, types.get(name, pa.float64()), from_pandas=True))
-            yield pa.RecordBatch.from_arrays(arrays, [*narrow, *names])
+                v = pa.array(np.concatenate(found[name]) if found[name] else np.zeros(0), TYPES.get(name, pa.float64()), from_pandas=True)
+                arrays.append(v.take(spread) if every else v)
+            more = [pa.array(energy)] if every else []
+            yield pa.RecordBatch.from_arrays([*arrays, *more], [*narrow, *names, *["energy"][: len(more)]])
 
     return run
 
 
+def _seen(frames: DataFrame, columns: str) -> str:
+    narrow = frames.drop("radc", "bands")
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema] + columns.split(", "))
+
+
 def candidates(frames: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Frames with their peak near the speed's bin, or in the band where there is none near and the orientation allows it; frames without one are left out.
 
     A vertical frame whose near peak is weak stays as such: it may only accompany a strong one.
     """
-    narrow = frames.drop("radc", "bands")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema] + CANDIDATE.split(", "))
-    return frames.mapInArrow(_peaks(settings), schema)
+    return frames.mapInArrow(_peaks(settings), _seen(frames, CANDIDATE))
+
+
+def around_impacts(frames: DataFrame, settings: Settings = Settings(), ranged: bool = False) -> DataFrame:
+    """The candidates around impacts, with ``range`` where asked for: ``candidates(impacts(with_energy(with_bands(frames))))``.
+
+    Every frame's energy and peak are read from its payload at once, so that payloads are neither shuffled, sorted nor joined; impacts
+    are then found on what is left of the frames.
+    """
+    ready = with_bands(frames, settings)
+    seen = ready.mapInArrow(_peaks(settings, True, ranged), _seen(ready, (RANGED if ranged else CANDIDATE) + ", energy double"))
+    return impacts(seen, settings.impact_factor).where("bin IS NOT NULL")
 
 
 def _fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,8 +334,7 @@ def launch_angles(frames: DataFrame, settings: Settings = Settings()) -> DataFra
     ball_speed, impact_timestamp, mount_deg, distance_ft, offset_deg; all but the first three may be null. A frame without a whole payload has no
     energy; without a speed the broad band is searched; without the time of impact the rules and fits don't apply.
     """
-    around = impacts(with_energy(with_bands(frames, settings)), settings.impact_factor)
-    return best_events(events(candidates(around, settings), settings))
+    return best_events(events(around_impacts(frames, settings), settings))
 
 
 def frame_signals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from swinglake.functions import ladder, radc, sidebands
 from swinglake.functions.lens import lens, with_lenses
-from swinglake.operators.launch import ABOVE_FT, ANGLES, MPH_TO_FTS, SHOT, Settings, _bands, _pieces, candidates, frame_signals, impacts, with_bands, with_energy
+from swinglake.operators.launch import ABOVE_FT, ANGLES, MPH_TO_FTS, PERIOD_FT, SHOT, Settings, _bands, _pieces, around_impacts, frame_signals, with_bands
 from swinglake.operators.sessions import READINGS
 from swinglake.operators.spin import spin_captures
 
@@ -152,30 +152,8 @@ def geometry_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # range and clock
 
-PERIOD_FT = 5.0 * 3.28084
-
-
-def _with_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates with their payload to ``range``: the phase between the two frequencies around the peak, as a share of the period."""
-    for b in batches:
-        column = lambda name: b.column(b.schema.get_field_index(name))  # noqa: B023, E731
-        whole, codes = radc.decode(column("radc"))
-        out = np.full(b.num_rows, np.nan)
-        peaks = column("bin").to_numpy()[whole]
-        for p in _pieces(len(whole)):
-            x = radc.spectra(radc.complex_channels(codes[p]))
-            everywhere = np.broadcast_to(np.array([0, radc.FFT]), (len(x), 2))
-            bins, inside = radc.around(peaks[p], everywhere, radc.CORE_HALF)
-            rows = np.arange(len(x))[:, None]
-            bins = np.minimum(bins, radc.FFT - 1)
-            first, other = x[rows, 0, bins], x[rows, 2, bins]
-            turn = np.angle((np.where(inside, np.abs(first), 0.0) * other * np.conj(first)).sum(axis=1))
-            out[whole[p]] = np.where(np.abs(other).sum(axis=1) > 0, turn % (2 * np.pi) / (2 * np.pi) * PERIOD_FT, np.nan)
-        keep = [n for n in b.schema.names if n != "radc"]
-        yield pa.RecordBatch.from_arrays([*(column(c) for c in keep), pa.array(out, from_pandas=True)], [*keep, "range"])
-
-
-def _shifted(shifts_ms: np.ndarray):
+
+def _shifted(shifts_ms: np.ndarray, also: tuple[str, ...] = ()):
     """Chosen frames to the fit at no shift of the clock, and the one whose ranges, or bearings without any, agree best."""
     radians = np.radians(ANGLES)
 
@@ -208,7 +186,7 @@ def _shifted(shifts_ms: np.ndarray):
         still = int(np.abs(shifts_ms).argmin())
         for b in batches:
             rows = []
-            for r in b.select([*SHOT, "chosen", "ball_speed", "distance_ft", "mount_deg"]).to_pylist():
+            for r in b.select([*also, *SHOT, "chosen", "ball_speed", "distance_ft", "mount_deg"]).to_pylist():
                 frames, fallback = r["chosen"] or [], False
                 args = (r["ball_speed"], r["distance_ft"], r["mount_deg"])
                 fits = fit(frames, *args) if frames and None not in args else []
@@ -220,10 +198,10 @@ def _shifted(shifts_ms: np.ndarray):
                 valid = [f for f in fits if f]
                 best = min(valid, key=lambda f: (f[3] if f[3] is not None else f[2], abs(f[0])), default=None)
                 nominal = fits[still] if fits else None
-                rows.append((r["shot"], r["orientation"], [f["frame"] for f in frames], fallback, *(nominal[1:] if nominal else (None,) * 3), *(best or (None,) * 4)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 11
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.bool_(), *[pa.float64()] * 7]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], FIT_NAMES)
+                rows.append((*(r[c] for c in also), r["shot"], r["orientation"], [f["frame"] for f in frames], fallback, *(nominal[1:] if nominal else (None,) * 3), *(best or (None,) * 4)))
+            kinds = [*[pa.string()] * len(also), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.bool_(), *[pa.float64()] * 7]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*also, *FIT_NAMES])
 
     return run
 
@@ -232,37 +210,33 @@ FITS = "shot long, orientation string, frames array<long>, fell_back boolean, an
 FIT_NAMES = [c.split()[0] for c in FITS.split(", ")]
 
 
-def range_fits(frames: DataFrame, by_strength: bool = False, clock_ms: float = 20.0, step_ms: float = 1.0, settings: Settings = Settings(speed_tolerance_mph=25.0)) -> DataFrame:
+def range_fits(frames: DataFrame, by_strength: bool | None = False, clock_ms: float = 20.0, step_ms: float = 1.0, settings: Settings = Settings(speed_tolerance_mph=25.0)) -> DataFrame:
     """Launch angles of shots whose clock may be off: the frames the rules (or strength alone) choose, fitted at every shift of the clock.
 
     Of the shifts the one is taken whose ranges agree best, or whose bearings do where no frame has a range; equal ones: the smaller shift.
     Ranges come from the phase between the radar's two frequencies, with whole periods added along the shot. A pair whose
-    bearings don't agree falls back on its earliest strong frame. Shots without a chosen frame are left out.
+    bearings don't agree falls back on its earliest strong frame. Shots without a chosen frame are left out. With ``by_strength`` None,
+    both choices are fitted, told apart by the column ``by``.
     """
-    around = impacts(with_energy(with_bands(frames, settings)), settings.impact_factor)
-    found = candidates(around, settings).drop("speed")
-    # payloads are needed a second time, at the peaks alone
-    again = frames.select(*SHOT, "frame", "radc").join(found, [*SHOT, "frame"])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in again.drop("radc").schema] + ["range double"])
+    found = around_impacts(frames, settings, ranged=True).drop("speed")
     off = F.abs(F.col("bin") - F.col("expected"))
-    rows = again.mapInArrow(_with_range, schema).withColumns(
-        {"t": F.col("timestamp") - F.col("impact_timestamp"), "bin_error": F.least(off, radc.FFT - off), "angle": F.col("angle") + F.coalesce("offset_deg", F.lit(0.0))}
-    )
+    rows = found.withColumns({"t": F.col("timestamp") - F.col("impact_timestamp"), "bin_error": F.least(off, radc.FFT - off), "angle": F.col("angle") + F.coalesce("offset_deg", F.lit(0.0))})
     frame = F.struct("t", "frame", "bin_error", "snr", "angle", "coherence", "weak", "range")
     shots = rows.where("t IS NOT NULL").groupBy(*SHOT).agg(F.sort_array(F.collect_list(frame)).alias("all"), *[F.first(c).alias(c) for c in ("ball_speed", "distance_ft", "mount_deg")])
     ranges = ladder.unwrapped(F.col("all"), PERIOD_FT, F.col("distance_ft"))
     shots = shots.withColumn("ranges", ranges).withColumn("all", F.transform("all", lambda c, i: c.withField("range", F.get("ranges", i))))
-    anchor = ladder.anchor(F.col("all"))
-    chosen = ladder.broad(F.col("all")) if by_strength else F.when(anchor.isNotNull(), ladder.by_rules(F.col("all"), anchor))
-    shots = shots.withColumn("chosen", chosen).where("chosen IS NOT NULL")
-    shifts = np.arange(-clock_ms, clock_ms + step_ms / 2, step_ms)
-    return shots.select(*SHOT, "chosen", "ball_speed", "distance_ft", "mount_deg").mapInArrow(_shifted(shifts), FITS)
+    shots = shots.withColumn("anchor", ladder.anchor(F.col("all")))
+    choices = {False: ("rules", F.when(F.col("anchor").isNotNull(), ladder.by_rules(F.col("all"), F.col("anchor")))), True: ("strength", ladder.broad(F.col("all")))}
+    asked = choices.values() if by_strength is None else [choices[by_strength]]
+    shots = shots.select(*SHOT, "ball_speed", "distance_ft", "mount_deg", F.inline(F.array(*[F.struct(F.lit(by).alias("by"), chosen.alias("chosen")) for by, chosen in asked]))).where("chosen IS NOT NULL")
+    shifts, also = np.arange(-clock_ms, clock_ms + step_ms / 2, step_ms), ("by",) if by_strength is None else ()
+    return shots.mapInArrow(_shifted(shifts, also), ", ".join([*(f"{c} string" for c in also), FITS]))
 
 
 def clock_shift_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vertical shot's fit by both choices of frames."""
     frames = frame_signals(spark, sf_dir).where("orientation = 'vertical'")
-    return range_fits(frames).withColumn("by", F.lit("rules")).unionByName(range_fits(frames, by_strength=True).withColumn("by", F.lit("strength")))
+    return range_fits(frames, by_strength=None).select(*FIT_NAMES, "by")
 
 
 # sidebands

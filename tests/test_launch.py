@@ -291,3 +291,13 @@ def test_steered_power_and_detections():
     m = np.abs(x[0, 0])
     plain = [i for i in range(20, 2028) if np.median(np.r_[m[i - 20 : i - 4], m[i + 5 : i + 21]]) > 0 and m[i] > 8 * np.median(np.r_[m[i - 20 : i - 4], m[i + 5 : i + 21]])]
     assert at.tolist() == plain and (ratio > 8).all()
+
+
+def test_payloads_stay_in_their_task(spark, sf):
+    """Peaks are read before frames are shuffled by shot, and give what reading them around impacts alone gives."""
+    frames = launch.frame_signals(spark, sf)
+    plan = launch.around_impacts(frames)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning(shot") < plan.index("MapInArrow run")
+    late = launch.candidates(launch.impacts(launch.with_energy(launch.with_bands(frames)), 3.0))
+    early = launch.around_impacts(frames).select(*late.columns)
+    assert early.count() > 0 and not early.exceptAll(late).count() and not late.exceptAll(early).count()

@@ -191,3 +191,13 @@ def test_simplex_finds_the_least_error(spark):
 
 def test_launch_uses_the_same_grid():
     assert len(launch.ANGLES) == 451 and launch.ANGLES[-1] == pytest.approx(45.0)
+
+
+def test_clock_shift_fits_joins_no_payloads(spark, sf):
+    found = replays.clock_shift_fits(spark, sf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    frames = launch.frame_signals(spark, sf).where("orientation = 'vertical'")
+    for by, strength in (("rules", False), ("strength", True)):
+        one, mine = replays.range_fits(frames, strength), found.where(F.col("by") == by).drop("by")
+        assert mine.count() > 0 and not mine.exceptAll(one).count() and not one.exceptAll(mine).count()
