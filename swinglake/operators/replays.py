@@ -13,7 +13,7 @@ from swinglake.functions import ladder, radc, sidebands
 from swinglake.functions.lens import lens, with_lenses
 from swinglake.operators.launch import ABOVE_FT, ANGLES, MPH_TO_FTS, PERIOD_FT, SHOT, Settings, _bands, _pieces, around_impacts, frame_signals, with_bands
 from swinglake.operators.sessions import READINGS
-from swinglake.operators.spin import spin_captures
+from swinglake.operators.spin import DERIVED, Run, capture_vectors, kept_columns, over_captures
 
 # frames that agree
 
@@ -242,9 +242,9 @@ def clock_shift_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 # sidebands
 
 
-def with_sidebands(captures: DataFrame) -> DataFrame:
-    """Captures (i, q, ball_speed, ball_ms) with their onset and what the comb of sidebands says; nulls where it says nothing."""
-    keep = [c for c in captures.columns if c not in ("i", "q")]
+def with_sidebands(captures: DataFrame, derived: tuple[Run, str] | None = None) -> DataFrame:
+    """Captures (i, q, ball_speed, ball_ms) with their onset and what the comb of sidebands says; nulls where it says nothing. ``derived``: :func:`over_captures`."""
+    keep = kept_columns(captures, derived)
     names = ["onset_ms", "spacing_hz", "score", "odd", "seen", "rpm", "heard_ms", "drift_hz_s"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,13 +261,12 @@ def with_sidebands(captures: DataFrame) -> DataFrame:
             arrays = [pa.array(c, pa.string() if n == "seen" else pa.float64()) for n, c in zip(names, zip(*rows, strict=True) if rows else [()] * len(names), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *arrays], [*keep, *names])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in captures.select(*[F.col(f"`{c}`") for c in keep]).schema] + [f"{n} {'string' if n == 'seen' else 'double'}" for n in names])
-    return captures.mapInArrow(run, schema)
+    return over_captures(captures, keep, run, ", ".join(f"{n} {'string' if n == 'seen' else 'double'}" for n in names), derived)
 
 
 def sideband_spins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Onset, course and comb of every capture."""
-    return with_sidebands(spin_captures(spark, sf_dir)).select("capture", "ball_speed", "onset_ms", "heard_ms", "drift_hz_s", "spacing_hz", "score", "odd", "seen", "rpm")
+    return with_sidebands(capture_vectors(spark, sf_dir), DERIVED).select("capture", "ball_speed", "onset_ms", "heard_ms", "drift_hz_s", "spacing_hz", "score", "odd", "seen", "rpm")
 
 
 # coefficients across sessions

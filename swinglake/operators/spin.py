@@ -6,7 +6,7 @@ arrays, so they can be read, tested and changed without the signal.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +37,34 @@ def rpm_of(k: Column) -> Column:
     return (k + int(spin.BINS[0])) * (STEP_HZ * 60)
 
 
-def with_evidence(captures: DataFrame) -> DataFrame:
-    """Captures (i, q, ball_speed, ball_ms and any other columns) with their evidence in place of the samples."""
-    keep = [c for c in captures.columns if c not in ("i", "q")]
+#: Captures that are looked at together.
+TOGETHER = 64
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
+def over_captures(captures: DataFrame, keep: list[str], run: Run, columns: str, derived: tuple[Run, str] | None) -> DataFrame:
+    """``run`` over the captures, few at a time: the columns ``keep`` and ``columns``.
+
+    ``derived``, a function and its schema, makes the captures of ``captures``' rows in the same task. Samples are a hundred times what they are
+    made of, and between two functions Spark would gather them by ten thousand captures (``spark.sql.execution.arrow.maxRecordsPerBatch``).
+    """
+    make, shape = (derived[0], captures.mapInArrow(*derived)) if derived else (iter, captures)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in shape.select(*[F.col(f"`{c}`") for c in keep]).schema] + [columns])
+    return captures.mapInArrow(lambda batches: run(in_slices(make(batches))), schema)
+
+
+def kept_columns(captures: DataFrame, derived: tuple[Run, str] | None) -> list[str]:
+    """All columns of captures but the samples."""
+    return [c for c in (captures.mapInArrow(*derived) if derived else captures).columns if c not in ("i", "q")]
+
+
+def with_evidence(captures: DataFrame, derived: tuple[Run, str] | None = None) -> DataFrame:
+    """Captures (i, q, ball_speed, ball_ms and any other columns) with their evidence in place of the samples; ``derived``: :func:`over_captures`."""
+    keep = kept_columns(captures, derived)
     names = [c.split()[0] for c in EVIDENCE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,8 +82,7 @@ def with_evidence(captures: DataFrame) -> DataFrame:
                 arrays.append(pa.array(values, kind))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *arrays], [*keep, *names])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in captures.select(*[F.col(f"`{c}`") for c in keep]).schema] + [EVIDENCE])
-    return captures.mapInArrow(run, schema)
+    return over_captures(captures, keep, run, EVIDENCE, derived)
 
 
 LISTS = ("band", "shoulder", "phase_residual", "instant_frequency")
@@ -211,25 +235,25 @@ def judged(seen: DataFrame, expected: Column | None = None) -> DataFrame:
 EVIDENCE_NAMES = [c.split()[0] for c in EVIDENCE.split(", ")]
 
 
-def detect_spin(captures: DataFrame, expected: Column | None = None) -> DataFrame:
+def detect_spin(captures: DataFrame, expected: Column | None = None, derived: tuple[Run, str] | None = None) -> DataFrame:
     """The spin of captures: i and q of 30,000 samples a second, ball_speed, ball_ms (when the ball is first seen).
 
     ``expected``: the spin that club and speed suggest, or null. A capture without samples or speed is refused as such.
     """
-    return judged(with_evidence(captures), expected)
+    return judged(with_evidence(captures, derived), expected)
 
 
 #: Lengths of the windows that are tried (ms).
 LENGTHS = (25, 30, 35, 45, 60, 80)
 
 
-def window_spins(captures: DataFrame, expected: Column | None = None, lengths_ms: tuple[int, ...] = LENGTHS) -> DataFrame:
+def window_spins(captures: DataFrame, expected: Column | None = None, lengths_ms: tuple[int, ...] = LENGTHS, derived: tuple[Run, str] | None = None) -> DataFrame:
     """The spin that each window of each capture gives alone, by the envelope's line and the gates on it: for comparing windows.
 
     Without what judges a line by its surroundings, its halves or the phase. A capture without samples or speed, or with a speed outside the
     band, has no windows.
     """
-    keep = [c for c in captures.columns if c not in ("i", "q")]
+    keep = kept_columns(captures, derived)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,8 +269,8 @@ def window_spins(captures: DataFrame, expected: Column | None = None, lengths_ms
             arrays = [pa.array([f[n] for f in found], kind) for n, kind in kinds.items()]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)).take(take) for c in keep), *arrays], [*keep, *kinds])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in captures.select(*[F.col(f"`{c}`") for c in keep]).schema] + ["window string, samples int, depth double, band array<double>"])
-    d = captures.mapInArrow(run, schema).withColumn("expected", F.lit(None).cast("double") if expected is None else expected.cast("double"))
+    found = over_captures(captures, keep, run, "window string, samples int, depth double, band array<double>", derived)
+    d = found.withColumn("expected", F.lit(None).cast("double") if expected is None else expected.cast("double"))
     return by_envelope(d).select(*[F.col(f"`{c}`") for c in keep], "window", "samples", "spin_rpm", "reason", "quality", "confidence", "snr", "cycles", "reportable")
 
 
@@ -286,45 +310,49 @@ def by_envelope(d: DataFrame) -> DataFrame:
 
 def spin_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By window: how many captures it gives a spin for, how many reliable ones, and how the spins lie to those expected."""
-    found = window_spins(spin_captures(spark, sf_dir), F.col("expected_rpm"))
+    found = window_spins(capture_vectors(spark, sf_dir), F.col("expected_rpm"), derived=DERIVED)
     off = F.when(F.col("reportable"), F.abs(F.col("spin_rpm") - F.col("expected_rpm")) / F.col("expected_rpm"))
     return found.groupBy("window").agg(
         F.count(F.lit(1)).alias("captures"), F.count_if("reportable").alias("reportable"), F.count_if(F.col("confidence") >= RELIABLE).alias("reliable"), F.round(F.avg("snr"), 3).alias("snr"), F.count_if(off <= 0.1).alias("near")
     )
 
 
-def spin_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures derived from the embeddings: 4096 samples of a ball's tone whose amplitude a seam and the vector's own noise modulate.
+def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Captures of vectors: 4096 samples of a ball's tone whose amplitude a seam and the vector's own noise modulate.
 
     Some lose the ball half way, some have a club's tone before it, some no seam at all.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = np.arange(4096) / spin.FS
-        for b in batches:
-            rows = []
-            for key, label, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                v = np.array(v)
-                mph, turns = 70 + 90 * abs(v[0]) / (abs(v[0]) + 0.1), 2200 + 8000 * abs(v[1]) / (abs(v[1]) + 0.1)
-                depth = (0.05, 0.02, 0.0, 0.008)[label % 4]
-                size = 300 * (1 + depth * np.cos(2 * np.pi * turns / 60 * t + v[2])) * np.exp(-2 * t)
-                noise = np.interp(t, np.linspace(0, t[-1], len(v)), v) * 8
-                size = np.where((t > 0.07) & (label % 5 == 3), 0.0, size + noise)
-                phase = 2 * np.pi * (2 * mph / spin.MPS_TO_MPH / spin.WAVELENGTH_M) * t
-                grain = np.resize(v, 4096) * 4 * np.sin(np.arange(4096) * 1.7)
-                i, q = np.rint(2048 + size * np.cos(phase) + grain), np.rint(2048 + size * np.sin(phase) + grain[::-1])
-                rows.append((key, i.astype(np.int32), q.astype(np.int32), mph, 5.0 + 10 * abs(v[3]), turns if label % 2 else None))
-            arrays = [pa.array(c) for c in zip(*rows, strict=True)] if rows else [pa.array([], x) for x in (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.float64()] * 3)]
-            yield pa.RecordBatch.from_arrays(arrays, ["capture", "i", "q", "ball_speed", "ball_ms", "expected_rpm"])
-
+    t = np.arange(4096) / spin.FS
+    for b in in_slices(batches):
+        rows = []
+        for key, label, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            v = np.array(v)
+            mph, turns = 70 + 90 * abs(v[0]) / (abs(v[0]) + 0.1), 2200 + 8000 * abs(v[1]) / (abs(v[1]) + 0.1)
+            depth = (0.05, 0.02, 0.0, 0.008)[label % 4]
+            size = 300 * (1 + depth * np.cos(2 * np.pi * turns / 60 * t + v[2])) * np.exp(-2 * t)
+            noise = np.interp(t, np.linspace(0, t[-1], len(v)), v) * 8
+            size = np.where((t > 0.07) & (label % 5 == 3), 0.0, size + noise)
+            phase = 2 * np.pi * (2 * mph / spin.MPS_TO_MPH / spin.WAVELENGTH_M) * t
+            grain = np.resize(v, 4096) * 4 * np.sin(np.arange(4096) * 1.7)
+            i, q = np.rint(2048 + size * np.cos(phase) + grain), np.rint(2048 + size * np.sin(phase) + grain[::-1])
+            rows.append((key, i.astype(np.int32), q.astype(np.int32), mph, 5.0 + 10 * abs(v[3]), turns if label % 2 else None))
+        arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.float64()] * 3), strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, ["capture", "i", "q", "ball_speed", "ball_ms", "expected_rpm"])
+
+
+#: How captures are made of vectors, for :func:`over_captures`.
+DERIVED: tuple[Run, str] = (_captures, "capture long, i array<int>, q array<int>, ball_speed double, ball_ms double, expected_rpm double")
+
+
+def capture_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings that captures are derived from, dealt over all cores: what is made of a vector is a hundred times its size."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>"))
-    vectors = vectors.repartition(spark.sparkContext.defaultParallelism, "vec_id")  # a vector becomes a hundred times its size
-    return vectors.mapInArrow(run, "capture long, i array<int>, q array<int>, ball_speed double, ball_ms double, expected_rpm double")
+    return vectors.repartition(spark.sparkContext.defaultParallelism, "vec_id")
 
 
 def spin_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spin, reason or quality of every capture; the expected spin is at hand for half of them."""
-    found = detect_spin(spin_captures(spark, sf_dir), F.col("expected_rpm"))
+    found = detect_spin(capture_vectors(spark, sf_dir), F.col("expected_rpm"), DERIVED)
     return found.select("capture", "spin_rpm", "reason", "quality", "confidence", "reliable", "snr", "lower_rail", "upper_rail", "phase_confirmed", F.size("candidates").alias("candidates"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,22 @@ def test_window_verdicts(spark):
     got = spin.by_envelope(spark.createDataFrame(rows, "id int, samples int, depth double, band array<double>, expected double")).collect()
     assert {r.id: (r.reason, r.quality, r.confidence, r.reportable) for r in got} == expected
     assert len({e[0] for e in expected.values()}) == 8
+
+
+def test_captures_are_made_and_read_few_at_a_time(spark, sf):
+    """Samples don't pass between two functions of a plan, and no function sees more captures together than stated, however large batches are."""
+    for found in (spin.spin_detection(spark, sf), spin.spin_windows(spark, sf)):
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    many = spark.range(1000).coalesce(1)
+    for derived in (None, (lambda batches: batches, "id long")):
+        got = [r.n for r in spin.over_captures(many, [], sizes, "n long", derived).collect()]
+        assert sum(got) == 1000 and max(got) <= spin.TOGETHER
+    captures = spin.capture_vectors(spark, sf).limit(150)
+    apart = spin.with_evidence(captures.mapInArrow(*spin.DERIVED))
+    at_once = spin.with_evidence(captures, spin.DERIVED)
+    assert at_once.count() == captures.count() and sorted(map(str, at_once.collect())) == sorted(map(str, apart.collect()))
