@@ -201,3 +201,18 @@ def test_clock_shift_fits_joins_no_payloads(spark, sf):
     for by, strength in (("rules", False), ("strength", True)):
         one, mine = replays.range_fits(frames, strength), found.where(F.col("by") == by).drop("by")
         assert mine.count() > 0 and not mine.exceptAll(one).count() and not one.exceptAll(mine).count()
+
+
+def test_comb_looks_at_each_bin_once(monkeypatch):
+    """Medians are those of the bins that count, and bins that harmonics share are looked at once."""
+    rng = np.random.default_rng(4)
+    half, k = rng.random(3000), np.array([40, 57, 58, 900, 2000])
+    for cell, ring in ((3, 40), (7, 57), (1, 9)):
+        outer = np.concatenate((np.arange(-ring, -cell), np.arange(cell + 1, ring)))
+        plain = [max(half[c - cell : c + cell + 1]) / np.median([half[c + o] for o in outer if c + o >= 1]) for c in k[k >= ring]]
+        assert sidebands.side_ratio(half, k[k >= ring], cell, ring).tolist() == plain
+    asked, pairs = [], sidebands.pairs
+    monkeypatch.setattr(sidebands, "pairs", lambda spectrum, f, n: asked.append(np.rint(f / (FS / sidebands.COMB_FFT)).tolist()) or pairs(spectrum, f, n))
+    t = np.arange(2400) / FS
+    sidebands.comb((1 + 0.2 * np.cos(2 * np.pi * 90 * t)) + rng.normal(0, 0.01, 2400) * 1j)
+    assert len(asked[0]) == len(set(asked[0])) < 3 * len(np.arange(sidebands.COMB_LOW, sidebands.COMB_HIGH, sidebands.COMB_STEP))
