@@ -19,12 +19,13 @@ def numbered(df: DataFrame, keys: list[str], by: list[str], coarse: Column, fine
     which begins behind those of the coarse ones before it. So a window holds a fine range's rows, a coarse range's fine
     ranges, or a key's coarse ranges.
     """
-    rows = df.withColumns({"__c": coarse, "__f": fine})
-    inside = F.row_number().over(Window.partitionBy(*keys, "__c", "__f").orderBy(*[F.col(c).asc_nulls_last() for c in by]))
-    starts = range_starts(rows, keys)
-    starts = starts.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate([*keys, "__c", "__f"])], "__start")
-    same = [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate([*keys, "__c", "__f"])]
-    placed = rows.withColumn("__inside", inside).join(starts, same)
+    # one struct names a range, nulls and all: rows are dealt by it once, to be numbered and to meet their range's start; its hash is what sorts compare first
+    named = F.struct(*[F.col(c) for c in (*keys, "__c", "__f")])
+    at = ["__hash", "__range"]
+    rows = df.withColumns({"__c": coarse, "__f": fine}).withColumns({"__hash": F.xxhash64(*keys, "__c", "__f"), "__range": named})
+    inside = F.row_number().over(Window.partitionBy(*at).orderBy(*[F.col(c).asc_nulls_last() for c in by]))
+    starts = range_starts(rows, keys).select(F.xxhash64(*keys, "__c", "__f").alias("__hash"), named.alias("__range"), "__start")
+    placed = rows.withColumn("__inside", inside).join(starts, at)
     return placed.select(*[F.col(c) for c in df.columns], (F.col("__start") + F.col("__inside")).alias("pos"))
 
 
@@ -33,9 +34,9 @@ def range_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
     fine = rows.groupBy(*keys, "__c", "__f").agg(F.count(F.lit(1)).alias("__n"))
     before = lambda by, over: F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy(F.col(over).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     coarse = fine.groupBy(*keys, "__c").agg(F.sum("__n").alias("__n")).withColumn("__whole", before(keys, "__c"))
-    coarse = coarse.select(*[F.col(c).alias(f"__t{i}") for i, c in enumerate([*keys, "__c"])], "__whole")
-    same = [F.col(c).eqNullSafe(F.col(f"__t{i}")) for i, c in enumerate([*keys, "__c"])]
-    return fine.withColumn("__part", before([*keys, "__c"], "__f")).join(coarse, same).select(*keys, "__c", "__f", (F.col("__whole") + F.col("__part")).alias("__start"))
+    whole = F.struct(*[F.col(c) for c in (*keys, "__c")]).alias("__coarse")
+    placed = fine.withColumn("__part", before([*keys, "__c"], "__f")).select("*", whole).join(coarse.select(whole, "__whole"), "__coarse")
+    return placed.select(*keys, "__c", "__f", (F.col("__whole") + F.col("__part")).alias("__start"))
 
 
 def ordinal_pairs(device: DataFrame, truth: DataFrame, keys: list[str], by: list[str], coarse: Column, fine: Column, speed: str = "ball_speed", tolerance: float = 5.0) -> DataFrame:
@@ -60,8 +61,8 @@ def ordinal_pairs(device: DataFrame, truth: DataFrame, keys: list[str], by: list
 
 
 def paired(spark: SparkSession, sf_dir: str, tolerance: float = 30.0) -> DataFrame:
-    # a club's shots of a day, in blocks of a hundred thousand orders
-    return ordinal_pairs(lens(spark, sf_dir, "device"), lens(spark, sf_dir, "truth"), ["club"], KEY, F.col("us"), F.expr("l_orderkey div 100000"), tolerance=tolerance)
+    # a club's shots of a day, in blocks of ten million orders: some thousands of rows each, so that there are far fewer ranges than rows
+    return ordinal_pairs(lens(spark, sf_dir, "device"), lens(spark, sf_dir, "truth"), ["club"], KEY, F.col("us"), F.expr("l_orderkey div 10000000"), tolerance=tolerance)
 
 
 PAIRS_SQL = (
