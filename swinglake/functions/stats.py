@@ -17,12 +17,12 @@ def error_columns(e: str) -> list[Column]:
     ]
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
-    """Per key, the value at place round(p * (n - 1)), halves to even, of the sorted values that aren't null.
+def nearest_rank(df: DataFrame, keys: list[str], value: str, p: float, times: str | None = None) -> DataFrame:
+    """Per key, the value at place round(p * (n - 1)), halves to even, of the sorted values that aren't null; a row counts ``times`` (once).
 
     Equal values are counted first, so a group's window holds its distinct values only.
     """
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__k"))
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(times or F.lit(1)).alias("__k"))
     order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     place = F.bround(F.lit(p) * (F.sum("__k").over(whole) - 1), 0)
@@ -38,17 +38,17 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, p: float) -> DataFr
 STRIPS = 64
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, ps: tuple[float, ...]) -> DataFrame:
-    """Per key ``q``: the quantiles of the values that aren't null, between neighbours by linear interpolation.
+def quantiles(df: DataFrame, keys: list[str], value: str, ps: tuple[float, ...], times: str | None = None) -> DataFrame:
+    """Per key ``q``: the quantiles of the values that aren't null, between neighbours by linear interpolation; a row counts ``times`` (once).
 
     No task holds a key's values: they are counted by strips, about one percent of a value wide, and only the strips in which a
     wanted place lies are ranked, equal values counted first. Keys without a value are left out.
     """
     v = F.col("__v")
     strip = F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v)) * STRIPS) + 2000 * STRIPS)).cast("int")
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v")).withColumn("__strip", strip)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"), (F.col(times) if times else F.lit(1)).alias("__w")).withColumn("__strip", strip)
     order, whole = Window.partitionBy(*keys).orderBy("__strip"), Window.partitionBy(*keys)
-    counts = rows.groupBy(*keys, "__strip").agg(F.count(F.lit(1)).alias("__n")).withColumns(
+    counts = rows.groupBy(*keys, "__strip").agg(F.sum("__w").alias("__n")).withColumns(
         {"__before": F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__all": F.sum("__n").over(whole)}
     )
     spot = [F.lit(float(p)) * (F.col("__all") - 1) for p in ps]
@@ -58,7 +58,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, ps: tuple[float, ...])
     kept = kept.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__strip").alias("__s"), "__before", "__all", "__wanted")
     same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     held = rows.join(kept, [*same, F.col("__strip") == F.col("__s")]).groupBy(*keys, "__strip", "__v")
-    held = held.agg(F.count(F.lit(1)).alias("__c"), F.first("__before").alias("__before"), F.first("__all").alias("__all"), F.first("__wanted").alias("__wanted"))
+    held = held.agg(F.sum("__w").alias("__c"), F.first("__before").alias("__before"), F.first("__all").alias("__all"), F.first("__wanted").alias("__wanted"))
     upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(*keys, "__strip").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
     held = held.withColumn("__upto", upto)
     hits = held.select(*keys, "__all", "__v", F.explode(F.filter("__wanted", lambda x: (x < F.col("__upto")) & (x >= F.col("__upto") - F.col("__c")))).alias("__at"))

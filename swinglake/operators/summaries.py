@@ -12,9 +12,9 @@ from swinglake.operators.pairing import GOOD_SQL, good_errors
 READINGS, SHOTS = with_lenses("readings"), with_lenses("shots")
 
 
-def named_counts(df: DataFrame, keys: list[str], name: str, out: str) -> DataFrame:
+def named_counts(df: DataFrame, keys: list[str], name: str, out: str, times: str | None = None) -> DataFrame:
     """Per key, how often each value of a column stands, as one text ``a=3,b=1`` in the order of the values."""
-    counts = df.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(*keys, name).agg(F.sum(times or F.lit(1)).alias("n"))
     listed = F.array_sort(F.collect_list(F.struct(F.col(name).cast("string").alias("k"), "n")))
     return counts.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: F.concat_ws("=", x["k"], x["n"].cast("string"))), ",").alias(out))
 
@@ -39,11 +39,15 @@ PARAMETERS = (0.0, 0.5, 1.0)
 
 
 def replay_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Good pairs under each parameter: the error where there is a detection, and the reason."""
+    """Good pairs under each parameter: the error where there is a detection, the reason, and how many equal pairs a row stands for (``n``).
+
+    Pairs are counted before anything else is asked of them: all that follows reads the counts, and the plan pairs shots once.
+    """
     found = F.col("confidence") >= F.col("least")
     reason = F.when(found, "detected").when(F.col("frames") < 2, "no_frames").otherwise("low_confidence")
-    rows = good_errors(spark, sf_dir).withColumn("least", F.explode(F.array(*[F.lit(x) for x in PARAMETERS])))
-    return rows.select("least", "club", "source_id", reason.alias("reason"), F.when(found, F.abs("e_launch")).alias("e"))
+    equal = good_errors(spark, sf_dir).groupBy("club", "source_id", "confidence", "frames", "e_launch").agg(F.count(F.lit(1)).alias("n"))
+    rows = equal.withColumn("least", F.explode(F.array(*[F.lit(x) for x in PARAMETERS])))
+    return rows.select("least", "club", "source_id", reason.alias("reason"), F.when(found, F.abs("e_launch")).alias("e"), "n")
 
 
 ROWS_SQL = GOOD_SQL + """, rows AS (SELECT least, club, source_id, CASE WHEN confidence >= least THEN 'detected' WHEN frames < 2 THEN 'no_frames' ELSE 'low_confidence' END AS reason,
@@ -51,12 +55,14 @@ CASE WHEN confidence >= least THEN abs(e_launch) END AS e FROM good, (SELECT unn
 
 
 def detection_columns(limits: tuple[float, ...]) -> list[Column]:
-    within = [F.count_if(F.col("e") <= x).alias(f"within_{str(x).replace('.', '_')}") for x in limits]
+    """Of rows that stand for ``n`` pairs each."""
+    n, detected = F.col("n"), F.sum(F.when(F.col("e").isNotNull(), F.col("n")).otherwise(0))
+    within = [F.sum(F.when(F.col("e") <= x, n).otherwise(0)).alias(f"within_{str(x).replace('.', '_')}") for x in limits]
     return [
-        F.count(F.lit(1)).alias("attempted"),
-        F.count("e").alias("detected"),
-        F.round(F.count("e") / F.count(F.lit(1)), 6).alias("rate"),
-        F.round(F.avg("e"), 4).alias("mae"),
+        F.sum(n).alias("attempted"),
+        detected.alias("detected"),
+        F.round(detected / F.sum(n), 6).alias("rate"),
+        F.round(F.try_divide(F.sum(F.col("e") * n), detected), 4).alias("mae"),
         F.round(F.max("e"), 4).alias("worst"),
         *within,
     ]
@@ -66,9 +72,9 @@ def replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per parameter: detections and their errors, the 90th percentile by nearest rank, counts by reason, and whether all are within half a degree."""
     rows = replay_rows(spark, sf_dir)
     stats = rows.groupBy("least").agg(*detection_columns((0.5,)))
-    p90 = nearest_rank(rows, ["least"], "e", 0.9).select("least", F.round("e", 4).alias("p90"))
+    p90 = nearest_rank(rows, ["least"], "e", 0.9, "n").select("least", F.round("e", 4).alias("p90"))
     gate = (F.col("detected") == F.col("attempted")) & F.coalesce(F.col("worst") <= 0.5, F.lit(False))
-    return stats.join(p90, "least", "left").join(named_counts(rows, ["least"], "reason", "reasons"), "least").withColumn("passes", gate)
+    return stats.join(p90, "least", "left").join(named_counts(rows, ["least"], "reason", "reasons", "n"), "least").withColumn("passes", gate)
 
 
 def _rank(p: str) -> str:
@@ -81,17 +87,17 @@ SELECT least, count(*) AS attempted, count(e) AS detected, round(count(e) / coun
 {_rank("0.9")} AS p90, max(reasons) AS reasons, count(e) = count(*) AND coalesce(max(e) <= 0.5, false) AS passes FROM r JOIN c USING (least) GROUP BY 1"""
 
 
-def medians(df: DataFrame, keys: list[str], value: str, name: str, places: int) -> DataFrame:
-    return quantiles(df, keys, value, (0.5,)).select(*keys, F.round(F.col("q")[0], places).alias(name))
+def medians(df: DataFrame, keys: list[str], value: str, name: str, places: int, times: str | None = None) -> DataFrame:
+    return quantiles(df, keys, value, (0.5,), times).select(*keys, F.round(F.col("q")[0], places).alias(name))
 
 
 def geometry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per club: median and 90th percentile of errors, how many are within 1, 2 and 5 degrees, counts by reason and by source."""
     rows = replay_rows(spark, sf_dir).where("least = 0.5")
     stats = rows.groupBy("club").agg(*detection_columns((1.0, 2.0, 5.0)))
-    stats = stats.join(medians(rows, ["club"], "e", "median", 4), "club", "left")
-    p90 = nearest_rank(rows, ["club"], "e", 0.9).select("club", F.round("e", 4).alias("p90"))
-    return stats.join(p90, "club", "left").join(named_counts(rows, ["club"], "reason", "reasons"), "club").join(named_counts(rows, ["club"], "source_id", "sources"), "club")
+    stats = stats.join(medians(rows, ["club"], "e", "median", 4, "n"), "club", "left")
+    p90 = nearest_rank(rows, ["club"], "e", 0.9, "n").select("club", F.round("e", 4).alias("p90"))
+    return stats.join(p90, "club", "left").join(named_counts(rows, ["club"], "reason", "reasons", "n"), "club").join(named_counts(rows, ["club"], "source_id", "sources", "n"), "club")
 
 
 GEOMETRY_SQL = ROWS_SQL.replace("FROM good, (SELECT unnest([0.0::DOUBLE, 0.5, 1.0]) AS least) p", "FROM good, (SELECT 0.5::DOUBLE AS least) p") + _RANKED.format(by="club") + f""",

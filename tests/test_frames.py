@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 from test_launch import SCHEMA, aliased, payload, shot
 
-from swinglake.functions import radc
+from swinglake.functions import radc, stats
 from swinglake.functions.stats import quantiles
-from swinglake.operators import frames, logs, pairing
+from swinglake.operators import frames, logs, pairing, summaries
 
 
 @pytest.fixture(scope="module")
@@ -111,3 +111,23 @@ def test_radar_lines(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)] + [(99, None)], "id int, line string")
     got = {r.line: (r.direction, r.speed_mph, r.magnitude) for r in logs.radar_readings(df, "line").collect()}
     assert got == {k: v for k, v in lines.items() if v}
+
+
+def test_numbered_rows_are_dealt_once(spark):
+    """Rows meet the start of their range where they were numbered: no second shuffle by other keys, nulls or not."""
+    df = spark.createDataFrame([(None, 1, 5), (None, 1, 3), ("a", None, 4), ("a", 2, 9), ("a", None, 1)], "club string, day int, key int")
+    got = pairing.numbered(df, ["club"], ["day", "key"], F.col("day"), F.expr("key div 4"))
+    shuffles = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert shuffles and not any("coalesce(" in line or "isnull(" in line for line in shuffles)
+    assert {(r.club, r.day, r.key): r.pos for r in got.collect()} == {(None, 1, 3): 1, (None, 1, 5): 2, ("a", 2, 9): 1, ("a", None, 1): 2, ("a", None, 4): 3}
+
+
+def test_replay_rows_are_counted(spark, sf):
+    rows, pairs = summaries.replay_rows(spark, sf), pairing.good_errors(spark, sf)
+    assert rows.agg(F.sum("n")).first()[0] == len(summaries.PARAMETERS) * pairs.count()
+    assert rows.count() == rows.select("least", "club", "source_id", "reason", "e").count() and not pairs.groupBy("club", "source_id", "confidence", "frames", "e_launch").count().where("count < 1").count()
+    plain = spark.createDataFrame([("a", float(v)) for v in (1, 1, 1, 2, 5, 5, 9)] + [("b", 3.0)], "k string, v double")
+    counted = plain.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    for p in (0.0, 0.3, 0.5, 0.9, 1.0):
+        assert sorted(stats.nearest_rank(plain, ["k"], "v", p).collect()) == sorted(stats.nearest_rank(counted, ["k"], "v", p, "n").collect())
+        assert sorted(stats.quantiles(plain, ["k"], "v", (p,)).collect()) == sorted(stats.quantiles(counted, ["k"], "v", (p,), "n").collect())
