@@ -12,8 +12,8 @@ What is left at a task's end is split into lengths that are powers of two, which
 
 A task's stream is its input partition: nothing is shuffled, and a task that runs again packs the same rows again.
 
-Tokenising goes by chunks between spaces and newlines, which the tokenizer's own split never crosses; each task process
-remembers the ids of chunks it has met, up to a bound. The strings of added tokens in a text are those tokens.
+Tokenising goes by distinct chunks between spaces and newlines, which the tokenizer's own split never crosses; each task
+process remembers the ids of chunks it has met, up to a bound. The strings of added tokens in a text are those tokens.
 
 Defined results: a null text counts as empty and is the end id alone; an empty table gives an empty result; rows that
 repeat an id are packed each for itself; a null id stays null; texts of any length are cut; further columns are not read.
@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ CUT_SENTENCE, CUT_INSIDE, EXTRA_SEQUENCE = 4.0, 12.0, 16.0
 #: Cut points inside sentences stand at most so many tokens apart.
 STRIDE = 16
 BLOCK = 1 << 18
+#: Bytes of text that are tokenised together, about.
+PART = 4_000_000
 
 
 class Memory:
@@ -60,11 +63,12 @@ class Memory:
 
 
 class ChunkTokenizer:
-    """Ids of texts as little-endian bytes: those of ``encode(text, add_special_tokens=False)``, with a bounded memory of chunks.
+    """Ids of texts, little-endian: those of ``encode(text, add_special_tokens=False)``, with a bounded memory of chunks.
 
     A chunk stands between spaces or newlines, which neither a token nor an added token crosses. Letters and the marks
-    behind them are tokens apart, so a chunk of both is put together from two. Letters are what is so after the
-    tokenizer's normalisation, which takes some apart into a letter and a sign.
+    behind them are tokens apart, so a chunk of both is put together from two, and letters go to the tokenizer's model
+    at once. Letters are what is so after the tokenizer's normalisation, which takes some apart into a letter and a sign.
+    A text's chunks are looked up once for all that are alike in a call.
     """
 
     MARKS = ".,;:!?"
@@ -74,6 +78,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.parts, self.chunks = Memory(parts), Memory(chunks)
         self.plain: set[str] = set()  # letters that normalisation leaves letters
 
@@ -82,33 +87,64 @@ class ChunkTokenizer:
             return False
         if text.isascii() or self.plain.issuperset(text):
             return True
-        self.plain.update(c for c in set(text) if self.tokenizer.normalizer.normalize_str(c).isalpha())
+        self.plain.update(c for c in set(text) if self.normalizer.normalize_str(c).isalpha())
         return self.plain.issuperset(text)
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn_parts(self, parts: list[str]) -> None:
         for at in range(0, len(parts), 2000):
             some = parts[at : at + 2000]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            data = np.array(found.ids, "<u4").tobytes()
-            starts = np.fromiter((x[0] for x in found.offsets), np.int64, len(found.ids))
+            ids = found.ids
+            starts = np.fromiter((x[0] for x in found.offsets), np.int64, len(ids))
             ends = np.cumsum([len(p) + 1 for p in some])  # of the parts, a space behind each
-            ends = (4 * np.searchsorted(starts, ends)).tolist()
-            self.parts.new.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+            ends = np.searchsorted(starts, ends).tolist()
+            self.parts.new.update(zip(some, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def _learn(self, chunks: list[str]) -> None:
+        letters = [c.rstrip(self.MARKS) for c in chunks]
+        words = [x if self._letters(x) else "" for x in letters]
+        tails = [c[len(w) :] for c, w in zip(chunks, words, strict=True)]  # all of a chunk that isn't letters and marks
+        self._learn_parts(self.parts.missing(set(tails)))
+        signs = [w for w in words if not w.isascii()]  # no letter joins one beyond a space in normalisation
+        normal = dict(zip(signs, self.normalizer.normalize_str(" ".join(signs)).split(" "), strict=False))
+        bytewise = {w: x.encode().decode("latin-1").translate(BYTE_LETTERS) for w, x in normal.items()}
+        part, tokens = self.parts.new, self.model.tokenize
+        ids: list[int] = []
+        ends = []
+        for word, tail in zip(words, tails, strict=True):
+            if word:
+                ids += [t.id for t in tokens(word.lower() if word.isascii() else bytewise[word])]
+            ids += part[tail]
+            ends.append(4 * len(ids))
+        data = np.array(ids, "<u4").tobytes()
+        self.chunks.new.update(zip(chunks, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         self.parts.trim()
         self.chunks.trim()
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        chunks = self.chunks.missing(set().union(*split))
-        letters = [c.rstrip(self.MARKS) for c in chunks]
-        heads = [x if self._letters(x) else c for c, x in zip(chunks, letters, strict=True)]
-        tails = [c[len(x) :] for c, x in zip(chunks, heads, strict=True)]
-        self._learn(self.parts.missing({*heads, *tails}))
-        part = self.parts.new
-        self.chunks.new.update((c, part[a] + part[b]) for c, a, b in zip(chunks, heads, tails, strict=True))
-        return [b"".join(map(self.chunks.new.__getitem__, x)) for x in split]
+        column = pc.replace_substring(pc.fill_null(pa.array(texts, pa.large_string()), ""), "\n", " ")
+        split = pc.split_pattern(column, " ")
+        counted = split.flatten().dictionary_encode()
+        chunk, names = counted.indices.to_numpy(), counted.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(self.chunks.missing(names))
+        found = [self.chunks.new[c] for c in names]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, n = (np.cumsum(sizes) - sizes)[chunk], sizes[chunk]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ids = np.frombuffer(b"".join(found), "<u4").take(np.arange(upto[-1]) + np.repeat(starts - upto[:-1], n))
+        ends = upto[np.cumsum(pc.list_value_length(split).to_numpy())].tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _byte_letters() -> dict[int, str]:
+    """What byte-level tokenizers write for each byte: itself, where it can be seen, or the next free character from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+BYTE_LETTERS = _byte_letters()
+
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
 
@@ -218,6 +254,15 @@ class Packer:
         return out
 
 
+def in_parts(batch: pa.RecordBatch, most: int = PART) -> Iterator[pa.RecordBatch]:
+    """Rows whose second column is the text, of about ``most`` bytes at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0)) + 1  # behind a row that reaches a multiple
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, padding (its sequence's)."""
     names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padding"]
@@ -244,10 +289,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
 
         for batch in batches:
             kind = batch.column(0).type
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in in_parts(batch):
                 for doc, ids in zip(part.column(0).to_pylist(), tokens(part.column(1).to_pylist()), strict=True):
-                    if pieces := packer.add(doc, np.concatenate((np.frombuffer(ids, "<u4"), end))):
+                    if pieces := packer.add(doc, np.concatenate((ids, end))):
                         yield table_of(pieces)
         if pieces := packer.finish():
             yield table_of(pieces)
