@@ -13,8 +13,10 @@ What is gathered grows with the corpus. The word contexts are the nodes of the v
 counts. The vocabulary, a table with all documents' tokens, is dealt into ranges of its order, so that a range holds all
 words of a context; only the contexts of words at which ranges are cut lie in several, and those are counted beforehand.
 Each token so gets the log odds of all its bits, kept beside it as bytes. Contexts of two bytes have a table of their full
-range (2^24 cells). Those of a word before go by the ``words_before`` most frequent words, counted by shuffle, into a hash
-table whose slots are chosen from their measured number. Starting weights are fitted on the same counts, which have all
+range (2^24 cells). As a word before, each of the ``words_before`` most frequent words is a context of its own, and all other
+words with the same last two bytes are one together, so that every token is counted behind some context and none is silent;
+these contexts, a bounded number, are counted by shuffle and go into a hash table whose slots are chosen from their measured
+number. Starting weights are fitted on the same counts, which have all
 that is needed: each token or pair counts as often as it stands in the corpus, taken once off its own contexts.
 
 The ``head`` most frequent tokens, a bounded number, go to all tasks with what belongs to them. All other tokens of a
@@ -62,8 +64,8 @@ START = (0.5, 0.3, 0.5)
 RANGE = 30_000
 #: Ranges there are at most: a sample of 50 tokens of each, and 32 prefixes of each cut, are what the driver holds and sends of them.
 RANGES = 1 << 14
-#: A document's bytes are scored in pieces of about so many, with those of other documents up to so many in all.
-PIECE = 1_200_000
+#: Tokens are numbered and laid out for documents of about so many bytes, which are scored side by side, about so many tokens in all at a time.
+PIECE, TOKENS = 4_000_000, 150_000
 GATE_OF = np.searchsorted(np.array(GATE_ENDS), np.abs(np.arange(256).astype(np.uint8).view(np.int8).astype(int)), "left").astype(np.uint8)
 FACTOR = np.uint64(0x5851F42D4C957F2D)
 MIX_NODE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -283,13 +285,14 @@ def pair_cells(pairs: np.ndarray, times: np.ndarray, code: Code, two: np.ndarray
     return pair_slots(context[place[where]], node[where], bits), odds_of(zeros, ones), weights, float(n.sum())
 
 
-def in_pieces(mixer: Mixer, sequences: list[np.ndarray], tokens: int = PIECE // 8) -> np.ndarray:
-    """Natural log probability of each sequence of token numbers, whole; long ones in pieces of so many tokens, which changes nothing."""
+def in_pieces(mixer: Mixer, sequences: list[np.ndarray], tokens: int = TOKENS) -> np.ndarray:
+    """Natural log probability of each sequence of token numbers, whole; in pieces of so many tokens of all together, which changes nothing."""
     score, state = np.zeros(len(sequences)), mixer.fresh(len(sequences))
     at, skip = [0] * len(sequences), [0] * len(sequences)  # where a sequence goes on, and how many bits of that token are done
     part = list(range(len(sequences)))
     while part:
-        ends = [min(at[i] + max(tokens, BLOCK), len(sequences[i])) for i in part]  # a token has a bit at least, so a block is filled
+        each = max(tokens // len(part), BLOCK)  # a token has a bit at least, so a block is filled
+        ends = [min(at[i] + each, len(sequences[i])) for i in part]
         streams = [sequences[i][at[i] : end] for i, end in zip(part, ends, strict=True)]
         bits = [None if end == len(sequences[i]) else mixer.whole_blocks(s, skip[i]) for i, end, s in zip(part, ends, streams, strict=True)]
         now = state[part]
@@ -426,21 +429,33 @@ class Mixer:
         return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE) -> Iterator[tuple[list[dict], list[list[bytes]]]]:
-    """(columns but the text, words) of rows whose second column is the text, of about ``most`` bytes at a time."""
-    rows, docs, size = [], [], 0
+class Piece:
+    """Rows (all columns but the text), and their texts as numbers of the distinct tokens; the end mark is number 0, and stands in no text."""
+
+    def __init__(self):
+        self.place, self.rows, self.sequences, self.sizes = Numbers({END: 0}), [], [], []
+
+    def add(self, row: dict, words: list[bytes]) -> int:
+        """Take a row in; how many bytes its words have, a space behind each."""
+        self.rows.append(row)
+        self.sequences.append(self.place.of(words))
+        self.sizes.append(sum(map(len, words)) + len(words))
+        return self.sizes[-1]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE) -> Iterator[Piece]:
+    """Pieces of about ``most`` bytes of rows whose second column is the text."""
+    piece, size = Piece(), 0
     for b in batches:
         texts, others = b.column(1), b.drop_columns([b.schema.names[1]])
         for i in range(b.num_rows):
-            words = words_of(texts[i].as_py())
-            rows.append({name: c[i] for name, c in zip(others.schema.names, others.columns, strict=True)})
-            docs.append(words)
-            size += sum(map(len, words)) + len(words)
+            row = {name: c[i] for name, c in zip(others.schema.names, others.columns, strict=True)}
+            size += piece.add(row, words_of(texts[i].as_py()))
             if size >= most:
-                yield rows, docs
-                rows, docs, size = [], [], 0
-    if docs:
-        yield rows, docs
+                yield piece
+                piece, size = Piece(), 0
+    if piece.rows:
+        yield piece
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -563,23 +578,48 @@ class Head:
         self.data, self.ends = np.frombuffer(b"".join(inputs), np.uint8), np.cumsum([0, *map(len, inputs)])
 
     def rank(self, token: bytes) -> int:
-        """As a word before, or -1."""
+        """As a word before: its own rank if it is one of the most frequent words, or that of all other words that end in the same two bytes."""
         i = self.place.get(token, self.words_before)
-        return i if i < self.words_before else -1
-
-    def laid_out(self, tokens: list[bytes], at: np.ndarray, tail: dict[bytes, tuple[float, bytes]]) -> tuple[np.ndarray, np.ndarray, bytes]:
-        """(ranks, log10 of counts and one, inputs end to end) of tokens at these places of the head; ``tail`` has the last two of those that aren't in it (-1)."""
-        here, other = at >= 0, np.flatnonzero(at < 0).tolist()
-        log_c, sizes = np.empty(len(tokens)), np.empty(len(tokens), np.int64)
-        log_c[here], sizes[here] = self.log_c[at[here]], np.diff(self.ends)[at[here]]
-        rest = [tail[tokens[i]] for i in other]
-        log_c[~here], sizes[~here] = [x[0] for x in rest], [len(x[1]) for x in rest]
-        source = np.concatenate((self.data, np.frombuffer(b"".join(x[1] for x in rest), np.uint8))) if other else self.data
-        first = np.empty(len(tokens), np.int64)
-        first[here] = self.ends[:-1][at[here]]
-        first[~here] = len(self.data) + np.cumsum(sizes[~here]) - sizes[~here]
+        return i if i < self.words_before else self.words_before + int.from_bytes(token[-2:])
+
+    def laid_out(self, at: np.ndarray, tail: Tail) -> tuple[np.ndarray, bytes]:
+        """(log10 of counts and one, inputs end to end) of tokens at these places of the head; ``tail`` has those that aren't in it (-1)."""
+        here = at >= 0
+        log_c, sizes, first = np.empty(len(at)), np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        log_c[here], sizes[here], first[here] = self.log_c[at[here]], np.diff(self.ends)[at[here]], self.ends[:-1][at[here]]
+        number, c, lengths, data = tail.found()
+        log_c[number], sizes[number], first[number] = np.log10(c + 1.0), lengths, len(self.data) + np.cumsum(lengths) - lengths
+        source = np.concatenate((self.data, data)) if len(data) else self.data
         index = np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
-        return np.where(at < self.words_before, at, -1), log_c, source.take(index).tobytes()
+        return log_c, source.take(index).tobytes()
+
+
+class Tail:
+    """A piece's tokens that aren't in the head, in their order, and what their documents' rows have of them."""
+
+    def __init__(self, tokens: list[bytes], far: np.ndarray):
+        """``far``: which tokens are such."""
+        self.far = far
+        self.order = np.array(sorted(np.flatnonzero(far).tolist(), key=tokens.__getitem__), np.int64)  # token numbers
+        self.rank = np.empty(len(tokens), np.int64)
+        self.rank[self.order] = np.arange(len(self.order))
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def of(self, sequence: np.ndarray) -> np.ndarray:
+        """Numbers of a document's distinct tokens of these, sorted by token."""
+        return self.order[np.unique(self.rank[sequence[self.far[sequence]]])]
+
+    def take(self, sequence: np.ndarray, given: pa.StructArray) -> None:
+        """``given``: (at, c, inputs) of the document's tokens of these, ``at`` their places in that order."""
+        self.parts.append((self.of(sequence)[given.field(0).to_numpy()], given.field(1).to_numpy(), given.field(2)))
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(token numbers, counts, lengths of inputs, inputs end to end) of all that was taken."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        number, c, inputs = (list(x) for x in zip(*self.parts, strict=True))
+        inputs = [x for part in inputs for x in part.to_pylist()]
+        return np.concatenate(number), np.concatenate(c), np.fromiter(map(len, inputs), np.int64, len(inputs)), np.frombuffer(b"".join(inputs), np.uint8)
 
 
 class Numbers(dict):
@@ -590,64 +630,53 @@ class Numbers(dict):
         return n
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def rare(sequence: np.ndarray, far: np.ndarray, tokens: list[bytes]) -> list[bytes]:
-    """A document's distinct tokens that aren't in the head, sorted. ``far``: which of the numbered tokens are such."""
-    own = sequence[far[sequence]]
-    return sorted({tokens[i] for i in own.tolist()}) if len(own) else []
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 def reading(texts: DataFrame, top) -> DataFrame:
     """What scoring needs of the texts (learn, text, k1, k2): rows (k1, k2, tail) with the tokens of a text that aren't in ``top``, in their
-    order, and once in a task for rows alike; and rows (pair, n) with how often the first two bytes of a token stand behind one of the words that have a rank."""
+    order, and once in a task for rows alike; and rows (pair, n) with how often the first two bytes of a token stand behind words of a rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = top.value
-        known = head.place
         names = ["k1", "k2", "tail", "pair", "n"]
-        found = [np.zeros(0, np.int64)] * 2
+        held: list[np.ndarray] = []
         met: set[tuple[int, int]] = set()
 
         def pairs() -> pa.RecordBatch:
-            none = [pa.nulls(len(found[0]), k) for k in (pa.int64(), pa.int32(), pa.list_(pa.binary()))]
-            return pa.RecordBatch.from_arrays([*none, *map(pa.array, found)], names)
-
-        for rows, docs in _pieces(batches):
-            place = Numbers({END: 0})
-            end = np.zeros(1, np.int64)
-            numbered = [place.of(words) for words in docs]
-            tokens = list(place)
-            far = np.fromiter((w not in known for w in tokens), bool, len(tokens))
+            keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            held.clear()
+            none = [pa.nulls(len(keys), k) for k in (pa.int64(), pa.int32(), pa.list_(pa.binary()))]
+            return pa.RecordBatch.from_arrays([*none, pa.array(keys), pa.array(n.astype(np.int64))], names)
+
+        for piece in _pieces(batches):
+            tokens = list(piece.place)
+            tail = Tail(tokens, np.fromiter((w not in head.place for w in tokens), bool, len(tokens)))
             sequence, tails = [end], []
-            for row, numbers in zip(rows, numbered, strict=True):
+            for row, numbers in zip(piece.rows, piece.sequences, strict=True):
                 key = row["k1"].as_py(), row["k2"].as_py()
-                if key not in met and (rest := rare(numbers, far, tokens)):
-                    tails.append((*key, rest))
+                if key not in met and len(own := tail.of(numbers)):
+                    tails.append((*key, [tokens[i] for i in own.tolist()]))
                 met.add(key)
                 if row["learn"].as_py():
                     sequence += [numbers, end]
-            rank = np.fromiter((head.rank(w) for w in place), np.int64, len(place))
-            start = np.fromiter(map(first_two, place), np.int64, len(place))
+            rank = np.fromiter(map(head.rank, tokens), np.int64, len(tokens))
+            start = np.fromiter(map(first_two, tokens), np.int64, len(tokens))
             order = np.concatenate(sequence)
-            at = rank[order[:-1]]
-            keys, n = np.unique(((at << 16) + start[order[1:]])[at >= 0], return_counts=True)
-            keys, where = np.unique(np.concatenate((found[0], keys)), return_inverse=True)
-            found = [keys, np.bincount(where, np.concatenate((found[1], n)), len(keys)).astype(np.int64)]
+            held.append((rank[order[:-1]] << 16) + start[order[1:]])
             if tails:
                 columns = [pa.array(x, k) for x, k in zip(zip(*tails, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.binary())), strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(tails), pa.int64()), pa.nulls(len(tails), pa.int64())], names)
-            if len(found[0]) > 1_000_000:
+            if sum(map(len, held)) > 3_000_000:
                 yield pairs()
-                found = [np.zeros(0, np.int64)] * 2
         yield pairs()
 
+    end = np.zeros(1, np.int32)
     return texts.mapInArrow(run, "k1 long, k2 int, tail array<binary>, pair long, n long")
 
 
 def pair_table(pairs: DataFrame, code: Code, two: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-    """(log odds by slot, weights) of pairs (pair, n); there are at most ``words_before`` times 2^16."""
+    """(log odds by slot, weights) of pairs (pair, n); there are at most ``words_before`` and 2^16 ranks, times 2^16."""
     bits = max(10, math.ceil(math.log2(4 * pairs.count() + 1)))
     model = pairs.sparkSession.sparkContext.broadcast((code, Sent(two)))
 
@@ -719,7 +748,7 @@ def lm_scores(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, (code, two, slots, weights) = shared_top.value, model.value
         mixer = Mixer(code, two.array(), slots.array(), weights)
-        kind = None
+        kind, end = None, np.zeros(1, np.int32)
 
         def watch(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nonlocal kind
@@ -727,21 +756,16 @@ def lm_scores(
                 kind = b.column(0).type
                 yield b
 
-        for rows, docs in _pieces(watch(batches)):
-            place = Numbers({END: 0})
-            sequences = []
-            for words in docs:
-                words.append(END)
-                sequences.append(place.of(words))
-            tokens = list(place)
+        for piece in _pieces(watch(batches)):
+            rows, tokens = piece.rows, list(piece.place)
             at = np.fromiter(map(top.place.get, tokens, repeat(-1)), np.int64, len(tokens))
-            tail: dict[bytes, tuple[float, bytes]] = {}
-            for row, numbers in zip(rows, sequences, strict=True):
-                if given := row["tail"].as_py():
-                    own = rare(numbers, at < 0, tokens)
-                    tail.update((own[x["at"]], (math.log10(x["c"] + 1), x["inputs"])) for x in given)
-            ranks, log_c, inputs = top.laid_out(tokens, at, tail)
-            mixer.learn(tokens, [inputs], ranks)
+            tail = Tail(tokens, at < 0)
+            for row, numbers in zip(rows, piece.sequences, strict=True):
+                if row["tail"].is_valid:
+                    tail.take(numbers, row.pop("tail").values)
+            log_c, inputs = top.laid_out(at, tail)
+            mixer.learn(tokens, [inputs], list(map(top.rank, tokens)))
+            sequences = [np.append(x, end) for x in piece.sequences]
             score = in_pieces(mixer, sequences)
             columns = [
                 pa.array([r["id"].as_py() for r in rows], kind),
@@ -750,7 +774,7 @@ def lm_scores(
                 pa.array([int((log_c[s] > 0).sum()) for s in sequences], pa.int64()),
                 pa.array([float(log_c[s].sum()) for s in sequences], pa.float64()),
                 pa.array(score / math.log(10), pa.float64()),
-                pa.array([sum(map(len, w)) + len(w) for w in docs], pa.int64()),
+                pa.array([n + 2 for n in piece.sizes], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["id", "learn", "n_tokens", "n_known", "total", "score", "n_bytes"])
 

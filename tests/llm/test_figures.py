@@ -7,7 +7,7 @@ import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from swinglake.llm import packing
+from swinglake.llm import lm, packing
 
 
 class Counting:
@@ -41,3 +41,29 @@ def test_texts_are_tokenised_by_size():
     assert [t for p in parts for t in p] == texts
     assert all(sum(len(t or "") for t in p[:-1]) < 20 for p in parts) and len(parts) > 2
     assert list(packing.in_parts(batch.slice(0, 0), 10)) == []
+
+
+def test_every_word_has_a_say_as_the_word_before(spark):
+    """Behind words that aren't among the most frequent, pairs are counted and used too."""
+    rows = [(i, f"frequent frequent rareword{i % 5}ing {'qqq' if i % 2 else 'zzz'}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.selectExpr("true AS learn", "text", "doc_id AS k1", "1 AS k2")
+    words = [lm.END, b"frequent", b"rareword0ing", b"qqq"]
+    top = lm.Head(words, np.array([40, 80, 8, 20]), [b""] * 4, 2)
+    assert top.rank(b"rareword0ing") == top.rank(b"never-seen-ing") == 2 + int.from_bytes(b"ng") and top.rank(b"x") == 2 + ord("x")
+    found = lm.reading(texts, spark.sparkContext.broadcast(top)).where("pair IS NOT NULL").groupBy("pair").sum("n").collect()
+    counted = {r["pair"]: r["sum(n)"] for r in found}
+    assert sum(counted.values()) == sum(len(t.split()) + 1 for _, t in rows)  # every token stands behind one word
+    assert counted[top.rank(b"rareword0ing") << 16 | lm.first_two(b"qqq")] == 20
+
+
+def test_tails_are_read_by_number():
+    tokens = [lm.END, b"b", b"zz", b"a", b"c"]
+    tail = lm.Tail(tokens, np.array([False, False, True, True, True]))
+    sequence = np.array([2, 1, 3, 2], np.int32)
+    assert [tokens[i] for i in tail.of(sequence).tolist()] == [b"a", b"zz"]
+    given = pa.array([{"at": 1, "c": 9, "inputs": b"xyz"}, {"at": 0, "c": 99, "inputs": b"u"}])
+    for part in (given, given.slice(1)):
+        tail.take(sequence, part)
+    number, c, lengths, data = tail.found()
+    assert (number.tolist(), c.tolist(), lengths.tolist(), data.tobytes()) == ([2, 3, 3], [9, 99, 99], [3, 1, 1], b"xyzuu")
