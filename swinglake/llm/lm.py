@@ -19,7 +19,8 @@ these contexts, a bounded number, are counted by shuffle and go into a hash tabl
 number. Starting weights are fitted on the same counts, which have all
 that is needed: each token or pair counts as often as it stands in the corpus, taken once off its own contexts.
 
-The ``head`` most frequent tokens, a bounded number, go to all tasks with what belongs to them. All other tokens of a
+The ``head`` most frequent tokens, a bounded number, go to all tasks with what belongs to them, and a Python process lays their
+bits out once. All other tokens of a
 document are joined with the vocabulary by shuffle, and texts are then joined with what came of that.
 
 Defined results: a null or empty text is the end mark alone; rows that repeat an id are scored each for itself; a null id
@@ -32,12 +33,11 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,16 +64,41 @@ START = (0.5, 0.3, 0.5)
 RANGE = 30_000
 #: Ranges there are at most: a sample of 50 tokens of each, and 32 prefixes of each cut, are what the driver holds and sends of them.
 RANGES = 1 << 14
-#: Tokens are numbered and laid out for documents of about so many bytes, which are scored side by side, about so many tokens in all at a time.
-PIECE, TOKENS = 4_000_000, 150_000
+#: Tokens are numbered for documents of about so many bytes, which are scored side by side, about so many tokens in all at a time; and laid out so many together.
+PIECE, TOKENS, LAID = 4_000_000, 150_000, 10_000
 GATE_OF = np.searchsorted(np.array(GATE_ENDS), np.abs(np.arange(256).astype(np.uint8).view(np.int8).astype(int)), "left").astype(np.uint8)
+#: What stays of a bit's cell where the word before says so much, and what it says, by 256 * bit and that.
+KEPT = np.where(np.arange(256) > 0, 0x01FFFF00, 0xFFFFFFFF).astype(np.uint32)
+SAYING = np.array([((x if bit else -x) & 255 | (KNOWN - 1 + int(GATE_OF[x & 255])) << 25) if x else 0 for bit in (0, 1) for x in [*range(128), *range(-128, 0)]], np.uint32)
 FACTOR = np.uint64(0x5851F42D4C957F2D)
 MIX_NODE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 POWERS = np.array([pow(int(FACTOR), k, 1 << 64) for k in range(PREFIX + 2)], np.uint64)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+class Words:
+    """The words of texts as numbers of the distinct ones, in the order in which they first stand."""
+
+    def __init__(self, texts: pa.Array):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        words = split.flatten()
+        some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # there are empty ones at white space at a text's ends
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        #: How many words a text has.
+        self.counts = np.diff(np.append(0, np.cumsum(some))[offsets])
+        coded = (words if some.all() else words.filter(pa.array(some))).dictionary_encode()
+        self.numbers = coded.indices.to_numpy()
+        self.distinct = coded.dictionary.cast(pa.binary())
+
+
+def ends_of(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of words, a column of binaries: the first byte, the second (a space where there is none), the last but one (0), and the last."""
+    if not len(tokens):
+        return (np.zeros(0, np.int64),) * 4
+    offsets = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset :][: len(tokens) + 1].astype(np.int64)
+    data = np.frombuffer(tokens.buffers()[2], np.uint8)
+    first, last, longer = offsets[:-1], offsets[1:] - 1, np.diff(offsets) > 1
+    second, other = (np.where(longer, data.take(at, mode="clip"), no) for at, no in ((first + 1, SPACE), (last - 1, 0)))
+    return data[first].astype(np.int64), second.astype(np.int64), other.astype(np.int64), data[last].astype(np.int64)
 
 
 def closed(token: bytes) -> bytes:
@@ -286,31 +311,89 @@ def pair_cells(pairs: np.ndarray, times: np.ndarray, code: Code, two: np.ndarray
 
 
 def in_pieces(mixer: Mixer, sequences: list[np.ndarray], tokens: int = TOKENS) -> np.ndarray:
-    """Natural log probability of each sequence of token numbers, whole; in pieces of so many tokens of all together, which changes nothing."""
-    score, state = np.zeros(len(sequences)), mixer.fresh(len(sequences))
-    at, skip = [0] * len(sequences), [0] * len(sequences)  # where a sequence goes on, and how many bits of that token are done
-    part = list(range(len(sequences)))
-    while part:
-        each = max(tokens // len(part), BLOCK)  # a token has a bit at least, so a block is filled
-        ends = [min(at[i] + each, len(sequences[i])) for i in part]
-        streams = [sequences[i][at[i] : end] for i, end in zip(part, ends, strict=True)]
-        bits = [None if end == len(sequences[i]) else mixer.whole_blocks(s, skip[i]) for i, end, s in zip(part, ends, streams, strict=True)]
-        now = state[part]
-        score[part] += mixer.score(streams, [int(sequences[i][at[i] - 1]) if at[i] else 0 for i in part], now, [skip[i] for i in part], bits)
-        state[part] = now
-        left = []
-        for i, stream, n in zip(part, streams, bits, strict=True):
-            if n is None:
-                continue
-            done = np.cumsum(mixer.sizes[stream], dtype=np.int64)
-            k = int(np.searchsorted(done, skip[i] + n, "right"))  # the token that is open
-            skip[i] = skip[i] + n - (int(done[k - 1]) if k else 0)
-            at[i] += k
-            left.append(i)
-        part = left
+    """Natural log probability of each sequence of token numbers, whole; in pieces of about so many tokens of all together, which changes nothing.
+
+    Sequences of like length go side by side, and a piece ends with a block of each. The token before a sequence is number 0.
+    """
+    counts = np.fromiter(map(len, sequences), np.int64, len(sequences))
+    upto = np.append(0, np.cumsum(mixer.sizes[np.concatenate([np.zeros(0, np.int32), *sequences])], dtype=np.int64))
+    bits = upto[np.cumsum(counts)] - upto[np.cumsum(counts) - counts]
+    order, score = np.argsort(-bits, kind="stable"), np.zeros(len(sequences))
+    side = max(1, tokens // BLOCK)
+    for i in range(0, len(order), side):
+        part = order[i : i + side]
+        score[part] = _side_by_side(mixer, [sequences[j] for j in part.tolist()], bits[part], tokens)
     return score
 
 
+def _side_by_side(mixer: Mixer, sequences: list[np.ndarray], bits: np.ndarray, tokens: int) -> np.ndarray:
+    """:func:`in_pieces` of sequences, those of most ``bits`` first."""
+    token, counts = np.concatenate(sequences), np.fromiter(map(len, sequences), np.int64, len(sequences))
+    first = np.cumsum(counts) - counts
+    behind = np.append(0, token[:-1])
+    behind[first] = 0
+    size = mixer.sizes[token]
+    upto = np.cumsum(size, dtype=np.int64)
+    base = upto[first] - size[first]
+    score, state, done = np.zeros(len(sequences)), mixer.fresh(len(sequences)), 0
+    while m := int(np.searchsorted(-bits, -done, "left")):  # so many go on
+        window = BLOCK * max(1, 16 * tokens // (m * BLOCK))
+        start, end = base[:m] + done, base[:m] + np.minimum(bits[:m], done + window)
+        at = np.searchsorted(upto, start, "right")  # the token that is open
+        have = np.searchsorted(upto, end - 1, "right") + 1 - at
+        own = np.arange(int(have.sum())) + np.repeat(at - (np.cumsum(have) - have), have)
+        score[:m] += mixer.bits_scored(token[own], behind[own], have, start - (upto[at] - size[at]), end - start, state[:m])
+        done += window
+    return score
+
+
+def by_token(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Arrays of so many values end to end as a column of binaries, from which Arrow takes many at once."""
+    offsets = np.append(0, np.cumsum(counts, dtype=np.int64) * values.itemsize)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+class Laid:
+    """The bits of distinct tokens: inputs, and what the slots of the word before are made of."""
+
+    def __init__(self, cells: pa.Array, low: pa.Array, node: pa.Array, sizes: np.ndarray, early: np.ndarray, ranks: np.ndarray):
+        """``cells``: of a token's bits; ``low`` and ``node``: of those of its first two bytes; ``sizes``, ``early``: how many these are; ``ranks``: as a word before, or -1."""
+        self.columns, self.numbers = (cells, low, node), (sizes, early, ranks)
+
+    @classmethod
+    def of(cls, tokens: list[bytes], data: np.ndarray, ranks: np.ndarray, code: Code, two: np.ndarray) -> Laid:
+        """``data``: the trie's inputs of all tokens."""
+        parts, done = [], 0
+        for at in range(0, len(tokens), LAID):
+            x, owner, since = laid(tokens[at : at + LAID])
+            last, other = two_before(x, since)
+            place, node, bit = code.bits(last, x)
+            word = data[done : done + len(place)]
+            done += len(place)
+            cells = np.zeros((len(place), 4), np.uint8)  # three inputs towards the bit itself, and the gate with the bit
+            cells[:, 1] = towards(two.take((other.astype(np.int32) << 16)[place] + node), bit).view(np.uint8)
+            cells[:, 2] = word
+            cells[:, 3] = bit + 2 * GATE_OF[word]
+            length = code.length[last.astype(np.int32) * 256 + x]
+            sizes = np.add.reduceat(length, np.flatnonzero(since == 0))
+            # a token's first two bytes, where the word before has its say
+            near = np.flatnonzero(since < 2)
+            early = np.bincount(owner[near], length[near], len(sizes)).astype(np.int32)
+            low = np.repeat(np.where(since[near] == 1, 256 + last[near].astype(np.int16), 0).astype(np.uint16), length[near])
+            own = np.arange(len(low)) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(early) - early), early)
+            parts.append((cells.reshape(-1).view(np.uint32), low, node[own], sizes, early))
+        if not parts:
+            parts = [tuple(np.zeros(0, kind) for kind in (np.uint32, np.uint16, np.int32, np.int32, np.int32))]
+        cells, low, node, sizes, early = map(np.concatenate, zip(*parts, strict=True))
+        return cls(by_token(cells, sizes), by_token(low, early), by_token(node, early), sizes, early, ranks)
+
+    def some(self, at: np.ndarray) -> Laid:
+        return Laid(*(c.take(pa.array(at)) for c in self.columns), *(x[at] for x in self.numbers))
+
+    def and_of(self, other: Laid) -> Laid:
+        return Laid(*map(pa.concat_arrays, zip(self.columns, other.columns, strict=True)), *map(np.concatenate, zip(self.numbers, other.numbers, strict=True)))
+
+
 class Mixer:
     """Scores streams of tokens side by side; a document's weights go on from piece to piece."""
 
@@ -322,165 +405,134 @@ class Mixer:
     def fresh(self, n: int) -> np.ndarray:
         return np.tile(self.start, (n, 1, 1))
 
+    def laid(self, tokens: list[bytes], data: np.ndarray, ranks: np.ndarray) -> Laid:
+        return Laid.of(tokens, data, ranks, self.code, self.two)
+
     def learn(self, tokens: list[bytes], inputs: list[bytes], ranks: list[int]) -> None:
         """Lay out the bits of distinct tokens. ``inputs``: of the trie, in any pieces; ``ranks``: as a word before, or -1."""
-        x, owner, since = laid(tokens)
-        last, other = two_before(x, since)
-        place, node, bit = self.code.bits(last, x)
-        cells = np.empty((len(place), 4), np.uint8)  # three inputs towards the bit itself, and the gate with the bit
-        cells[:, 0] = 0
-        cells[:, 1] = towards(self.two.take((other.astype(np.int32) << 16)[place] + node), bit).view(np.uint8)
-        cells[:, 2] = word = np.frombuffer(b"".join(inputs), np.uint8)
-        cells[:, 3] = bit + 2 * GATE_OF[word]
-        self.cells = cells.reshape(-1).view(np.uint32)
-        of = owner[place]
-        self.sizes = np.bincount(of, minlength=len(tokens)).astype(np.int32)
-        self.firsts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
-        # a token's first two bytes, where the word before has its say: what their contexts' slots are made of
-        near = since[place] < 2
-        self.early = np.bincount(of[near], minlength=len(tokens)).astype(np.int32)
-        self.early_at = (np.cumsum(self.early) - self.early).astype(np.int32)
-        low = np.where(since == 1, 256 + last.astype(np.int64), 0)[place[near]]
-        self.early_low = low.astype(np.uint64) * FACTOR
-        self.early_node = (node[near].astype(np.uint64) + np.uint64(1)) * MIX_NODE
-        self.ranks = np.array(ranks, np.int64)
-
-    def whole_blocks(self, stream: np.ndarray, skip: int = 0) -> int:
-        """The bits of a stream, less ``skip``, that fill blocks."""
-        return (int(self.sizes[stream].sum()) - skip) // BLOCK * BLOCK
-
-    def score(self, streams: list[np.ndarray], before: list[int], weights: np.ndarray, skip: list[int] | None = None, bits: list[int | None] | None = None) -> np.ndarray:
-        """Natural log probability of each stream of token numbers behind the token ``before``. ``weights`` (stream, GATES, INPUTS) are refined in place.
-
-        Of a stream the first ``skip`` bits are left out, and of what follows all but the first ``bits`` (None: none), so that a long
+        self.take(self.laid(tokens, np.frombuffer(b"".join(inputs), np.uint8), np.array(ranks, np.int64)))
+
+    def take(self, known: Laid) -> None:
+        """Score streams of these tokens from now on."""
+        (self.cells, self.early_low, self.early_node), (self.sizes, self.early, self.ranks) = known.columns, known.numbers
+
+    def score(self, streams: list[np.ndarray], before: list[int], weights: np.ndarray) -> np.ndarray:
+        """Natural log probability of each stream of token numbers behind the token ``before``. ``weights`` (stream, GATES, INPUTS) are refined in place."""
+        token, counts = np.concatenate(streams), np.fromiter(map(len, streams), np.int64, len(streams))
+        behind = np.append(0, token[:-1])
+        behind[np.cumsum(counts) - counts] = before
+        upto = np.append(0, np.cumsum(self.sizes[token], dtype=np.int64))
+        length = upto[np.cumsum(counts)] - upto[np.cumsum(counts) - counts]
+        return self.bits_scored(token, behind, counts, np.zeros(len(streams), np.int64), length, weights)
+
+    def bits_scored(self, token: np.ndarray, behind: np.ndarray, counts: np.ndarray, skip: np.ndarray, length: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """:meth:`score` of streams of ``counts`` tokens each (at least one), with the token ``behind`` which each stands.
+
+        Of a stream the first ``skip`` bits are left out, and of what follows all but the first ``length``, so that a long
         document is scored in pieces as it is whole: a piece ends with a block, and the next begins at the token that is open.
         """
-        sizes, n = self.sizes, len(streams)
-        token = np.concatenate(streams)
-        size = sizes[token]
-        ends = np.cumsum([0, *map(len, streams)])
-        upto = np.cumsum(size, dtype=np.int32) - size
-        total = int(size.sum())
-        edges = np.append(upto, total)[ends].tolist()  # where each stream's bits begin, and the last ends
-        whole = np.diff(edges)
-        skipped = skip if skip else [0] * n
-        length = whole - np.array(skipped, np.int64)
-        if bits:
-            length = np.array([have if most is None else most for have, most in zip(length.tolist(), bits, strict=True)], np.int64)
-        order = np.argsort(-length, kind="stable")
-        blocks = -(-length // BLOCK)
-        begin = np.cumsum(blocks) - blocks
-        at = np.arange(total, dtype=np.int32)
-        at += np.repeat(self.firsts[token] - upto, size)
-        values = self.cells.take(at)
+        n, total = len(counts), int(self.sizes[token].sum())
+        chosen = pa.array(token)
+        values = np.frombuffer(self.cells.take(chosen).buffers()[2], np.uint32, total).copy()
+        upto = np.cumsum(self.sizes[token], dtype=np.int32) - self.sizes[token]
         # the word before has its say at the first two bytes
-        behind = np.empty(len(token), np.int64)
-        behind[1:] = token[:-1]
-        behind[ends[:-1]] = before
-        rank = self.ranks[behind]
-        some = np.flatnonzero(rank >= 0)
-        early = self.early[token[some]]
-        step = np.arange(int(early.sum()), dtype=np.int32) - np.repeat(np.cumsum(early, dtype=np.int32) - early, early)
-        own = step + np.repeat(self.early_at[token[some]], early)
-        slot = np.repeat(rank[some].astype(np.uint64) * (FACTOR << np.uint64(9)), early)
-        slot += self.early_low.take(own)
-        slot ^= self.early_node.take(own)
+        rank, early = self.ranks[behind], self.early[token]
+        near = int(early.sum())
+        place = np.arange(near, dtype=np.int32)
+        place += np.repeat(upto - (np.cumsum(early, dtype=np.int32) - early), early)
+        slot = np.repeat(rank.astype(np.uint64) << np.uint64(9), early)
+        slot += np.frombuffer(self.early_low.take(chosen).buffers()[2], np.uint16, near)
+        slot *= FACTOR
+        node = np.frombuffer(self.early_node.take(chosen).buffers()[2], np.int32, near).astype(np.uint64)
+        node += np.uint64(1)
+        node *= MIX_NODE
+        slot ^= node
+        del node
         slot *= MIX
         slot >>= np.uint64(64 - self.slot_bits)
-        said = self.pairs.take(slot.view(np.int64))
-        known = np.flatnonzero(said)
-        said = said[known]
-        place = (np.repeat(upto[some], early) + step)[known]
-        bytes_of = values.view(np.uint8).reshape(-1, 4)
-        bytes_of[place, 0] = towards(said, bytes_of[place, 3] & 1).view(np.uint8)
-        bytes_of[place, 3] = 2 * (KNOWN - 1 + GATE_OF[said.view(np.uint8)])
-        # a stream begins with a block
+        said = self.pairs.take(slot.view(np.int64), mode="clip").view(np.uint8)
+        del slot
+        if rank.min(initial=0) < 0:
+            said[np.repeat(rank < 0, early)] = 0
+        now = values.take(place, mode="clip")
+        which = (now >> np.uint32(16) & np.uint32(256)).astype(np.uint16)
+        which |= said
+        now &= KEPT.take(said, mode="clip")
+        now |= SAYING.take(which, mode="clip")
+        values[place] = now
+        del now, which, place, said
+        # a stream begins with a block; then first blocks stand together, those of the longest streams first, then second ones, and so on
+        blocks = -(-length // BLOCK)
+        begin = np.cumsum(blocks) - blocks
         grid = np.zeros(int(blocks.sum()) * BLOCK, np.uint32)
-        for start, gone, n_bits, to in zip(edges, skipped, length.tolist(), (begin * BLOCK).tolist(), strict=False):
-            grid[to : to + n_bits] = values[start + gone : start + gone + n_bits]
-        grid = grid.reshape(-1, BLOCK)
-        going = np.searchsorted(-blocks[order], -np.arange(int(blocks.max(initial=0))), "left").tolist()
-        w = [np.ascontiguousarray(weights[order, :, k]).reshape(-1) for k in range(INPUTS)]
-        first, loss, base = begin[order], np.zeros(n), np.arange(n)[:, None] * GATES
-        for t, m in enumerate(going):
-            fields = grid[first[:m] + t].view(np.int8).reshape(m, BLOCK, 4)
-            ins = [fields[:, :, k].astype(np.float32) for k in range(INPUTS)]
-            gate = ((fields[:, :, 3] >> 1) + base[:m]).reshape(-1)
-            z = w[0].take(gate).reshape(m, BLOCK)
+        edges = upto[np.cumsum(counts) - counts] + skip
+        for start, n_bits, to in zip(edges.tolist(), length.tolist(), (begin * BLOCK).tolist(), strict=True):
+            grid[to : to + n_bits] = values[start : start + n_bits]
+        del values
+        order = np.argsort(-blocks, kind="stable")
+        nth = np.empty(n, np.int64)
+        nth[order] = np.arange(n)
+        row = np.repeat(nth, blocks)
+        turn = np.argsort((np.arange(len(row)) - np.repeat(begin, blocks)) * n + row)
+        row, grid = row[turn], grid.reshape(-1, BLOCK)[turn]
+        going = np.searchsorted(-blocks[order], -np.arange(int(blocks.max(initial=0))), "left")
+        steps = np.append(0, np.cumsum(going))
+        ends, gates = row * GATES, grid.view(np.uint8).reshape(-1, BLOCK, 4)[:, :, 3] >> 1
+        fields = grid.view(np.int8).reshape(-1, BLOCK, 4)
+        w = [-weights[order, :, k].reshape(-1) for k in range(INPUTS)]
+        ones = np.empty((len(row), BLOCK), np.float32)
+        for m, at, upto in zip(going.tolist(), steps.tolist(), steps[1:].tolist(), strict=False):
+            gate = (gates[at:upto] + ends[at:upto, None]).reshape(-1)
+            ins = [fields[at:upto, :, k].astype(np.float32).reshape(-1) for k in range(INPUTS)]
+            z = w[0].take(gate, mode="clip")
             z *= ins[0]
             for k in range(1, INPUTS):
-                part = w[k].take(gate).reshape(m, BLOCK)
+                part = w[k].take(gate, mode="clip")
                 part *= ins[k]
                 z += part
-            np.negative(z, z)
-            e = np.exp(z, z)
-            one = e + np.float32(1)
-            e /= one  # how far off each bit's probability is
-            loss[:m] += np.log(one, one).sum(axis=1)
+            np.exp(z, z)
+            one = ones[at:upto].reshape(-1)
+            np.add(z, np.float32(1), one)
+            z /= one  # how far off each bit's probability is
             for k in range(INPUTS):
-                ins[k] *= e
-                step = np.bincount(gate, ins[k].reshape(-1), m * GATES)
-                w[k][: m * GATES] += self.rate * step.astype(np.float32)
+                ins[k] *= z
+                w[k][: m * GATES] -= self.rate * np.bincount(gate, ins[k], m * GATES).astype(np.float32)
         for k in range(INPUTS):
-            weights[order, :, k] = w[k].reshape(n, GATES)
-        out = np.empty(n)
+            weights[order, :, k] = -w[k].reshape(n, GATES)
+        loss = np.bincount(row, np.log(ones, ones).sum(axis=1), n)[nth]
         # what fills a last block up is even and teaches nothing
-        out[order] = (blocks * BLOCK - length)[order] * math.log(2) - loss
-        return out
-
-
-class Piece:
-    """Rows (all columns but the text), and their texts as numbers of the distinct tokens; the end mark is number 0, and stands in no text."""
+        return (blocks * BLOCK - length) * math.log(2) - loss
 
-    def __init__(self):
-        self.place, self.rows, self.sequences, self.sizes = Numbers({END: 0}), [], [], []
 
-    def add(self, row: dict, words: list[bytes]) -> int:
-        """Take a row in; how many bytes its words have, a space behind each."""
-        self.rows.append(row)
-        self.sequences.append(self.place.of(words))
-        self.sizes.append(sum(map(len, words)) + len(words))
-        return self.sizes[-1]
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE) -> Iterator[Piece]:
-    """Pieces of about ``most`` bytes of rows whose second column is the text."""
-    piece, size = Piece(), 0
+def _pieces(batches: Iterator[pa.RecordBatch], most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The rows in pieces of about ``most`` bytes of their texts."""
+    held, size = [], 0
     for b in batches:
-        texts, others = b.column(1), b.drop_columns([b.schema.names[1]])
-        for i in range(b.num_rows):
-            row = {name: c[i] for name, c in zip(others.schema.names, others.columns, strict=True)}
-            size += piece.add(row, words_of(texts[i].as_py()))
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at, gone = 0, 0
+        while at < b.num_rows:
+            end = min(int(np.searchsorted(upto, gone + most - size, "left")) + 1, b.num_rows)
+            held.append(b.slice(at, end - at))
+            size += int(upto[end - 1]) - gone
+            at, gone = end, int(upto[end - 1])
             if size >= most:
-                yield piece
-                piece, size = Piece(), 0
-    if piece.rows:
-        yield piece
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
     """(token, c) of all texts (learn, text), the end mark among them as a newline; only rows to learn from are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
-
-        for b in batches:
-            for learn, t in zip(b.column(0), b.column(1), strict=True):
-                words = words_of(t.as_py())
-                if learn.as_py():
-                    counts.update(words)
-                    counts[END] += 1
-                else:
-                    for w in words:
-                        counts.setdefault(w, 0)
-                if len(counts) > 300_000:
-                    yield out()
-                    counts.clear()
-        counts.setdefault(END, 0)
-        yield out()
+        ends = 0
+        for piece in _pieces(batches, 3 * PIECE):
+            words, learn = Words(piece.column("text")), piece.column("learn").to_numpy(zero_copy_only=False).astype(bool)
+            n = np.bincount(words.numbers[np.repeat(learn, words.counts)], minlength=len(words.distinct))
+            ends += int(learn.sum())
+            yield pa.RecordBatch.from_arrays([words.distinct, pa.array(n, pa.int64())], ["token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], ["token", "n"])
 
     return texts.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
@@ -570,48 +622,80 @@ def vocabulary_of(tokens: DataFrame, cuts: list[bytes], code: Code, two: np.ndar
 
 
 class Head:
-    """The most frequent tokens, the most frequent first, with what scoring needs of them."""
+    """The most frequent tokens, the end mark first and then the most frequent, with what scoring needs of them."""
 
     def __init__(self, tokens: list[bytes], counts: np.ndarray, inputs: list[bytes], words_before: int):
-        self.place = {t: i for i, t in enumerate(tokens)}
+        self.tokens = pa.array(tokens, pa.binary())
         self.log_c, self.words_before = np.log10(counts.astype(float) + 1), words_before
-        self.data, self.ends = np.frombuffer(b"".join(inputs), np.uint8), np.cumsum([0, *map(len, inputs)])
+        self.data = np.frombuffer(b"".join(inputs), np.uint8)
 
     def rank(self, token: bytes) -> int:
         """As a word before: its own rank if it is one of the most frequent words, or that of all other words that end in the same two bytes."""
-        i = self.place.get(token, self.words_before)
-        return i if i < self.words_before else self.words_before + int.from_bytes(token[-2:])
+        i = pc.index(self.tokens, pa.scalar(token, pa.binary())).as_py()
+        return i if 0 <= i < self.words_before else self.words_before + int.from_bytes(token[-2:])
+
+    def places(self, words: Words) -> np.ndarray:
+        """Of distinct words: their places, or -1."""
+        return pc.index_in(words.distinct, self.tokens).fill_null(-1).to_numpy().astype(np.int64)
+
+    def ranks(self, tokens: pa.Array, at: np.ndarray) -> np.ndarray:
+        """:meth:`rank` of tokens that have these places."""
+        _, _, other, last = ends_of(tokens)
+        return np.where((at >= 0) & (at < self.words_before), at, self.words_before + (other << 8) + last)
 
-    def laid_out(self, at: np.ndarray, tail: Tail) -> tuple[np.ndarray, bytes]:
-        """(log10 of counts and one, inputs end to end) of tokens at these places of the head; ``tail`` has those that aren't in it (-1)."""
-        here = at >= 0
-        log_c, sizes, first = np.empty(len(at)), np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-        log_c[here], sizes[here], first[here] = self.log_c[at[here]], np.diff(self.ends)[at[here]], self.ends[:-1][at[here]]
-        number, c, lengths, data = tail.found()
-        log_c[number], sizes[number], first[number] = np.log10(c + 1.0), lengths, len(self.data) + np.cumsum(lengths) - lengths
-        source = np.concatenate((self.data, data)) if len(data) else self.data
-        index = np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
-        return log_c, source.take(index).tobytes()
+
+class Model:
+    """All that scoring needs and all tasks share. A Python process lays the head's tokens out once, for all pieces and tasks it has."""
+
+    def __init__(self, code: Code, two: np.ndarray, pairs: np.ndarray, weights: np.ndarray):
+        self.sent, self.made = (code, Sent(two), Sent(pairs), weights), None
+
+    def mixer(self, head: Head) -> tuple[Mixer, Laid]:
+        if self.made is None:
+            code, two, pairs, weights = self.sent
+            mixer = Mixer(code, two.array(), pairs.array(), weights)
+            self.made = mixer, mixer.laid(head.tokens.to_pylist(), head.data, head.ranks(head.tokens, np.arange(len(head.tokens))))
+            self.sent = None
+        return self.made
 
 
 class Tail:
     """A piece's tokens that aren't in the head, in their order, and what their documents' rows have of them."""
 
-    def __init__(self, tokens: list[bytes], far: np.ndarray):
+    def __init__(self, tokens: list[bytes] | pa.Array, far: np.ndarray):
         """``far``: which tokens are such."""
         self.far = far
-        self.order = np.array(sorted(np.flatnonzero(far).tolist(), key=tokens.__getitem__), np.int64)  # token numbers
+        own = np.flatnonzero(far)
+        self.order = own[pc.sort_indices(pa.array(tokens, pa.binary()).take(pa.array(own))).to_numpy()]  # token numbers
         self.rank = np.empty(len(tokens), np.int64)
         self.rank[self.order] = np.arange(len(self.order))
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def of(self, sequence: np.ndarray) -> np.ndarray:
         """Numbers of a document's distinct tokens of these, sorted by token."""
-        return self.order[np.unique(self.rank[sequence[self.far[sequence]]])]
+        return self.of_all(sequence, np.array([len(sequence)]))[0]
+
+    def of_all(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`of` all documents, of ``counts`` words each, one after another; and how many each has."""
+        far = self.far[numbers]
+        many = max(1, len(self.order))
+        found = np.unique(np.repeat(np.arange(len(counts)), counts)[far] * many + self.rank[numbers[far]])
+        return self.order[found % many], np.bincount(found // many, minlength=len(counts))
 
     def take(self, sequence: np.ndarray, given: pa.StructArray) -> None:
         """``given``: (at, c, inputs) of the document's tokens of these, ``at`` their places in that order."""
-        self.parts.append((self.of(sequence)[given.field(0).to_numpy()], given.field(1).to_numpy(), given.field(2)))
+        self._take(self.of(sequence)[given.field(0).to_numpy()], given)
+
+    def _take(self, number: np.ndarray, given: pa.StructArray) -> None:
+        self.parts.append((number, given.field(1).to_numpy(), given.field(2)))
+
+    def take_all(self, numbers: np.ndarray, counts: np.ndarray, given: pa.ListArray) -> None:
+        """:meth:`take` of all documents: ``given`` has a list for each, or null."""
+        own, have = self.of_all(numbers, counts)
+        values = given.flatten()
+        n = pc.fill_null(pc.list_value_length(given), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(values):
+            self._take(own[np.repeat(np.cumsum(have) - have, n) + values.field(0).to_numpy()], values)
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(token numbers, counts, lengths of inputs, inputs end to end) of all that was taken."""
@@ -621,16 +705,21 @@ class Tail:
         inputs = [x for part in inputs for x in part.to_pylist()]
         return np.concatenate(number), np.concatenate(c), np.fromiter(map(len, inputs), np.int64, len(inputs)), np.frombuffer(b"".join(inputs), np.uint8)
 
+    def each(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of tokens, their counts, inputs end to end), each token once and in their order."""
+        if not self.parts:
+            return self.order, np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        number, c = (np.concatenate([part[k] for part in self.parts]) for k in (0, 1))
+        first = np.unique(self.rank[number], return_index=True)[1]
+        inputs = pa.chunked_array([part[2] for part in self.parts]).take(pa.array(first)).to_pylist()
+        return number[first], c[first], np.frombuffer(b"".join(inputs), np.uint8)
 
-class Numbers(dict):
-    """Tokens by number, in the order in which they were first asked for."""
-
-    def __missing__(self, token: bytes) -> int:
-        self[token] = n = len(self)
-        return n
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+def with_ends(numbers: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
+    """Documents' token numbers one after another, the end mark behind each."""
+    out = np.full(len(numbers) + len(counts), end, np.int64)
+    out[np.arange(len(numbers)) + np.repeat(np.arange(len(counts)), counts)] = numbers
+    return out
 
 
 def reading(texts: DataFrame, top) -> DataFrame:
@@ -650,28 +739,30 @@ def reading(texts: DataFrame, top) -> DataFrame:
             return pa.RecordBatch.from_arrays([*none, pa.array(keys), pa.array(n.astype(np.int64))], names)
 
         for piece in _pieces(batches):
-            tokens = list(piece.place)
-            tail = Tail(tokens, np.fromiter((w not in head.place for w in tokens), bool, len(tokens)))
-            sequence, tails = [end], []
-            for row, numbers in zip(piece.rows, piece.sequences, strict=True):
-                key = row["k1"].as_py(), row["k2"].as_py()
-                if key not in met and len(own := tail.of(numbers)):
-                    tails.append((*key, [tokens[i] for i in own.tolist()]))
-                met.add(key)
-                if row["learn"].as_py():
-                    sequence += [numbers, end]
-            rank = np.fromiter(map(head.rank, tokens), np.int64, len(tokens))
-            start = np.fromiter(map(first_two, tokens), np.int64, len(tokens))
-            order = np.concatenate(sequence)
+            words = Words(piece.column("text"))
+            at = head.places(words)
+            tail = Tail(words.distinct, at < 0)
+            new = np.zeros(piece.num_rows, bool)
+            for i, key in enumerate(zip(piece.column("k1").to_pylist(), piece.column("k2").to_pylist(), strict=True)):
+                if key not in met:
+                    met.add(key)
+                    new[i] = True
+            own, have = tail.of_all(words.numbers[np.repeat(new, words.counts)], words.counts[new])
+            some = np.flatnonzero(new)[have > 0]
+            if len(some):
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(have[have > 0])), pa.int32()), words.distinct.take(pa.array(own)))
+                columns = [*(piece.column(k).take(pa.array(some)) for k in ("k1", "k2")), lists, *(pa.nulls(len(some), pa.int64()) for _ in range(2))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+            learn = piece.column("learn").to_numpy(zero_copy_only=False).astype(bool)
+            first, second, *_ = ends_of(words.distinct)
+            end = len(first)
+            order = np.append(end, with_ends(words.numbers[np.repeat(learn, words.counts)], words.counts[learn], end))
+            rank, start = np.append(head.ranks(words.distinct, at), head.rank(END)), np.append(first << 8 | second, first_two(END))
             held.append((rank[order[:-1]] << 16) + start[order[1:]])
-            if tails:
-                columns = [pa.array(x, k) for x, k in zip(zip(*tails, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.binary())), strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(tails), pa.int64()), pa.nulls(len(tails), pa.int64())], names)
             if sum(map(len, held)) > 3_000_000:
                 yield pairs()
         yield pairs()
 
-    end = np.zeros(1, np.int32)
     return texts.mapInArrow(run, "k1 long, k2 int, tail array<binary>, pair long, n long")
 
 
@@ -740,43 +831,45 @@ def lm_scores(
     slots, pair_weights = pair_table(pairs, code, two)
     if pair_weights is not None:
         weights[KNOWN:] = pair_weights
-    model = spark.sparkContext.broadcast((code, Sent(two), Sent(slots), weights))
+    model = spark.sparkContext.broadcast(Model(code, two, slots, weights))
     # rows alike in id and text have one key, and what they have in common is taken once
     rest = read.where("k1 IS NOT NULL").select("k1", "k2", F.posexplode("tail").alias("at", "token"))
     tails = rest.join(known, "token").groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "c", "inputs")).alias("tail"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, (code, two, slots, weights) = shared_top.value, model.value
-        mixer = Mixer(code, two.array(), slots.array(), weights)
-        kind, end = None, np.zeros(1, np.int32)
-
-        def watch(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nonlocal kind
-            for b in source:
-                kind = b.column(0).type
-                yield b
-
-        for piece in _pieces(watch(batches)):
-            rows, tokens = piece.rows, list(piece.place)
-            at = np.fromiter(map(top.place.get, tokens, repeat(-1)), np.int64, len(tokens))
-            tail = Tail(tokens, at < 0)
-            for row, numbers in zip(rows, piece.sequences, strict=True):
-                if row["tail"].is_valid:
-                    tail.take(numbers, row.pop("tail").values)
-            log_c, inputs = top.laid_out(at, tail)
-            mixer.learn(tokens, [inputs], list(map(top.rank, tokens)))
-            sequences = [np.append(x, end) for x in piece.sequences]
-            score = in_pieces(mixer, sequences)
+        top = shared_top.value
+        mixer, head = model.value.mixer(top)
+        for piece in _pieces(batches):
+            words = Words(piece.column("text"))
+            at = top.places(words)
+            tail = Tail(words.distinct, at < 0)
+            tail.take_all(words.numbers, words.counts, piece.column("tail"))
+            rest, c, data = tail.each()
+            near = np.flatnonzero(at >= 0)
+            number = np.empty(len(at), np.int64)  # the end mark is 0
+            number[near], number[rest] = 1 + np.arange(len(near)), 1 + len(near) + np.arange(len(rest))
+            known = np.append(0, at[near])  # their places in the head
+            log_c = np.append(top.log_c[known], np.log10(c + 1.0))
+            others = mixer.laid(words.distinct.take(pa.array(rest)).to_pylist(), data, top.ranks(words.distinct, at)[rest])
+            mixer.take(head.some(known).and_of(others))
+            stream, n_tokens = with_ends(number[words.numbers], words.counts, 0), words.counts + 1
+            first = np.cumsum(n_tokens) - n_tokens
+            score = in_pieces(mixer, np.split(stream, first[1:]))
+            # of words, with a space behind each, and the end mark with one
+            n_bytes = pc.binary_length(words.distinct).to_numpy(zero_copy_only=False)[words.numbers].astype(np.int64) + 1
+            n_bytes = np.add.reduceat(with_ends(n_bytes, words.counts, 2), first)
             columns = [
-                pa.array([r["id"].as_py() for r in rows], kind),
-                pa.array([r["learn"].as_py() for r in rows], pa.bool_()),
-                pa.array([len(s) for s in sequences], pa.int64()),
-                pa.array([int((log_c[s] > 0).sum()) for s in sequences], pa.int64()),
-                pa.array([float(log_c[s].sum()) for s in sequences], pa.float64()),
+                piece.column("id"),
+                piece.column("learn"),
+                pa.array(n_tokens, pa.int64()),
+                pa.array(np.add.reduceat((log_c[stream] > 0).astype(np.int64), first), pa.int64()),
+                pa.array(np.add.reduceat(log_c[stream], first), pa.float64()),
                 pa.array(score / math.log(10), pa.float64()),
-                pa.array([n + 2 for n in piece.sizes], pa.int64()),
+                pa.array(n_bytes, pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["id", "learn", "n_tokens", "n_known", "total", "score", "n_bytes"])
+            del piece, words, tail, columns
+            pa.default_memory_pool().release_unused()
 
     fields = f"id {dict(texts.dtypes)['id']}, learn boolean, n_tokens long, n_known long, total double, score double, n_bytes long"
     rows = texts.join(tails, ["k1", "k2"], "left").select("id", "text", "learn", "tail").mapInArrow(run, fields)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -67,3 +69,62 @@ def test_tails_are_read_by_number():
         tail.take(sequence, part)
     number, c, lengths, data = tail.found()
     assert (number.tolist(), c.tolist(), lengths.tolist(), data.tobytes()) == ([2, 3, 3], [9, 99, 99], [3, 1, 1], b"xyzuu")
+
+
+def test_words_of_many_texts_at_once():
+    """Words are split, lower-cased and numbered by column as they are by text, in slices and at odd white space too."""
+    texts = [None, "", " \t\n", "A b\x0bÄ Ö a\x1cB", "  b a ", "İx A\r\nb\x85c", "one", None, "Ünï A" * 30]
+    for column in (pa.array(texts, pa.string()), pa.array(["zz", *texts, "yy"], pa.string()).slice(1, len(texts)), pa.array([None, ""], pa.string())):
+        words = lm.Words(column)
+        expected = [(t or "").encode().lower().split() for t in column.to_pylist()]
+        tokens = words.distinct.to_pylist()
+        assert words.counts.tolist() == list(map(len, expected)) and len(set(tokens)) == len(tokens)
+        assert [tokens[i] for i in words.numbers.tolist()] == [w for t in expected for w in t]
+        first, second, other, last = (x.tolist() for x in lm.ends_of(words.distinct))
+        assert [a << 8 | b for a, b in zip(first, second, strict=True)] == [lm.first_two(t) for t in tokens]
+        assert [a << 8 | b for a, b in zip(other, last, strict=True)] == [int.from_bytes(t[-2:]) for t in tokens]
+
+
+def test_frequent_tokens_are_laid_out_once(monkeypatch):
+    """Pieces and tasks of a process lay out only what isn't in the head, and score as if all was laid out for each."""
+    from test_operators import lm_parts
+
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 5))) for _ in range(90)]
+    streams = [[rng.choice(words) for _ in range(n)] + [lm.END] for n in (300, 0, 1, 80, 150)]
+    tokens, times, code, two, inputs = lm_parts(streams)
+    tokens = [lm.END] + [t for t, _ in times.most_common() if t != lm.END]
+    head, rest = tokens[:40], tokens[40:]
+    top = lm.Head(head, np.array([times[t] for t in head]), [inputs[t] for t in head], 10)
+    table = np.random.default_rng(1).integers(-100, 100, 1 << 12).astype(np.int8)
+    weights = np.tile(np.array(lm.START), (lm.GATES, 1))
+    whole = lm.Mixer(code, two, table, weights)
+    whole.learn(tokens, [inputs[t] for t in tokens], list(map(top.rank, tokens)))
+    expected = lm.in_pieces(whole, [np.array([tokens.index(t) for t in s]) for s in streams])
+    model, laid, of = lm.Model(code, two, table, weights), [], lm.Laid.of.__func__
+    monkeypatch.setattr(lm.Laid, "of", classmethod(lambda cls, tokens, *more: laid.extend(tokens) or of(cls, tokens, *more)))
+    for seed in (1, 2):
+        mixer, known = model.mixer(top)
+        some = list(range(1, 40))
+        random.Random(seed).shuffle(some)
+        own = [lm.END, *(head[i] for i in some), *rest]
+        others = mixer.laid(rest, np.frombuffer(b"".join(inputs[t] for t in rest), np.uint8), np.array(list(map(top.rank, rest))))
+        mixer.take(known.some(np.array([0, *some])).and_of(others))
+        assert lm.in_pieces(mixer, [np.array([own.index(t) for t in s]) for s in streams]).tolist() == expected.tolist()
+    assert laid == head + rest + rest
+
+
+def test_tails_of_many_documents_at_once():
+    tokens = [b"b", b"zz", b"a", b"c"]
+    one, all_ = (lm.Tail(tokens, np.array([False, True, True, True])) for _ in range(2))
+    documents = [[1, 0, 2, 1], [], [0, 0], [3], [2]]
+    given = [[{"at": 1, "c": 9, "inputs": b"xyz"}, {"at": 0, "c": 5, "inputs": b"u"}], None, None, [{"at": 0, "c": 0, "inputs": b"vw"}], [{"at": 0, "c": 5, "inputs": b"u"}]]
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("c", pa.int64()), ("inputs", pa.binary())]))
+    column = pa.array([[{"at": 0, "c": 1, "inputs": b"?"}], *given], kind).slice(1)
+    all_.take_all(np.array([i for d in documents for i in d], np.int32), np.array(list(map(len, documents))), column)
+    for d, g in zip(documents, column, strict=True):
+        if g.is_valid:
+            one.take(np.array(d, np.int32), g.values)
+    assert [x.tolist() for x in all_.found()] == [x.tolist() for x in one.found()]
+    number, c, data = all_.each()
+    assert (number.tolist(), c.tolist(), data.tobytes()) == ([2, 3, 1], [5, 0, 9], b"uvwxyz")
